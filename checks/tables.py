@@ -31,11 +31,12 @@ def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages(spark, sf_dir).select(
         urls.origin(F.col("url")).alias("origin"),
         F.regexp_extract(urls.path(F.col("url")), "^(/[^/]+)/", 1).alias("top"),
-        F.col("url"),
+        urls.clean_url(F.col("url")).alias("url"),
     )
     p = p.where(F.col("top") != "").withColumn("section", F.concat("origin", "top"))
     return (
         p.select(F.col("origin").alias("src"), F.col("section").alias("dst"))
         .unionByName(p.select(F.col("section").alias("src"), F.col("url").alias("dst")))
         .distinct()
+        .withColumn("position", F.length("dst"))
     )
