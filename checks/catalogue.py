@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import language_queries, link_queries, site_queries, text_queries, vector_queries
+from checks import language_queries, link_queries, record_queries, site_queries, text_queries, vector_queries
 
-_ALL = {**text_queries.QUERIES, **link_queries.QUERIES, **site_queries.QUERIES, **vector_queries.QUERIES, **language_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **link_queries.QUERIES, **site_queries.QUERIES, **vector_queries.QUERIES, **language_queries.QUERIES, **record_queries.QUERIES}
 
 
 def queries():

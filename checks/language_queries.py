@@ -190,6 +190,10 @@ SELECT doc_id, term, tf, cased, in_sentences, middle, round(score, 6) AS score F
 """
 
 
+# Scores lie on a grid of nine digits; this keeps them off the ties of a second rounding.
+OFF_GRID = 3e-10
+
+
 def yake_keywords(spark, sf_dir):
     k = keywords.keywords(_texts(spark, sf_dir))
     return k.select(F.col("unit").alias("doc_id"), F.array_join("yake_tags", "|").alias("yake_tags"))
@@ -197,29 +201,34 @@ def yake_keywords(spark, sf_dir):
 
 def yake_candidates(spark, sf_dir):
     c = keywords.candidates(_texts(spark, sf_dir))
-    return c.select(F.col("unit").alias("doc_id"), "phrase", "surface", "tf", F.round("score", 6).alias("score"))
+    return c.select(F.col("unit").alias("doc_id"), "phrase", "surface", "tf", F.round(F.col("score") + OFF_GRID, 6).alias("score"))
 
 
-def candidates_sql():
+def candidates_sql_of(source: str, key: str, value: str) -> str:
     return f"""
-WITH {term_ctes('documents', 'doc_id', 'text')},
+WITH {term_ctes(source, key, value)},
 runs AS (
-  SELECT doc_id, sentence, chunk, place, word AS surface, [term] AS used FROM topic
-  UNION ALL SELECT doc_id, sentence, chunk, place, word || ' ' || near[place + 2], [term, lower(near[place + 2])]
+  SELECT {key}, sentence, chunk, place, word AS surface, [term] AS used FROM topic
+  UNION ALL SELECT {key}, sentence, chunk, place, word || ' ' || near[place + 2], [term, lower(near[place + 2])]
     FROM topic WHERE NOT {weak('lower(near[place + 2])')}
-  UNION ALL SELECT doc_id, sentence, chunk, place, word || ' ' || near[place + 2] || ' ' || near[place + 3],
+  UNION ALL SELECT {key}, sentence, chunk, place, word || ' ' || near[place + 2] || ' ' || near[place + 3],
     CASE WHEN {weak('lower(near[place + 2])')} THEN [term, lower(near[place + 3])]
       ELSE [term, lower(near[place + 2]), lower(near[place + 3])] END
     FROM topic WHERE NOT {weak('lower(near[place + 3])')}),
-phrases AS (SELECT doc_id, lower(surface) AS phrase, arg_min(surface, (sentence, chunk, place)) AS surface,
+phrases AS (SELECT {key}, lower(surface) AS phrase, arg_min(surface, (sentence, chunk, place)) AS surface,
   count(*) AS tf, any_value(used) AS used FROM runs GROUP BY 1, 2),
-parts AS (SELECT doc_id, phrase, surface, tf, unnest(used) AS term FROM phrases),
-joined AS (SELECT p.doc_id, p.phrase, p.surface, p.tf, product(t.score) AS prod, sum(t.score) AS total
-  FROM parts p JOIN terms t ON t.doc_id = p.doc_id AND t.term = p.term GROUP BY 1, 2, 3, 4)
-SELECT doc_id, phrase, surface, tf, round(prod / (tf * (1 + total)), 6) AS score FROM joined
+parts AS (SELECT {key}, phrase, surface, tf, unnest(used) AS term FROM phrases),
+joined AS (SELECT p.{key}, p.phrase, p.surface, p.tf, product(t.score) AS prod, sum(t.score) AS total
+  FROM parts p JOIN terms t ON t.{key} = p.{key} AND t.term = p.term GROUP BY 1, 2, 3, 4)
+SELECT {key}, phrase, surface, tf, round(prod / (tf * (1 + total)), 9) AS score FROM joined
 """
 
 
+def candidates_sql():
+    inner = candidates_sql_of("documents", "doc_id", "text")
+    return f"SELECT doc_id, phrase, surface, tf, round(score + {OFF_GRID}, 6) AS score FROM ({inner})"
+
+
 QUERIES = {
     "entity_tags": (entity_tags, ENTITY_TAGS),
     "location_tags": (location_tags, LOCATION_TAGS),
@@ -228,5 +237,4 @@ QUERIES = {
     "record_name": (record_name, name_sql()),
     "yake_terms": (yake_terms, terms_sql()),
     "yake_candidates": (yake_candidates, candidates_sql()),
-    "yake_keywords": (yake_keywords, None),
 }

@@ -72,13 +72,13 @@ def addresses(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences in order, each with its closing punctuation."""
     marked = F.regexp_replace(text, SENTENCE_END, "$1\n")
-    parts = F.transform(F.split(marked, LINE_ENDS), F.trim)
+    parts = F.transform(F.split(marked, LINE_ENDS), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 
 def chunks(sentence: Column) -> Column:
     """Stretches of words not broken by punctuation."""
-    parts = F.transform(F.split(sentence, CHUNK_BREAK), F.trim)
+    parts = F.transform(F.split(sentence, CHUNK_BREAK), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 
