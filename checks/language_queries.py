@@ -201,7 +201,7 @@ def yake_keywords(spark, sf_dir):
 
 def yake_candidates(spark, sf_dir):
     c = keywords.candidates(_texts(spark, sf_dir))
-    return c.select(F.col("unit").alias("doc_id"), "phrase", "surface", "tf", F.round(F.col("score") + OFF_GRID, 6).alias("score"))
+    return c.select(F.col("unit").alias("doc_id"), "phrase", "tf", F.round(F.col("score") + OFF_GRID, 6).alias("score"))
 
 
 def candidates_sql_of(source: str, key: str, value: str) -> str:
@@ -226,7 +226,7 @@ SELECT {key}, phrase, surface, tf, round(prod / (tf * (1 + total)), 9) AS score
 
 def candidates_sql():
     inner = candidates_sql_of("documents", "doc_id", "text")
-    return f"SELECT doc_id, phrase, surface, tf, round(score + {OFF_GRID}, 6) AS score FROM ({inner})"
+    return f"SELECT doc_id, phrase, tf, round(score + {OFF_GRID}, 6) AS score FROM ({inner})"
 
 
 QUERIES = {

@@ -401,6 +401,18 @@ def job_outputs(spark, sf_dir):
     return lines.groupBy("kind", "job").agg(F.count("*").alias("n_lines"))
 
 
+def job_outputs_sql():
+    made = f"length(text) > {C.RECORD_TEXT_MIN}"
+    return f"""
+WITH texts AS (SELECT *, coalesce({made}, false) AS made FROM {job_texts()}), kinds AS (
+  SELECT '{jsonl.DOMAIN_RECORDS}' AS kind, count(*) FILTER (made AND domain) AS n_lines FROM texts
+  UNION ALL SELECT '{jsonl.SUBDOMAIN_RECORDS}', count(*) FILTER (made AND NOT domain) FROM texts
+  UNION ALL SELECT '{jsonl.SITE_REPORTS}', count(*) FILTER (domain) FROM texts
+  UNION ALL SELECT '{jsonl.FAILURES}', count(*) FILTER (NOT made) FROM texts)
+SELECT kind, '{ECOSYSTEM}' AS job, n_lines FROM kinds WHERE n_lines > 0
+"""
+
+
 def site_reports(spark, sf_dir):
     r = F.col("subdomain_reports")
     return _job(spark, sf_dir, jobs.HOUSE).site_reports.select(
@@ -466,5 +478,5 @@ QUERIES = {
     "job_bulk": (job_bulk, job_sql(HOUSE)),
     "job_bulk_paradigm": (job_bulk_paradigm, job_sql(PARADIGM)),
     "job_dual": (job_dual, job_sql(None, dual=True)),
-    "job_outputs": (job_outputs, None),
+    "job_outputs": (job_outputs, job_outputs_sql()),
 }

@@ -107,18 +107,16 @@ SELECT homepage, position, link FROM listed WHERE position <= {C.SITEMAP_CAP}
 
 
 def discover_sites(spark, sf_dir):
-    """Starts are all origins; only pages of the https sites are in the link tree, so each method is used."""
+    """All origins over the page tree: sites with several sections come from one hop, others from the crawl."""
     found = inputs.page_facts(T.pages(spark, sf_dir))
-    tree = T.page_tree(spark, sf_dir).where(F.col("src").startswith("https:"))
     sites_found, _ = discovery.discover_sites(
-        _origins(spark, sf_dir), tree, found.select("url", "text"), inputs.published_pages(found)
+        _origins(spark, sf_dir), T.page_tree(spark, sf_dir), found.select("url", "text"), inputs.published_pages(found)
     )
     return sites_found.withColumn("method", discovery.method_name(F.col("method")))
 
 
 DISCOVER_SITES = f"""
-WITH RECURSIVE {TREE.replace("AS (SELECT DISTINCT origin", "AS (SELECT * FROM (SELECT DISTINCT origin")}
-  WHERE starts_with(src, 'https:')),
+WITH RECURSIVE {TREE},
 origins AS (SELECT DISTINCT {S.origin('url')} AS homepage FROM pages),
 {PAGE_TEXTS},
 known AS (SELECT homepage, dst AS link, row_number() OVER (PARTITION BY homepage ORDER BY length(dst), dst) AS n

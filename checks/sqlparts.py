@@ -67,10 +67,7 @@ def plain(fragment: str) -> str:
 
 def page_text(h: str) -> str:
     kept = f"regexp_replace({h}, {lit(markup.BOILERPLATE)}, ' ', 'g')"
-    body = (
-        f"CASE WHEN regexp_matches({kept}, {lit(markup.ARTICLE)}) THEN regexp_extract({kept}, {lit(markup.ARTICLE)}, 1) "
-        f"ELSE regexp_extract({kept}, {lit(markup.BODY)}, 1) END"
-    )
+    body = f"regexp_replace({kept}, {lit(markup.CONTENT)}, '\\1\\2')"
     title = f"regexp_extract({h}, {lit(markup.TITLE)}, 1)"
     about = (
         f"regexp_extract(regexp_extract({h}, {lit(markup.DESCRIPTION_TAG)}, 0), {lit(markup.CONTENT_VALUE)}, 1)"

@@ -49,8 +49,9 @@ SANITIZE_TEXT = f"SELECT doc_id, {S.sanitize_text('text')} AS text FROM document
 
 
 def length_gate(spark, sf_dir):
-    gated = text.gated_site_text(F.col("text"))
-    return T.documents(spark, sf_dir).select("doc_id", gated.alias("txt"), gated.isNull().alias("failure"))
+    cleaned = T.documents(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("txt"))
+    gated = cleaned.withColumn("txt", text.gated(F.col("txt")))
+    return gated.withColumn("failure", F.col("txt").isNull())
 
 
 LENGTH_GATE = f"SELECT doc_id, {S.gated('text')} AS txt, ({S.gated('text')}) IS NULL AS failure FROM documents"

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from sitemill.functions.urls import resolve
 
 BOILERPLATE = (
-    r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>"
-    r'|<footer\b.*?</footer>|<div class="ad">.*?</div>'
+    r"(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>|nav\b.*?</nav>"
+    r'|footer\b.*?</footer>|div class="ad">.*?</div>)'
 )
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 DESCRIPTION_TAG = r'(?is)<meta\s[^>]*name\s*=\s*"description"[^>]*>'
 CONTENT_VALUE = r'(?is)content\s*=\s*"([^"]*)"'
-ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
-BODY = r"(?is)<body\b[^>]*>(.*)"
+# The whole page, with the article as group 1 or else everything from the body on as group 2.
+CONTENT = r"(?is)^.*?<article\b[^>]*>(.*?)</article>.*$|^.*?<body\b[^>]*>(.*)$|^.*$"
 TAG = r"(?s)<[^>]*>"
-BLANKS = r"[ \t\r\n\f\x0B]+"
+# Runs of blanks that are not already one blank.
+BLANKS = r"[ \t\r\n\f\x0B]{2,}|[\t\r\n\f\x0B]"
 ANCHOR = r"(?is)<a(?:\s[^>]*)?>"
 HREF = r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 # Named characters, decoded in this order; the ampersand comes last so nothing is decoded twice.
@@ -48,9 +49,8 @@ def collapse(text: Column) -> Column:
 
 
 def _plain(fragment: Column) -> Column:
-    """Visible text of a fragment, or null when there is none."""
-    text = collapse(decode_entities(F.regexp_replace(fragment, TAG, " ")))
-    return F.when(text != "", text)
+    """Visible text of a fragment, empty when there is none."""
+    return collapse(decode_entities(F.regexp_replace(fragment, TAG, " ")))
 
 
 def page_title(html: Column) -> Column:
@@ -62,19 +62,13 @@ def page_description(html: Column) -> Column:
 
 
 def page_body(html: Column) -> Column:
-    kept = F.regexp_replace(html, BOILERPLATE, " ")
-    return _plain(
-        F.when(kept.rlike(ARTICLE), F.regexp_extract(kept, ARTICLE, 1)).otherwise(
-            F.regexp_extract(kept, BODY, 1)
-        )
-    )
+    return _plain(F.regexp_replace(F.regexp_replace(html, BOILERPLATE, " "), CONTENT, "$1$2"))
 
 
 def page_text(html: Column) -> Column:
     """Title, description and body text joined by a blank; quotes and line ends blanked; null if empty."""
-    joined = F.concat_ws(" ", page_title(html), page_description(html), page_body(html))
-    text = F.translate(joined, "\n\"'", "   ")
-    return F.when(joined != "", text)
+    parts = F.filter(F.array(page_title(html), page_description(html), page_body(html)), lambda part: part != "")
+    return F.nullif(F.translate(F.array_join(parts, " "), "\n\"'", "   "), F.lit(""))
 
 
 def strip_markup(text: Column) -> Column:

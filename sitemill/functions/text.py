@@ -10,7 +10,8 @@ from sitemill import constants as C
 from sitemill.functions.markup import BLANKS
 
 NBSP = "\u00a0"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+# Runs that separate words and are not already one blank.
+NOT_WORD = r"[^\p{L}\p{N}]{2,}|[^\p{L}\p{N} ]"
 SENTENCE_END = r"([.!?]+)[ \t\r\f]+"
 LINE_ENDS = r"[\r\n]+"
 CHUNK_BREAK = r"[^\p{L}\p{N} \t\f]+"
@@ -26,7 +27,7 @@ US_ADDRESS = (
 
 def clean_text(text: Column) -> Column:
     """Non-breaking space to blank, blanks collapsed, ends trimmed."""
-    return F.trim(F.regexp_replace(F.translate(text, NBSP, " "), BLANKS, " "))
+    return F.trim(F.regexp_replace(F.replace(text, F.lit(NBSP), F.lit(" ")), BLANKS, " "))
 
 
 def sanitize_text(text: Column) -> Column:
@@ -34,9 +35,8 @@ def sanitize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
 
 
-def gated_site_text(text: Column) -> Column:
+def gated(cleaned: Column) -> Column:
     """Cleaned site text cut to the record length; null when it is too short to use."""
-    cleaned = clean_text(text)
     size = F.length(cleaned)
     return (
         F.when(size <= C.SITE_TEXT_MIN, F.lit(None).cast(StringType()))
@@ -53,20 +53,22 @@ def summary_input(text: Column) -> Column:
     return F.when(F.length(text) > C.SUMMARY_LONG, F.substring(text, 1, C.SUMMARY_CUT)).otherwise(text)
 
 
-def _distinct_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), group)))
+def _distinct_matches(text: Column, pattern: str, group: int, possible: Column) -> Column:
+    """Sorted distinct matches; a cheap necessary test spares most texts the pattern."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), group)))
+    return F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
 def emails(text: Column) -> Column:
-    return _distinct_matches(text, C.EMAIL)
+    return _distinct_matches(text, C.EMAIL, 0, text.contains("@"))
 
 
 def phones(text: Column) -> Column:
-    return _distinct_matches(text, C.PHONE)
+    return _distinct_matches(text, C.PHONE, 0, text.rlike(r"\d{3}"))
 
 
 def addresses(text: Column) -> Column:
-    return _distinct_matches(text, US_ADDRESS)
+    return _distinct_matches(text, US_ADDRESS, 1, text.rlike(r" [A-Z]{2} \d{5}"))
 
 
 def sentences(text: Column) -> Column:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions import vectors as V
+from sitemill.operators.tokens import by_unit
 
 
 def embed_texts(texts: DataFrame, dim: int = V.DIM) -> DataFrame:
     """``(unit, vector)`` for ``(unit, text)``.
 
-    The words of a text are counted per slot where the text lies, so a text sends at most ``dim``
-    counts through the shuffle however long it is.
+    Each text is brought to its partition once, in the same exchange as the other text operators
+    use, and its words are counted per slot there.
     """
-    slots = texts.select("unit", F.explode_outer(V.words(F.col("text"))).alias("word"))
+    slots = by_unit(texts).select("unit", F.explode_outer(V.words(F.col("text"))).alias("word"))
     counted = slots.groupBy("unit", V.bucket(F.col("word"), dim).alias("b")).agg(F.count("word").alias("n"))
     entry = F.when(F.col("b").isNotNull(), F.struct("b", F.log1p(F.col("n").cast("double")).alias("w")))
     sparse = counted.groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("sparse"))

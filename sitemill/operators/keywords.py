@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitemill.functions import text as X
 from sitemill.operators.tokens import by_unit, is_weak, word_rows
 
 TOP = 20
+BITS = 21  # of a place in its chunk and of a chunk in its sentence
+PLACES = 1 << BITS
 SIMILAR = 0.9
 
 
 def scored_words(texts: DataFrame) -> DataFrame:
     """Topic words of each text, every mention with the statistics and score of its term."""
-    words = word_rows(by_unit(texts)).where(~is_weak(F.col("term")))
+    words = word_rows(by_unit(texts)).where(~is_weak("term"))
     mentions = Window.partitionBy("unit", "term")
     whole = Window.partitionBy("unit")
     at = Window.partitionBy("unit", "term").orderBy("sentence", "chunk", "place")
@@ -70,62 +73,72 @@ def term_statistics(texts: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """``(unit, phrase, surface, tf, score)``: all runs of one to three words with their score.
+    """``(unit, phrase, tf, score, at, size)``: all runs of one to three words with their score.
 
-    Scores of the next one or two words come from the following rows of the same chunk; a weak word
-    in the middle of three adds nothing.
+    ``at`` is the first place of the phrase and ``size`` its number of words.  Scores of the next one
+    or two words come from the following rows of the same chunk; a weak word in the middle of three
+    adds nothing.  The grouping keeps numbers only, so it runs as a hash aggregation.
     """
     words = scored_words(texts)
     along = Window.partitionBy("unit", "sentence", "chunk").orderBy("place")
     here = F.struct("place", "score")
     near = words.select(
-        "*",
+        "unit",
+        "sentence",
+        "chunk",
+        "place",
+        "term",
+        F.lower("word2").alias("term2"),
+        F.lower("word3").alias("term3"),
+        "score",
         F.lead(here, 1).over(along).alias("n1"),
         F.lead(here, 2).over(along).alias("n2"),
     )
 
-    def at(step):
+    def score_at(step):
         spot = F.col("place") + step
         return F.when(F.col("n1.place") == spot, F.col("n1.score")).when(F.col("n2.place") == spot, F.col("n2.score"))
 
-    s0, s1, s2 = F.col("score"), at(1), at(2)
-    gap = F.coalesce(s1, F.lit(0.0))
+    s0, s1, s2 = F.col("score"), score_at(1), score_at(2)
 
-    def phrase(surface, prod, total, when):
-        run = F.struct(surface.alias("surface"), prod.alias("prod"), total.alias("total"))
-        return F.when(when, run)
+    def run(size, phrase, prod, total, exists):
+        fields = (phrase.alias("phrase"), F.lit(size).alias("size"), prod.alias("prod"), total.alias("total"))
+        return F.when(exists, F.struct(*fields))
 
     runs = F.array(
-        phrase(F.col("word"), s0, s0, F.lit(True)),
-        phrase(F.concat_ws(" ", "word", "word2"), s0 * s1, s0 + s1, s1.isNotNull()),
-        phrase(
-            F.concat_ws(" ", "word", "word2", "word3"),
+        run(1, F.col("term"), s0, s0, F.lit(True)),
+        run(2, F.concat_ws(" ", "term", "term2"), s0 * s1, s0 + s1, s1.isNotNull()),
+        run(
+            3,
+            F.concat_ws(" ", "term", "term2", "term3"),
             s0 * F.coalesce(s1, F.lit(1.0)) * s2,
-            s0 + gap + s2,
+            s0 + F.coalesce(s1, F.lit(0.0)) + s2,
             s2.isNotNull(),
         ),
     )
-    each = near.select("unit", "sentence", "chunk", "place", F.explode(F.array_compact(runs)).alias("run"))
-    grouped = each.groupBy("unit", F.lower("run.surface").alias("phrase")).agg(
+    at = (F.col("sentence").cast("bigint") * PLACES + F.col("chunk")) * PLACES + F.col("place")
+    each = near.select("unit", at.alias("at"), F.explode(runs).alias("run")).where("run IS NOT NULL")
+    grouped = each.groupBy("unit", F.col("run.phrase").alias("phrase")).agg(
         F.count("*").alias("tf"),
-        F.min_by("run.surface", F.struct("sentence", "chunk", "place")).alias("surface"),
+        F.min("at").alias("at"),
+        F.max("run.size").alias("size"),
         F.max("run.prod").alias("prod"),
         F.max("run.total").alias("total"),
     )
-    return grouped.select(
-        "unit", "phrase", "surface", "tf", F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), 9).alias("score")
-    )
+    score = F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), 9)
+    return grouped.select("unit", "phrase", "tf", score.alias("score"), "at", "size")
 
 
 def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
     """``(unit, yake_tags)``: the best phrases, near copies of better ones left out, sorted as text.
 
     A text's own phrases are the largest group here; they are walked in score order until ``top``
-    are kept, which is exact however many near copies come first.
+    are kept, which is exact however many near copies come first.  Kept phrases are shown as written
+    at their first place.
     """
-    in_order = F.array_sort(F.collect_list(F.struct("score", "phrase", "surface")))
-    listed = candidates(texts).groupBy("unit").agg(in_order.alias("ranked"))
-    none = F.array().cast("array<struct<score:double,phrase:string,surface:string>>")
+    entry = F.struct("score", "phrase", "at", "size")
+    listed = candidates(texts).groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+    none = F.array().cast("array<struct<score:double,phrase:string,at:bigint,size:int>>")
 
     def similar(a, b):
         longest = F.greatest(F.length(a["phrase"]), F.length(b["phrase"]))
@@ -138,7 +151,17 @@ def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
             (F.size(acc) < top) & ~F.exists(acc, lambda k: similar(k, x)), F.concat(acc, F.array(x))
         ).otherwise(acc),
     )
-    found = listed.select("unit", F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["surface"]))).alias("yake_tags"))
-    return texts.select("unit").join(found, "unit", "left").select(
-        "unit", F.coalesce("yake_tags", F.array().cast("array<string>")).alias("yake_tags")
+    kept = listed.select("unit", F.explode(F.array(kept)).alias("kept"))
+    bodies = by_unit(texts).select("unit", X.sentences(F.col("text")).alias("body"))
+
+    def as_written(k):
+        sentence = F.shiftright(k["at"], 2 * BITS).cast("int")
+        chunk = F.shiftright(k["at"], BITS).bitwiseAND(PLACES - 1).cast("int")
+        first = k["at"].bitwiseAND(PLACES - 1).cast("int") + 1
+        words = X.chunk_words(F.get(X.chunks(F.get("body", sentence)), chunk))
+        return F.array_join(F.slice(words, first, k["size"]), " ")
+
+    shown = F.array_sort(F.array_distinct(F.transform("kept", as_written)))
+    return bodies.join(kept, "unit", "left").select(
+        "unit", F.coalesce(shown, F.array().cast("array<string>")).alias("yake_tags")
     )

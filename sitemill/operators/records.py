@@ -22,9 +22,9 @@ from sitemill.operators.entities import entity_names, entity_tags, location_tags
 from sitemill.operators.facts import complete_addresses
 from sitemill.operators.keywords import keywords
 from sitemill.operators.summaries import descriptions
-from sitemill.operators.vocabulary import keywords_to_vocabulary
+from sitemill.operators.vocabulary import fold_terms, vocabulary_matches
 from sitemill.schemas import TAGS
-from sitemill.workspace import stage
+from sitemill.workspace import spread, stage
 
 NO_TEXT = "no_text"
 SHORT_TEXT = "short_text"
@@ -89,9 +89,14 @@ def _descriptions(texts: DataFrame, models: Models) -> DataFrame:
 
 
 def _reached(pairs: DataFrame, vocabulary: DataFrame, threshold: float, models: Models) -> DataFrame:
-    """``(unit, terms)`` of the vocabulary reached from ``(unit, keyword)`` rows."""
+    """``(unit, terms)`` of the vocabulary reached from ``(unit, keyword)`` rows.
+
+    Each distinct keyword is embedded and scored once.  A keyword of very many units makes a skewed
+    join key; that join feeds a grouping on another key, so adaptive execution can split it.
+    """
     terms = with_key_vectors(vocabulary.select("term").distinct(), "term", models)
-    return keywords_to_vocabulary(with_key_vectors(pairs, "keyword", models), terms, threshold)
+    each = with_key_vectors(spread(pairs.select("keyword").distinct(), "keyword"), "keyword", models)
+    return fold_terms(pairs.join(vocabulary_matches(each, terms, threshold), "keyword"))
 
 
 def _key_texts(texts: DataFrame, models: Models) -> DataFrame:

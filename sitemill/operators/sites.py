@@ -82,7 +82,8 @@ def record_texts(site_texts: DataFrame) -> DataFrame:
         site_texts.select("homepage")
         .distinct()
         .join(joined, "homepage", "left")
-        .select("homepage", text.gated_site_text(F.coalesce("text", F.lit(""))).alias("txt"))
+        .select("homepage", text.clean_text(F.coalesce("text", F.lit(""))).alias("txt"))
+        .withColumn("txt", text.gated(F.col("txt")))
     )
 
 

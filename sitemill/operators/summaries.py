@@ -16,7 +16,7 @@ def top_sentences(texts: DataFrame) -> DataFrame:
     A sentence scores the mean count, in its text, of its topic words.  Sentences without topic
     words score 0.
     """
-    words = word_rows(by_unit(texts)).select("unit", "sentence", "term", (~is_weak(F.col("term"))).alias("topic"))
+    words = word_rows(by_unit(texts)).select("unit", "sentence", "term", (~is_weak("term")).alias("topic"))
     count = F.count("*").over(Window.partitionBy("unit", "term"))
     scored = (
         words.withColumn("tf", count)

@@ -14,24 +14,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions import text as X
+from sitemill.workspace import spread
 
 STOP_LANGUAGES = ("english", "french", "german", "spanish")
 MIN_WORD = 3
 
 
 @cache
-def stop_words() -> tuple[str, ...]:
-    """Stop words that ship with Spark, for the four languages of the texts."""
-    return tuple(sorted({w for lang in STOP_LANGUAGES for w in StopWordsRemover.loadDefaultStopWords(lang)}))
+def _stop_list() -> str:
+    """Stop words that ship with Spark, for the four languages of the texts, as an SQL list."""
+    words = {w for lang in STOP_LANGUAGES for w in StopWordsRemover.loadDefaultStopWords(lang)}
+    return ", ".join("'" + w.replace("'", "\\'") + "'" for w in sorted(words))
 
 
-def is_weak(term: Column) -> Column:
+def is_weak(term: str) -> Column:
     """Words that carry no topic: stop words, one or two characters, or no letter at all."""
-    return (F.length(term) < MIN_WORD) | ~term.rlike(r"\p{L}") | term.isin(*stop_words())
+    column = F.col(term)
+    return (F.length(column) < MIN_WORD) | ~column.rlike(r"\p{L}") | F.expr(f"{term} IN ({_stop_list()})")
 
 
 def by_unit(texts: DataFrame) -> DataFrame:
-    return texts.select("unit", "text").repartition("unit")
+    return spread(texts.select("unit", "text"), "unit")
 
 
 def sentence_rows(texts: DataFrame) -> DataFrame:

@@ -62,10 +62,14 @@ def ranked_scores(queries: DataFrame, key: str, vocabulary: DataFrame, max_terms
 def vocabulary_matches(
     queries: DataFrame, vocabulary: DataFrame, threshold: float, max_terms: int = MAX_BROADCAST
 ) -> DataFrame:
-    """``queries`` (with ``vector``) and the vocabulary ``term`` of each score above the threshold."""
+    """``queries`` (with ``vector``) and the vocabulary ``terms`` that score above the threshold.
+
+    Queries that reach no term are left out; a query of a blocked vocabulary may come in several rows.
+    """
     fixed = _collect_bounded(vocabulary, max_terms)
     if fixed is None:
-        return _blocked(queries, vocabulary, max_terms, threshold).drop("score")
+        hits = _blocked(queries, vocabulary, max_terms, threshold)
+        return hits.withColumn("terms", F.array("term")).drop("score", "term")
     terms, matrix = fixed
     names, columns = np.array(terms, dtype=object), np.ascontiguousarray(matrix.T)
 
@@ -76,7 +80,14 @@ def vocabulary_matches(
         above = np.round(np.stack(batch.to_numpy()) @ columns, 4) > threshold
         return pd.Series([list(names[row]) for row in above], dtype=object)
 
-    return queries.withColumn("term", F.explode(matches("vector"))).drop("vector")
+    return queries.withColumn("terms", matches("vector")).drop("vector").where(F.size("terms") > 0)
+
+
+def fold_terms(hits: DataFrame) -> DataFrame:
+    """``(unit, terms)``: sorted distinct terms of each unit's hits, which are those of one text's keywords."""
+    return hits.groupBy("unit").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms")
+    )
 
 
 def _blocked(queries: DataFrame, vocabulary: DataFrame, block_terms: int, threshold: float | None) -> DataFrame:
@@ -115,11 +126,9 @@ def keywords_to_vocabulary(
 ) -> DataFrame:
     """``(unit, terms)``: the distinct vocabulary terms that any keyword of the unit reaches, sorted.
 
-    ``keywords`` is ``(unit, vector)``.  A unit's terms are at most the vocabulary, and duplicates
-    fold on the map side.
+    ``keywords`` is ``(unit, vector)``.
     """
-    hits = vocabulary_matches(keywords.select("unit", "vector"), vocabulary, threshold, max_terms)
-    return hits.groupBy("unit").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return fold_terms(vocabulary_matches(keywords.select("unit", "vector"), vocabulary, threshold, max_terms))
 
 
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:

@@ -39,3 +39,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     target = new_path(spark, label)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition small rows that are costly to work on.
+
+    The number of partitions is that of the session's shuffles and is kept: adaptive execution would
+    merge partitions by their bytes, which say little about the work the rows bring.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
