@@ -42,7 +42,7 @@ SELECT DISTINCT term FROM (
 
 
 def page_fetch(spark, sf_dir):
-    return inputs.fetch(T.links(spark, sf_dir), inputs.page_facts(T.pages(spark, sf_dir)))
+    return inputs.fetch(T.links(spark, sf_dir), inputs.page_texts(T.pages(spark, sf_dir)))
 
 
 PAGE_TEXTS = f"""facts AS (SELECT url, min(text) AS text FROM (

@@ -255,7 +255,7 @@ SELECT doc_id, CASE WHEN lang = 'de' OR ends_with(source, '7') THEN '{C.NO_PARAM
 
 def _items(spark, sf_dir):
     """Every link of a page list with the text stored for it."""
-    fetched = inputs.fetch(T.links(spark, sf_dir), inputs.page_facts(T.pages(spark, sf_dir)))
+    fetched = inputs.fetch(T.links(spark, sf_dir), inputs.page_texts(T.pages(spark, sf_dir)))
     return fetched.select(F.col("link").alias("mainURL"), "text", records.text_failure(F.col("text")).alias("failure_reason"))
 
 
@@ -304,7 +304,7 @@ def record_from_links(spark, sf_dir):
     top = discovery.sitemap_top(inputs.published_pages(p))
     lists = top.groupBy("homepage").agg(F.array_sort(F.collect_list(F.struct("position", "link"))).alias("found"))
     lists = lists.select(F.col("found.link").alias("links")).withColumn("unit", F.col("links")[0])
-    texts = records.texts_from_links(lists, inputs.page_facts(p))
+    texts = records.texts_from_links(lists, inputs.page_texts(p))
     return _flat(
         records.dual_records(texts, _house(spark, sf_dir), _paradigm(spark, sf_dir), ECOSYSTEM, _refs(spark, sf_dir))
     )

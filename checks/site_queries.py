@@ -108,7 +108,7 @@ SELECT homepage, position, link FROM listed WHERE position <= {C.SITEMAP_CAP}
 
 def discover_sites(spark, sf_dir):
     """All origins over the page tree: sites with several sections come from one hop, others from the crawl."""
-    found = inputs.page_facts(T.pages(spark, sf_dir))
+    found = inputs.page_texts(T.pages(spark, sf_dir))
     sites_found, _ = discovery.discover_sites(
         _origins(spark, sf_dir), T.page_tree(spark, sf_dir), found.select("url", "text"), inputs.published_pages(found)
     )
@@ -139,7 +139,7 @@ UNION ALL SELECT homepage, 'sitemap', position, link FROM listed
 def _site_texts(spark, sf_dir):
     p = T.pages(spark, sf_dir)
     ordered = sites.pages_in_order(p.select(urls.origin(F.col("url")).alias("homepage"), "url"), "homepage", "url")
-    return sites.site_texts(ordered, inputs.page_facts(p))
+    return sites.site_texts(ordered, inputs.page_texts(p))
 
 
 def site_text(spark, sf_dir):

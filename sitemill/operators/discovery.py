@@ -14,12 +14,11 @@ ONE_HOP, CRAWL, SITEMAP = 1, 2, 3
 METHOD_NAMES = {ONE_HOP: "one_hop", CRAWL: "crawl", SITEMAP: "sitemap"}
 
 
-def _rankable(found: DataFrame) -> DataFrame:
-    """Distinct usable ``(homepage, link)`` rows, each homepage included, with the sort group of C1.
+def _usable(found: DataFrame) -> DataFrame:
+    """Distinct usable ``(homepage, link)`` rows, each homepage included.
 
     Self links are dropped, links with a junk suffix repaired and taken unchecked, all others must
-    pass the link filter and are cleaned.  When a site has a priority page, its priority pages and
-    the homepage sort before the rest; otherwise all pages sort together.
+    pass the link filter and are cleaned.
     """
     home, link = F.col("homepage"), F.col("link")
     junk = urls.has_junk_suffix(link)
@@ -35,14 +34,23 @@ def _rankable(found: DataFrame) -> DataFrame:
         )
     )
     own = found.select(home, home.alias("link"), F.lit(False).alias("priority"), F.lit(True).alias("own"))
-    pages = (
+    return (
         usable.unionByName(own)
         .groupBy("homepage", "link")
         .agg(F.max("priority").alias("priority"), F.max("own").alias("own"))
     )
-    sites = pages.groupBy("homepage").agg(F.max("priority").alias("site_priority"))
-    late = F.col("site_priority") & ~F.col("priority") & ~F.col("own")
-    return pages.join(sites, "homepage").select(
+
+
+def _sort_group(pages: DataFrame) -> DataFrame:
+    """Add the sort fields: when a site has a priority page, its priority pages and the homepage come
+    before the rest; otherwise all pages sort together.
+
+    The join key is the site, which may be skewed; the ranking that follows brings its own exchange,
+    so adaptive execution is free to split the join.
+    """
+    sites = pages.where("priority").select("homepage", F.lit(True).alias("site_priority")).distinct()
+    late = F.coalesce("site_priority", F.lit(False)) & ~F.col("priority") & ~F.col("own")
+    return pages.join(sites, "homepage", "left").select(
         "homepage", late.cast("int").alias("late"), F.length("link").alias("size"), "link"
     )
 
@@ -52,14 +60,14 @@ RANK_ORDER = ("late", "size", "link")
 
 def rank_site_links(found: DataFrame) -> DataFrame:
     """Crawl results ``(homepage, link)`` in visiting order; sites of any size."""
-    ranked = rank_within(_rankable(found), ["homepage"], RANK_ORDER)
+    ranked = rank_within(_sort_group(stage(_usable(found), "usable")), ["homepage"], RANK_ORDER)
     return ranked.select("homepage", "position", "link")
 
 
 def _rank_small_sites(found: DataFrame) -> DataFrame:
     """As ``rank_site_links`` where every site has a bounded number of links."""
     place = F.row_number().over(Window.partitionBy("homepage").orderBy(*RANK_ORDER))
-    return _rankable(found).select("homepage", place.cast("bigint").alias("position"), "link")
+    return _sort_group(stage(_usable(found), "usable")).select("homepage", place.cast("bigint").alias("position"), "link")
 
 
 def one_hop(homepages: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitemill.workspace import stage
+
 MAX_BROADCAST = 20_000
 PACK_ROWS = 2_000
 
@@ -92,6 +94,7 @@ def fold_terms(hits: DataFrame) -> DataFrame:
 
 def _blocked(queries: DataFrame, vocabulary: DataFrame, block_terms: int, threshold: float | None) -> DataFrame:
     """Scores, or those above a threshold, for a vocabulary of any size."""
+    queries, vocabulary = stage(queries, "queries"), stage(vocabulary.select("term", "vector"), "vocabulary")
     blocks = -(-vocabulary.count() // block_terms) * 2
     packs = max(1, -(-queries.count() // PACK_ROWS))
     held = [c for c in queries.columns if c != "vector"]
@@ -99,7 +102,7 @@ def _blocked(queries: DataFrame, vocabulary: DataFrame, block_terms: int, thresh
     right = right.groupBy("block").agg(
         F.collect_list("term").alias("terms"), F.collect_list("vector").alias("targets")
     )
-    left = queries.withColumn("pack", F.pmod(F.xxhash64(*held), F.lit(packs)))
+    left = queries.withColumn("pack", F.pmod(F.xxhash64(*queries.columns), F.lit(packs)))
     left = left.groupBy("pack").agg(F.collect_list(F.struct(*held)).alias("rows"), F.collect_list("vector").alias("vectors"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     pairs = left.join(right, "block").select("rows", "vectors", "terms", "targets")

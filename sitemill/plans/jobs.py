@@ -86,6 +86,7 @@ def run_job(
     sitemap: DataFrame | None = None,
     extra_edges: DataFrame | None = None,
     keep_duplicates: bool = False,
+    unique_pages: bool = False,
     pages_per_part: int = sites.PAGES_PER_PART,
 ) -> JobResult:
     """Run a bulk job.
@@ -93,7 +94,8 @@ def run_job(
     ``house`` mode maps all records to the house vocabulary; ``paradigm`` mode maps domain records to
     the paradigm and sub-page records to the house vocabulary; ``dual`` mode routes without a deny
     list and maps every record to both.  Each homepage and each sub-page gives one record however
-    often it was listed; ``keep_duplicates`` gives one per listing.
+    often it was listed; ``keep_duplicates`` gives one per listing.  ``unique_pages`` states that the
+    pages hold each clean address once, which saves a shuffle of the page texts.
     """
     routed = routing.route_links(inputs.links(spark, links), () if mode == DUAL else deny_hosts)
     routed = stage(routed, "routed")
@@ -103,7 +105,7 @@ def run_job(
     subs = routing.subdomains(routed, honour_deny_list)
     once_homes, once_subs = homes.distinct(), stage(subs.distinct(), "subdomains")
 
-    facts = stage(inputs.page_facts(pages), "facts")
+    facts = stage(inputs.page_facts(pages, unique_pages), "facts")
     edges = inputs.page_edges(facts)
     if extra_edges is not None:
         edges = edges.unionByName(extra_edges.select("src", "position", "dst"))
@@ -154,7 +156,7 @@ def run_single(
 
     Returns the record fields plus ``msg``, which is null for a record.
     """
-    facts = inputs.page_facts(pages)
+    facts = inputs.page_texts(pages)
     lists = links.select(F.col("links")[0].alias("unit"), "links")
     texts = stage(records.texts_from_links(lists, facts), "single")
     made = records.records(texts, [(F.lit(True), vocabulary)], ecosystem, refs)

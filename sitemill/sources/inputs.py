@@ -38,20 +38,27 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
     return split_list(lines, F.col("value"), "link").where(F.col("link") != "").select("link")
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, unique: bool = False) -> DataFrame:
     """``(url, text, links)`` per stored page, keyed by the clean address.
 
     One scan of the HTML serves text, anchors and look-ups.  Copies of one address are folded by a
-    ``min`` that combines on the map side, so a page stored very often is not a hot group.
+    ``min`` that combines on the map side, so a page stored very often is not a hot group.  A table
+    known to hold each clean address once skips the folding, and with it the only shuffle.
     """
+    links = F.transform(markup.page_links(F.col("url"), F.col("html")), urls.clean_url)
     one = pages.select(
-        urls.clean_url(F.col("url")).alias("url"),
-        F.struct(
-            markup.page_text(F.col("html")).alias("text"),
-            F.transform(markup.page_links(F.col("url"), F.col("html")), urls.clean_url).alias("links"),
-        ).alias("facts"),
+        urls.clean_url(F.col("url")).alias("url"), markup.page_text(F.col("html")).alias("text"), links.alias("links")
     )
-    return one.groupBy("url").agg(F.min("facts").alias("facts")).select("url", "facts.text", "facts.links")
+    if unique:
+        return one
+    folded = one.groupBy("url").agg(F.min(F.struct("text", "links")).alias("facts"))
+    return folded.select("url", "facts.text", "facts.links")
+
+
+def page_texts(pages: DataFrame, unique: bool = False) -> DataFrame:
+    """``(url, text)`` of ``page_facts`` for work that needs no anchors."""
+    one = pages.select(urls.clean_url(F.col("url")).alias("url"), markup.page_text(F.col("html")).alias("text"))
+    return one if unique else one.groupBy("url").agg(F.min("text").alias("text"))
 
 
 def page_edges(facts: DataFrame) -> DataFrame:
