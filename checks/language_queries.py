@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import cache
-
-import pyspark
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
@@ -17,16 +11,8 @@ from sitemill.functions import text as X
 from sitemill.operators import entities, keywords, summaries, tokens
 
 
-@cache
 def _stop_list() -> str:
-    """The stop words that ship with Spark, read from its library so that no session is needed."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    found = set()
-    with zipfile.ZipFile(jar) as z:
-        for lang in tokens.STOP_LANGUAGES:
-            raw = z.read(f"org/apache/spark/ml/feature/stopwords/{lang}.txt").decode("utf-8")
-            found |= {w for w in raw.splitlines() if w}
-    return ", ".join(S.lit(w) for w in sorted(found))
+    return ", ".join(S.lit(w) for w in tokens.stop_words())
 
 
 def weak(term: str) -> str:
@@ -232,9 +218,9 @@ def candidates_sql():
 QUERIES = {
     "entity_tags": (entity_tags, ENTITY_TAGS),
     "location_tags": (location_tags, LOCATION_TAGS),
-    "short_description": (short_description, short_sql()),
-    "long_description": (long_description, long_sql()),
-    "record_name": (record_name, name_sql()),
-    "yake_terms": (yake_terms, terms_sql()),
-    "yake_candidates": (yake_candidates, candidates_sql()),
+    "short_description": (short_description, lambda: short_sql()),
+    "long_description": (long_description, lambda: long_sql()),
+    "record_name": (record_name, lambda: name_sql()),
+    "yake_terms": (yake_terms, lambda: terms_sql()),
+    "yake_candidates": (yake_candidates, lambda: candidates_sql()),
 }

@@ -463,20 +463,20 @@ QUERIES = {
     "failure_rows": (failure_rows, FAILURE_ROWS),
     "success_rows": (success_rows, SUCCESS_ROWS),
     "plug_model": (plug_model, PLUG_MODEL),
-    "record_house": (record_house, record_sql(DOC_TEXTS, HOUSE)),
-    "record_paradigm": (record_paradigm, record_sql(DOC_TEXTS, PARADIGM)),
-    "record_dual": (record_dual, dual_sql(DOC_TEXTS)),
-    "record_from_links": (record_from_links, dual_sql(LINK_TEXTS)),
-    "job_single": (job_single, single_sql(HOUSE)),
-    "job_single_paradigm": (job_single_paradigm, single_sql(PARADIGM)),
+    "record_house": (record_house, lambda: record_sql(DOC_TEXTS, HOUSE)),
+    "record_paradigm": (record_paradigm, lambda: record_sql(DOC_TEXTS, PARADIGM)),
+    "record_dual": (record_dual, lambda: dual_sql(DOC_TEXTS)),
+    "record_from_links": (record_from_links, lambda: dual_sql(LINK_TEXTS)),
+    "job_single": (job_single, lambda: single_sql(HOUSE)),
+    "job_single_paradigm": (job_single_paradigm, lambda: single_sql(PARADIGM)),
     "subdomain_records": (
         subdomain_records,
-        record_sql(f"(SELECT unit, text FROM {job_texts()} WHERE NOT domain)", HOUSE),
+        lambda: record_sql(f"(SELECT unit, text FROM {job_texts()} WHERE NOT domain)", HOUSE),
     ),
-    "domain_records": (domain_records, record_sql(f"(SELECT unit, text FROM {job_texts()} WHERE domain)", HOUSE)),
-    "site_reports": (site_reports, site_reports_sql()),
-    "job_bulk": (job_bulk, job_sql(HOUSE)),
-    "job_bulk_paradigm": (job_bulk_paradigm, job_sql(PARADIGM)),
-    "job_dual": (job_dual, job_sql(None, dual=True)),
-    "job_outputs": (job_outputs, job_outputs_sql()),
+    "domain_records": (domain_records, lambda: record_sql(f"(SELECT unit, text FROM {job_texts()} WHERE domain)", HOUSE)),
+    "site_reports": (site_reports, lambda: site_reports_sql()),
+    "job_bulk": (job_bulk, lambda: job_sql(HOUSE)),
+    "job_bulk_paradigm": (job_bulk_paradigm, lambda: job_sql(PARADIGM)),
+    "job_dual": (job_dual, lambda: job_sql(None, dual=True)),
+    "job_outputs": (job_outputs, lambda: job_outputs_sql()),
 }

@@ -8,8 +8,8 @@ while it is still one row, and explodes it there.  All later groupings and windo
 from __future__ import annotations
 
 from functools import cache
+from pathlib import Path
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +21,14 @@ MIN_WORD = 3
 
 
 @cache
+def stop_words() -> list[str]:
+    """Stop words of the four languages of the texts, from the lists in the package."""
+    folder = Path(__file__).parent.parent / "stopwords"
+    return sorted({w for lang in STOP_LANGUAGES for w in (folder / f"{lang}.txt").read_text("utf-8").split()})
+
+
 def _stop_list() -> str:
-    """Stop words that ship with Spark, for the four languages of the texts, as an SQL list."""
-    words = {w for lang in STOP_LANGUAGES for w in StopWordsRemover.loadDefaultStopWords(lang)}
-    return ", ".join("'" + w.replace("'", "\\'") + "'" for w in sorted(words))
+    return ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words())
 
 
 def is_weak(term: str) -> Column:

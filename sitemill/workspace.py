@@ -13,20 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-_local_roots: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only for local sessions that name none."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    """The folder the session names for checkpoints; there is no other place for staged tables."""
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not root:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="sitemill-")
-    return _local_roots[app]
+    return root.rstrip("/")
+
+
+def ensure_local_root(spark: SparkSession) -> None:
+    """Give a one-machine session that names no checkpoint folder one of its own (tests, bench)."""
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not named and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitemill-"))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
