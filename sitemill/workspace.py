@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,16 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def ensure_local_root(spark: SparkSession) -> None:
-    """Give a one-machine session that names no checkpoint folder one of its own (tests, bench)."""
+    """Give a one-machine session what it lacks: a checkpoint folder, and this package on its workers' path.
+
+    Sessions on a cluster are left alone; there the package is installed or shipped with the job.
+    """
     context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
-    if not named and context.master.split("[")[0] == "local":
+    if context.master.split("[")[0] != "local":
+        return
+    if not (spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sitemill-"))
+    context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
