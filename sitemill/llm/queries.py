@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitemill.llm import decontaminate
+from sitemill.llm import decontaminate, factor_toxicity
 from sitemill.llm.frames import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -12,6 +12,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return factor_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _words(text: str) -> str:
     lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"coalesce(regexp_extract_all({lowered}, '{WORD}'), [])"
@@ -36,6 +40,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 QUERIES = {
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
+    "op10_toxicity": (op10_toxicity, None),
 }
 
 
