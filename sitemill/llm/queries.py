@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from sitemill.llm import decontaminate, factor_toxicity
+from sitemill.llm import decontaminate, factor_toxicity, line_windows
 from sitemill.llm.frames import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op3_line_windows(spark, sf_dir):
+    return line_windows.report(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, len(x) - 2)) AS line FROM l WHERE len(x) >= 3),
+w AS (SELECT doc_id, line, x[line + 1:line + 3] AS gram FROM p),
+r AS (SELECT gram, min((doc_id, line)) AS stays FROM w GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(line, line + 3)) AS line FROM w JOIN r USING (gram) WHERE (doc_id, line) > stays),
+g AS (SELECT doc_id, list(line) AS gone FROM gone GROUP BY 1)
+SELECT doc_id, coalesce(len(x), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(
+    list_transform(list_filter(range(0, len(x)), lambda i: NOT list_contains(gone, i)), lambda i: x[i + 1]), chr(10)) END) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id)"""
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +56,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 QUERIES = {
+    "op3_line_windows": (op3_line_windows, OP3_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op10_toxicity": (op10_toxicity, None),
 }
