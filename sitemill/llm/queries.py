@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitemill.llm import decontaminate, factor_toxicity, line_windows
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows
 from sitemill.llm.frames import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,6 +29,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_config_pack(spark, sf_dir):
+    return config_pack.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return factor_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 QUERIES = {
     "op3_line_windows": (op3_line_windows, OP3_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
+    "op7_config_pack": (op7_config_pack, None),
     "op10_toxicity": (op10_toxicity, None),
 }
 
