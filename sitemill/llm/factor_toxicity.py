@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 from sitemill.llm import words as W
 from sitemill.llm.frames import annotate, cut
 from sitemill.llm.labelled import SAMPLE_ROWS, held_out, training_texts
+from sitemill.workspace import stage
 
 TERM_BITS = 40
 THRESHOLD = 0.3
 #: Beginnings of words that are terms besides the words, in bytes.
 STEMS = (4, 5, 6)
-#: A term's tie to the label must exceed chance over all terms of the sample by this log likelihood; so many
-#: of the strongest get parameters.
-MARGIN, MAX_TERMS = 3.0, 1 << 13
+#: Log likelihood by which a term's tie to the label must exceed chance (that of about 10^7 terms is 16); so
+#: many of the strongest get parameters.
+MIN_GAIN, MAX_TERMS = 18.0, 1 << 13
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 256, 0.03, 2e-4, 20240613
 
 
@@ -76,45 +77,39 @@ def slot_rows(words: W.Words) -> Iterator[np.ndarray]:
         yield W.mix(stems + np.uint64(k)) >> shift
 
 
-def term_lists(texts: DataFrame) -> DataFrame:
-    """``doc_id, y, slots``: the distinct hashed terms of each labelled text, as packed 64-bit numbers."""
+def term_counts(sample: DataFrame) -> DataFrame:
+    """``slot, n, toxic``: documents of the sample with each term, and the toxic ones among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            y = batch.column("y").to_numpy()
             for i, j in cut(batch.column("text")):
                 words = W.words_of(batch.column("text").slice(i, j - i))
                 slots = np.stack(list(slot_rows(words)))
-                packed = [
-                    np.unique(slots[:, words.first[d] : words.first[d + 1]]).astype("<u8").tobytes() for d in range(j - i)
-                ]
-                kept = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column("doc_id"), kept.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "slots"]
-                )
+                per_doc = [np.unique(slots[:, words.first[d] : words.first[d + 1]]) for d in range(j - i)]
+                weight = np.repeat(y[i:j], [len(x) for x in per_doc])
+                slot, which = np.unique(np.concatenate(per_doc), return_inverse=True)
+                columns = [slot.astype(np.int64), np.bincount(which), np.bincount(which, weight).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "n", "toxic"])
 
-    return texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, slots binary")
+    partial = sample.select("text", "y").mapInArrow(run, "slot long, n long, toxic long")
+    return partial.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def telling_terms(doc: np.ndarray, slot: np.ndarray, y: np.ndarray) -> np.ndarray:
+def telling_terms(sample: DataFrame, share: float) -> np.ndarray:
     """The slots whose share of toxic documents differs from the overall share by more than chance."""
-    distinct, which, count = np.unique(slot, return_inverse=True, return_counts=True)
-    toxic = np.bincount(which, y[doc], len(distinct))
-    share = y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.nan_to_num(toxic * np.log(toxic / (count * share)))
-        gain += np.nan_to_num((count - toxic) * np.log((count - toxic) / (count * (1 - share))))
-    best = np.argsort(-gain, kind="stable")[:MAX_TERMS]
-    return np.sort(distinct[best[gain[best] > np.log(len(distinct) + 1) + MARGIN]])
-
-
-def fit(doc: np.ndarray, slot: np.ndarray, y: np.ndarray) -> Machine:
-    """Adam on the logistic loss, in small batches; ``doc`` ascends."""
-    if len(y) == 0 or y.min() == y.max():
-        return Machine(np.zeros(0, np.uint64), -40.0, np.zeros(0), np.zeros((0, FACTORS)))
-    terms = telling_terms(doc, slot, y)
-    at = np.minimum(np.searchsorted(terms, slot), max(len(terms) - 1, 0))
-    known = terms[at] == slot if len(terms) else np.zeros(len(slot), bool)
-    doc, at = doc[known], at[known]
+
+    def part(seen: F.Column, chance: float) -> F.Column:
+        return F.when(seen > 0, seen * F.log(seen / (F.col("n") * chance))).otherwise(0.0)
+
+    gain = part(F.col("toxic"), share) + part(F.col("n") - F.col("toxic"), 1 - share)
+    best = term_counts(sample).select("slot", gain.alias("gain")).where(F.col("gain") > MIN_GAIN)
+    rows = best.orderBy(F.desc("gain"), "slot").limit(MAX_TERMS).collect()
+    return np.array(sorted(r["slot"] for r in rows), np.uint64)
+
+
+def fit(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray) -> Machine:
+    """Adam on the logistic loss, in small batches; entries (document, index of term), documents ascending."""
     rng = np.random.default_rng(SEED)
     n_terms = len(terms)
     theta = np.concatenate([[np.log(y.mean() / (1 - y.mean()))], np.zeros(n_terms), rng.normal(0, 0.02, n_terms * FACTORS)])
@@ -151,13 +146,27 @@ def fit(doc: np.ndarray, slot: np.ndarray, y: np.ndarray) -> Machine:
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Machine:
     """Fit on a bounded sample of labelled rows outside the held-out quarter."""
-    found = term_lists(training_texts(docs, labels, "toxic", bound)).toPandas()
-    found = found.sort_values(["doc_id", "slots"], kind="stable")
-    found = found.drop_duplicates(["slots", "y"])  # copies are no further evidence
-    lists = [np.frombuffer(b, "<u8") for b in found["slots"]]
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64)
-    slot = np.concatenate(lists).astype(np.uint64) if lists else np.zeros(0, np.uint64)
-    return fit(doc, slot, found["y"].to_numpy(np.float64))
+    sample = stage(training_texts(docs, labels, "toxic", bound), "toxic-sample")
+    total = sample.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
+    blank = Machine(np.zeros(0, np.uint64), -40.0, np.zeros(0), np.zeros((0, FACTORS)))
+    if not total["n"] or total["toxic"] in (0, total["n"]):
+        return blank
+    blank.terms = telling_terms(sample, total["toxic"] / total["n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in cut(batch.column("text")):
+                doc, term = blank.entries(batch.column("text").slice(i, j - i))
+                places = np.searchsorted(doc, np.arange(j - i + 1))
+                packed = [term[a:b].astype("<i4").tobytes() for a, b in zip(places[:-1], places[1:], strict=True)]
+                kept = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([kept.column("tk"), kept.column("y"), pa.array(packed, pa.binary())], ["tk", "y", "terms"])
+
+    keyed = sample.select(F.xxhash64("text").alias("tk"), "y", "text")
+    found = keyed.mapInArrow(run, "tk long, y int, terms binary").toPandas().sort_values(["tk", "y"], kind="stable")
+    lists = [np.frombuffer(b, "<i4") for b in found["terms"]]
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return fit(doc, np.concatenate(lists).astype(np.int64), found["y"].to_numpy(np.float64), blank.terms)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:

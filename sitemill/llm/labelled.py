@@ -15,7 +15,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, text, y`` of about ``bound`` labelled documents at most, none of them held out.
+    """``text, y`` of about ``bound`` labelled documents at most, none of them held out; copies count once.
 
     Contradicting labels of one document count as 1, null labels as none.  The sample is drawn by a seeded
     hash of the identifier, so it does not depend on the order of rows or files.
@@ -26,4 +26,4 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int =
     space = 1 << 30
     limit = space if total <= bound else int(space * (bound / total))
     chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(space)) < limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").distinct()
