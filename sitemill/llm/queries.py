@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows
+import corpus_pipeline
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest
 from sitemill.llm.frames import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op2_lsh_forest(spark, sf_dir):
+    return lsh_forest.report(table(spark, sf_dir, "documents"))
+
+
 def op3_line_windows(spark, sf_dir):
     return line_windows.report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+    "op2_lsh_forest": (op2_lsh_forest, None),
     "op3_line_windows": (op3_line_windows, OP3_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op7_config_pack": (op7_config_pack, None),
