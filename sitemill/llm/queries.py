@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder
 from sitemill.llm.frames import table
+from sitemill.workspace import new_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,6 +35,12 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_mixing_coder(spark, sf_dir):
+    path = new_path(spark, "token-ids")
+    mixing_coder.write(table(spark, sf_dir, "documents"), path)
+    return mixing_coder.read(spark, path).drop("ids")
+
+
 def op7_config_pack(spark, sf_dir):
     return config_pack.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -69,6 +76,7 @@ QUERIES = {
     "op2_lsh_forest": (op2_lsh_forest, None),
     "op3_line_windows": (op3_line_windows, OP3_SQL),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
+    "op6_mixing_coder": (op6_mixing_coder, None),
     "op7_config_pack": (op7_config_pack, None),
     "op10_toxicity": (op10_toxicity, None),
 }
