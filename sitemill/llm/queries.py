@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, shards
 from sitemill.llm.frames import table
 from sitemill.workspace import new_path
 
@@ -31,6 +31,10 @@ SELECT doc_id, coalesce(len(x), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::B
 FROM l LEFT JOIN g USING (doc_id)"""
 
 
+def op4_shards(spark, sf_dir):
+    return shards.report(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op2_lsh_forest": (op2_lsh_forest, None),
     "op3_line_windows": (op3_line_windows, OP3_SQL),
+    "op4_shards": (op4_shards, None),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op6_mixing_coder": (op6_mixing_coder, None),
     "op7_config_pack": (op7_config_pack, None),
