@@ -64,7 +64,7 @@ class Machine:
             known = np.flatnonzero(self.terms[at] == slots)
             doc = np.searchsorted(words.first, known, side="right") - 1
             pairs.append(doc * len(self.terms) + at[known])
-        pair = np.unique(np.concatenate(pairs))
+        pair = W.distinct(np.concatenate(pairs))
         return pair // len(self.terms), pair % len(self.terms)
 
 
@@ -86,7 +86,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
             for i, j in cut(batch.column("text")):
                 words = W.words_of(batch.column("text").slice(i, j - i))
                 slots = np.stack(list(slot_rows(words)))
-                per_doc = [np.unique(slots[:, words.first[d] : words.first[d + 1]]) for d in range(j - i)]
+                per_doc = [W.distinct(slots[:, words.first[d] : words.first[d + 1]].ravel()) for d in range(j - i)]
                 weight = np.repeat(y[i:j], [len(x) for x in per_doc])
                 slot, which = np.unique(np.concatenate(per_doc), return_inverse=True)
                 columns = [slot.astype(np.int64), np.bincount(which), np.bincount(which, weight).astype(np.int64)]

@@ -235,7 +235,7 @@ def verified(members: DataFrame) -> DataFrame:
                 sets = []
                 for i, j in cut(texts.slice(a, b - a)):
                     _, keys, begin = shingle_sets(texts.slice(a + i, j - i))
-                    sets += [np.unique(keys[begin[d] : begin[d + 1]]) for d in range(j - i)]
+                    sets += [W.distinct(keys[begin[d] : begin[d + 1]]) for d in range(j - i)]
                 linked = exact_links(sets)
                 if not same[a]:
                     linked &= sides[a:b, None] != sides[None, a:b]

@@ -23,6 +23,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces a worker remembers before it starts anew.
 REMEMBERED = 1 << 20
+#: New pieces that go through the library in one call.
+JOINED = 2_000
 
 _codes = np.arange(256)
 _SPACE = np.isin(_codes, [9, 10, 13, 32])
@@ -44,6 +46,8 @@ class Encoder:
     def __init__(self, vocabulary: str):
         self.library = load(vocabulary)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.mark_id, token = max(self.library.get_added_tokens_decoder().items())
+        self.mark = token.content
         self.forget()
 
     def forget(self) -> None:
@@ -53,9 +57,14 @@ class Encoder:
         self.places = np.zeros(1, np.int64)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
+        parts = []
+        for i in range(0, len(pieces), JOINED):  # a special token between pieces keeps them apart
+            text = self.mark.join(pieces[i : i + JOINED]) + self.mark
+            parts.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32))
+        ids = np.concatenate(parts)
+        stops = np.flatnonzero(ids == self.mark_id)
+        sizes = np.diff(stops, prepend=-1) - 1
+        self.flat = np.concatenate([self.flat, ids[ids != self.mark_id]])
         slots = np.arange(len(self.places) - 1, len(self.places) - 1 + len(keys))
         self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(sizes)])
         known = np.concatenate([self.known, keys])
@@ -66,11 +75,9 @@ class Encoder:
         """All ids (int32) one after another, and the n + 1 places where texts begin; null is empty."""
         data, places = W.buffers(texts)
         odd = self._spelled(data, places)
-        edge = np.zeros(len(data) + 1, bool)
         kind = _CLASS[data]
-        edge[1 : len(data)] = kind[1:] + kind[:-1] == 3
-        cuts = np.union1d(np.flatnonzero(edge), places)
-        starts, ends = W.runs(~_SPACE[data], cuts)
+        cuts = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+        starts, ends = W.runs(~_SPACE[data], np.concatenate([cuts, places]))
         keys = W.mix(W.hash_runs(data, starts, ends) ^ (ends - starts).astype(np.uint64))
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
         slot = self._slots(distinct)

@@ -38,6 +38,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after another, and the n + 1 places where texts begin; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
