@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, shards
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, shards, warc_segments
 from sitemill.llm.frames import table
 from sitemill.workspace import new_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op1_warc_segments(spark, sf_dir):
+    return warc_segments.report(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f"""
+
+
 def op2_lsh_forest(spark, sf_dir):
     return lsh_forest.report(table(spark, sf_dir, "documents"))
 
@@ -77,6 +90,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+    "op1_warc_segments": (op1_warc_segments, OP1_SQL),
     "op2_lsh_forest": (op2_lsh_forest, None),
     "op3_line_windows": (op3_line_windows, OP3_SQL),
     "op4_shards": (op4_shards, None),
