@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, shards, warc_segments
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, rotation_codes, shards, warc_segments
 from sitemill.llm.frames import table
 from sitemill.workspace import new_path
 
@@ -62,6 +62,21 @@ def op7_config_pack(spark, sf_dir):
     return config_pack.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_rotation_codes(spark, sf_dir):
+    return rotation_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c"""
+
+
 def op10_toxicity(spark, sf_dir):
     return factor_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -97,6 +112,7 @@ QUERIES = {
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op6_mixing_coder": (op6_mixing_coder, None),
     "op7_config_pack": (op7_config_pack, None),
+    "op9_rotation_codes": (op9_rotation_codes, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
 }
 
