@@ -39,7 +39,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 TREES, LEVELS, TARGET_RECALL = 16, 8, 0.999
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 SLACK = 4.0
-NODE_BLOCK, CLUSTER_BLOCK = 512, 256
+NODE_BLOCK, CLUSTER_BLOCK = 256, 256
 #: Shingles of one block of a cluster, about.
 BLOCK_SHINGLES = 1 << 20
 
