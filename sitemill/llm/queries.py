@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, rotation_codes, shards, warc_segments
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, pairwise_quality, rotation_codes, shards, warc_segments
 from sitemill.llm.frames import table
 from sitemill.workspace import new_path
 
@@ -62,6 +62,10 @@ def op7_config_pack(spark, sf_dir):
     return config_pack.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    return pairwise_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_rotation_codes(spark, sf_dir):
     return rotation_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -112,6 +116,7 @@ QUERIES = {
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op6_mixing_coder": (op6_mixing_coder, None),
     "op7_config_pack": (op7_config_pack, None),
+    "op8_quality": (op8_quality, None),
     "op9_rotation_codes": (op9_rotation_codes, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
 }
