@@ -32,7 +32,7 @@ STEMS = (4, 5, 6)
 #: Log likelihood by which a term's tie to the label must exceed chance (that of about 10^7 terms is 16); so
 #: many of the strongest get parameters.
 MIN_GAIN, MAX_TERMS = 18.0, 1 << 13
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 256, 0.03, 2e-4, 20240613
+FACTORS, STEPS, BATCH, RATE, DECAY, SEED = 8, 800, 256, 0.03, 2e-4, 20240613
 
 
 @dataclass
@@ -116,7 +116,7 @@ def fit(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray) -> Ma
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     places = np.searchsorted(doc, np.arange(len(y) + 1))
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(y))
         for lot in np.array_split(order, max(1, len(order) // BATCH)):
             step += 1
