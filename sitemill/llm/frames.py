@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Texts are worked on in slices of about this many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

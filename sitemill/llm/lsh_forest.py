@@ -139,7 +139,7 @@ def _connect(nodes: np.ndarray, sigs: np.ndarray, starts: np.ndarray, least: int
     for g in np.flatnonzero(sizes > 24):
         rows = np.arange(starts[g], starts[g + 1])
         unseen = np.ones(len(rows), bool)
-        for seed in range(len(rows)):
+        for seed in np.argsort(nodes[rows]).tolist():  # the same seeds in every tree, so that edges coincide
             if not unseen[seed]:
                 continue
             unseen[seed] = False

@@ -172,7 +172,7 @@ def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
     shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = places.join(shared, "key").join(classes.select("node", "dim", "vector", "code", "factors"), "node")
     placed = spread_pairs(met, "n", RUN_BLOCK, "node").select("key", "ti", "tj", "node", "dim", "vector", "code", "factors")
-    tiles = sorted_tiles(placed, "key", "ti", "tj")
+    tiles = sorted_tiles(placed, "key", "ti", "tj", then=("node",))  # seeds, and so edges, coincide
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, begins in whole_groups(batches, ["key", "ti", "tj"]):

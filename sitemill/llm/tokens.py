@@ -47,7 +47,7 @@ class Encoder:
         self.library = load(vocabulary)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.mark_id, token = max(self.library.get_added_tokens_decoder().items())
-        self.mark = token.content
+        self.mark = token.content.encode()
         self.forget()
 
     def forget(self) -> None:
@@ -56,10 +56,11 @@ class Encoder:
         self.flat = np.zeros(0, np.int32)
         self.places = np.zeros(1, np.int64)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         parts = []
-        for i in range(0, len(pieces), JOINED):  # a special token between pieces keeps them apart
-            text = self.mark.join(pieces[i : i + JOINED]) + self.mark
+        for i in range(0, len(starts), JOINED):  # a special token after each piece keeps them apart
+            ranges = zip(starts[i : i + JOINED].tolist(), ends[i : i + JOINED].tolist(), strict=True)
+            text = b"".join(part for a, b in ranges for part in (data[a:b], self.mark)).decode()
             parts.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32))
         ids = np.concatenate(parts)
         stops = np.flatnonzero(ids == self.mark_id)
@@ -86,7 +87,7 @@ class Encoder:
             if len(self.known) + len(fresh) > REMEMBERED:
                 self.forget()
                 fresh = np.arange(len(distinct))
-            self._learn(distinct[fresh], [data[starts[i] : ends[i]].tobytes().decode() for i in first[fresh].tolist()])
+            self._learn(distinct[fresh], data, starts[first[fresh]], ends[first[fresh]])
             slot = self._slots(distinct)
         slot = slot[which]
         sizes = self.places[slot + 1] - self.places[slot]
