@@ -67,7 +67,8 @@ each_name AS (SELECT doc_id, named_entity, min(pos) AS pos, coalesce(any_value(g
   FROM spans LEFT JOIN gaz g ON g.name = named_entity GROUP BY 1, 2)"""
 
 ENTITY_TAGS = f"""
-WITH {TAGGED} SELECT doc_id, string_agg(named_entity || '/' || tag, '|' ORDER BY pos) AS ner_tags FROM each_name GROUP BY 1
+WITH {TAGGED} SELECT d.doc_id, coalesce(string_agg(named_entity || '/' || tag, '|' ORDER BY pos), '') AS ner_tags
+FROM documents d LEFT JOIN each_name e ON e.doc_id = d.doc_id GROUP BY 1
 """
 
 
@@ -77,8 +78,8 @@ def location_tags(spark, sf_dir):
 
 
 LOCATION_TAGS = f"""
-WITH {TAGGED} SELECT doc_id, coalesce(string_agg(named_entity, '|' ORDER BY pos) FILTER (tag = 'LOC'), '') AS location_tags
-FROM each_name GROUP BY 1
+WITH {TAGGED} SELECT d.doc_id, coalesce(string_agg(named_entity, '|' ORDER BY pos) FILTER (tag = 'LOC'), '') AS location_tags
+FROM documents d LEFT JOIN each_name e ON e.doc_id = d.doc_id GROUP BY 1
 """
 
 
@@ -131,7 +132,7 @@ WITH {_described()},
 both_texts AS (SELECT doc_id, short_description || long_description AS body FROM described),
 spans AS ({spans_sql('both_texts', 'doc_id', 'body')}),
 counted_names AS (SELECT doc_id, named_entity, count(*) AS n, min(pos) AS pos FROM spans GROUP BY 1, 2)
-SELECT doc_id, arg_max(named_entity, (n, -pos)) AS name FROM counted_names GROUP BY 1
+SELECT d.doc_id, arg_max(named_entity, (n, -pos)) AS name FROM documents d LEFT JOIN counted_names c ON c.doc_id = d.doc_id GROUP BY 1
 """
 
 

@@ -42,15 +42,15 @@ SELECT DISTINCT term FROM (
 
 
 def page_fetch(spark, sf_dir):
-    return inputs.fetch(T.links(spark, sf_dir), inputs.page_texts(T.pages(spark, sf_dir)))
+    return inputs.fetch(T.links(spark, sf_dir), inputs.PageStore(T.pages(spark, sf_dir)))
 
 
 PAGE_TEXTS = f"""facts AS (SELECT url, min(text) AS text FROM (
-  SELECT {S.clean_url('url')} AS url, {S.page_text('html')} AS text FROM pages) GROUP BY 1)"""
+  SELECT {S.page_key('url')} AS url, {S.page_text('html')} AS text FROM pages) GROUP BY 1)"""
 
 PAGE_FETCH = f"""
 WITH {LINKS}, {PAGE_TEXTS}
-SELECT l.link, f.text FROM links l LEFT JOIN facts f ON {S.clean_url('l.link')} = f.url
+SELECT l.link, f.text FROM links l LEFT JOIN facts f ON {S.page_key('l.link')} = f.url
 """
 
 

@@ -9,13 +9,13 @@ from checks import sqlparts as S
 from checks import tables as T
 from checks import text_queries, vector_queries
 from checks.link_queries import DENIED, PAGE_TEXTS
-from checks.site_queries import _sitemap_sql
+from checks.site_queries import FOUND_SITES, _sitemap_sql
 from sitemill import constants as C
 from sitemill import models, schemas
 from sitemill.functions import text as X
 from sitemill.functions import urls
 from sitemill.functions.vectors import DIM
-from sitemill.operators import discovery, keywords, records
+from sitemill.operators import keywords, records, sites
 from sitemill.plans import jobs
 from sitemill.sources import inputs, jsonl
 from sitemill.workspace import new_path
@@ -255,7 +255,7 @@ SELECT doc_id, CASE WHEN lang = 'de' OR ends_with(source, '7') THEN '{C.NO_PARAM
 
 def _items(spark, sf_dir):
     """Every link of a page list with the text stored for it."""
-    fetched = inputs.fetch(T.links(spark, sf_dir), inputs.page_texts(T.pages(spark, sf_dir)))
+    fetched = inputs.fetch(T.links(spark, sf_dir), inputs.PageStore(T.pages(spark, sf_dir)))
     return fetched.select(F.col("link").alias("mainURL"), "text", records.text_failure(F.col("text")).alias("failure_reason"))
 
 
@@ -266,7 +266,7 @@ def failure_rows(spark, sf_dir):
 ITEMS = f"""links AS (SELECT url AS link FROM pages UNION ALL SELECT DISTINCT {S.origin('url')} FROM pages), {PAGE_TEXTS},
 items AS (SELECT l.link AS "mainURL", f.text, CASE WHEN f.text IS NULL THEN '{records.NO_TEXT}'
   WHEN length(f.text) <= {C.RECORD_TEXT_MIN} THEN '{records.SHORT_TEXT}' END AS failure_reason
-  FROM links l LEFT JOIN facts f ON {S.clean_url('l.link')} = f.url)"""
+  FROM links l LEFT JOIN facts f ON {S.page_key('l.link')} = f.url)"""
 
 FAILURE_ROWS = f'WITH {ITEMS} SELECT "mainURL", true AS failure, failure_reason FROM items WHERE failure_reason IS NOT NULL'
 
@@ -299,12 +299,13 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN len(regexp_extrac
 
 
 def record_from_links(spark, sf_dir):
-    """Each site's shortest pages as one link list; the first link names the record."""
+    """All pages of each site as one link list, shortest first; the first link names the record."""
     p = T.pages(spark, sf_dir)
-    top = discovery.sitemap_top(inputs.published_pages(p))
-    lists = top.groupBy("homepage").agg(F.array_sort(F.collect_list(F.struct("position", "link"))).alias("found"))
+    page = urls.clean_url(F.col("url"))
+    each = p.select(urls.origin(F.col("url")).alias("homepage"), F.struct(F.length(page).alias("size"), page.alias("link")).alias("page"))
+    lists = each.distinct().groupBy("homepage").agg(F.array_sort(F.collect_list("page")).alias("found"))
     lists = lists.select(F.col("found.link").alias("links")).withColumn("unit", F.col("links")[0])
-    texts = records.texts_from_links(lists, inputs.page_texts(p))
+    texts = records.texts_from_links(lists, inputs.PageStore(p))
     return _flat(
         records.dual_records(texts, _house(spark, sf_dir), _paradigm(spark, sf_dir), ECOSYSTEM, _refs(spark, sf_dir))
     )
@@ -312,8 +313,7 @@ def record_from_links(spark, sf_dir):
 
 LINK_TEXTS = f"""(WITH {PAGE_TEXTS}, {_sitemap_sql('pages')}
 SELECT min_by(link, position) AS unit, coalesce(string_agg(text, ' ' ORDER BY position), '') AS text
-FROM listed LEFT JOIN facts ON {S.is_good('link')} AND facts.url = {S.clean_url('link')}
-WHERE position <= {C.SITEMAP_CAP} GROUP BY homepage)"""
+FROM listed LEFT JOIN facts ON {S.is_good('link')} AND facts.url = {S.page_key('link')} GROUP BY homepage)"""
 
 
 def _job(spark, sf_dir, mode, paradigm=None):
@@ -327,6 +327,7 @@ def _job(spark, sf_dir, mode, paradigm=None):
         paradigm=paradigm,
         mode=mode,
         deny_hosts=DENIED,
+        extra_edges=T.page_tree(spark, sf_dir),
     )
 
 
@@ -368,14 +369,19 @@ homes AS (SELECT DISTINCT CASE WHEN link = {S.origin('link')} THEN link ELSE {S.
 subs AS (SELECT link FROM job_links WHERE link <> {S.origin('link')})"""
 
 
+def _job_sites(denied):
+    """CTEs up to job_pages(homepage, position, link, text): the pages of all sites of a bulk job."""
+    return f"""{_denied_homes(denied)}, origins AS (SELECT homepage FROM homes), {PAGE_TEXTS}, {FOUND_SITES},
+job_pages AS (SELECT homepage, position, link, f.text FROM found_sites
+  LEFT JOIN facts f ON {S.is_good('link')} AND f.url = {S.page_key('link')})"""
+
+
 def job_texts(denied=DENIED):
-    """(unit, text, domain) as the bulk jobs see them; no stored page is an origin, so sites come from page lists."""
-    return f"""(WITH {_denied_homes(denied)}, {PAGE_TEXTS}, {_sitemap_sql('facts')},
-site AS (SELECT h.homepage, {S.strip_markup("coalesce(string_agg(f.text, ' ' ORDER BY position), '')")} AS raw_text
-  FROM homes h JOIN listed l USING (homepage) LEFT JOIN facts f ON f.url = l.link
-  WHERE position <= {C.SITEMAP_CAP} GROUP BY 1)
+    """(unit, text, domain) as the bulk jobs see them; sites come from one hop, the crawl and page lists."""
+    return f"""(WITH RECURSIVE {_job_sites(denied)},
+site AS (SELECT homepage, coalesce(string_agg(text, ' ' ORDER BY position), '') AS raw_text FROM job_pages GROUP BY 1)
 SELECT homepage AS unit, {S.gated('raw_text')} AS text, true AS domain FROM site
-UNION ALL SELECT link, f.text, false FROM subs LEFT JOIN facts f ON {S.is_good('link')} AND f.url = {S.clean_url('link')})"""
+UNION ALL SELECT link, f.text, false FROM subs LEFT JOIN facts f ON {S.is_good('link')} AND f.url = {S.page_key('link')})"""
 
 
 def job_sql(house_of_domain, dual=False):
@@ -397,7 +403,7 @@ def job_outputs(spark, sf_dir):
     root = new_path(spark, "outputs")
     paths = _job(spark, sf_dir, jobs.HOUSE).write(root, ECOSYSTEM)
     lines = spark.read.text(root, recursiveFileLookup=False)
-    assert len(paths) == 4
+    assert len(paths) == 5
     return lines.groupBy("kind", "job").agg(F.count("*").alias("n_lines"))
 
 
@@ -408,6 +414,8 @@ WITH texts AS (SELECT *, coalesce({made}, false) AS made FROM {job_texts()}), ki
   SELECT '{jsonl.DOMAIN_RECORDS}' AS kind, count(*) FILTER (made AND domain) AS n_lines FROM texts
   UNION ALL SELECT '{jsonl.SUBDOMAIN_RECORDS}', count(*) FILTER (made AND NOT domain) FROM texts
   UNION ALL SELECT '{jsonl.SITE_REPORTS}', count(*) FILTER (domain) FROM texts
+  UNION ALL SELECT '{jsonl.SITE_TEXTS}', count(*) FROM (WITH RECURSIVE {_job_sites(DENIED)}
+    SELECT DISTINCT homepage, (position - 1) // {sites.PAGES_PER_PART} FROM job_pages)
   UNION ALL SELECT '{jsonl.FAILURES}', count(*) FILTER (NOT made) FROM texts)
 SELECT kind, '{ECOSYSTEM}' AS job, n_lines FROM kinds WHERE n_lines > 0
 """
@@ -417,21 +425,17 @@ def site_reports(spark, sf_dir):
     r = F.col("subdomain_reports")
     return _job(spark, sf_dir, jobs.HOUSE).site_reports.select(
         "homepage",
-        "part",
         F.array_join(r["subdomains"], "|").alias("subdomains"),
         F.array_join(r["yake_tags"], "|").alias("yake_tags"),
-        r["raw_text"].alias("raw_text"),
     )
 
 
 def site_reports_sql():
-    return f"""WITH RECURSIVE {_denied_homes(DENIED)}, {PAGE_TEXTS}, {_sitemap_sql('facts')},
-site AS (SELECT h.homepage, string_agg(l.link, '|' ORDER BY position) AS subdomains,
-  {S.strip_markup("coalesce(string_agg(f.text, ' ' ORDER BY position), '')")} AS raw_text
-  FROM homes h JOIN listed l USING (homepage) LEFT JOIN facts f ON f.url = l.link
-  WHERE position <= {C.SITEMAP_CAP} GROUP BY 1),
+    return f"""WITH RECURSIVE {_job_sites(DENIED)},
+site AS (SELECT homepage, string_agg(link, '|' ORDER BY position) AS subdomains,
+  coalesce(string_agg(text, ' ' ORDER BY position), '') AS raw_text FROM job_pages GROUP BY 1),
 yake AS ({yake_sql('site', 'homepage', 'raw_text')})
-SELECT s.homepage, 0::BIGINT AS part, subdomains, coalesce(array_to_string(yake_tags, '|'), '') AS yake_tags, raw_text
+SELECT s.homepage, subdomains, coalesce(array_to_string(yake_tags, '|'), '') AS yake_tags
 FROM site s LEFT JOIN yake y ON y.homepage = s.homepage"""
 
 
@@ -451,7 +455,7 @@ def job_single_paradigm(spark, sf_dir):
 
 def single_sql(vocabulary):
     source = f"""(WITH {PAGE_TEXTS}, one AS (SELECT min(url) AS link FROM pages WHERE {S.is_good('url')})
-SELECT link AS unit, f.text FROM one JOIN facts f ON f.url = {S.clean_url('link')})"""
+SELECT link AS unit, f.text FROM one JOIN facts f ON f.url = {S.page_key('link')})"""
     return f"SELECT *, NULL::VARCHAR AS msg FROM ({record_sql(source, vocabulary)})"
 
 

@@ -51,13 +51,16 @@ SELECT homepage, position, link FROM ranked
 
 def one_hop(spark, sf_dir):
     """Every stored page taken as a start."""
-    found = inputs.page_facts(T.pages(spark, sf_dir))
-    return discovery.one_hop(found.select(F.col("url").alias("homepage")), inputs.page_edges(found))
+    p = T.pages(spark, sf_dir)
+    starts = p.select(urls.clean_url(F.col("url")).alias("homepage")).distinct()
+    keys = starts.select(urls.page_key(F.col("homepage")).alias("url")).distinct()
+    return discovery.one_hop(starts, inputs.PageStore(p).edges(keys))
 
 
 ONE_HOP = f"""
 WITH edges AS (SELECT {S.clean_url('p.url')} AS homepage, {S.clean_url('l.link')} AS link, min(position) AS seen
-  FROM ({PAGE_LINKS}) l JOIN pages p USING (page_id) GROUP BY 1, 2),
+  FROM ({PAGE_LINKS}) l JOIN pages p USING (page_id)
+  WHERE lower({S.host('l.link')}) = lower({S.host('p.url')}) GROUP BY 1, 2),
 known AS (SELECT *, row_number() OVER (PARTITION BY homepage ORDER BY seen, link) AS n FROM edges)
 SELECT homepage, link FROM known WHERE n <= {C.KNOWN_URL_CAP}
 """
@@ -81,7 +84,8 @@ def _crawl_sql(starts: str) -> str:
     return f"""
 crawl AS (SELECT homepage, {S.clean_url('homepage')} AS url, 0::BIGINT AS depth FROM {starts}
   UNION SELECT c.homepage, t.dst, c.depth + 1 FROM crawl c JOIN tree t ON t.src = c.url
-  WHERE starts_with(t.dst, t.src) AND t.dst <> t.src)"""
+  WHERE starts_with(t.dst, t.src) AND t.dst <> t.src
+    AND (ends_with(t.src, '/') OR substr(t.dst, length(t.src) + 1, 1) IN ('/', '?', '#')))"""
 
 
 PREFIX_CRAWL = f"""
@@ -91,13 +95,13 @@ SELECT homepage, url, min(depth) AS depth FROM crawl GROUP BY 1, 2
 
 
 def sitemap_topn(spark, sf_dir):
-    return discovery.sitemap_top(inputs.published_pages(T.pages(spark, sf_dir)))
+    return discovery.sitemap_top(inputs.PageStore(T.pages(spark, sf_dir)).published(_origins(spark, sf_dir)))
 
 
 def _sitemap_sql(source: str) -> str:
     return f"""
 listed AS (SELECT homepage, link, row_number() OVER (PARTITION BY homepage ORDER BY length(link), link) AS position
-  FROM (SELECT DISTINCT {S.origin('url')} AS homepage, url AS link FROM {source}))"""
+  FROM (SELECT DISTINCT {S.origin('url')} AS homepage, {S.clean_url('url')} AS link FROM {source}))"""
 
 
 SITEMAP_TOPN = f"""
@@ -108,19 +112,15 @@ SELECT homepage, position, link FROM listed WHERE position <= {C.SITEMAP_CAP}
 
 def discover_sites(spark, sf_dir):
     """All origins over the page tree: sites with several sections come from one hop, others from the crawl."""
-    found = inputs.page_texts(T.pages(spark, sf_dir))
-    sites_found, _ = discovery.discover_sites(
-        _origins(spark, sf_dir), T.page_tree(spark, sf_dir), found.select("url", "text"), inputs.published_pages(found)
-    )
+    store = inputs.PageStore(T.pages(spark, sf_dir), extra_edges=T.page_tree(spark, sf_dir))
+    sites_found, _ = discovery.discover_sites(_origins(spark, sf_dir), store)
     return sites_found.withColumn("method", discovery.method_name(F.col("method")))
 
 
-DISCOVER_SITES = f"""
-WITH RECURSIVE {TREE},
-origins AS (SELECT DISTINCT {S.origin('url')} AS homepage FROM pages),
-{PAGE_TEXTS},
+FOUND_SITES = f"""
+{TREE},
 known AS (SELECT homepage, dst AS link, row_number() OVER (PARTITION BY homepage ORDER BY length(dst), dst) AS n
-  FROM origins JOIN tree ON src = {S.clean_url('homepage')}),
+  FROM origins JOIN tree ON src = {S.clean_url('homepage')} WHERE lower({S.host('dst')}) = lower({S.host('homepage')})),
 hop_found AS (SELECT homepage, link FROM known WHERE n <= {C.KNOWN_URL_CAP}),
 hop AS (WITH {_rank_sql('hop_found')} SELECT * FROM ranked),
 hop_ok AS (SELECT homepage FROM hop GROUP BY 1 HAVING count(*) > {C.MIN_SITE_LINKS}),
@@ -128,51 +128,66 @@ rest AS (SELECT homepage FROM origins WHERE homepage NOT IN (FROM hop_ok)),
 {_crawl_sql('rest')},
 crawl_found AS (SELECT DISTINCT c.homepage, c.url AS link FROM crawl c JOIN facts f ON f.url = c.url WHERE f.text IS NOT NULL),
 crawled AS (WITH {_rank_sql('crawl_found')} SELECT * FROM ranked),
-{_sitemap_sql('facts')}
+{_sitemap_sql('facts')},
+found_sites AS (
 SELECT homepage, 'one_hop' AS method, position, link FROM hop WHERE homepage IN (FROM hop_ok)
 UNION ALL SELECT homepage, 'crawl', position, link FROM crawled
 UNION ALL SELECT homepage, 'sitemap', position, link FROM listed
-  WHERE position <= {C.SITEMAP_CAP} AND homepage IN (FROM rest) AND homepage NOT IN (SELECT homepage FROM crawled)
+  WHERE position <= {C.SITEMAP_CAP} AND homepage IN (FROM rest) AND homepage NOT IN (SELECT homepage FROM crawled))
 """
 
+DISCOVER_SITES = f"""
+WITH RECURSIVE origins AS (SELECT DISTINCT {S.origin('url')} AS homepage FROM pages), {PAGE_TEXTS}, {FOUND_SITES}
+SELECT homepage, method, position, link FROM found_sites
+"""
 
-def _site_texts(spark, sf_dir):
+
+def _page_rows(spark, sf_dir):
     p = T.pages(spark, sf_dir)
-    ordered = sites.pages_in_order(p.select(urls.origin(F.col("url")).alias("homepage"), "url"), "homepage", "url")
-    return sites.site_texts(ordered, inputs.page_texts(p))
+    clean = p.select(urls.origin(F.col("url")).alias("homepage"), urls.clean_url(F.col("url")).alias("url"))
+    return sites.page_rows(sites.pages_in_order(clean, "homepage", "url"), inputs.page_texts(p))
+
+
+def _site_texts(spark, sf_dir):
+    return sites.site_texts(_page_rows(spark, sf_dir))
 
 
 def site_text(spark, sf_dir):
-    return _site_texts(spark, sf_dir).select(
-        "homepage", "part", F.size("subdomains").cast("bigint").alias("n_pages"), "raw_text"
-    )
+    return _site_texts(spark, sf_dir)
 
 
-SITE_TEXTS = f"""{PAGE_TEXTS}, {_sitemap_sql('pages')},
+SITE_PAGES = f"""{PAGE_TEXTS}, {_sitemap_sql('pages')},
+site_pages AS (SELECT homepage, position, link, text
+  FROM listed LEFT JOIN facts ON {S.is_good('link')} AND facts.url = {S.page_key('link')})"""
+
+SITE_TEXTS = f"""{SITE_PAGES},
 site_texts AS (SELECT homepage, (position - 1) // {sites.PAGES_PER_PART} AS part, count(*) AS n_pages,
-  string_agg(link, '|' ORDER BY position) AS subdomains,
-  {S.strip_markup("coalesce(string_agg(text, ' ' ORDER BY position), '')")} AS raw_text
-  FROM listed LEFT JOIN facts ON {S.is_good('link')} AND facts.url = {S.clean_url('link')} GROUP BY 1, 2)"""
+  coalesce(string_agg(text, ' ' ORDER BY position), '') AS raw_text FROM site_pages GROUP BY 1, 2)"""
 
 SITE_TEXT = f"WITH {SITE_TEXTS} SELECT homepage, part, n_pages, raw_text FROM site_texts"
 
 
 def site_report(spark, sf_dir):
     r = F.col("subdomain_reports")
-    return sites.site_report(_site_texts(spark, sf_dir)).select(
+    return sites.site_report(_page_rows(spark, sf_dir)).select(
         "homepage",
-        "part",
         F.array_join(r["subdomains"], "|").alias("subdomains"),
         F.array_join(r["phoneNumbers"], "|").alias("phones"),
         F.array_join(r["emails"], "|").alias("emails"),
-        r["raw_text"].alias("raw_text"),
+        F.array_join(r["addresses"], "|").alias("addresses"),
     )
 
 
+def _site_values(pattern: str, group: int = 0) -> str:
+    """Distinct matches of the pages of site s."""
+    found = f"SELECT DISTINCT unnest({S.matches('text', pattern, group)}) AS v FROM site_pages p WHERE p.homepage = s.homepage"
+    return f"coalesce((SELECT string_agg(v, '|' ORDER BY v) FROM ({found})), '')"
+
+
 SITE_REPORT = f"""
-WITH {SITE_TEXTS}
-SELECT homepage, part, subdomains, {S.joined_matches('raw_text', C.PHONE)} AS phones,
-  {S.joined_matches('raw_text', C.EMAIL)} AS emails, raw_text FROM site_texts
+WITH {SITE_PAGES}, s AS (SELECT homepage, string_agg(link, '|' ORDER BY position) AS subdomains FROM site_pages GROUP BY 1)
+SELECT homepage, subdomains, {_site_values(C.PHONE)} AS phones, {_site_values(C.EMAIL)} AS emails,
+  {_site_values(text.US_ADDRESS, 1)} AS addresses FROM s
 """
 
 

@@ -46,6 +46,11 @@ def is_good(u: str) -> str:
     )
 
 
+def page_key(u: str) -> str:
+    c = clean_url(u)
+    return f"CASE WHEN {path(u)} = '' THEN {origin(c)} || '/' || substr({c}, length({origin(c)}) + 1) ELSE {c} END"
+
+
 def is_priority(u: str) -> str:
     return f"regexp_matches(lower({path(u)}), {lit(C.PRIORITY_PATH)})"
 
@@ -77,10 +82,6 @@ def page_text(h: str) -> str:
     return f"nullif(translate({joined}, {quotes}, '   '), '')"
 
 
-def strip_markup(t: str) -> str:
-    return f"translate(regexp_replace({t}, {lit(markup.TAG)}, ' ', 'g'), chr(10), ' ')"
-
-
 def resolve(base: str, h: str) -> str:
     """Relative links of the stored pages; none of them has dot segments."""
     folder = f"coalesce(nullif(regexp_extract({path(base)}, '^(.*/)', 1), ''), '/')"

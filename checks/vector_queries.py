@@ -108,8 +108,8 @@ def vocab_join(spark, sf_dir):
 
 
 VOCAB_JOIN = f"""
-WITH {SCORES} SELECT vec_id, string_agg(term, '|' ORDER BY term) AS terms FROM scores
-WHERE round(score, 4) > {JOIN_THRESHOLD} GROUP BY 1
+WITH {SCORES} SELECT vec_id, coalesce(string_agg(term, '|' ORDER BY term) FILTER (round(score, 4) > {JOIN_THRESHOLD}), '') AS terms
+FROM scores GROUP BY 1
 """
 
 

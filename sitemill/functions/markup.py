@@ -71,9 +71,9 @@ def page_text(html: Column) -> Column:
     return F.nullif(F.translate(F.array_join(parts, " "), "\n\"'", "   "), F.lit(""))
 
 
-def strip_markup(text: Column) -> Column:
-    """Second strip of a joined text: tags out, line ends to blanks."""
-    return F.translate(F.regexp_replace(text, TAG, " "), "\n", " ")
+def one_line(text: Column) -> Column:
+    """Second pass over the joined text of a crawled site: line ends to blanks, all else as it is."""
+    return F.translate(text, "\n", " ")
 
 
 def page_links(url: Column, html: Column) -> Column:

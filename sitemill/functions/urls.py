@@ -16,6 +16,7 @@ from sitemill.constants import DENY_HOSTS, PRIORITY_PATH
 SCHEME = r"^([^:/?#]+):"
 HOST = r"^(?:[^:/?#]+:)?//([^/?#]*)"
 PATH = r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)"
+BARE_ORIGIN = r"^([^:/?#]+://[^/?#]*)(?=[?#]|$)"
 QUERY = r"^[^?#]*\?([^#]*)"
 ASSET_SUFFIX = r"(?i)\.(css|js|png|jpg|jpeg|gif|svg|ico|pdf|zip|mp3|mp4)$"
 MAX_URL_LENGTH = 500
@@ -56,22 +57,24 @@ def is_priority(url: Column) -> Column:
     return F.lower(path(url)).rlike(PRIORITY_PATH)
 
 
-def is_good(url: Column) -> Column:
-    """Web link to a page: http(s), dotted host, no blanks, sane length, not a static asset."""
-    return (
+def is_good(url: Column, max_length: int | None = MAX_URL_LENGTH) -> Column:
+    """Web link to a page: http(s), dotted host, no blanks, not a static asset, and not too long."""
+    good = (
         scheme(url).isin("http", "https")
         & host(url).contains(".")
         & ~url.rlike(r"[ \t\r\n]")
-        & (F.length(url) <= MAX_URL_LENGTH)
         & ~path(url).rlike(ASSET_SUFFIX)
     )
+    return good if max_length is None else good & (F.length(url) <= max_length)
 
 
-def clean_url(url: Column) -> Column:
-    """Lower-case the host, drop the fragment and ``utm_*`` parameters.
+def is_too_long(url: Column, max_length: int = MAX_URL_LENGTH) -> Column:
+    """Links that the filter drops for their length alone."""
+    return is_good(url, None) & (F.length(url) > max_length)
 
-    This is also the key under which stored pages are looked up: a fragment never reaches a server.
-    """
+
+def clean_url(url: Column) -> Column:
+    """Lower-case the host, drop the fragment and ``utm_*`` parameters."""
     params = F.regexp_replace(F.regexp_replace(query(url), UTM_PARAMETER, ""), "^&", "")
     return F.concat(
         scheme(url),
@@ -82,6 +85,30 @@ def clean_url(url: Column) -> Column:
     )
 
 
+def page_key(url: Column) -> Column:
+    """The key under which stored pages are looked up.
+
+    A fragment never reaches a server, and the root page has one key with and without its slash.
+    """
+    return rooted(clean_url(url))
+
+
+def rooted(clean: Column) -> Column:
+    """The key of an address that is clean already."""
+    return F.regexp_replace(clean, BARE_ORIGIN, "$1/")
+
+
+def site_key(url: Column) -> Column:
+    """The site a page or homepage belongs to."""
+    return F.concat(scheme(url), F.lit("://"), F.lower(host(url)))
+
+
+def extends(key: Column, source: Column) -> Column:
+    """True when ``key`` lies below ``source``: it starts with it, and the source ends at a separator."""
+    after = F.substr(key, F.length(source) + 1, F.lit(1))
+    return key.startswith(source) & (key != source) & (source.endswith("/") | after.isin("/", "?", "#"))
+
+
 def has_junk_suffix(url: Column) -> Column:
     return url.endswith('/"') | url.endswith("\\")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sitemill.functions.vectors import DIM, term_vector
 from sitemill.schemas import TAGS
+from sitemill.workspace import stage
 
 Model = Callable[[pd.Series], pd.Series]
 
@@ -66,7 +67,6 @@ def with_fallback(*models: Model) -> Model:
 def model_column(model: Model, text: Column, result_type: str) -> Column:
     """``struct<value, error>`` of a model over a text column."""
 
-    @F.pandas_udf(f"struct<value: {result_type}, error: string>")
     def run(batch: pd.Series) -> pd.DataFrame:
         def one(item):
             try:
@@ -81,23 +81,35 @@ def model_column(model: Model, text: Column, result_type: str) -> Column:
             pairs = [one(item) for item in batch]
         return pd.DataFrame({"value": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
 
-    return run(text)
+    # Never moved, copied or evaluated again by the optimizer: a model may be costly, and may fail.
+    return F.pandas_udf(run, f"struct<value: {result_type}, error: string>").asNondeterministic()(text)
 
 
 def apply_model(texts: DataFrame, models: Models, slot: str) -> DataFrame:
-    """``(unit, value, error)`` of one model slot over ``(unit, text)``."""
+    """``(unit, value, error)`` of one model slot over ``(unit, text)``, evaluated once and staged."""
     done = model_column(getattr(models, slot), F.col("text"), Models.RESULT_TYPES[slot])
-    return texts.select("unit", done.alias("r")).select("unit", "r.value", "r.error")
+    answers = texts.select("unit", done.alias("r")).select("unit", "r.value", "r.error")
+    named = F.when(F.col("error").isNotNull(), F.concat(F.lit(f"{slot}: "), "error"))
+    return stage(answers.withColumn("error", named), f"model-{slot}")
 
 
 def with_key_vectors(df: DataFrame, column: str, models: Models) -> DataFrame:
-    """Add ``vector`` for a short text column.
+    """Add ``vector`` and ``error`` for a short text column; a failed item has a null vector.
 
     The built-in vector is computed in place.  A plug-in model is costly, so it sees each distinct
-    text once and the vectors are joined back.
+    text once; its answers are staged, and joined back.
     """
     if models.key_vector is None:
-        return df.withColumn("vector", F.explode(F.array(term_vector(F.col(column), models.dim))))
+        made = df.withColumn("vector", F.explode(F.array(term_vector(F.col(column), models.dim))))
+        return made.withColumn("error", F.lit(None).cast("string"))
     terms = df.select(column).distinct()
     done = model_column(models.key_vector, F.col(column), Models.RESULT_TYPES["key_vector"])
-    return df.join(terms.select(column, done["value"].alias("vector")).where("vector IS NOT NULL"), column)
+    answers = stage(terms.select(column, done.alias("r")).select(column, "r.value", "r.error"), "key-vectors")
+    answers = answers.withColumnRenamed("value", "vector").withColumn("error", _failure("key_vector"))
+    return df.join(answers, column)
+
+
+def _failure(slot: str) -> Column:
+    """What a failed item of a slot is reported as; an answer of null is a failure too."""
+    said = F.coalesce(F.col("error"), F.when(F.col("vector" if slot == "key_vector" else "value").isNull(), "no value"))
+    return F.when(said.isNotNull(), F.concat(F.lit(f"{slot}: "), said))

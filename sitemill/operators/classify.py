@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemill import constants as C
-from sitemill.functions.vectors import DIM, term_vector
-from sitemill.operators.vocabulary import score_column
+from sitemill.models import Models, with_key_vectors
 
 ORGANIZATION = "Organization"
 
 
-@cache
-def _anchor_matrix(spark: SparkSession, dim: int) -> np.ndarray:
-    """Vectors of the eight fixed anchors, embedded once per session."""
+def anchor_vectors(spark: SparkSession, models: Models | None = None) -> list[list[float]]:
+    """Vectors of the eight fixed anchors, from the model and of the width that keywords have."""
     anchors = [(i, t) for i, (_, t) in enumerate(C.TYPE_ANCHORS + C.SUBTYPE_ANCHORS)]
-    df = spark.createDataFrame(anchors, "i int, text string")
-    rows = df.select("i", term_vector(F.col("text"), dim).alias("vector")).collect()
-    return np.array([r["vector"] for r in sorted(rows, key=lambda r: r["i"])])
+    rows = with_key_vectors(spark.createDataFrame(anchors, "i int, text string"), "text", models or Models()).collect()
+    failed = [r["error"] for r in rows if r["vector"] is None]
+    if failed:
+        raise ValueError(f"the anchors cannot be embedded: {failed[0]}")
+    return [r["vector"] for r in sorted(rows, key=lambda r: r["i"])]
 
 
-def _best(scores: Column, labels: list[str], offset: int) -> Column:
+def _score(vector: Column, anchor: Sequence[float]) -> Column:
+    cells = F.zip_with(vector, F.array(*[F.lit(float(x)) for x in anchor]), lambda a, b: a * b)
+    return F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _best(vector: Column, anchors: Sequence[Sequence[float]], labels: Sequence[str]) -> Column:
     """Label of the highest score; the earlier anchor wins a tie."""
     ranked = [
-        F.struct(F.round(scores[offset + i], 6).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("label"))
-        for i, name in enumerate(labels)
+        F.struct(F.round(_score(vector, anchor), 6).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("label"))
+        for i, (anchor, name) in enumerate(zip(anchors, labels, strict=True))
     ]
-    return F.greatest(*ranked)["label"]
-
-
-def classify(df: DataFrame, dim: int = DIM) -> DataFrame:
-    """Replace ``vector`` by ``type`` and ``subtype``."""
-    matrix = _anchor_matrix(df.sparkSession, dim)
-    types = [label for label, _ in C.TYPE_ANCHORS]
-    subtypes = [label for label, _ in C.SUBTYPE_ANCHORS]
-    scored = df.withColumn("_scores", score_column(F.col("vector"), matrix))
-    scores = F.col("_scores")
-    found = scored.withColumn("type", _best(scores, types, 0)).withColumn("_sub", _best(scores, subtypes, len(types)))
-    subtype = F.when(F.col("type") == ORGANIZATION, ORGANIZATION).otherwise(F.col("_sub"))
-    return found.withColumn("subtype", subtype).drop("vector", "_scores", "_sub")
+    return F.when(vector.isNotNull(), F.greatest(*ranked)["label"])
+
+
+def classify(df: DataFrame, anchors: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """Replace ``vector`` by ``type`` and ``subtype``, both null for a null vector.
+
+    ``anchors`` are the vectors of ``anchor_vectors`` for the model that made the column.
+    """
+    anchors = anchor_vectors(df.sparkSession) if anchors is None else anchors
+    n = len(C.TYPE_ANCHORS)
+    vector = F.col("vector")
+    found = df.withColumn("type", _best(vector, anchors[:n], [label for label, _ in C.TYPE_ANCHORS]))
+    sub = _best(vector, anchors[n:], [label for label, _ in C.SUBTYPE_ANCHORS])
+    return found.withColumn("subtype", F.when(F.col("type") == ORGANIZATION, ORGANIZATION).otherwise(sub)).drop("vector")

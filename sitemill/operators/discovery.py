@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitemill import constants as C
 from sitemill.functions import urls
 from sitemill.operators.ranking import rank_within, top_k
+from sitemill.sources import inputs
 from sitemill.workspace import stage
 
 ONE_HOP, CRAWL, SITEMAP = 1, 2, 3
@@ -23,19 +24,13 @@ def _usable(found: DataFrame) -> DataFrame:
     home, link = F.col("homepage"), F.col("link")
     junk = urls.has_junk_suffix(link)
     clean = urls.clean_url(link)
-    usable = (
-        found.where(link.isNotNull() & ~urls.is_self_link(home, link))
-        .where(junk | urls.is_good(link))
-        .select(
-            home,
-            F.when(junk, urls.strip_junk(link)).otherwise(clean).alias("link"),
-            (~junk & urls.is_priority(clean)).alias("priority"),
-            F.lit(False).alias("own"),
-        )
-    )
-    own = found.select(home, home.alias("link"), F.lit(False).alias("priority"), F.lit(True).alias("own"))
+    usable = link.isNotNull() & ~urls.is_self_link(home, link) & (junk | urls.is_good(link))
+    shown = F.when(junk, urls.strip_junk(link)).otherwise(clean)
+    page = F.struct(shown.alias("link"), (~junk & urls.is_priority(clean)).alias("priority"), F.lit(False).alias("own"))
+    own = F.struct(home.alias("link"), F.lit(False).alias("priority"), F.lit(True).alias("own"))
+    rows = found.select(home, F.explode(F.array(F.when(usable, page), own)).alias("row")).where("row IS NOT NULL")
     return (
-        usable.unionByName(own)
+        rows.select("homepage", "row.*")
         .groupBy("homepage", "link")
         .agg(F.max("priority").alias("priority"), F.max("own").alias("own"))
     )
@@ -71,44 +66,45 @@ def _rank_small_sites(found: DataFrame) -> DataFrame:
 
 
 def one_hop(homepages: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links found on the homepage itself, the first hundred in page order."""
-    starts = homepages.distinct().withColumn("src", urls.clean_url(F.col("homepage")))
-    known = starts.join(edges, "src").groupBy("homepage", F.col("dst").alias("link")).agg(F.min("position").alias("seen"))
+    """Links found on the homepage itself that stay on its host, the first hundred in page order."""
+    starts = homepages.distinct().withColumn("src", urls.page_key(F.col("homepage")))
+    found = starts.join(inputs.keyed_edges(edges), "src")
+    found = found.where(F.lower(urls.host(F.col("dst"))) == F.lower(urls.host(F.col("homepage"))))
+    known = found.groupBy("homepage", F.col("dst").alias("link")).agg(F.min("position").alias("seen"))
     return top_k(known, ["homepage"], ["seen", "link"], C.KNOWN_URL_CAP, "known").select("homepage", "link")
 
 
 def prefix_crawl(homepages: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """All pages reachable from a homepage through links that extend the address they are found on.
+    """All pages reachable from a homepage through links that lie below the page they are found on.
 
     Returns ``(homepage, url, depth)`` with the homepage at depth 0.  Such a link is longer than its
     source, so the graph has no cycles and the frontier empties by itself; ``max_rounds`` is for
     callers who want a shallower crawl.  Each round expands only the last frontier and is staged, so
     lineage stays one round deep and a lost executor costs at most that round.
     """
-    below = (
-        edges.where(F.col("dst").startswith(F.col("src")) & (F.col("dst") != F.col("src")))
-        .select("src", "dst")
-        .distinct()
-    )
+    linked = inputs.keyed_edges(edges).withColumn("key", urls.rooted(F.col("dst")))
+    below = linked.where(urls.extends(F.col("key"), F.col("src"))).groupBy("src", "key").agg(F.min("dst").alias("url"))
     below = stage(below, "below")
-    start = homepages.distinct().select("homepage", urls.clean_url(F.col("homepage")).alias("url"))
+    home = F.col("homepage")
+    start = homepages.distinct().select(home, urls.clean_url(home).alias("url"), urls.page_key(home).alias("key"))
     frontier = stage(start.withColumn("depth", F.lit(0).cast("bigint")), "frontier")
     seen = frontier
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         children = (
-            frontier.withColumnRenamed("url", "src")
+            frontier.select("homepage", F.col("key").alias("src"))
             .join(below, "src")
-            .select("homepage", F.col("dst").alias("url"))
-            .distinct()
-            .join(seen, ["homepage", "url"], "left_anti")
+            .groupBy("homepage", "key")
+            .agg(F.min("url").alias("url"))
+            .join(seen, ["homepage", "key"], "left_anti")
         )
-        frontier = stage(children.withColumn("depth", F.lit(rounds).cast("bigint")), "frontier")
+        children = children.select("homepage", "url", "key", F.lit(rounds).cast("bigint").alias("depth"))
+        frontier = stage(children, "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.drop("key")
 
 
 def sitemap_top(sitemap: DataFrame) -> DataFrame:
@@ -118,30 +114,31 @@ def sitemap_top(sitemap: DataFrame) -> DataFrame:
     return top_k(listed, ["homepage"], ["size", "link"], C.SITEMAP_CAP).select("homepage", "position", "link")
 
 
-def discover_sites(
-    homepages: DataFrame, edges: DataFrame, texts: DataFrame, sitemap: DataFrame
-) -> tuple[DataFrame, DataFrame]:
+def discover_sites(homepages: DataFrame, store: inputs.PageStore) -> tuple[DataFrame, DataFrame]:
     """Pages of each site by the first method that works, and the homepages where none does.
 
     One hop counts when it ranks more than two links; the crawl counts when it reaches a page with
     text; the published list counts when it is not empty.  Each method runs only on the homepages
-    the earlier ones left over.  ``texts`` is ``(url, text)``.
+    the earlier ones left over, and asks the store for no more than that.
     """
     homes = stage(homepages.select("homepage").distinct(), "homepages")
 
-    hop = _rank_small_sites(one_hop(homes, edges))
+    starts = homes.select(urls.page_key(F.col("homepage")).alias("url")).distinct()
+    hop = _rank_small_sites(one_hop(homes, store.edges(starts)))
     enough = F.count("*").over(Window.partitionBy("homepage")) > C.MIN_SITE_LINKS
     hop = stage(hop.withColumn("_enough", enough).where("_enough").drop("_enough"), "hop")
     rest = stage(homes.join(hop, "homepage", "left_anti"), "rest")
 
-    visited = prefix_crawl(rest, edges)
-    readable = texts.where(F.col("text").isNotNull()).select("url")
-    crawled = visited.join(readable, "url", "left_semi").select("homepage", F.col("url").alias("link"))
+    of_rest = rest.select(urls.site_key(F.col("homepage")).alias("site")).distinct()
+    visited = prefix_crawl(rest, store.site_edges(of_rest)).withColumn("key", urls.rooted(F.col("url")))
+    readable = store.texts(visited.select(F.col("key").alias("url")).distinct()).where(F.col("text").isNotNull())
+    readable = readable.select(F.col("url").alias("key"))
+    crawled = visited.join(readable, "key", "left_semi").select("homepage", F.col("url").alias("link"))
     crawl = rank_site_links(crawled)
     crawl = stage(crawl, "crawl")
     left = stage(rest.join(crawl, "homepage", "left_anti"), "left")
 
-    listed = sitemap_top(sitemap.join(left, "homepage", "left_semi"))
+    listed = sitemap_top(store.published(left))
     found = (
         hop.withColumn("method", F.lit(ONE_HOP))
         .unionByName(crawl.withColumn("method", F.lit(CRAWL)))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from sitemill import constants as C
 from sitemill.functions import text as X
 from sitemill.operators.tokens import by_unit, sentence_rows
+from sitemill.schemas import TAGS
 
 OTHER_TAG = "MISC"
-TAGS = "array<struct<named_entity:string,tag:string>>"
 SPANS_PER_SENTENCE = 1_000_000
 
 
@@ -41,7 +41,9 @@ def entity_tags(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     known = gazetteer.groupBy(F.col("name").alias("named_entity")).agg(F.max("tag").alias("known"))
     each = entity_spans(texts).groupBy("unit", "named_entity").agg(F.min("pos").alias("pos"))
     tagged = each.join(known, "named_entity", "left").withColumn("tag", F.coalesce("known", F.lit(OTHER_TAG)))
-    return distinct_entities(tagged.select("unit", "named_entity", "pos", "tag"))
+    found = distinct_entities(tagged.select("unit", "named_entity", "pos", "tag"))
+    listed = texts.select("unit").join(found, "unit", "left")
+    return listed.withColumn("ner_tags", F.coalesce("ner_tags", F.array().cast(TAGS)))
 
 
 def location_tags(ner_tags: Column) -> Column:
@@ -53,13 +55,11 @@ def entity_names(ner_tags: Column) -> Column:
 
 
 def record_name(descriptions: DataFrame) -> DataFrame:
-    """``(unit, name)``: the most frequent capitalised span, the earliest among equals."""
+    """``(unit, name)``: the most frequent capitalised span, the earliest among equals; null if none."""
     counted = entity_spans(descriptions).groupBy("unit", "named_entity").agg(
         F.count("*").alias("n"), F.min("pos").alias("pos")
     )
     best = Window.partitionBy("unit").orderBy(F.desc("n"), "pos")
-    return (
-        counted.withColumn("rn", F.row_number().over(best))
-        .where("rn = 1")
-        .select("unit", F.col("named_entity").alias("name"))
-    )
+    first = counted.withColumn("rn", F.row_number().over(best)).where("rn = 1")
+    named = first.select("unit", F.col("named_entity").alias("name"))
+    return descriptions.select("unit").join(named, "unit", "left")

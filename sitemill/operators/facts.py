@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions import text as X
-from sitemill.operators.ranking import top_k
 
-COMPLETIONS = 5
 # Shortest stretch that ends in a state and a five-digit ZIP: equal for an address and for every
 # description that starts with it, so the prefix join can run as an equi-join.
 ADDRESS_KEY = r"^.*? [a-z]{2} \d{5}"
@@ -35,7 +33,7 @@ def _address_key(column: str):
 
 
 def complete_addresses(found: DataFrame, places: DataFrame) -> DataFrame:
-    """Replace each address by the descriptions that start with it, at most five, shortest first.
+    """Replace each address by the descriptions that start with it.
 
     ``found`` is ``(unit, address ARRAY)``, ``places`` is ``(description)``.  Each distinct address is
     completed once.
@@ -46,9 +44,8 @@ def complete_addresses(found: DataFrame, places: DataFrame) -> DataFrame:
     hits = (
         wanted.join(known, "_key")
         .where(F.lower(F.col("description")).startswith(F.lower(F.col("asked"))))
-        .select("asked", "description", F.length("description").alias("_size"))
+        .select("asked", "description")
     )
-    best = top_k(hits, ["asked"], ["_size", "description"], COMPLETIONS).select("asked", "description")
-    done = asked.join(best, "asked").groupBy("unit").agg(F.array_sort(F.collect_set("description")).alias("address"))
+    done = asked.join(hits, "asked").groupBy("unit").agg(F.array_sort(F.collect_set("description")).alias("address"))
     none = F.array().cast("array<string>")
     return found.select("unit").join(done, "unit", "left").withColumn("address", F.coalesce("address", none))

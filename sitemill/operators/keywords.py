@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemill.functions import text as X
-from sitemill.operators.tokens import by_unit, is_weak, word_rows
+from sitemill.operators.tokens import by_unit, is_weak, listed_sentences, word_rows
 
 TOP = 20
 BITS = 21  # of a place in its chunk and of a chunk in its sentence
@@ -134,7 +134,7 @@ def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
 
     A text's own phrases are the largest group here; they are walked in score order until ``top``
     are kept, which is exact however many near copies come first.  Kept phrases are shown as written
-    at their first place.
+    at their first place.  Units may come in several rows, numbered by ``part``.
     """
     entry = F.struct("score", "phrase", "at", "size")
     listed = candidates(texts).groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
@@ -152,16 +152,26 @@ def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
         ).otherwise(acc),
     )
     kept = listed.select("unit", F.explode(F.array(kept)).alias("kept"))
-    bodies = by_unit(texts).select("unit", X.sentences(F.col("text")).alias("body"))
+    bodies = listed_sentences(by_unit(texts)).select("unit", F.col("all").alias("body"), "n_before")
 
     def as_written(k):
-        sentence = F.shiftright(k["at"], 2 * BITS).cast("int")
+        sentence = F.shiftright(k["at"], 2 * BITS).cast("int") - F.col("n_before")
         chunk = F.shiftright(k["at"], BITS).bitwiseAND(PLACES - 1).cast("int")
         first = k["at"].bitwiseAND(PLACES - 1).cast("int") + 1
         words = X.chunk_words(F.get(X.chunks(F.get("body", sentence)), chunk))
         return F.array_join(F.slice(words, first, k["size"]), " ")
 
-    shown = F.array_sort(F.array_distinct(F.transform("kept", as_written)))
-    return bodies.join(kept, "unit", "left").select(
-        "unit", F.coalesce(shown, F.array().cast("array<string>")).alias("yake_tags")
-    )
+    empty = F.array().cast("array<string>")
+    joined = bodies.join(kept, "unit", "left")
+    if "part" not in texts.columns:
+        shown = F.array_sort(F.array_distinct(F.transform("kept", as_written)))
+        return joined.select("unit", F.coalesce(shown, empty).alias("yake_tags"))
+
+    def in_row(k):
+        place = F.shiftright(k["at"], 2 * BITS)
+        return (place >= F.col("n_before")) & (place < F.col("n_before") + F.size("body"))
+
+    shown = F.transform(F.filter("kept", in_row), as_written)
+    rows = joined.select("unit", F.coalesce(shown, empty).alias("shown"))
+    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_list("shown"))))
+    return rows.groupBy("unit").agg(tags.alias("yake_tags"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from sitemill import constants as C
 from sitemill.functions import text as X
 from sitemill.functions import urls
 from sitemill.models import Models, apply_model, with_key_vectors
-from sitemill.operators.classify import classify
+from sitemill.operators.classify import anchor_vectors, classify
 from sitemill.operators.embedding import embed_texts
 from sitemill.operators.entities import entity_names, entity_tags, location_tags, record_name
 from sitemill.operators.facts import complete_addresses
@@ -24,6 +25,7 @@ from sitemill.operators.keywords import keywords
 from sitemill.operators.summaries import descriptions
 from sitemill.operators.vocabulary import fold_terms, vocabulary_matches
 from sitemill.schemas import TAGS
+from sitemill.sources.inputs import PageStore
 from sitemill.workspace import spread, stage
 
 NO_TEXT = "no_text"
@@ -58,23 +60,26 @@ def success_rows(records: DataFrame) -> DataFrame:
     return records.where(~F.col("failure"))
 
 
-def texts_from_links(lists: DataFrame, facts: DataFrame) -> DataFrame:
+def texts_from_links(lists: DataFrame, store: PageStore) -> DataFrame:
     """``(unit, text)`` for ``(unit, links ARRAY)``: texts of the valid links, joined in link order."""
     asked = lists.select("unit", F.posexplode("links").alias("position", "link"))
-    keyed = asked.where(urls.is_good(F.col("link"))).withColumn("url", urls.clean_url(F.col("link")))
-    found = keyed.join(facts.select("url", "text"), "url").where(F.col("text").isNotNull())
+    keyed = asked.where(urls.is_good(F.col("link"))).withColumn("url", urls.page_key(F.col("link")))
+    found = keyed.join(store.texts(keyed.select("url").distinct()), "url").where(F.col("text").isNotNull())
     joined = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("found"))
     whole = lists.select("unit").join(joined, "unit", "left")
     return whole.select("unit", F.coalesce(F.array_join("found.text", " "), F.lit("")).alias("text"))
 
 
-def _or_model(texts: DataFrame, models: Models, slot: str, name: str, built_in) -> DataFrame:
+def _or_model(texts: DataFrame, models: Models, slot: str, name: str, built_in) -> tuple[DataFrame, DataFrame | None]:
+    """The field of each unit, and ``(unit, error)`` where a model made it."""
     if getattr(models, slot) is None:
-        return built_in()
-    return apply_model(texts, models, slot).select("unit", F.col("value").alias(name))
+        return built_in(), None
+    done = apply_model(texts, models, slot)
+    return done.select("unit", F.col("value").alias(name)), done.select("unit", "error")
 
 
 def _descriptions(texts: DataFrame, models: Models) -> DataFrame:
+    """Descriptions; a summariser that fails gives the fixed note, which is no failure of the record."""
     if models.short_description is None and models.long_description is None:
         return descriptions(texts)
     capped = texts.select("unit", X.summary_input(F.col("text")).alias("text"))
@@ -88,21 +93,41 @@ def _descriptions(texts: DataFrame, models: Models) -> DataFrame:
     return both
 
 
-def _reached(pairs: DataFrame, vocabulary: DataFrame, threshold: float, models: Models) -> DataFrame:
-    """``(unit, terms)`` of the vocabulary reached from ``(unit, keyword)`` rows.
+def _reached(pairs: DataFrame, vocabulary: DataFrame, threshold: float, models: Models) -> tuple[DataFrame, DataFrame | None]:
+    """``(unit, terms)`` of the vocabulary reached from ``(unit, keyword)`` rows, and ``(unit, error)``.
+
+    A term of the vocabulary that cannot be embedded fails the job, a keyword fails its units.
 
     Each distinct keyword is embedded and scored once.  A keyword of very many units makes a skewed
     join key; that join feeds a grouping on another key, so adaptive execution can split it.
     """
     terms = with_key_vectors(vocabulary.select("term").distinct(), "term", models)
     each = with_key_vectors(spread(pairs.select("keyword").distinct(), "keyword"), "keyword", models)
-    return fold_terms(pairs.join(vocabulary_matches(each, terms, threshold), "keyword"))
+    errors = None
+    if models.key_vector is not None:
+        failed = terms.where("vector IS NULL").select("error").first()
+        if failed:
+            raise ValueError(f"the vocabulary cannot be embedded: {failed['error']}")
+        errors = pairs.join(each.where("error IS NOT NULL").select("keyword", "error"), "keyword").select("unit", "error")
+    hits = vocabulary_matches(each.select("keyword", "vector"), terms, threshold)
+    return fold_terms(pairs.join(hits, "keyword")), errors
 
 
-def _key_texts(texts: DataFrame, models: Models) -> DataFrame:
+def _key_texts(texts: DataFrame, models: Models) -> tuple[DataFrame, DataFrame | None]:
     if models.key_vector is None:
-        return embed_texts(texts, models.dim)
-    return apply_model(texts, models, "key_vector").select("unit", F.col("value").alias("vector"))
+        return embed_texts(texts, models.dim), None
+    done = apply_model(texts, models, "key_vector")
+    return done.select("unit", F.col("value").alias("vector")), done.select("unit", "error")
+
+
+def _with_errors(records: DataFrame, *found: DataFrame | None) -> DataFrame:
+    """``records`` with ``failure_reason`` set to the first error of each unit, if it has none yet."""
+    tables = [t for t in found if t is not None]
+    if not tables:
+        return records
+    errors = reduce(DataFrame.unionByName, tables).where("error IS NOT NULL").groupBy("unit").agg(F.min("error").alias("_error"))
+    joined = records.join(errors, "unit", "left")
+    return joined.withColumn("failure_reason", F.coalesce("failure_reason", "_error")).drop("_error")
 
 
 def _common(texts: DataFrame, refs: References, keyword_texts) -> DataFrame:
@@ -111,17 +136,21 @@ def _common(texts: DataFrame, refs: References, keyword_texts) -> DataFrame:
     none = F.array().cast("array<string>")
     described = stage(_descriptions(texts, models), "descriptions")
     named_from = described.select("unit", F.concat("short_description", "long_description").alias("text"))
-    name = _or_model(named_from, models, "name", "name", lambda: record_name(named_from))
-    tags = _or_model(texts, models, "entities", "ner_tags", lambda: entity_tags(texts, refs.gazetteer))
-    vector = _or_model(texts, models, "embedding", "embedding", lambda: embed_texts(texts, models.dim).withColumnRenamed("vector", "embedding"))
+    name, no_name = _or_model(named_from, models, "name", "name", lambda: record_name(named_from))
+    tags, no_tags = _or_model(texts, models, "entities", "ner_tags", lambda: entity_tags(texts, refs.gazetteer))
+    own_vectors = lambda: embed_texts(texts, models.dim).withColumnRenamed("vector", "embedding")
+    vector, no_vector = _or_model(texts, models, "embedding", "embedding", own_vectors)
     found = texts.select("unit", X.addresses(F.col("text")).alias("address"))
     address = complete_addresses(found.where(F.size("address") > 0), refs.places)
     source = keyword_texts(texts, described)
-    words = _or_model(source, models, "keywords", "yake_tags", lambda: keywords(source))
+    words, no_words = _or_model(source, models, "keywords", "yake_tags", lambda: keywords(source))
     facts = texts.select(
-        "unit", X.emails(F.col("text")).alias("contactEmail"), X.phones(F.col("text")).alias("phoneNumber")
+        "unit",
+        X.emails(F.col("text")).alias("contactEmail"),
+        X.phones(F.col("text")).alias("phoneNumber"),
+        F.lit(None).cast("string").alias("failure_reason"),
     )
-    joined = facts
+    joined = _with_errors(facts, no_name, no_tags, no_vector, no_words)
     for part in (described, name, tags, vector, address, words):
         joined = joined.join(part, "unit", "left")
     tags_or_none = F.coalesce("ner_tags", F.array().cast(TAGS))
@@ -138,6 +167,7 @@ def _common(texts: DataFrame, refs: References, keyword_texts) -> DataFrame:
             tags_or_none.alias("ner_tags"),
             location_tags(tags_or_none).alias("location_tags"),
             F.coalesce("yake_tags", none).alias("yake_tags"),
+            "failure_reason",
         ),
         "common",
     )
@@ -150,7 +180,16 @@ def _with_terms(records: DataFrame, found: DataFrame, name: str) -> DataFrame:
 
 def _classified(records: DataFrame, vocabulary_terms: str, models: Models) -> DataFrame:
     joined = records.select("unit", F.array_join(F.concat("yake_tags", vocabulary_terms), ",").alias("text"))
-    return records.join(classify(_key_texts(joined, models)), "unit", "left")
+    vectors, errors = _key_texts(joined, models)
+    anchors = anchor_vectors(records.sparkSession, models)
+    return _with_errors(records, errors).join(classify(vectors, anchors), "unit", "left")
+
+
+def _made(records: DataFrame, keep_failed: bool, fields: tuple) -> DataFrame:
+    """The record fields; units with a failed model only on request, with their ``failure_reason``."""
+    if keep_failed:
+        return records.select(*fields, "failure_reason")
+    return records.where("failure_reason IS NULL").select(*fields)
 
 
 def usable(texts: DataFrame) -> DataFrame:
@@ -158,7 +197,11 @@ def usable(texts: DataFrame) -> DataFrame:
 
 
 def records(
-    texts: DataFrame, vocabularies: Sequence[tuple[Column, DataFrame]], ecosystem: str, refs: References
+    texts: DataFrame,
+    vocabularies: Sequence[tuple[Column, DataFrame]],
+    ecosystem: str,
+    refs: References,
+    keep_failed: bool = False,
 ) -> DataFrame:
     """Records with one vocabulary each, from ``(unit, text)``; short texts give none.
 
@@ -168,15 +211,15 @@ def records(
     plain = stage(texts.where(X.has_context(F.col("text"))), "texts")
     common = _common(plain.select("unit", "text"), refs, lambda t, _: t)
     keyword_rows = common.select("unit", F.explode("yake_tags").alias("keyword"))
-    parts = []
+    parts, errors = [], []
     for condition, vocabulary in vocabularies:
         mine = keyword_rows.join(plain.where(condition).select("unit"), "unit", "left_semi")
-        parts.append(_reached(mine, vocabulary, C.HOUSE_THRESHOLD, refs.models))
-    reached = parts[0]
-    for part in parts[1:]:
-        reached = reached.unionByName(part)
-    done = stage(_with_terms(common, reached, "all_keywords"), "keyworded")
-    return _classified(done, "all_keywords", refs.models).select(
+        found, failed = _reached(mine, vocabulary, C.HOUSE_THRESHOLD, refs.models)
+        parts.append(found)
+        errors.append(failed)
+    reached = reduce(DataFrame.unionByName, parts)
+    done = stage(_with_errors(_with_terms(common, reached, "all_keywords"), *errors), "keyworded")
+    fields = (
         "name",
         F.col("unit").alias("mainURL"),
         "address",
@@ -193,10 +236,16 @@ def records(
         "subtype",
         F.lit(ecosystem).alias("forEcosystem"),
     )
+    return _made(_classified(done, "all_keywords", refs.models), keep_failed, fields)
 
 
 def dual_records(
-    texts: DataFrame, house: DataFrame, paradigm: DataFrame, ecosystem: str, refs: References
+    texts: DataFrame,
+    house: DataFrame,
+    paradigm: DataFrame,
+    ecosystem: str,
+    refs: References,
+    keep_failed: bool = False,
 ) -> DataFrame:
     """Records with a house and a paradigm vocabulary.
 
@@ -212,13 +261,13 @@ def dual_records(
 
     common = _common(plain, refs, with_long)
     keyword_rows = common.select("unit", F.explode("yake_tags").alias("keyword"))
-    in_house = _reached(keyword_rows, house, C.DUAL_HOUSE_THRESHOLD, refs.models)
-    done = stage(_with_terms(common, in_house, "vocabulary_keywords"), "keyworded")
+    in_house, failed = _reached(keyword_rows, house, C.DUAL_HOUSE_THRESHOLD, refs.models)
+    done = stage(_with_errors(_with_terms(common, in_house, "vocabulary_keywords"), failed), "keyworded")
     pool = F.concat("yake_tags", "vocabulary_keywords", entity_names(F.col("ner_tags")))
     pairs = done.select("unit", F.explode(F.array_distinct(pool)).alias("keyword"))
-    in_paradigm = _reached(pairs, paradigm, C.DUAL_PARADIGM_THRESHOLD, refs.models)
+    in_paradigm, failed = _reached(pairs, paradigm, C.DUAL_PARADIGM_THRESHOLD, refs.models)
     both = _with_terms(_classified(done, "vocabulary_keywords", refs.models), in_paradigm, "paradigm_keywords")
-    return both.select(
+    fields = (
         "name",
         F.col("unit").alias("mainURL"),
         "address",
@@ -237,3 +286,4 @@ def dual_records(
         F.lit(ecosystem).alias("forEcosystem"),
         F.lit(False).alias("failure"),
     )
+    return _made(_with_errors(both, failed), keep_failed, fields)

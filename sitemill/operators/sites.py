@@ -1,8 +1,8 @@
 """Texts and reports of whole sites.
 
-A site's pages are joined in parts of a fixed number of pages.  Sites found by one hop or by their
-published list always fit in the first part; only a crawl can give a site more parts.  No step
-gathers more than one part, so a very large site stays spread over the cluster.
+A site's text is a table of parts of a fixed number of pages, for sites of any size; no step gathers
+more than one part's text.  A report is one row per site: its page list, its distinct contacts as
+rows folded per site, and its keywords over all parts.
 """
 
 from __future__ import annotations
@@ -12,48 +12,79 @@ from pyspark.sql import functions as F
 
 from sitemill import constants as C
 from sitemill.functions import markup, text, urls
+from sitemill.operators.discovery import CRAWL
 from sitemill.operators.ranking import rank_within, top_k
 
 PAGES_PER_PART = 200
 
 
-def site_texts(site_pages: DataFrame, facts: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """``(homepage, part, subdomains, raw_text)``: page texts joined in page order, stripped once more.
+def page_rows(site_pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(homepage, position, link, text)`` for all pages of all sites.
 
-    Pages that fail the link filter or have no text are listed but give no text.
+    Pages that fail the link filter or have no text are listed with a null text.  A ``method`` column
+    of the pages is used: the texts of crawled sites have their line ends blanked.
     """
-    keyed = site_pages.withColumn("part", F.floor((F.col("position") - 1) / pages_per_part)).withColumn(
-        "url", F.when(urls.is_good(F.col("link")), urls.clean_url(F.col("link")))
-    )
-    with_text = keyed.join(facts.select("url", "text"), "url", "left")
-    grouped = with_text.groupBy("homepage", "part").agg(
-        F.array_sort(F.collect_list(F.struct("position", "link", "text"))).alias("pages")
+    found = site_pages if "method" in site_pages.columns else site_pages.withColumn("method", F.lit(None).cast("int"))
+    keyed = found.withColumn("url", F.when(urls.is_good(F.col("link")), urls.page_key(F.col("link"))))
+    joined = keyed.join(facts.select("url", "text"), "url", "left")
+    shown = F.when(F.col("method") == CRAWL, markup.one_line(F.col("text"))).otherwise(F.col("text"))
+    return joined.select("homepage", "position", "link", shown.alias("text"))
+
+
+def site_texts(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
+    """``(homepage, part, n_pages, raw_text)`` of page rows: texts joined in page order."""
+    placed = pages.withColumn("part", F.floor((F.col("position") - 1) / pages_per_part))
+    texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("position", "text"))))
+    grouped = placed.groupBy("homepage", "part").agg(F.count("*").alias("n_pages"), texts.alias("pages"))
+    return grouped.select("homepage", "part", "n_pages", F.array_join("pages.text", " ").alias("raw_text"))
+
+
+def site_contacts(pages: DataFrame) -> DataFrame:
+    """``(homepage, phones, emails, address)``: what the pages of a site show, each value once, sorted.
+
+    A match lies within one page.  Values are folded as rows before they become one list per site.
+    """
+
+    def tagged(kind, values):
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    shown = F.col("text")
+    found = F.concat(
+        tagged("phone", text.phones(shown)), tagged("email", text.emails(shown)), tagged("address", text.addresses(shown))
     )
-    return grouped.select(
-        "homepage",
-        "part",
-        F.col("pages.link").alias("subdomains"),
-        markup.strip_markup(F.array_join("pages.text", " ")).alias("raw_text"),
+    rows = pages.where(shown.isNotNull()).select("homepage", F.explode(found).alias("hit"))
+    once = rows.select("homepage", "hit.kind", "hit.value").distinct()
+
+    def values(kind):
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
+
+    return once.groupBy("homepage").agg(
+        values("phone").alias("phones"), values("email").alias("emails"), values("address").alias("address")
     )
 
 
-def site_report(site_texts: DataFrame, keywords: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
-    """Nested report rows; ``keywords`` and ``addresses`` are keyed by (homepage, part) when given."""
-    key = ["homepage", "part"]
+def site_report(pages: DataFrame, keywords: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
+    """One nested report row per site.
+
+    ``keywords`` is ``(homepage, yake_tags)``; ``addresses`` is ``(homepage, address)`` and replaces the
+    addresses as found.  The text of the site is in the parts table.
+    """
     none = F.array().cast("array<string>")
-    report = site_texts
-    for extra, name in ((keywords, "yake_tags"), (addresses, "address")):
-        report = report.join(extra, key, "left") if extra is not None else report.withColumn(name, none)
+    listed = F.array_sort(F.collect_list(F.struct("position", "link")))
+    report = pages.groupBy("homepage").agg(listed.alias("listed")).select("homepage", F.col("listed.link").alias("subdomains"))
+    contacts = site_contacts(pages)
+    if addresses is not None:
+        contacts = contacts.drop("address").join(addresses, "homepage", "left")
+    report = report.join(contacts, "homepage", "left")
+    report = report.join(keywords, "homepage", "left") if keywords is not None else report.withColumn("yake_tags", none)
     return report.select(
         "homepage",
-        "part",
         F.struct(
             "subdomains",
             F.coalesce("address", none).alias("addresses"),
-            text.phones(F.col("raw_text")).alias("phoneNumbers"),
-            text.emails(F.col("raw_text")).alias("emails"),
+            F.coalesce("phones", none).alias("phoneNumbers"),
+            F.coalesce("emails", none).alias("emails"),
             F.coalesce("yake_tags", none).alias("yake_tags"),
-            "raw_text",
         ).alias("subdomain_reports"),
     )
 

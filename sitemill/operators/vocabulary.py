@@ -1,88 +1,105 @@
 """Scores of keyword vectors against a vocabulary, and the threshold join built on them.
 
-The vocabulary side is counted before anything is sent to the executors.  Up to ``MAX_BROADCAST``
-terms it travels as one matrix and every batch of keywords is one matrix product, so no pair rows
-and no shuffle arise.  A larger vocabulary is cut into blocks that are joined to packs of keywords
-on the block number; the same product runs per pack and block.
+The vocabulary is cut into blocks of a bounded number of cells.  One block at a time goes to the
+executors as a matrix, and every batch of keywords is multiplied with it in tiles of a bounded number
+of cells, so neither the driver nor a task holds more, whatever the two sides' sizes.  There is no
+shuffle; with several blocks a keyword comes in one row per block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemill.workspace import stage
 
-MAX_BROADCAST = 20_000
-PACK_ROWS = 2_000
+#: Numbers in one block of the vocabulary, and scores that one tile of the product holds.
+BLOCK_CELLS, TILE_CELLS = 4_000_000, 2_000_000
 
 
-def _collect_bounded(vocabulary: DataFrame, limit: int) -> tuple[list[str], np.ndarray] | None:
-    rows = vocabulary.select("term", "vector").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    rows.sort(key=lambda r: r["term"])
-    return [r["term"] for r in rows], np.array([r["vector"] for r in rows], dtype="float64")
+def _blocks(vocabulary: DataFrame, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms in order and their vectors as columns, one bounded block after another."""
+    known = stage(vocabulary.select("term", "vector").where("term IS NOT NULL AND vector IS NOT NULL"), "vocabulary")
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * (size["dim"] or 1) // cells))
+    for b in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()
+        rows.sort(key=lambda r: r["term"])
+        matrix = np.array([r["vector"] for r in rows], dtype="float64").reshape(len(rows), -1)
+        yield np.array([r["term"] for r in rows], dtype=object), np.ascontiguousarray(matrix.T)
 
 
-def score_column(vector: Column, matrix: np.ndarray) -> Column:
-    """Dot products of a vector with every row of a matrix of bounded size, in row order."""
-    fixed = np.ascontiguousarray(matrix.T)
+def _tiles(batch: pa.RecordBatch, columns: np.ndarray, cells: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the rows that have a vector, with their scores against all columns."""
+    vectors = batch.column("vector")
+    rows = batch.take(pa.array(np.flatnonzero(np.asarray(vectors.is_valid()))))
+    step = max(1, cells // max(1, columns.shape[1]))
+    for i in range(0, rows.num_rows, step):
+        part = rows.slice(i, step)
+        given = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        yield part, given @ columns if columns.size else np.zeros((part.num_rows, 0))
 
-    @F.pandas_udf("array<double>")
-    def scores(batch: pd.Series) -> pd.Series:
-        if len(batch) == 0 or fixed.size == 0:
-            return pd.Series([[] for _ in range(len(batch))])
-        return pd.Series(list(np.stack(batch.to_numpy()) @ fixed))
 
-    return scores(vector)
+def dot_scores(
+    queries: DataFrame, vocabulary: DataFrame, block_cells: int = BLOCK_CELLS, tile_cells: int = TILE_CELLS
+) -> DataFrame:
+    """``queries`` with ``(term, score)`` for every vocabulary term, one row each; none for a null vector."""
+    held = [f for f in queries.schema.fields if f.name != "vector"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held] + ["term string", "score double"])
+    names = [*(f.name for f in held), "term", "score"]
 
+    def scored(terms: np.ndarray, columns: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, scores in _tiles(batch, columns, tile_cells):
+                    rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), len(terms))))
+                    named = pa.array(np.tile(terms, part.num_rows), pa.string())
+                    yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in held), named, pa.array(scores.ravel())], names)
 
-def dot_scores(queries: DataFrame, vocabulary: DataFrame, max_terms: int = MAX_BROADCAST) -> DataFrame:
-    """``queries`` with ``(term, score)`` for every vocabulary term, one row each."""
-    fixed = _collect_bounded(vocabulary, max_terms)
-    if fixed is None:
-        return _blocked(queries, vocabulary, max_terms, None)
-    terms, matrix = fixed
-    named = F.arrays_zip(F.array(*[F.lit(t) for t in terms]).alias("term"), F.col("_scores").alias("score"))
-    scored = queries.withColumn("_scores", score_column(F.col("vector"), matrix))
-    return scored.withColumn("_hit", F.explode(named)).select(
-        *[c for c in queries.columns if c != "vector"], F.col("_hit.term").alias("term"), F.col("_hit.score").alias("score")
-    )
+        return queries.mapInArrow(run, schema)
 
+    return reduce(DataFrame.unionByName, [scored(*block) for block in _blocks(vocabulary, block_cells)])
 
-def ranked_scores(queries: DataFrame, key: str, vocabulary: DataFrame, max_terms: int = MAX_BROADCAST) -> DataFrame:
+
+def ranked_scores(queries: DataFrame, key: str, vocabulary: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """Scores of each query from best to worst; ties in term order.  A group is one vocabulary."""
     best_first = Window.partitionBy(key).orderBy(F.desc(F.round("score", 6)), "term")
-    return dot_scores(queries, vocabulary, max_terms).withColumn(
+    return dot_scores(queries, vocabulary, block_cells).withColumn(
         "position", F.row_number().over(best_first).cast("bigint")
     )
 
 
 def vocabulary_matches(
-    queries: DataFrame, vocabulary: DataFrame, threshold: float, max_terms: int = MAX_BROADCAST
+    queries: DataFrame, vocabulary: DataFrame, threshold: float, block_cells: int = BLOCK_CELLS, tile_cells: int = TILE_CELLS
 ) -> DataFrame:
     """``queries`` (with ``vector``) and the vocabulary ``terms`` that score above the threshold.
 
-    Queries that reach no term are left out; a query of a blocked vocabulary may come in several rows.
+    A query comes once per block of the vocabulary, with an empty list where it reaches no term; a
+    query with a null vector reaches none.
     """
-    fixed = _collect_bounded(vocabulary, max_terms)
-    if fixed is None:
-        hits = _blocked(queries, vocabulary, max_terms, threshold)
-        return hits.withColumn("terms", F.array("term")).drop("score", "term")
-    terms, matrix = fixed
-    names, columns = np.array(terms, dtype=object), np.ascontiguousarray(matrix.T)
+    held = [f for f in queries.schema.fields if f.name != "vector"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held] + ["terms array<string>"])
+    names = [*(f.name for f in held), "terms"]
+
+    def matched(terms: np.ndarray, columns: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                blank = batch.take(pa.array(np.flatnonzero(~np.asarray(batch.column("vector").is_valid()))))
+                tiles = [(blank, np.zeros((blank.num_rows, 0)))] if blank.num_rows else []
+                for part, scores in [*tiles, *_tiles(batch, columns, tile_cells)]:
+                    row, term = np.nonzero(np.round(scores, 4) > threshold)
+                    places = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(places), pa.array(terms[term], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in held), lists], names)
 
-    @F.pandas_udf("array<string>")
-    def matches(batch: pd.Series) -> pd.Series:
-        if len(batch) == 0 or columns.size == 0:
-            return pd.Series([[] for _ in range(len(batch))], dtype=object)
-        above = np.round(np.stack(batch.to_numpy()) @ columns, 4) > threshold
-        return pd.Series([list(names[row]) for row in above], dtype=object)
+        return queries.mapInArrow(run, schema)
 
-    return queries.withColumn("terms", matches("vector")).drop("vector").where(F.size("terms") > 0)
+    return reduce(DataFrame.unionByName, [matched(*block) for block in _blocks(vocabulary, block_cells)])
 
 
 def fold_terms(hits: DataFrame) -> DataFrame:
@@ -92,46 +109,14 @@ def fold_terms(hits: DataFrame) -> DataFrame:
     )
 
 
-def _blocked(queries: DataFrame, vocabulary: DataFrame, block_terms: int, threshold: float | None) -> DataFrame:
-    """Scores, or those above a threshold, for a vocabulary of any size."""
-    queries, vocabulary = stage(queries, "queries"), stage(vocabulary.select("term", "vector"), "vocabulary")
-    blocks = -(-vocabulary.count() // block_terms) * 2
-    packs = max(1, -(-queries.count() // PACK_ROWS))
-    held = [c for c in queries.columns if c != "vector"]
-    right = vocabulary.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)))
-    right = right.groupBy("block").agg(
-        F.collect_list("term").alias("terms"), F.collect_list("vector").alias("targets")
-    )
-    left = queries.withColumn("pack", F.pmod(F.xxhash64(*queries.columns), F.lit(packs)))
-    left = left.groupBy("pack").agg(F.collect_list(F.struct(*held)).alias("rows"), F.collect_list("vector").alias("vectors"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = left.join(right, "block").select("rows", "vectors", "terms", "targets")
-
-    # One row is one pack against one block; a hit is (row in the pack, term in the block, score).
-    @F.pandas_udf("array<struct<q:int,t:int,score:double>>")
-    def product(vectors: pd.Series, targets: pd.Series) -> pd.Series:
-        out = []
-        for v, t in zip(vectors, targets):
-            scores = np.stack(list(v)) @ np.stack(list(t)).T
-            kept = np.ones_like(scores, dtype=bool) if threshold is None else np.round(scores, 4) > threshold
-            out.append([{"q": int(q), "t": int(k), "score": float(scores[q, k])} for q, k in zip(*np.nonzero(kept))])
-        return pd.Series(out)
-
-    hits = pairs.withColumn("hit", F.explode(product("vectors", "targets")))
-    row = F.get(F.col("rows"), F.col("hit.q"))
-    return hits.select(
-        *[row[c].alias(c) for c in held], F.get(F.col("terms"), F.col("hit.t")).alias("term"), F.col("hit.score").alias("score")
-    )
-
-
 def keywords_to_vocabulary(
-    keywords: DataFrame, vocabulary: DataFrame, threshold: float, max_terms: int = MAX_BROADCAST
+    keywords: DataFrame, vocabulary: DataFrame, threshold: float, block_cells: int = BLOCK_CELLS
 ) -> DataFrame:
     """``(unit, terms)``: the distinct vocabulary terms that any keyword of the unit reaches, sorted.
 
-    ``keywords`` is ``(unit, vector)``.
+    ``keywords`` is ``(unit, vector)``; a unit that reaches no term has an empty list.
     """
-    return fold_terms(vocabulary_matches(keywords.select("unit", "vector"), vocabulary, threshold, max_terms))
+    return fold_terms(vocabulary_matches(keywords.select("unit", "vector"), vocabulary, threshold, block_cells))
 
 
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:

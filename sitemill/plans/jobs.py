@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemill import constants as C
-from sitemill.functions import text as X
 from sitemill.functions import urls
 from sitemill.operators import discovery, records, routing, sites
 from sitemill.operators.facts import complete_addresses
@@ -29,6 +28,7 @@ from sitemill.workspace import stage
 HOUSE, PARADIGM, DUAL = "house", "paradigm", "dual"
 NO_PAGES = "no_pages"
 SHORT_SITE = "short_site_text"
+LONG_LINK = "long_link"
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ class JobResult:
     domain_records: DataFrame
     subdomain_records: DataFrame
     site_reports: DataFrame
+    site_texts: DataFrame
     failures: DataFrame
     counts: DataFrame
 
@@ -44,6 +45,7 @@ class JobResult:
             jsonl.DOMAIN_RECORDS: self.domain_records,
             jsonl.SUBDOMAIN_RECORDS: self.subdomain_records,
             jsonl.SITE_REPORTS: self.site_reports,
+            jsonl.SITE_TEXTS: self.site_texts,
             jsonl.FAILURES: self.failures,
         }
 
@@ -55,19 +57,13 @@ class JobResult:
         }
 
 
-def _split_unit(texts: DataFrame) -> DataFrame:
-    return texts.select(F.to_json(F.struct("homepage", "part")).alias("unit"), "raw_text", "homepage", "part")
-
-
-def site_reports(site_texts: DataFrame, refs: References) -> DataFrame:
-    """Full reports with keywords and completed addresses per part."""
-    keyed = _split_unit(site_texts)
-    names = keyed.select("unit", "homepage", "part")
-    words = keywords(keyed.select("unit", F.col("raw_text").alias("text")))
-    found = keyed.select("unit", X.addresses(F.col("raw_text")).alias("address")).where(F.size("address") > 0)
-    addresses = complete_addresses(found, refs.places)
+def site_reports(pages: DataFrame, site_texts: DataFrame, refs: References) -> DataFrame:
+    """Full reports, one per site, with keywords and completed addresses."""
+    words = keywords(site_texts.select(F.col("homepage").alias("unit"), "part", F.col("raw_text").alias("text")))
+    found = sites.site_contacts(pages).where(F.size("address") > 0)
+    addresses = complete_addresses(found.select(F.col("homepage").alias("unit"), "address"), refs.places)
     return sites.site_report(
-        site_texts, names.join(words, "unit").drop("unit"), names.join(addresses, "unit").drop("unit")
+        pages, words.withColumnRenamed("unit", "homepage"), addresses.withColumnRenamed("unit", "homepage")
     )
 
 
@@ -105,48 +101,51 @@ def run_job(
     subs = routing.subdomains(routed, honour_deny_list)
     once_homes, once_subs = homes.distinct(), stage(subs.distinct(), "subdomains")
 
-    facts = stage(inputs.page_facts(pages, unique_pages), "facts")
-    edges = inputs.page_edges(facts)
-    if extra_edges is not None:
-        edges = edges.unionByName(extra_edges.select("src", "position", "dst"))
-    published = inputs.published_pages(facts) if sitemap is None else sitemap
-    found, lost = discovery.discover_sites(once_homes, edges, facts.select("url", "text"), published)
+    store = inputs.PageStore(pages, unique_pages, extra_edges, sitemap)
+    found, lost = discovery.discover_sites(once_homes, store)
+    valid_subs = once_subs.where(urls.is_good(F.col("link")))
+    asked = found.select("link").unionByName(valid_subs).where(urls.is_good(F.col("link")))
+    asked = asked.select(urls.page_key(F.col("link")).alias("url")).distinct()
+    facts = stage(store.texts(asked), "facts")
 
-    site_texts = stage(sites.site_texts(found, facts, pages_per_part), "site-texts")
+    site_pages = stage(sites.page_rows(found, facts), "site-pages")
+    site_texts = stage(sites.site_texts(site_pages, pages_per_part), "site-texts")
     gated = sites.record_texts(site_texts).select(F.col("homepage").alias("unit"), F.col("txt").alias("text"))
-    valid_subs = once_subs.where(urls.is_good(F.col("link")))
-    fetched = once_subs.join(inputs.fetch(valid_subs, facts), "link", "left")
-    fetched = fetched.select(F.col("link").alias("unit"), "text")
+    keyed = once_subs.withColumn("url", F.when(urls.is_good(F.col("link")), urls.page_key(F.col("link"))))
+    fetched = keyed.join(facts, "url", "left").select(F.col("link").alias("unit"), "text")
     texts = gated.withColumn("domain", F.lit(True)).unionByName(fetched.withColumn("domain", F.lit(False)))
     texts = stage(texts, "record-texts")
 
     reason = F.coalesce(
-        F.when(F.col("domain") & F.col("text").isNull(), SHORT_SITE), records.text_failure(F.col("text"))
+        F.when(F.col("domain") & F.col("text").isNull(), SHORT_SITE),
+        F.when(~F.col("domain") & urls.is_too_long(F.col("unit")), LONG_LINK),
+        records.text_failure(F.col("text")),
     )
     if mode == DUAL:
         given = F.lit(job), F.lit(None if paradigm is None else "given")
         reason = F.coalesce(records.parameter_failure(*given), reason)
     failed = texts.select(F.col("unit").alias("mainURL"), reason.alias("failure_reason"))
     no_pages = lost.select(F.col("homepage").alias("mainURL"), F.lit(NO_PAGES).alias("failure_reason"))
-    failures = records.failure_rows(failed.unionByName(no_pages).unionByName(invalid))
-
     domain = F.col("domain")
     if mode == DUAL and (job is None or paradigm is None):
-        made = records.dual_records(texts.where(F.lit(False)), house, house, job or "", refs)
+        made = records.dual_records(texts.where(F.lit(False)), house, house, job or "", refs, keep_failed=True)
     elif mode == DUAL:
-        made = records.dual_records(texts, house, paradigm, job, refs)
+        made = records.dual_records(texts, house, paradigm, job, refs, keep_failed=True)
     elif mode == PARADIGM:
-        made = records.records(texts, [(domain, paradigm), (~domain, house)], job, refs)
+        made = records.records(texts, [(domain, paradigm), (~domain, house)], job, refs, keep_failed=True)
     else:
-        made = records.records(texts, [(F.lit(True), house)], job, refs)
-    made = stage(made, "records")
+        made = records.records(texts, [(F.lit(True), house)], job, refs, keep_failed=True)
+    every = stage(made, "records")
+    broken = every.where("failure_reason IS NOT NULL").select("mainURL", "failure_reason")
+    failures = records.failure_rows(failed.unionByName(no_pages).unionByName(invalid).unionByName(broken))
+    made = every.where("failure_reason IS NULL").drop("failure_reason")
     kinds = texts.select(F.col("unit").alias("mainURL"), "domain")
     of_domain = made.join(kinds.where(domain), "mainURL", "left_semi").select(*made.columns)
     of_pages = made.join(kinds.where(~domain), "mainURL", "left_semi").select(*made.columns)
     if keep_duplicates:
         of_domain = homes.select(F.col("homepage").alias("mainURL")).join(of_domain, "mainURL").select(*made.columns)
         of_pages = subs.select(F.col("link").alias("mainURL")).join(of_pages, "mainURL").select(*made.columns)
-    return JobResult(of_domain, of_pages, site_reports(site_texts, refs), failures, counts)
+    return JobResult(of_domain, of_pages, site_reports(site_pages, site_texts, refs), site_texts, failures, counts)
 
 
 def run_single(
@@ -154,15 +153,22 @@ def run_single(
 ) -> DataFrame:
     """One record from the link list of each ``(links ARRAY)`` row; failed ones carry a message.
 
-    Returns the record fields plus ``msg``, which is null for a record.
+    Returns the record fields, named by the first link of the list, plus ``msg``, which is null for a
+    record.  Every row gives one row, also if lists share their first link or are empty.
     """
-    facts = inputs.page_texts(pages)
-    lists = links.select(F.col("links")[0].alias("unit"), "links")
-    texts = stage(records.texts_from_links(lists, facts), "single")
-    made = records.records(texts, [(F.lit(True), vocabulary)], ecosystem, refs)
-    note = F.concat(F.lit("no record for "), F.col("unit"), F.lit(": "), records.text_failure(F.col("text")))
-    asked = texts.select(F.col("unit").alias("mainURL"), note.alias("msg"))
-    return asked.join(made, "mainURL", "left")
+    # The row key is staged with the lists: it is made up, and must not change between its two uses.
+    lists = stage(links.select(F.expr("uuid()").alias("unit"), "links"), "lists")
+    texts = stage(records.texts_from_links(lists, inputs.PageStore(pages)), "single")
+    made = records.records(texts, [(F.lit(True), vocabulary)], ecosystem, refs, keep_failed=True)
+    first = F.get(F.col("links"), F.lit(0))
+    asked = lists.select("unit", first.alias("first")).join(texts, "unit").withColumnRenamed("text", "_text")
+    joined = asked.join(made.withColumnRenamed("mainURL", "unit"), "unit", "left")
+    reason = F.when(F.col("first").isNull(), "no links").otherwise(
+        F.coalesce(records.text_failure(F.col("_text")), F.col("failure_reason"))
+    )
+    note = F.concat(F.lit("no record for "), F.coalesce("first", F.lit("an empty list")), F.lit(": "), reason)
+    fields = [F.when(reason.isNull(), F.col(c)).alias(c) for c in made.columns if c not in ("mainURL", "failure_reason")]
+    return joined.select(F.col("first").alias("mainURL"), *fields, note.alias("msg"))
 
 
 def write_single_record(record: DataFrame, root: str, ecosystem: str, run: int | None = None) -> str:

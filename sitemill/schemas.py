@@ -17,8 +17,10 @@ DUAL_RECORD = f"""
 """
 
 SITE_REPORT = """
-    homepage STRING, part BIGINT, subdomain_reports STRUCT<subdomains: ARRAY<STRING>, addresses: ARRAY<STRING>,
-    phoneNumbers: ARRAY<STRING>, emails: ARRAY<STRING>, yake_tags: ARRAY<STRING>, raw_text: STRING>
+    homepage STRING, subdomain_reports STRUCT<subdomains: ARRAY<STRING>, addresses: ARRAY<STRING>,
+    phoneNumbers: ARRAY<STRING>, emails: ARRAY<STRING>, yake_tags: ARRAY<STRING>>
 """
 
+SITE_TEXT = "homepage STRING, part BIGINT, n_pages BIGINT, raw_text STRING"
+
 FAILURE = "mainURL STRING, failure BOOLEAN, failure_reason STRING"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 DOMAIN_RECORDS = "domain-records"
 SUBDOMAIN_RECORDS = "subdomain-records"
 SITE_REPORTS = "site-reports"
+SITE_TEXTS = "site-texts"
 FAILURES = "failures"
 
 
@@ -22,8 +23,10 @@ def write_jsonl(df: DataFrame, path: str) -> str:
 
 
 def write_single(df: DataFrame, path: str) -> str:
-    """One object in one file."""
-    return write_jsonl(df.limit(1).coalesce(1), path)
+    """One object in one file; a table of several rows is refused."""
+    if df.limit(2).count() > 1:
+        raise ValueError("one record is written per file; this table has several")
+    return write_jsonl(df.coalesce(1), path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
