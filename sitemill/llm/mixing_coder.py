@@ -34,7 +34,7 @@ from sitemill.workspace import stage
 
 MAGIC = b"MIX1"
 #: Ids after which a block is closed at the end of a document, steps of one lane, and ids of the alphabet.
-BLOCK_IDS, LANE_STEPS, ALPHABET = 1 << 20, 256, 1 << 16
+BLOCK_IDS, LANE_STEPS, ALPHABET = 1 << 20, 128, 1 << 16
 #: Slots of the context tables, and the largest confidence.
 SLOTS, SURE = 1 << 18, 3
 #: Steps between two refreshes of the cumulative order-0 counts.
@@ -46,56 +46,50 @@ _FULL = _U(1 << 32)
 
 
 class Model:
-    """The adaptive state that coder and decoder run through in the same way."""
+    """The adaptive state that coder and decoder run through in the same way.
+
+    An entry of a context table is four times the remembered id plus its confidence.
+    """
 
     def __init__(self, lanes: int):
         self.counts = np.ones(ALPHABET, np.int64)
-        self.guess = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
-        self.sure = [np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.int8)]
+        self.tables = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.choices = np.full(((SURE + 1) ** 2, 3), 8, np.int64)
-        self.before = np.zeros((2, lanes), np.int64)
-        self.fresh = []
+        self.last, self.older = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self._refresh()
 
     def _refresh(self) -> None:
         self.cumulative = np.zeros(ALPHABET + 1, np.int64)
         np.cumsum(self.counts, out=self.cumulative[1:])
-        self.fresh = []
+        self.fresh: list[np.ndarray] = []
 
     def look(self) -> None:
         """Guesses and choice probabilities for the next id of each lane."""
-        last, older = self.before
-        self.slots = [((last * 0x9E3779B1 + older * 0x85EBCA77) >> 7) & (SLOTS - 1), (last * 0x9E3779B1 >> 5) & (SLOTS - 1)]
-        self.high, self.mid = self.guess[0][self.slots[0]], self.guess[1][self.slots[1]]
-        self.context = self.sure[0][self.slots[0]].astype(np.int64) * (SURE + 1) + self.sure[1][self.slots[1]]
-        weights = self.choices[self.context]
-        self.to_one, self.to_two = weights[:, 0], weights[:, 0] + weights[:, 1]
-        self.total = self.to_two + weights[:, 2]
-
-    def choice_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.high, 0, np.where(ids == self.mid, 1, 2))
+        one = self.last * 0x9E3779B1
+        self.slots = ((one + self.older * 0x85EBCA77) >> 7) & (SLOTS - 1), (one >> 5) & (SLOTS - 1)
+        self.entries = self.tables[0].take(self.slots[0]), self.tables[1].take(self.slots[1])
+        self.high, self.mid = self.entries[0] >> 2, self.entries[1] >> 2
+        self.context = ((self.entries[0] & SURE) << 2) | (self.entries[1] & SURE)
+        steps = np.cumsum(self.choices, axis=1)
+        self.to_one, self.to_two, self.total = (steps[:, k].take(self.context) for k in range(3))
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        seen = np.bincount(self.context * 3 + choice, minlength=self.choices.size).reshape(self.choices.shape)
-        self.choices += seen
+        self.choices += np.bincount(self.context * 3 + choice, minlength=self.choices.size).reshape(self.choices.shape)
         large = self.choices.sum(axis=1) > (1 << 20)
         if large.any():
             self.choices[large] = (self.choices[large] + 1) // 2
-        for k, right in enumerate((ids == self.high, ids == self.mid)):
-            slot, sure = self.slots[k], self.sure[k]
-            now = sure[slot]
-            keep = ~right & (now > 0)
-            sure[slot] = np.where(right, np.minimum(now + 1, SURE), np.where(keep, now - 1, 0))
-            fresh = ~right & ~keep
-            self.guess[k][slot[fresh]] = ids[fresh]
+        for table, slot, entry, guess in zip(self.tables, self.slots, self.entries, (self.high, self.mid), strict=True):
+            sure = entry & SURE
+            wrong = np.where(sure > 0, entry - 1, ids << 2)
+            table[slot] = np.where(ids == guess, entry + (sure < SURE), wrong)
         self.fresh.append(ids)
         if len(self.fresh) == REFRESH:
             self.counts += 32 * np.bincount(np.concatenate(self.fresh), minlength=ALPHABET)
             self._refresh()
-        self.before = np.stack([ids, self.before[0][: len(ids)]])
+        self.last, self.older = ids.astype(np.int64), self.last
 
     def narrow(self, lanes: int) -> None:
-        self.before = self.before[:, :lanes]
+        self.last, self.older = self.last[:lanes], self.older[:lanes]
 
 
 class Coder:
@@ -159,6 +153,14 @@ class Reader:
             self.range[short] <<= _U(32)
 
 
+def bounds(choice: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each choice among the counts of its context."""
+    edges = np.stack([np.zeros_like(model.to_one), model.to_one, model.to_two, model.total])
+    lanes = np.arange(len(choice))
+    start = edges[choice, lanes]
+    return start, edges[choice + 1, lanes] - start
+
+
 def _lanes(n: int) -> np.ndarray:
     """Lane lengths, longest first, that differ by one at most."""
     lanes = max(1, -(-n // LANE_STEPS))
@@ -177,12 +179,10 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     for t in range(int(steps[0])):
         lanes = int(np.searchsorted(-steps, -t))  # the lanes that have a t-th id
         model.narrow(lanes)
-        now = ids[begin[:lanes] + t].astype(np.int64)
+        now = ids[begin[:lanes] + t].astype(np.int32)
         model.look()
-        choice = model.choice_of(now)
-        start = np.where(choice == 0, 0, np.where(choice == 1, model.to_one, model.to_two))
-        stop = np.where(choice == 0, model.to_one, np.where(choice == 1, model.to_two, model.total))
-        coder.put(slice(0, lanes), start, stop - start, model.total)
+        choice = np.where(now == model.high, 0, np.where(now == model.mid, 1, 2))
+        coder.put(slice(0, lanes), *bounds(choice, model), model.total)
         rest = np.flatnonzero(choice == 2)
         if len(rest):
             low = model.cumulative[now[rest]]
@@ -215,14 +215,14 @@ def decode(block: bytes) -> tuple[np.ndarray, np.ndarray]:
         model.look()
         value = reader.value(every, model.total)
         choice = np.where(value < model.to_one, 0, np.where(value < model.to_two, 1, 2))
-        start = np.where(choice == 0, 0, np.where(choice == 1, model.to_one, model.to_two))
-        stop = np.where(choice == 0, model.to_one, np.where(choice == 1, model.to_two, model.total))
-        reader.take(every, start, stop - start)
+        reader.take(every, *bounds(choice, model))
         now = np.where(choice == 0, model.high, model.mid)
         rest = np.flatnonzero(choice == 2)
         if len(rest):
             value = reader.value(rest, model.cumulative[-1])
-            found = np.searchsorted(model.cumulative, value, side="right") - 1
+            order = np.argsort(value)  # neighbours in the table are found faster one after another
+            found = np.empty_like(value)
+            found[order] = np.searchsorted(model.cumulative, value[order], side="right") - 1
             low = model.cumulative[found]
             reader.take(rest, low, model.cumulative[found + 1] - low)
             now[rest] = found
@@ -286,8 +286,9 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     ordered.mapInArrow(run, BLOCK_FIELDS).write.parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids`` per document from the files; ids are little-endian binary."""
+def read(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` and ``ids`` (little-endian binary) per document from the files."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,9 +303,10 @@ def read(spark, path: str) -> DataFrame:
                     pa.array(row["before"] + places[:-1]),
                     pa.array(sizes),
                     pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                    pa.array([bytes(p) for p in parts], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                if with_ids:
+                    columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     blocks = spark.read.parquet(path)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))  # one row per file
@@ -314,5 +316,5 @@ def read(spark, path: str) -> DataFrame:
     index = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("_block"))
     starts = index.join(offsets, "part").select("part", "block", (F.col("_part") + F.col("_block")).alias("before"))
     return blocks.join(starts, ["part", "block"]).mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+        run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     )

@@ -55,7 +55,7 @@ def op5_decontaminate(spark, sf_dir):
 def op6_mixing_coder(spark, sf_dir):
     path = new_path(spark, "token-ids")
     mixing_coder.write(table(spark, sf_dir, "documents"), path)
-    return mixing_coder.read(spark, path).drop("ids")
+    return mixing_coder.read(spark, path, with_ids=False)
 
 
 def op7_config_pack(spark, sf_dir):
