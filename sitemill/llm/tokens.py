@@ -68,9 +68,8 @@ class Encoder:
         self.flat = np.concatenate([self.flat, ids[ids != self.mark_id]])
         slots = np.arange(len(self.places) - 1, len(self.places) - 1 + len(keys))
         self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(sizes)])
-        known = np.concatenate([self.known, keys])
-        order = np.argsort(known, kind="stable")
-        self.known, self.order = known[order], np.concatenate([self.order, slots])[order]
+        at = np.searchsorted(self.known, keys)  # both ascend
+        self.known, self.order = np.insert(self.known, at, keys), np.insert(self.order, at, slots)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) one after another, and the n + 1 places where texts begin; null is empty."""
@@ -80,7 +79,7 @@ class Encoder:
         cuts = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
         starts, ends = W.runs(~_SPACE[data], np.concatenate([cuts, places]))
         keys = W.mix(W.hash_runs(data, starts, ends) ^ (ends - starts).astype(np.uint64))
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, first, which = W.distinct_of(keys)
         slot = self._slots(distinct)
         fresh = np.flatnonzero(slot < 0)
         if len(fresh):

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 SEED = 20240607
 #: Hashing works on ranges of about this many bytes, cut between words.
-RANGE_BYTES = 1 << 21
+RANGE_BYTES = 1 << 20
 
 _codes = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
@@ -44,6 +44,16 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, one place of each, and which of them stands where."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(x) else np.zeros(0, bool)
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after another, and the n + 1 places where texts begin; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -70,6 +80,23 @@ def runs(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[keep], ends[keep]
 
 
+_known_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse; kept while they are of the usual size."""
+    if _known_powers and len(_known_powers[0]) >= n:
+        return _known_powers
+    found = []
+    for base in (_BASE, _INVERSE):
+        power = np.full(max(n, RANGE_BYTES) + 1, base, np.uint64)
+        power[0] = 1
+        found.append(np.multiply.accumulate(power, out=power))
+    if n <= 2 * RANGE_BYTES:
+        _known_powers[:] = found
+    return found
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range; ranges ascend and do not overlap."""
     out = np.empty(len(starts), np.uint64)
@@ -77,15 +104,10 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + RANGE_BYTES, side="right")))
         low, high = int(starts[i]), int(ends[j - 1])
-        power = np.full(high - low + 1, _BASE, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
+        power, back = _powers(high - low)
         total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_VALUES[data[low:high]] * power[:-1], out=total[1:])
+        np.cumsum(_VALUES[data[low:high]] * power[: high - low], out=total[1:])
         a, b = starts[i:j] - low, ends[i:j] - low
-        back = np.full(high - low + 1, _INVERSE, np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
         out[i:j] = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
         i = j
     return out
