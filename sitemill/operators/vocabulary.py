@@ -30,7 +30,7 @@ def _blocks(vocabulary: DataFrame, cells: int) -> Iterator[tuple[np.ndarray, np.
     for b in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()
         rows.sort(key=lambda r: r["term"])
-        matrix = np.array([r["vector"] for r in rows], dtype="float64").reshape(len(rows), -1)
+        matrix = np.array([r["vector"] for r in rows], dtype="float64").reshape(len(rows), size["dim"] or 0)
         yield np.array([r["term"] for r in rows], dtype=object), np.ascontiguousarray(matrix.T)
 
 

@@ -3,7 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from sitemill.operators import discovery, sites
+from sitemill.operators.keywords import keywords
 from sitemill.operators.ranking import rank_within, top_k
+from sitemill.sources import inputs
 
 HOME = "https://a.org"
 
@@ -28,6 +30,12 @@ def test_ranking_without_priority_pages(spark):
     assert _ranked(got) == ["http://b.io", HOME, HOME + "/b", HOME + "/zeta"]
 
 
+def test_ranking_scans_its_input_once(spark):
+    found = spark.range(3).selectExpr("'https://a.org' AS homepage", "concat('https://a.org/', id) AS link")
+    plan = discovery._usable(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 3") == 1
+
+
 def test_junk_suffix_is_repaired_and_not_validated(spark):
     assert _ranked(discovery.rank_site_links(_found(spark, [HOME + "/b\\"]))) == [HOME, HOME + "/b"]
     assert _ranked(discovery.rank_site_links(_found(spark, ["ftp:/about/\""]))) == ["ftp:/about/", HOME]
@@ -87,13 +95,13 @@ def test_prefix_crawl(spark):
 
 def test_crawl_matches_brute_force(spark):
     rng = random.Random(3)
-    nodes = [HOME] + [HOME + "/" + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    nodes = [HOME] + [HOME + "".join("/" + rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
     pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(600)]
     seen, todo = {HOME}, [HOME]
     while todo:
         at = todo.pop()
         for s, d in pairs:
-            if s == at and d.startswith(s) and d not in seen:
+            if s == at and d.startswith(s + "/") and d not in seen:
                 seen.add(d)
                 todo.append(d)
     homes = spark.createDataFrame([(HOME,)], "homepage string")
@@ -122,9 +130,8 @@ def test_cascade_uses_each_method(spark):
     pairs = [(homes[0], homes[0] + "/a"), (homes[0], homes[0] + "/b"), (homes[1], homes[1] + "/a"), (homes[2], homes[2] + "/a")]
     texts = spark.createDataFrame([(homes[1] + "/a", "text"), (homes[2] + "/a", None)], "url string, text string")
     listed = spark.createDataFrame([(h, h + "/s") for h in homes[:3]], "homepage string, url string")
-    found, lost = discovery.discover_sites(
-        spark.createDataFrame([(h,) for h in homes] * 2, "homepage string"), _edges(spark, pairs), texts, listed
-    )
+    store = inputs.TableStore(_edges(spark, pairs), texts, listed)
+    found, lost = discovery.discover_sites(spark.createDataFrame([(h,) for h in homes] * 2, "homepage string"), store)
     by_site = {}
     for r in found.orderBy("homepage", "position").collect():
         by_site.setdefault((r.homepage, r.method), []).append(r.link)
@@ -136,6 +143,35 @@ def test_cascade_uses_each_method(spark):
     assert [r.homepage for r in lost.collect()] == [homes[3]]
 
 
+def test_root_page_in_both_forms(spark):
+    """With and without its slash, stored and asked, the root page is one page."""
+    body = "<body>Home <a href='/a'>a</a><a href='/b'>b</a><a href='https://twitter.com/x'>t</a></body>"
+    for stored in (HOME, HOME + "/"):
+        pages = spark.createDataFrame([(stored, body)], "url string, html string")
+        for asked in (HOME, HOME + "/"):
+            found, lost = discovery.discover_sites(spark.createDataFrame([(asked,)], "homepage string"), inputs.PageStore(pages))
+            rows = found.orderBy("position").collect()
+            assert {r.method for r in rows} == {discovery.ONE_HOP} and lost.count() == 0
+            assert {r.link for r in rows} == {asked, HOME + "/a", HOME + "/b"}
+
+
+def test_listed_pages_of_a_homepage_with_slash(spark):
+    pages = spark.createDataFrame([("https://b.org/x", "<body>text</body>")], "url string, html string")
+    homes = spark.createDataFrame([("https://b.org/",), ("https://b.org",)], "homepage string")
+    found, lost = discovery.discover_sites(homes, inputs.PageStore(pages))
+    assert {(r.homepage, r.method, r.link) for r in found.collect()} == {
+        (h, discovery.SITEMAP, "https://b.org/x") for h in ("https://b.org/", "https://b.org")
+    }
+    assert lost.count() == 0
+
+
+def test_hop_and_crawl_stay_on_the_site(spark):
+    homes = spark.createDataFrame([(HOME,)], "homepage string")
+    pairs = [(HOME, "https://twitter.com/a"), (HOME, "https://a.org.evil.com/x"), (HOME, HOME + "/x"), (HOME + "/x", HOME + "/xy")]
+    assert {r.link for r in discovery.one_hop(homes, _edges(spark, pairs)).collect()} == {HOME + "/x"}
+    assert {r.url for r in discovery.prefix_crawl(homes, _edges(spark, pairs)).collect()} == {HOME, HOME + "/x"}
+
+
 def _site(spark, texts):
     pages = spark.createDataFrame([(HOME, i + 1, f"{HOME}/{i}") for i in range(len(texts))], "homepage string, position bigint, link string")
     facts = spark.createDataFrame([(f"{HOME}/{i}", t) for i, t in enumerate(texts)], "url string, text string")
@@ -144,12 +180,42 @@ def _site(spark, texts):
 
 def test_site_parts_hold_the_whole_site(spark):
     texts = [f"text {i} <b>x</b>" for i in range(11)] + [None, "last"]
-    pages, facts = _site(spark, texts)
-    parts = sites.site_texts(pages, facts, pages_per_part=4).orderBy("part").collect()
-    assert [len(p.subdomains) for p in parts] == [4, 4, 4, 1]
-    whole = sites.site_texts(pages, facts, pages_per_part=100).first()
-    assert " ".join(p.raw_text for p in parts).split() == whole.raw_text.split()
-    assert [x for p in parts for x in p.subdomains] == whole.subdomains
+    rows = sites.page_rows(*_site(spark, texts))
+    parts = sites.site_texts(rows, pages_per_part=4).orderBy("part").collect()
+    assert [p.n_pages for p in parts] == [4, 4, 4, 1]
+    whole = sites.site_texts(rows, pages_per_part=100).first()
+    assert " ".join(p.raw_text for p in parts) == whole.raw_text == " ".join(t for t in texts if t)
+
+
+def test_second_pass_keeps_signs_and_blanks_line_ends_of_crawled_sites(spark):
+    pages, facts = _site(spark, ["price < 5 EUR\nand weight > 3 kg"])
+    for method, text in ((discovery.CRAWL, "price < 5 EUR and weight > 3 kg"), (discovery.SITEMAP, "price < 5 EUR\nand weight > 3 kg")):
+        assert sites.page_rows(pages.withColumn("method", F.lit(method)), facts).first().text == text
+
+
+def test_reports_of_small_and_large_sites_have_one_shape(spark):
+    """Two hundred pages and more change nothing but the content."""
+
+    def report(n):
+        texts = [f"Bread mill number {i}. Mail a{i % 7}@b.org or call 212-555-{1000 + i}." for i in range(n)]
+        rows = sites.page_rows(*_site(spark, texts))
+        words = keywords(sites.site_texts(rows).select(F.col("homepage").alias("unit"), "part", F.col("raw_text").alias("text")))
+        found = sites.site_report(rows, words.withColumnRenamed("unit", "homepage")).collect()
+        assert len(found) == 1
+        return found[0].subdomain_reports
+
+    small, large = report(50), report(450)
+    assert [len(r.subdomains) for r in (small, large)] == [50, 450] and [len(r.phoneNumbers) for r in (small, large)] == [50, 450]
+    assert small.emails == large.emails == [f"a{i}@b.org" for i in range(7)]
+    assert set(small.asDict()) == set(large.asDict()) and "Bread" in " ".join(small.yake_tags) and "Bread" in " ".join(large.yake_tags)
+
+
+def test_keywords_do_not_depend_on_the_parts(spark):
+    texts = [f"Corn bread from mill {i % 3}. Fresh rolls, fresh bread." for i in range(9)]
+    rows = [("u", i, t) for i, t in enumerate(texts)]
+    parts = keywords(spark.createDataFrame(rows, "unit string, part int, text string")).first().yake_tags
+    whole = keywords(spark.createDataFrame([("u", " ".join(texts))], "unit string, text string")).first().yake_tags
+    assert parts == whole
 
 
 def test_record_texts_equal_the_cut_of_the_joined_text(spark):
@@ -159,12 +225,10 @@ def test_record_texts_equal_the_cut_of_the_joined_text(spark):
     joined = " ".join(" ".join(t for t in texts if t is not None).split())
     assert len(joined) >= 10000
     for size in (1, 7, 100):
-        got = sites.record_texts(sites.site_texts(pages, facts, size)).first()
+        got = sites.record_texts(sites.site_texts(sites.page_rows(pages, facts), size)).first()
         assert got.txt == joined[:9999]
 
 
 def test_short_sites_give_no_text(spark):
-    pages, facts = _site(spark, ["x" * 20])
-    assert sites.record_texts(sites.site_texts(pages, facts)).first().txt is None
-    pages, facts = _site(spark, ["x" * 21])
-    assert sites.record_texts(sites.site_texts(pages, facts)).first().txt == "x" * 21
+    for n, text in ((20, None), (21, "x" * 21)):
+        assert sites.record_texts(sites.site_texts(sites.page_rows(*_site(spark, ["x" * n])))).first().txt == text

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitemill import models, schemas
-from sitemill.operators.records import References, texts_from_links
+from sitemill.operators.records import References, records, texts_from_links
 from sitemill.plans import jobs
 from sitemill.sources import inputs, jsonl
 
@@ -70,8 +70,8 @@ def test_success_and_failure_add_up(bulk):
 
 
 def test_schemas_and_outputs(spark, bulk, tmp_path):
-    paths = bulk.write(str(tmp_path), "job", run=1683659994)
-    assert paths["domain-records"].endswith("kind=domain-records/job=job/run=1683659994")
+    paths = bulk.write(str(tmp_path), "job", run=1700000000)
+    assert paths["domain-records"].endswith("kind=domain-records/job=job/run=1700000000")
     want = spark.createDataFrame([], schemas.RECORD).schema
     assert bulk.domain_records.schema.simpleString() == want.simpleString()
     back = jsonl.read_jsonl(spark, paths["domain-records"], schemas.RECORD)
@@ -82,11 +82,13 @@ def test_schemas_and_outputs(spark, bulk, tmp_path):
     assert reports.schema.simpleString() == bulk.site_reports.schema.simpleString()
     assert reports.count() == 2
     assert spark.read.json(str(tmp_path)).where("kind = 'failures'").count() == 6
+    texts = jsonl.read_jsonl(spark, paths["site-texts"], schemas.SITE_TEXT)
+    assert texts.schema.simpleString() == bulk.site_texts.schema.simpleString() and texts.count() == 2
 
 
 def test_sample_record_reads_with_the_schema(spark, tmp_path):
-    sample = {"all_keywords": ["Baking"], "yake_tags": ["cup"], "ner_tags": [{"named_entity": "Southern", "tag": "MISC"}],
-              "location_tags": [], "name": "King Arthur Baking Company", "embedding": None, "address": []}
+    sample = {"all_keywords": ["Weaving"], "yake_tags": ["loom"], "ner_tags": [{"named_entity": "Elm Hill", "tag": "MISC"}],
+              "location_tags": [], "name": "Elm Hill Weavers", "embedding": None, "address": []}
     (tmp_path / "s.json").write_text(json.dumps(sample))
     row = jsonl.read_jsonl(spark, str(tmp_path), schemas.RECORD).first()
     assert row.embedding is None and row.ner_tags[0].tag == "MISC" and row.forEcosystem is None
@@ -125,13 +127,93 @@ def test_single_job(spark, world, tmp_path):
     got = {r.mainURL: r for r in jobs.run_single(links, pages, "eco", house, refs).collect()}
     assert got["https://acme.org/about"].msg is None and got["https://acme.org/about"].forEcosystem == "eco"
     assert "short_text" in got["https://gone.org/z"].msg and got["https://gone.org/z"].name is None
+    with pytest.raises(ValueError, match="several"):
+        jobs.write_single_record(jobs.run_single(links, pages, "eco", house, refs), str(tmp_path), "eco", run=6)
     one = jobs.run_single(links.limit(1), pages, "eco", house, refs)
     path = jobs.write_single_record(one, str(tmp_path), "eco", run=7)
     assert path.endswith("eco-7.json") and spark.read.schema(schemas.RECORD).json(path).count() == 1
 
 
+def test_single_job_keeps_its_lists_apart(spark, world):
+    pages, house, _, refs = world
+    same = "https://acme.org/about"
+    rows = [([same],), ([same, "https://acme.org/shop"],), ([],), ([same],)]
+    links = spark.createDataFrame(rows, "links array<string>")
+    got = jobs.run_single(links, pages, "eco", house, refs).collect()
+    assert len(got) == 4 and sorted(r.mainURL or "" for r in got) == ["", same, same, same]
+    assert [r.msg for r in got if r.mainURL is None] == ["no record for an empty list: no links"]
+    tags = [tuple(r.yake_tags) for r in got if r.mainURL]
+    assert len(set(tags)) == 2 and sorted(map(tags.count, set(tags))) == [1, 2]
+
+
+def test_model_failures_become_failure_rows(spark, world):
+    """One bad item per slot: its unit fails with the message, all others are as before."""
+    _, house, _, refs = world
+    texts = spark.createDataFrame(
+        [(k, f"We bake {k} bread daily in the old mill.") for k in ("good", "entities", "name", "keywords", "embedding", "vector")], "unit string, text string"
+    )
+
+    def failing(mark, answer):
+        def model(batch):
+            if batch.str.contains(mark).any():
+                raise RuntimeError(f"bad {mark}")
+            return batch.map(answer)
+
+        return model
+
+    def vector(batch):
+        if batch.str.contains("vector bread").any():
+            raise RuntimeError("bad vector")
+        return batch.map(lambda t: [1.0 if "bread" in t else 0.0] + [0.5] * 7)
+
+    plugged = References(
+        refs.gazetteer,
+        refs.places,
+        models.Models(
+            entities=failing("entities", lambda t: []),
+            name=failing("name", lambda t: "n"),
+            keywords=failing("keywords", lambda t: [" ".join(t.split()[2:4])]),
+            embedding=failing("embedding", lambda t: [1.0]),
+            key_vector=vector,
+        ),
+    )
+    every = records(texts, [(F.lit(True), house)], "eco", plugged, keep_failed=True)
+    assert {r.mainURL: r.failure_reason for r in every.collect()} == {"good": None} | {
+        k: f"{slot}: RuntimeError: bad {k}"
+        for k, slot in (("entities", "entities"), ("name", "name"), ("keywords", "keywords"), ("embedding", "embedding"), ("vector", "key_vector"))
+    }
+    kept = records(texts, [(F.lit(True), house)], "eco", plugged).collect()
+    assert [r.mainURL for r in kept] == ["good"] and "failure_reason" not in kept[0].asDict() and kept[0].type is not None
+
+
+def test_records_of_any_width(spark, world):
+    _, house, _, refs = world
+    texts = spark.createDataFrame([("u", "Fresh bread from the mill, every single day.")], "unit string, text string")
+    wide = records(texts, [(F.lit(True), house)], "eco", References(refs.gazetteer, refs.places, models.Models(dim=768))).first()
+    assert len(wide.embedding) == 768 and wide.type in ("Organization", "Resource") and "bread" in wide.all_keywords
+
+
+def test_a_model_sees_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        seen.add(len(batch))
+        return batch.map(lambda t: [float(len(t))])
+
+    df = spark.createDataFrame([("a",), ("bb",), ("a",), ("ccc",)], "t string")
+    made = models.with_key_vectors(df, "t", models.Models(key_vector=model))
+    assert made.where("vector[0] > 1").count() == 2 and made.count() == 4 and seen.value == 3
+
+
+def test_long_links_have_a_reason_of_their_own(spark, world):
+    pages, house, _, refs = world
+    long_link = "https://acme.org/" + "x" * 600
+    made = jobs.run_job(spark, [long_link], pages, "job", house, refs)
+    assert (long_link, "long_link") in {(r.mainURL, r.failure_reason) for r in made.failures.collect()}
+
+
 def test_texts_follow_the_link_order(spark, world):
-    facts = inputs.page_facts(world[0])
+    facts = inputs.PageStore(world[0])
     lists = spark.createDataFrame([("u", ["https://acme.org/shop", "bad link", "https://tiny.org/x"])], "unit string, links array<string>")
     assert texts_from_links(lists, facts).first().text == "Shop for bread and rolls here, open daily. tiny text"
 

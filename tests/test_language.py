@@ -27,7 +27,7 @@ def test_entity_tags_from_gazetteer(spark):
     gaz = spark.createDataFrame([("New York", "LOC"), ("Acme", "ORG")], "name string, tag string")
     texts = _texts(spark, "We met Acme in New York. Then Acme and Bob left.", "nothing here")
     got = {r.unit: [tuple(e) for e in r.ner_tags] for r in entities.entity_tags(texts, gaz).collect()}
-    assert got == {"0": [("Acme", "ORG"), ("New York", "LOC"), ("Bob", "MISC")]}
+    assert got == {"0": [("Acme", "ORG"), ("New York", "LOC"), ("Bob", "MISC")], "1": []}
 
 
 def test_record_name_is_most_frequent_then_earliest(spark):

@@ -102,10 +102,44 @@ def test_sources(spark, tmp_path):
     assert inputs.read_links(spark, str(tmp_path / "l.txt")).count() == 3
 
 
+def test_page_keys(spark):
+    rows = [
+        ("https://A.org", "https://a.org/"),
+        ("https://a.org/", "https://a.org/"),
+        ("https://a.org?b=1", "https://a.org/?b=1"),
+        ("https://a.org#x", "https://a.org/"),
+        ("https://a.org/x?utm_a=1", "https://a.org/x"),
+    ]
+    df = spark.createDataFrame(rows, "u string, want string")
+    assert all(r[0] == r[1] for r in df.select(urls.page_key(F.col("u")), "want").collect())
+    pairs = [("https://a.org/", "https://a.org/x", True), ("https://a.org/x", "https://a.org/x/y", True),
+             ("https://a.org/x", "https://a.org/x?y", True), ("https://a.org/x", "https://a.org/xy", False),
+             ("https://a.org/", "https://a.org.evil.com/x", False), ("https://a.org/x", "https://a.org/x", False)]
+    df = spark.createDataFrame(pairs, "s string, d string, want boolean")
+    assert all(r[0] == r[1] for r in df.select(urls.extends(F.col("d"), F.col("s")), "want").collect())
+
+
+def test_long_links_are_a_parameter(spark):
+    link = F.lit("https://a.org/" + "x" * 490)
+    row = spark.range(1).select(urls.is_good(link), urls.is_good(link, 600), urls.is_good(link, None), urls.is_too_long(link)).first()
+    assert tuple(row) == (False, True, True, True)
+
+
+def test_only_asked_pages_are_parsed(spark):
+    """The semi-join stands below the HTML expressions, so a page nobody asks for is never parsed."""
+    pages = spark.createDataFrame([(f"https://s{i}.org/p", "<body>text</body>") for i in range(50)], "url string, html string")
+    links = spark.createDataFrame([("https://s3.org/p",), ("https://s9.org/p",)], "link string")
+    plan = inputs.fetch(links, inputs.PageStore(pages))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    parsing = [i for i, line in enumerate(lines) if "<title" in line]
+    assert parsing and max(parsing) < semi
+
+
 def test_fetch_keeps_every_asking_row_and_folds_copies(spark):
     pages = spark.createDataFrame(
         [("https://a.org/x#1", "<body>one</body>"), ("https://a.org/x#2", "<body>one</body>")], "url string, html string"
     )
     links = spark.createDataFrame([("https://A.org/x",)] * 50 + [("https://a.org/y",)], "link string")
-    got = inputs.fetch(links, inputs.page_facts(pages))
+    got = inputs.fetch(links, inputs.PageStore(pages))
     assert got.count() == 51 and got.where("text = 'one'").count() == 50

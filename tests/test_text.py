@@ -78,8 +78,8 @@ def test_address_completion(spark):
         "description string",
     )
     got = {r.unit: r.address for r in facts.complete_addresses(found, places).collect()}
-    five = ["1 a st, b, il 11111-%04d, USA" % i for i in range(5)]
-    assert got == {"u1": five, "u2": five + ["2 C St, D, IL 22222, USA"], "u3": []}
+    seven = ["1 a st, b, il 11111-%04d, USA" % i for i in range(7)]
+    assert got == {"u1": seven, "u2": [*seven, "2 C St, D, IL 22222, USA"], "u3": []}
 
 
 def test_contact_report_counts(spark):

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,24 +17,42 @@ def test_vocabulary_join_is_strict(spark):
     terms = _vectors(spark, [("t1", [1.0, 0.0, 0.0]), ("t2", [0.0, 1.0, 0.0]), ("t3", [0.0, 0.0, 1.0])], "term")
     keys = _vectors(spark, [("u", [0.70, 0.65, 0.0]), ("u", [0.10, 0.0, 0.66]), ("v", [0.65, 0.65, 0.65])], "unit")
     got = {r.unit: r.terms for r in vocabulary.keywords_to_vocabulary(keys, terms, 0.65).collect()}
-    assert got == {"u": ["t1", "t3"]}
+    assert got == {"u": ["t1", "t3"], "v": []}
 
 
-def test_blocks_equal_the_broadcast(spark):
+def test_null_vectors_reach_nothing(spark):
+    terms = _vectors(spark, [("t1", [1.0, 0.0]), ("t2", None)], "term")
+    keys = _vectors(spark, [("u", [1.0, 0.0]), ("v", None)], "unit")
+    assert {r.unit: r.terms for r in vocabulary.keywords_to_vocabulary(keys, terms, 0.5).collect()} == {"u": ["t1"], "v": []}
+    assert vocabulary.dot_scores(keys, terms).count() == 1
+    assert vocabulary.keywords_to_vocabulary(keys, terms.where("false"), 0.5).where("size(terms) = 0").count() == 2
+    row = classify.classify(_vectors(spark, [("u", None)], "unit")).first()
+    assert row.type is None and row.subtype is None
+
+
+def test_blocks_and_tiles_change_nothing(spark):
     rng = np.random.default_rng(1)
     terms = _vectors(spark, [(f"t{i:03d}", rng.normal(size=8).tolist()) for i in range(53)], "term")
     keys = _vectors(spark, [(f"u{i % 30}", rng.normal(size=8).tolist()) for i in range(90)], "unit")
 
-    def joined(limit):
-        return {r.unit: r.terms for r in vocabulary.keywords_to_vocabulary(keys, terms, 2.5, limit).collect()}
+    def joined(cells):
+        return {r.unit: r.terms for r in vocabulary.keywords_to_vocabulary(keys, terms, 2.5, cells).collect()}
 
-    assert joined(10) == joined(1000) and joined(1000)
+    assert joined(80) == joined(10**6) and any(joined(80).values())
 
-    def scores(limit):
-        rows = vocabulary.dot_scores(keys, terms, limit).select("unit", "term", F.round("score", 9)).collect()
+    def scores(cells, tile):
+        rows = vocabulary.dot_scores(keys, terms, cells, tile).select("unit", "term", F.round("score", 9)).collect()
         return sorted(map(tuple, rows))
 
-    assert scores(10) == scores(1000) and len(scores(10)) == 90 * 53
+    assert scores(80, 20) == scores(10**6, 10**6) and len(scores(80, 20)) == 90 * 53
+    plan = vocabulary.dot_scores(keys, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "t007" not in plan
+
+
+def test_tiles_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array([[1.0, 2.0]] * 50 + [None])], ["vector"])
+    tiles = list(vocabulary._tiles(batch, np.ones((2, 30)), 100))
+    assert max(scores.size for _, scores in tiles) <= 100 and sum(len(s) for _, s in tiles) == 50
 
 
 def test_ranked_scores(spark):
@@ -56,7 +75,7 @@ def test_both_embeddings_agree(spark, dim):
 
 def _classify(spark, scores):
     """Classify one row whose vector gives the wanted anchor scores."""
-    matrix = classify._anchor_matrix(spark, 64)
+    matrix = np.array(classify.anchor_vectors(spark))
     vector = np.linalg.pinv(matrix) @ np.array(scores)
     row = classify.classify(_vectors(spark, [("u", vector.tolist())], "unit")).first()
     return row.type, row.subtype
