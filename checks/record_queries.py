@@ -298,6 +298,48 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN len(regexp_extrac
 """
 
 
+def model_failures(spark, sf_dir):
+    """Records from plug-in models of which one refuses tables: each refused text is one failure with its message."""
+
+    def no_tables(batch):
+        if batch.str.contains("|", regex=False).any():
+            raise ValueError("a table")
+        return batch.map(lambda t: [])
+
+    plugged = models.Models(
+        entities=no_tables,
+        name=lambda batch: batch.str.slice(0, 5),
+        short_description=lambda batch: batch.str.slice(0, 20),
+        long_description=lambda batch: batch.str.slice(0, 40),
+        keywords=lambda batch: batch.map(lambda t: [t[:3]]),
+        embedding=lambda batch: batch.map(lambda t: [float(len(t))]),
+        key_vector=lambda batch: batch.map(lambda t: [float(len(t)), 1.0, 0.0, 0.0]),
+    )
+    refs = _refs(spark, sf_dir)
+    made = records.records(
+        _texts(spark, sf_dir), [(F.lit(True), _house(spark, sf_dir))], ECOSYSTEM, records.References(refs.gazetteer, refs.places, plugged), keep_failed=True
+    )
+    return made.select("mainURL", "name", "failure_reason")
+
+
+MODEL_FAILURES = f"""
+SELECT doc_id::VARCHAR AS "mainURL", CASE WHEN length(text) > 0 THEN left(left(text, 20), 5) END AS name,
+  CASE WHEN contains(text, '|') THEN 'entities: ValueError: a table' END AS failure_reason
+FROM documents WHERE length(text) > {C.RECORD_TEXT_MIN}
+"""
+
+
+def single_json(spark, sf_dir):
+    """One record written as one object in one file, and the text of the file."""
+    first = T.documents(spark, sf_dir).where("doc_id = 0").select(F.col("doc_id"), X.phones(F.col("text")).alias("phones"), "lang")
+    return spark.read.text(jsonl.write_single(first, new_path(spark, "single"))).select("value")
+
+
+SINGLE_JSON = f"""
+SELECT '{{"doc_id":' || doc_id || ',"phones":' || {_json_list(C.PHONE)} || ',"lang":"' || lang || '"}}' AS value FROM documents WHERE doc_id = 0
+"""
+
+
 def record_from_links(spark, sf_dir):
     """All pages of each site as one link list, shortest first; the first link names the record."""
     p = T.pages(spark, sf_dir)
@@ -467,6 +509,8 @@ QUERIES = {
     "failure_rows": (failure_rows, FAILURE_ROWS),
     "success_rows": (success_rows, SUCCESS_ROWS),
     "plug_model": (plug_model, PLUG_MODEL),
+    "model_failures": (model_failures, MODEL_FAILURES),
+    "single_json": (single_json, SINGLE_JSON),
     "record_house": (record_house, lambda: record_sql(DOC_TEXTS, HOUSE)),
     "record_paradigm": (record_paradigm, lambda: record_sql(DOC_TEXTS, PARADIGM)),
     "record_dual": (record_dual, lambda: dual_sql(DOC_TEXTS)),

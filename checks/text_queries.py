@@ -144,7 +144,7 @@ wanted AS (SELECT DISTINCT address FROM found),
 ranked AS (SELECT address, description, row_number() OVER (PARTITION BY address
   ORDER BY length(description), description) AS rn
   FROM wanted JOIN places ON left(lower(description), length(address)) = lower(address)),
-best AS (SELECT address, description FROM ranked WHERE rn <= 5)
+best AS (SELECT address, description FROM ranked)
 SELECT c_custkey, coalesce(string_agg(DISTINCT description, '|' ORDER BY description), '') AS addresses
 FROM letters LEFT JOIN found USING (c_custkey) LEFT JOIN best USING (address) GROUP BY c_custkey
 """

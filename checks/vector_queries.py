@@ -9,6 +9,7 @@ from checks import tables as T
 from sitemill import constants as C
 from sitemill.functions import text
 from sitemill.functions import vectors as V
+from sitemill.models import Models
 from sitemill.operators import classify, embedding, vocabulary
 
 MICRO = 1_000_000
@@ -31,16 +32,16 @@ def text_embedding(spark, sf_dir):
     return _doc_vectors(spark, sf_dir).select("doc_id", _micro(F.col("vector")).alias("vector"))
 
 
-def _slots(source: str, key: str, value: str) -> str:
+def _slots(source: str, key: str, value: str, dim: int = V.DIM) -> str:
     return f"""SELECT {key}, b, ln(1 + count(*)) AS w FROM (
-    SELECT {key}, (('0x' || substr(md5(word), 1, 8))::BIGINT % {V.DIM}) AS b FROM (
+    SELECT {key}, (('0x' || substr(md5(word), 1, 8))::BIGINT % {dim}) AS b FROM (
       SELECT {key}, unnest(string_split({S.sanitize_text(value)}, ' ')) AS word FROM {source}) WHERE word <> '')
     GROUP BY 1, 2"""
 
 
-def _dense(source: str, key: str, value: str) -> str:
+def _dense(source: str, key: str, value: str, dim: int = V.DIM) -> str:
     """(key, b, x): unit vectors in long form, zero cells left out."""
-    return f"""SELECT {key}, b, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS x FROM ({_slots(source, key, value)})"""
+    return f"""SELECT {key}, b, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS x FROM ({_slots(source, key, value, dim)})"""
 
 
 def _embedding_sql(source: str, key: str, value: str) -> str:
@@ -143,22 +144,31 @@ def _anchor_values() -> str:
     return ", ".join(rows)
 
 
-CLASSES = f"""
+def classes_sql(dim: int = V.DIM) -> str:
+    return f"""
 anchors AS (SELECT level || ':' || pos AS anchor, * FROM (VALUES {_anchor_values()}) v(level, pos, label, text)),
-doc_cells AS ({_dense('documents', 'doc_id', 'text')}),
-anchor_cells AS ({_dense('anchors', 'anchor', 'text')}),
+doc_cells AS ({_dense('documents', 'doc_id', 'text', dim)}),
+anchor_cells AS ({_dense('anchors', 'anchor', 'text', dim)}),
 dots AS (SELECT d.doc_id, a.anchor, sum(d.x * a.x) AS score FROM doc_cells d JOIN anchor_cells a USING (b) GROUP BY 1, 2),
 best AS (SELECT k.doc_id, a.level, arg_max(a.label, (round(coalesce(score, 0), 6), -a.pos)) AS label
   FROM documents k CROSS JOIN anchors a LEFT JOIN dots t ON t.doc_id = k.doc_id AND t.anchor = a.anchor GROUP BY 1, 2)"""
 
-CLASSIFY_TYPE = f"WITH {CLASSES} SELECT doc_id, label AS type FROM best WHERE level = 'type'"
+CLASSIFY_TYPE = f"WITH {classes_sql()} SELECT doc_id, label AS type FROM best WHERE level = 'type'"
+
 
-CLASSIFY_SUBTYPE = f"""
-WITH {CLASSES} SELECT t.doc_id, t.label AS type,
+def _subtype_sql(dim: int = V.DIM) -> str:
+    return f"""
+WITH {classes_sql(dim)} SELECT t.doc_id, t.label AS type,
   CASE WHEN t.label = 'Organization' THEN 'Organization' ELSE s.label END AS subtype
 FROM best t JOIN best s ON s.doc_id = t.doc_id AND s.level = 'subtype' WHERE t.level = 'type'
 """
 
+
+def classify_dim768(spark, sf_dir):
+    """The classifier over vectors of another width, its anchors embedded alike."""
+    wide = embedding.embed_texts(_doc_texts(spark, sf_dir), 768).withColumnRenamed("unit", "doc_id")
+    return classify.classify(wide, classify.anchor_vectors(spark, Models(dim=768)))
+
 QUERIES = {
     "text_embedding": (text_embedding, TEXT_EMBEDDING),
     "term_embedding": (term_embedding, TERM_EMBEDDING),
@@ -167,5 +177,6 @@ QUERIES = {
     "vocab_join": (vocab_join, VOCAB_JOIN),
     "vocab_join_thresholds": (vocab_join_thresholds, VOCAB_JOIN_THRESHOLDS),
     "classify_type": (classify_type, CLASSIFY_TYPE),
-    "classify_subtype": (classify_subtype, CLASSIFY_SUBTYPE),
+    "classify_subtype": (classify_subtype, lambda: _subtype_sql()),
+    "classify_dim768": (classify_dim768, lambda: _subtype_sql(768)),
 }

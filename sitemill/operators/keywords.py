@@ -19,43 +19,39 @@ PLACES = 1 << BITS
 SIMILAR = 0.9
 
 
-def scored_words(texts: DataFrame) -> DataFrame:
-    """Topic words of each text, every mention with the statistics and score of its term."""
+def scored_terms(texts: DataFrame) -> DataFrame:
+    """Topic words of each text, one row per term: its counts, its score and all its mentions.
+
+    Everything is grouped where the text's words were made, so there is no further exchange.
+    """
     words = word_rows(by_unit(texts)).where(~is_weak("term"))
-    mentions = Window.partitionBy("unit", "term")
-    whole = Window.partitionBy("unit")
-    at = Window.partitionBy("unit", "term").orderBy("sentence", "chunk", "place")
     starts = (F.col("chunk") == 0) & (F.col("place") == 0)
     shouted = (F.col("word") == F.upper("word")) & (F.length("word") > 1)
     capital = F.col("word").rlike(r"^\p{Lu}") & ~starts
 
-    def n(cond):
-        return F.count(F.when(cond, 1)).over(mentions)
-
     def neighbours(side):
-        distinct = F.size(F.collect_set(side).over(mentions))
-        present = F.count(side).over(mentions)
+        distinct, present = F.size(F.collect_set(side)), F.count(side)
         return F.when(present > 0, distinct / present).otherwise(F.lit(0.0))
 
-    words = words.select(
-        "*",
-        (F.row_number().over(at) == 1).alias("first"),
-        F.count("*").over(mentions).alias("tf"),
-        F.greatest(n(shouted), n(capital)).alias("cased"),
-        F.size(F.collect_set("sentence").over(mentions)).alias("in_sentences"),
-        F.percentile("sentence", 0.5).over(mentions).alias("middle"),
+    mention = F.struct("sentence", "chunk", "place", "word2", "word3")
+    terms = words.groupBy("unit", "term").agg(
+        F.count("*").alias("tf"),
+        F.greatest(F.count_if(shouted), F.count_if(capital)).alias("cased"),
+        F.size(F.collect_set("sentence")).alias("in_sentences"),
+        F.percentile("sentence", 0.5).alias("middle"),
         neighbours("before").alias("left"),
         neighbours("after").alias("right"),
+        F.max("n_sentences").alias("n_sentences"),
+        F.collect_list(mention).alias("mentions"),
     )
-    once = F.when(F.col("first"), F.col("tf"))
-    terms = F.count(once).over(whole)
-    total = F.sum(once).over(whole)
-    squares = F.sum(once * once).over(whole)
-    words = words.select(
+    whole = Window.partitionBy("unit")
+    mean = F.avg("tf").over(whole)
+    squares = F.avg(F.col("tf") * F.col("tf")).over(whole)
+    terms = terms.select(
         "*",
         F.max("tf").over(whole).alias("max_tf"),
-        (total / terms).alias("mean_tf"),
-        F.sqrt(F.greatest(squares / terms - (total / terms) * (total / terms), F.lit(0.0))).alias("std_tf"),
+        mean.alias("mean_tf"),
+        F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0))).alias("std_tf"),
     )
     tf = F.col("tf").cast("double")
     case = F.col("cased") / (1 + F.log(tf))
@@ -64,12 +60,12 @@ def scored_words(texts: DataFrame) -> DataFrame:
     related = 1 + (F.col("left") + F.col("right")) * tf / F.col("max_tf")
     spread = F.col("in_sentences") / F.col("n_sentences")
     score = related * position / (case + frequency / related + spread / related)
-    return words.withColumn("score", score)
+    return terms.select("unit", "term", "tf", "cased", "in_sentences", "middle", score.alias("score"), "mentions")
 
 
 def term_statistics(texts: DataFrame) -> DataFrame:
     """One row per text and term: counts, sentences and score."""
-    return scored_words(texts).where("first").select("unit", "term", "tf", "cased", "in_sentences", "middle", "score")
+    return scored_terms(texts).drop("mentions")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -79,7 +75,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     or two words come from the following rows of the same chunk; a weak word in the middle of three
     adds nothing.  The grouping keeps numbers only, so it runs as a hash aggregation.
     """
-    words = scored_words(texts)
+    words = scored_terms(texts).select("unit", "term", "score", F.inline("mentions"))
     along = Window.partitionBy("unit", "sentence", "chunk").orderBy("place")
     here = F.struct("place", "score")
     near = words.select(
@@ -144,13 +140,20 @@ def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
         longest = F.greatest(F.length(a["phrase"]), F.length(b["phrase"]))
         return 1 - F.levenshtein(a["phrase"], b["phrase"]) / longest > SIMILAR
 
-    kept = F.aggregate(
-        "ranked",
-        none,
-        lambda acc, x: F.when(
-            (F.size(acc) < top) & ~F.exists(acc, lambda k: similar(k, x)), F.concat(acc, F.array(x))
-        ).otherwise(acc),
-    )
+    def walk(ranked):
+        return F.aggregate(
+            ranked,
+            none,
+            lambda acc, x: F.when(
+                (F.size(acc) < top) & ~F.exists(acc, lambda k: similar(k, x)), F.concat(acc, F.array(x))
+            ).otherwise(acc),
+        )
+
+    # The first phrases nearly always suffice; the whole list is walked only for texts still short.
+    head = listed.withColumn("kept", walk(F.slice("ranked", 1, 10 * top)))
+    short = (F.size("kept") < top) & (F.size("ranked") > 10 * top)
+    listed = head.select("unit", F.when(short, walk(F.col("ranked"))).otherwise(F.col("kept")).alias("kept"))
+    kept = F.col("kept")
     kept = listed.select("unit", F.explode(F.array(kept)).alias("kept"))
     bodies = listed_sentences(by_unit(texts)).select("unit", F.col("all").alias("body"), "n_before")
 
