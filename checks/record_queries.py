@@ -24,7 +24,10 @@ ECOSYSTEM = "test-job"
 
 
 def _texts(spark, sf_dir):
-    return T.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("unit"), "text")
+    """The documents, each with the letter of the customer of its number, so that texts hold addresses."""
+    letters = text_queries._letters(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), F.col("text").alias("letter"))
+    joined = T.documents(spark, sf_dir).select("doc_id", "text").join(letters, "doc_id", "left")
+    return joined.select(F.col("doc_id").cast("string").alias("unit"), F.concat_ws(" ", "text", "letter").alias("text"))
 
 
 def _house(spark, sf_dir):
@@ -154,17 +157,21 @@ tags AS (SELECT unit, string_agg(named_entity || '/' || tag, '|' ORDER BY pos) A
   list(named_entity ORDER BY pos) AS entity_names,
   string_agg(named_entity, '|' ORDER BY pos) FILTER (tag = 'LOC') AS location_tags FROM mentions GROUP BY 1),
 cells AS ({vector_queries._dense('src', 'unit', 'text')}),
+places AS (SELECT DISTINCT {text_queries._SENDER.format(k="c_custkey", b="'Mill Oak'", s="varchar")} || ', USA' AS description FROM customer),
+completed AS (SELECT unit, string_agg(DISTINCT description, '|' ORDER BY description) AS address
+  FROM (SELECT unit, unnest({S.matches('text', X.US_ADDRESS, 1)}) AS asked FROM src)
+  JOIN places ON left(lower(description), length(asked)) = lower(asked) GROUP BY 1),
 vectors AS (SELECT k.unit, string_agg(round(coalesce(x, 0)::FLOAT::DOUBLE * 10000)::BIGINT::VARCHAR, '|' ORDER BY s.b) AS embedding
   FROM src k CROSS JOIN range(0, {DIM}) s(b) LEFT JOIN cells c ON c.unit = k.unit AND c.b = s.b GROUP BY 1)"""
 
 
-COMMON_FIELDS = f"""n.name, s.unit AS "mainURL", '' AS address, {S.joined_matches('s.text', C.EMAIL)} AS "contactEmail",
+COMMON_FIELDS = f"""n.name, s.unit AS "mainURL", coalesce(a.address, '') AS address, {S.joined_matches('s.text', C.EMAIL)} AS "contactEmail",
   {S.joined_matches('s.text', C.PHONE)} AS "phoneNumber", d.short_description AS "shortDescription",
   d.long_description AS "longDescription", v.embedding, coalesce(t.ner_tags, '') AS ner_tags,
   coalesce(t.location_tags, '') AS location_tags, coalesce(array_to_string(y.yake_tags, '|'), '') AS yake_tags,
   c.type, c.subtype, '{ECOSYSTEM}' AS "forEcosystem" """
 COMMON_JOINS = """src s JOIN described d USING (unit) LEFT JOIN names n USING (unit) LEFT JOIN tags t USING (unit)
-  LEFT JOIN vectors v USING (unit) LEFT JOIN yake y USING (unit) LEFT JOIN classes c USING (unit)"""
+  LEFT JOIN completed a USING (unit) LEFT JOIN vectors v USING (unit) LEFT JOIN yake y USING (unit) LEFT JOIN classes c USING (unit)"""
 
 
 def record_ctes(source: str, vocabulary: str) -> str:
@@ -200,7 +207,8 @@ SELECT {COMMON_FIELDS}, coalesce(array_to_string(r.terms, '|'), '') AS vocabular
 FROM {COMMON_JOINS} LEFT JOIN reached r USING (unit) LEFT JOIN in_paradigm p USING (unit)"""
 
 
-DOC_TEXTS = "(SELECT doc_id::VARCHAR AS unit, text FROM documents)"
+DOC_TEXTS = f"""(WITH {text_queries.LETTERS}
+SELECT doc_id::VARCHAR AS unit, concat_ws(' ', d.text, l.text) AS text FROM documents d LEFT JOIN letters l ON l.c_custkey = d.doc_id)"""
 
 
 def record_to_json(spark, sf_dir):
@@ -323,9 +331,9 @@ def model_failures(spark, sf_dir):
 
 
 MODEL_FAILURES = f"""
-SELECT doc_id::VARCHAR AS "mainURL", CASE WHEN length(text) > 0 THEN left(left(text, 20), 5) END AS name,
+SELECT unit AS "mainURL", left(text, 5) AS name,
   CASE WHEN contains(text, '|') THEN 'entities: ValueError: a table' END AS failure_reason
-FROM documents WHERE length(text) > {C.RECORD_TEXT_MIN}
+FROM {DOC_TEXTS} WHERE length(text) > {C.RECORD_TEXT_MIN}
 """
 
 
