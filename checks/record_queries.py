@@ -338,13 +338,19 @@ FROM {DOC_TEXTS} WHERE length(text) > {C.RECORD_TEXT_MIN}
 
 
 def single_json(spark, sf_dir):
-    """One record written as one object in one file, and the text of the file."""
-    first = T.documents(spark, sf_dir).where("doc_id = 0").select(F.col("doc_id"), X.phones(F.col("text")).alias("phones"), "lang")
-    return spark.read.text(jsonl.write_single(first, new_path(spark, "single"))).select("value")
+    """One record over all documents, written as one object in one file, and the text of the file."""
+    d = T.documents(spark, sf_dir)
+    one = d.agg(
+        F.count("*").alias("n_documents"),
+        F.array_sort(F.collect_set("lang")).alias("langs"),
+        F.sum(F.size(X.phones(F.col("text")))).alias("n_phones"),
+    )
+    return spark.read.text(jsonl.write_single(one, new_path(spark, "single"))).select("value")
 
 
 SINGLE_JSON = f"""
-SELECT '{{"doc_id":' || doc_id || ',"phones":' || {_json_list(C.PHONE)} || ',"lang":"' || lang || '"}}' AS value FROM documents WHERE doc_id = 0
+SELECT '{{"n_documents":' || count(*) || ',"langs":["' || string_agg(DISTINCT lang, '","' ORDER BY lang) || '"],"n_phones":' ||
+  sum(len({S.matches('text', C.PHONE)})) || '}}' AS value FROM documents
 """
 
 
