@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     label, so labels travel in steps that double; a hub's neighbours are folded on the map side.  Rounds
     are written tables in the shared folder, and end when no label changes.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.where("a <> b").select(F.explode(ways).alias("e")).select("e.a", "e.b")  # edges are made once
     both = stage(both.distinct(), "edges")
     labels = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
