@@ -44,6 +44,31 @@ def gazetteer(spark, sf_dir):
     return names.withColumn("tag", F.when(digit < "6", "LOC").otherwise("ORG"))
 
 
+def entity_last_tag(spark, sf_dir):
+    """Tags that depend on the sentence of a mention: the last mention of a name decides."""
+    names = entities.entity_spans(_texts(spark, sf_dir)).select(F.col("named_entity").alias("name")).distinct()
+    plain = names.select("name", F.lit("ORG").alias("tag"), F.lit(None).cast("string").alias("cue"))
+    cued = names.select("name", F.lit("LOC").alias("tag"), F.lit(CUE).alias("cue"))
+    shown = F.transform("ner_tags", lambda e: F.concat(e["named_entity"], F.lit("/"), e["tag"]))
+    found = entities.entity_tags(_texts(spark, sf_dir), plain.unionByName(cued))
+    return found.select(F.col("unit").alias("doc_id"), F.array_join(shown, "|").alias("ner_tags"))
+
+
+CUE = "the"
+
+
+def last_tag_sql():
+    return f"""
+WITH spans AS (SELECT doc_id, unnest(found) AS named_entity, contains(body, '{CUE}') AS cued,
+    sentence * {entities.SPANS_PER_SENTENCE} + unnest(range(0, len(found))) AS pos
+    FROM (SELECT doc_id, sentence, body, {S.proper_spans('body')} AS found FROM ({sentence_sql('documents', 'doc_id', 'text')}))),
+each_name AS (SELECT doc_id, named_entity, min(pos) AS pos, CASE WHEN arg_max(cued, pos) THEN 'LOC' ELSE 'ORG' END AS tag
+  FROM spans GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(string_agg(named_entity || '/' || tag, '|' ORDER BY pos), '') AS ner_tags
+FROM documents d LEFT JOIN each_name e ON e.doc_id = d.doc_id GROUP BY 1
+"""
+
+
 def _tags(spark, sf_dir):
     return entities.entity_tags(_texts(spark, sf_dir), gazetteer(spark, sf_dir))
 
@@ -177,10 +202,6 @@ SELECT doc_id, term, tf, cased, in_sentences, middle, round(score, 6) AS score F
 """
 
 
-# Scores lie on a grid of nine digits; this keeps them off the ties of a second rounding.
-OFF_GRID = 3e-10
-
-
 def yake_keywords(spark, sf_dir):
     k = keywords.keywords(_texts(spark, sf_dir))
     return k.select(F.col("unit").alias("doc_id"), F.array_join("yake_tags", "|").alias("yake_tags"))
@@ -188,7 +209,7 @@ def yake_keywords(spark, sf_dir):
 
 def yake_candidates(spark, sf_dir):
     c = keywords.candidates(_texts(spark, sf_dir))
-    return c.select(F.col("unit").alias("doc_id"), "phrase", "tf", F.round(F.col("score") + OFF_GRID, 6).alias("score"))
+    return c.select(F.col("unit").alias("doc_id"), "phrase", "tf", "score")
 
 
 def candidates_sql_of(source: str, key: str, value: str) -> str:
@@ -207,17 +228,18 @@ phrases AS (SELECT {key}, lower(surface) AS phrase, arg_min(surface, (sentence,
 parts AS (SELECT {key}, phrase, surface, tf, unnest(used) AS term FROM phrases),
 joined AS (SELECT p.{key}, p.phrase, p.surface, p.tf, product(t.score) AS prod, sum(t.score) AS total
   FROM parts p JOIN terms t ON t.{key} = p.{key} AND t.term = p.term GROUP BY 1, 2, 3, 4)
-SELECT {key}, phrase, surface, tf, round(prod / (tf * (1 + total)), 9) AS score FROM joined
+SELECT {key}, phrase, surface, tf, round(prod / (tf * (1 + total)), {keywords.SCORE_DIGITS}) AS score FROM joined
 """
 
 
 def candidates_sql():
     inner = candidates_sql_of("documents", "doc_id", "text")
-    return f"SELECT doc_id, phrase, tf, round(score + {OFF_GRID}, 6) AS score FROM ({inner})"
+    return f"SELECT doc_id, phrase, tf, score FROM ({inner})"
 
 
 QUERIES = {
     "entity_tags": (entity_tags, ENTITY_TAGS),
+    "entity_last_tag": (entity_last_tag, lambda: last_tag_sql()),
     "location_tags": (location_tags, LOCATION_TAGS),
     "short_description": (short_description, lambda: short_sql()),
     "long_description": (long_description, lambda: long_sql()),

@@ -14,13 +14,17 @@ OTHER_TAG = "MISC"
 SPANS_PER_SENTENCE = 1_000_000
 
 
-def entity_spans(texts: DataFrame) -> DataFrame:
-    """``(unit, named_entity, pos)`` for every capitalised span, in text order."""
+def _mentions(texts: DataFrame) -> DataFrame:
     spans = sentence_rows(by_unit(texts)).select(
-        "unit", "sentence", F.posexplode(X.proper_spans(F.col("body"))).alias("nth", "named_entity")
+        "unit", "sentence", "body", F.posexplode(X.proper_spans(F.col("body"))).alias("nth", "named_entity")
     )
     pos = F.col("sentence").cast("bigint") * SPANS_PER_SENTENCE + F.col("nth")
-    return spans.select("unit", "named_entity", pos.alias("pos"))
+    return spans.select("unit", "named_entity", pos.alias("pos"), "body")
+
+
+def entity_spans(texts: DataFrame) -> DataFrame:
+    """``(unit, named_entity, pos)`` for every capitalised span, in text order."""
+    return _mentions(texts).drop("body")
 
 
 def distinct_entities(spans: DataFrame) -> DataFrame:
@@ -36,13 +40,30 @@ def entity_tags(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Distinct entities per text, tagged by the ``(name, tag)`` table; unknown names are MISC.
 
     Mentions are folded per text before the look-up, so a name that is everywhere costs one row per
-    text, and the gazetteer is joined by whatever strategy its size allows.
+    text, and the gazetteer is joined by whatever strategy its size allows.  A gazetteer with a ``cue``
+    column tags each mention: a row with a cue holds in sentences that contain it, and goes before a row
+    without; an entity then has the tag of its last mention.
     """
+    if "cue" in gazetteer.columns:
+        return _listed(texts, _cued(texts, gazetteer))
     known = gazetteer.groupBy(F.col("name").alias("named_entity")).agg(F.max("tag").alias("known"))
     each = entity_spans(texts).groupBy("unit", "named_entity").agg(F.min("pos").alias("pos"))
     tagged = each.join(known, "named_entity", "left").withColumn("tag", F.coalesce("known", F.lit(OTHER_TAG)))
-    found = distinct_entities(tagged.select("unit", "named_entity", "pos", "tag"))
-    listed = texts.select("unit").join(found, "unit", "left")
+    return _listed(texts, tagged.select("unit", "named_entity", "pos", "tag"))
+
+
+def _cued(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``(unit, named_entity, pos, tag)`` for each mention by the best row of the gazetteer that holds there."""
+    rows = gazetteer.select(F.col("name").alias("named_entity"), F.col("tag").alias("known"), "cue")
+    joined = _mentions(texts).join(rows, "named_entity", "left")
+    holds = F.col("known").isNotNull() & (F.col("cue").isNull() | F.contains(F.col("body"), F.col("cue")))
+    best = F.max(F.when(holds, F.struct(F.col("cue").isNotNull().alias("cued"), F.col("known").alias("tag"))))
+    tagged = joined.groupBy("unit", "named_entity", "pos").agg(best.alias("best"))
+    return tagged.select("unit", "named_entity", "pos", F.coalesce("best.tag", F.lit(OTHER_TAG)).alias("tag"))
+
+
+def _listed(texts: DataFrame, mentions: DataFrame) -> DataFrame:
+    listed = texts.select("unit").join(distinct_entities(mentions), "unit", "left")
     return listed.withColumn("ner_tags", F.coalesce("ner_tags", F.array().cast(TAGS)))
 
 

@@ -17,6 +17,7 @@ TOP = 20
 BITS = 21  # of a place in its chunk and of a chunk in its sentence
 PLACES = 1 << BITS
 SIMILAR = 0.9
+SCORE_DIGITS = 6  # phrases whose scores agree to so many digits are ordered as text
 
 
 def scored_terms(texts: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def candidates(texts: DataFrame) -> DataFrame:
         F.max("run.prod").alias("prod"),
         F.max("run.total").alias("total"),
     )
-    score = F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), 9)
+    score = F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), SCORE_DIGITS)
     return grouped.select("unit", "phrase", "tf", score.alias("score"), "at", "size")
 
 

@@ -121,3 +121,10 @@ def test_words_are_exploded_after_the_only_text_shuffle(spark):
     plan = keywords.keywords(_texts(spark, "a b c"))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
     assert "ENSURE_REQUIREMENTS" not in plan and "SortAggregate" not in plan
+
+
+def test_the_last_mention_of_an_entity_decides_its_tag(spark):
+    gaz = spark.createDataFrame([("Acme", "ORG", None), ("Acme", "LOC", "town"), ("Bob", "PER", "met")], "name string, tag string, cue string")
+    texts = _texts(spark, "We saw Acme today. We live in Acme town. Then Bob left.", "The town is Acme too. Then Acme won. We met Bob.")
+    got = {r.unit: [tuple(e) for e in r.ner_tags] for r in entities.entity_tags(texts, gaz).collect()}
+    assert got == {"0": [("Acme", "LOC"), ("Bob", "MISC")], "1": [("Acme", "ORG"), ("Bob", "PER")]}
