@@ -138,8 +138,12 @@ def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
     none = F.array().cast("array<struct<score:double,phrase:string,at:bigint,size:int>>")
 
     def similar(a, b):
+        # Two phrases differ by one letter at least, and by no fewer than their lengths do, so the cheap
+        # tests in front rule out most pairs before any edit distance is computed.
         longest = F.greatest(F.length(a["phrase"]), F.length(b["phrase"]))
-        return 1 - F.levenshtein(a["phrase"], b["phrase"]) / longest > SIMILAR
+        most = F.lit(1 - SIMILAR) * longest + 1e-9
+        near = (most >= 1) & (F.abs(F.length(a["phrase"]) - F.length(b["phrase"])) <= most)
+        return near & (1 - F.levenshtein(a["phrase"], b["phrase"]) / longest > SIMILAR)
 
     def walk(ranked):
         return F.aggregate(
