@@ -106,9 +106,9 @@ def _brute_keywords(text, top=20):
 
 def test_keywords_match_brute_force(spark):
     text = (
-        "King Arthur Baking offers cornbread recipes. The recipe for Southern cornbread, tender and moist, has corn flavor!\n"
+        "Green Hollow Baking offers cornbread recipes. The recipe for Southern cornbread, tender and moist, has corn flavor!\n"
         "NASA bakers test cornbread recipe ideas; bakers of Northern cornbread add sugar. Internationalisations beat "
-        "internationalisation. Pans, cups and 42 spoons: the pan is hot. Corn flavor wins? King Arthur Baking agrees."
+        "internationalisation. Pans, cups and 42 spoons: the pan is hot. Corn flavor wins? Green Hollow Baking agrees."
     )
     crowd = " ".join(f"internationalisation{c}." for c in "abcdefghijklmnopqrstuvwxyz") + " " + text
     got = {r.unit: r.yake_tags for r in keywords.keywords(_texts(spark, text, crowd, "", "the of")).collect()}
