@@ -70,8 +70,16 @@ class Model:
         self.entries = self.tables[0].take(self.slots[0]), self.tables[1].take(self.slots[1])
         self.high, self.mid = self.entries[0] >> 2, self.entries[1] >> 2
         self.context = ((self.entries[0] & SURE) << 2) | (self.entries[1] & SURE)
-        steps = np.cumsum(self.choices, axis=1)
-        self.to_one, self.to_two, self.total = (steps[:, k].take(self.context) for k in range(3))
+        edges = np.zeros((len(self.choices), 4), np.uint64)
+        edges[:, 1:] = np.cumsum(self.choices, axis=1)
+        self.edges, self.row = edges.ravel(), self.context << 2
+        self.total = self.edges.take(self.row + 3)
+
+    def bounds(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each choice among the counts of its context."""
+        at = self.row + choice
+        start = self.edges.take(at)
+        return start, self.edges.take(at + 1) - start
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
         self.choices += np.bincount(self.context * 3 + choice, minlength=self.choices.size).reshape(self.choices.shape)
@@ -100,13 +108,13 @@ class Coder:
         self.words, self.used = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
 
     def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        part = self.range[lanes] // np.asarray(total).astype(_U)
+        part = self.range[lanes] // np.asarray(total, _U)
         low = self.low[lanes]
-        moved = low + part * start.astype(_U)
+        moved = low + part * start.astype(_U, copy=False)
         carry = np.flatnonzero(moved < low)
         if len(carry):
             self._carry(np.arange(len(self.low))[lanes][carry])
-        self.low[lanes], self.range[lanes] = moved, part * size.astype(_U)
+        self.low[lanes], self.range[lanes] = moved, part * size.astype(_U, copy=False)
         short = np.flatnonzero(self.range < _FULL)
         if len(short):
             self._emit(short)
@@ -139,13 +147,13 @@ class Reader:
         self.range = np.full(len(sizes), np.iinfo(np.uint64).max, _U)
 
     def value(self, lanes: np.ndarray | slice, total: np.ndarray | int) -> np.ndarray:
-        total = np.asarray(total).astype(_U)
+        total = np.asarray(total, _U)
         self.part = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // self.part, total - _U(1)).astype(np.int64)
+        return np.minimum(self.code[lanes] // self.part, total - _U(1))
 
     def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        self.code[lanes] -= self.part * start.astype(_U)
-        self.range[lanes] = self.part * size.astype(_U)
+        self.code[lanes] -= self.part * start.astype(_U, copy=False)
+        self.range[lanes] = self.part * size.astype(_U, copy=False)
         short = np.flatnonzero(self.range < _FULL)
         if len(short):
             self.code[short] = (self.code[short] << _U(32)) | self.words[self.next[short]]
@@ -153,14 +161,6 @@ class Reader:
             self.range[short] <<= _U(32)
 
 
-def bounds(choice: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of each choice among the counts of its context."""
-    edges = np.stack([np.zeros_like(model.to_one), model.to_one, model.to_two, model.total])
-    lanes = np.arange(len(choice))
-    start = edges[choice, lanes]
-    return start, edges[choice + 1, lanes] - start
-
-
 def _lanes(n: int) -> np.ndarray:
     """Lane lengths, longest first, that differ by one at most."""
     lanes = max(1, -(-n // LANE_STEPS))
@@ -182,7 +182,7 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> bytes:
         now = ids[begin[:lanes] + t].astype(np.int32)
         model.look()
         choice = np.where(now == model.high, 0, np.where(now == model.mid, 1, 2))
-        coder.put(slice(0, lanes), *bounds(choice, model), model.total)
+        coder.put(slice(0, lanes), *model.bounds(choice), model.total)
         rest = np.flatnonzero(choice == 2)
         if len(rest):
             low = model.cumulative[now[rest]]
@@ -214,14 +214,14 @@ def decode(block: bytes) -> tuple[np.ndarray, np.ndarray]:
         model.narrow(lanes)
         model.look()
         value = reader.value(every, model.total)
-        choice = np.where(value < model.to_one, 0, np.where(value < model.to_two, 1, 2))
-        reader.take(every, *bounds(choice, model))
+        choice = (value >= model.edges.take(model.row + 1)).astype(np.int8) + (value >= model.edges.take(model.row + 2))
+        reader.take(every, *model.bounds(choice))
         now = np.where(choice == 0, model.high, model.mid)
         rest = np.flatnonzero(choice == 2)
         if len(rest):
-            value = reader.value(rest, model.cumulative[-1])
+            value = reader.value(rest, model.cumulative[-1]).astype(np.int64)
             order = np.argsort(value)  # neighbours in the table are found faster one after another
-            found = np.empty_like(value)
+            found = np.empty(len(value), np.int64)
             found[order] = np.searchsorted(model.cumulative, value[order], side="right") - 1
             low = model.cumulative[found]
             reader.take(rest, low, model.cumulative[found + 1] - low)
