@@ -30,6 +30,38 @@ def test_plan_is_near_the_bound():
     assert sum(times for times, _ in P.plan(histogram, 1024)) <= 1.002 * bound
 
 
+def _wide():
+    lengths = np.clip(np.exp(np.random.default_rng(2).normal(6, 1.2, 30000)).astype(int) + 1, 1, 4095)
+    return np.unique(lengths, return_counts=True)
+
+
+def test_all_classes_are_covered_near_the_optimum():
+    lengths, counts = _wide()
+    sizes, of, units = P.length_classes(lengths, 4096)
+    assert len(sizes) < 100 and (sizes[of] * 4096 >= lengths * units).all()
+    need = np.bincount(of, counts)
+    found, bound = P.fractional(sizes, need, units)
+    covered = np.zeros(len(sizes))
+    for amount, config in found:
+        assert sum(sizes[i] * n for i, n in config.items()) <= units
+        for i, n in config.items():
+            covered[i] += amount * n
+    assert (covered >= need * (1 - 1e-9)).all()
+    assert sum(amount for amount, _ in found) <= (1 + P.TOLERANCE) * bound * (1 + 1e-9)
+    assert abs(sum(times for times, _ in P.rounded(found)) - sum(amount for amount, _ in found)) <= 1
+
+
+def test_the_program_places_most_sequences_of_a_wide_histogram():
+    lengths, counts = _wide()
+    rest = counts.copy()
+    placed = P.programmed(lengths, rest, 4096)
+    assert len(lengths) > 3000 and rest.min() >= 0
+    by_program = sum(times for times, _ in placed)
+    assert by_program >= 0.9 * (by_program + sum(times for times, _ in P.best_fit(lengths, rest, 4096)))
+    total = sum(times for times, _ in P.plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True))))
+    assert total <= 1.002 * -(-int(lengths @ counts) // 4096)
+
+
 def test_pricing_finds_the_best_configuration():
     found = P.best_configuration(np.array([3, 5, 7]), np.array([3.0, 5.5, 7.1]), 13)
     assert found == {0: 1, 1: 2}
