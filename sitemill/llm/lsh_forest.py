@@ -17,6 +17,7 @@ No pair is written out: tiles give link counts per class and spanning edges.
 Defined results: a text of fewer words than ``WIDTH`` but some is one shingle of all its words; a text
 without words (null, empty, signs only) links with nothing and is a class of its own.  Rows with equal
 words link with each other.  Classes are named by the smallest doc_id, null only if all are null.
+``representatives`` also takes equal texts without words as copies, since an earlier stage may empty them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +93,9 @@ def sequence_hash(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``rk, doc_id, node, shingles, sig``: a key of the row, its class, and the class's min-hashes.
+    """``rk, doc_id, node, shingles, sig, blank``: a key of the row, its class, and the class's min-hashes.
 
-    Rows without words have a null node.
+    Rows without words have a null node, and ``blank`` is the hash of their text, null for a null text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +111,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sizes.append(int(begin[d + 1] - begin[d]))
                     sigs.append(signature(keys[begin[d] : begin[d + 1]]).tobytes())
                 kept = batch.slice(i, j - i)
+                blank = pc.if_else(pa.array([x is None for x in nodes]), kept.column(3), None)
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column(0), kept.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())],
-                    ["rk", "doc_id", "node", "shingles", "sig"],
+                    [kept.column(0), kept.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), blank],
+                    ["rk", "doc_id", "node", "shingles", "sig", "blank"],
                 )
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(run, "rk long, doc_id long, node long, shingles int, sig binary")
+    whole = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text", whole.alias("whole"))
+    return keyed.mapInArrow(run, "rk long, doc_id long, node long, shingles int, sig binary, blank long")
 
 
 def _signed(batch: pa.Table) -> np.ndarray:
@@ -251,7 +255,7 @@ def verified(members: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """``rk, doc_id, class_id, n_links, stays`` per row; ``rk`` is ``xxhash64(doc_id, text)`` of the row.
+    """``rk, doc_id, class_id, n_links, stays, alone, blank`` per row; ``rk`` is ``xxhash64(doc_id, text)`` of the row.
 
     ``stays`` is true for the row that its group of connected classes is represented by, and for rows
     without words.
@@ -286,7 +290,7 @@ def join(docs: DataFrame) -> DataFrame:
     )
     alone = F.col("node").isNull()
     return (
-        rows.select("rk", "doc_id", "node")
+        rows.select("rk", "doc_id", "node", "blank")
         .join(per_class, "node", "left")
         .select(
             "rk",
@@ -295,6 +299,7 @@ def join(docs: DataFrame) -> DataFrame:
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             (alone | (F.col("rk") == F.col("leader_rk"))).alias("stays"),
             alone.alias("alone"),
+            "blank",
         )
     )
 
@@ -302,13 +307,18 @@ def join(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with all its columns: the one with the smallest doc_id.
 
-    Rows without words all stay; of rows that repeat both doc_id and text one stays.
+    Equal texts without words are such a group too, so the empty texts that line deduplication leaves of
+    copies become one.  Null texts are unknown and all stay; of rows that repeat both doc_id and text one stays.
     """
-    staying = join(docs).where("stays").select("rk", "alone").distinct()
+    own = F.when(F.col("blank").isNull(), F.col("rk"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rk"))
+    unknown = F.bool_or(F.col("alone") & F.col("blank").isNull())
+    staying = join(docs).where("stays").groupBy("blank", own.alias("own")).agg(first.alias("first"), unknown.alias("unknown"))
+    staying = staying.select("first.rk", "unknown")
     packed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rk"))
     kept = packed.join(staying.hint("merge"), "rk")
     nth = F.row_number().over(Window.partitionBy("rk").orderBy("rk"))
-    return kept.withColumn("_nth", nth).where("alone OR _nth = 1").select("row.*")
+    return kept.withColumn("_nth", nth).where("unknown OR _nth = 1").select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

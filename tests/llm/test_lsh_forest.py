@@ -73,6 +73,14 @@ def test_one_document_of_each_group_stays(spark, many, none):
     assert J.report(none).count() == 0 and J.representatives(none).count() == 0
 
 
+def test_equal_texts_without_words_are_one_group(spark):
+    docs = [(5, ""), (3, ""), (3, ""), (None, ""), (9, " - "), (8, " - "), (None, "..."), (1, None), (2, None), (None, None), (7, "a b")]
+    kept = J.representatives(frame(spark, docs)).collect()
+    expected = [(3, ""), (8, " - "), (None, "..."), (1, None), (2, None), (None, None), (7, "a b")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(expected, key=str)
+    assert sorted((tuple(r) for r in J.report(frame(spark, docs)).collect()), key=str) == sorted(brute(docs), key=str)
+
+
 def test_depth_reaches_the_target_recall():
     d = J.depth(0.8)
     assert 1 - (1 - 0.8**d) ** J.TREES >= J.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** J.TREES

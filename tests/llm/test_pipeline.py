@@ -39,6 +39,16 @@ def test_stages_against_brute_force(spark, monkeypatch):
     assert got == sorted({(d, t) for d, t in lines if d is not None and d in near and d in clean})
 
 
+def test_copies_of_several_lines_leave_one_document(spark):
+    """Line deduplication empties the later copies, and of these one stays besides the first."""
+    body = "\n".join(f"line {i} of a passage that is long enough" for i in range(6))
+    docs = frame(spark, [(k, body) for k in range(20, 0, -1)] + [(30, "another text")])
+    lines = corpus_pipeline.line_dedup(spark, docs, "")
+    assert lines.where("text = ''").count() == 19
+    got = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, lines, "").collect()}
+    assert got == {1: body, 2: "", 30: "another text"}
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the given tables")
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL)
