@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, line_windows, lsh_forest, mixing_coder, pairwise_quality, rotation_codes, shards, warc_segments
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, lattice_lm, line_windows, lsh_forest, mixing_coder, pairwise_quality, rotation_codes, shards, warc_segments
 from sitemill.llm.frames import table
 from sitemill.workspace import new_path
 
@@ -85,6 +85,10 @@ def op10_toxicity(spark, sf_dir):
     return factor_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lattice_lm(spark, sf_dir):
+    return lattice_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def _words(text: str) -> str:
     lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"coalesce(regexp_extract_all({lowered}, '{WORD}'), [])"
@@ -119,6 +123,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_rotation_codes": (op9_rotation_codes, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_lattice_lm": (op11_lattice_lm, None),
 }
 
 
