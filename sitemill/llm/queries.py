@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitemill.llm import config_pack, decontaminate, factor_toxicity, lattice_lm, line_windows, lsh_forest, mixing_coder, pairwise_quality, rotation_codes, shards, warc_segments
+from sitemill.llm import config_pack, decontaminate, factor_toxicity, hilbert_negatives, lattice_lm, line_windows, lsh_forest, mixing_coder, pairwise_quality, rotation_codes, shards, turn_trees, warc_segments
 from sitemill.llm.frames import table
 from sitemill.workspace import new_path
 
@@ -89,6 +89,52 @@ def op11_lattice_lm(spark, sf_dir):
     return lattice_lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_trees(spark, sf_dir):
+    return turn_trees.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of a decimal number, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP12_SQL = f"""
+WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, sha256(length(role)::VARCHAR || ':' || role || text) AS id, strlen(text)::BIGINT AS size FROM given),
+own AS (SELECT conv_id, list(struct_pack(id := id, size := size) ORDER BY turn NULLS FIRST, id) AS x FROM t GROUP BY 1),
+c AS (SELECT conv_id, x, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM own),
+s AS (SELECT c.conv_id, list_concat(coalesce(b.x[1:c.h], []), c.x[c.h + 1:len(c.x)]) AS x FROM c LEFT JOIN own b ON b.conv_id = c.base),
+m AS (SELECT conv_id, unnest(range(0, len(x) + 1)) AS depth, x FROM s),
+n AS (SELECT depth, list_transform(x[1:depth], lambda e: e.id) AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(CASE WHEN depth > 0 THEN x[depth].size ELSE 0 END) AS size,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(x) = depth), '') AS ends FROM m GROUP BY 1, 2),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT path[1:unnest(range(0, depth + 1))] AS path, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * size AS saved FROM w),
+g AS (SELECT path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY 1)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+  g.n_leaves::BIGINT AS n_leaves, g.saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN g USING (path) LEFT JOIN n p ON w.depth > 0 AND p.path = w.path[1:w.depth - 1]"""
+
+
+def op13_hilbert_negatives(spark, sf_dir):
+    return hilbert_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
 def _words(text: str) -> str:
     lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"coalesce(regexp_extract_all({lowered}, '{WORD}'), [])"
@@ -124,6 +170,8 @@ QUERIES = {
     "op9_rotation_codes": (op9_rotation_codes, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
     "op11_lattice_lm": (op11_lattice_lm, None),
+    "op12_turn_trees": (op12_turn_trees, OP12_SQL),
+    "op13_hilbert_negatives": (op13_hilbert_negatives, OP13_SQL),
 }
 
 
