@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.llm import words as W
-from sitemill.llm.components import sorted_tiles, whole_groups
+from sitemill.llm.components import sorted_tiles
 from sitemill.llm.frames import cut
 from sitemill.workspace import stage
 
@@ -43,9 +43,13 @@ ROUNDS = 3
 RANK_SHIFT, LEAST = 50.0, 0.01
 #: Bytes of text whose distinct words make up a slice, and word bytes that one lattice batch holds.
 TEXT_SLICE, BATCH_BYTES = 1 << 23, 1 << 19
+#: Rows of word numbers that are packed at once.
+PACKED = 1 << 20
 #: Words of more bytes go through the recursion one by one.
 LONG = 512
 FORWARD_BITS = 20
+#: A place has room for 2^20 partitions, slices of a partition, and words of a slice.
+SLICE_BITS, WORD_BITS = 13, 30
 
 _codes = np.arange(256)
 _IN_WORD = ~(((_codes >= 9) & (_codes <= 13)) | (_codes == 32))
@@ -251,11 +255,14 @@ def word_scores(words: DataFrame, weights: np.ndarray, vocabulary: str = VOCABUL
 
 
 def encoded(docs: DataFrame, text_slice: int = TEXT_SLICE) -> DataFrame:
-    """Rows of two kinds: ``slice, k, word, c`` (its uses in training texts) and ``slice, doc_id, held_out, ids``."""
+    """Rows of two kinds: ``place, word, c`` (its uses in training texts) and ``slice, doc_id, held_out, ids``.
+
+    A place is the slice and, in the low ``WORD_BITS``, the word's number in it.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    schema = "slice long, k int, word string, c long, doc_id long, held_out boolean, ids array<int>"
-    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+    schema = "place long, word string, c long, slice long, doc_id long, held_out boolean, ids array<int>"
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def out(size: int, **given) -> pa.RecordBatch:
@@ -263,7 +270,7 @@ def encoded(docs: DataFrame, text_slice: int = TEXT_SLICE) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << SLICE_BITS
         for batch in batches:
             for i, j in cut(batch.column("text"), text_slice):
                 part, number = batch.slice(i, j - i), number + 1
@@ -280,59 +287,88 @@ def encoded(docs: DataFrame, text_slice: int = TEXT_SLICE) -> DataFrame:
                 words = pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(flat.tobytes()))
                 for k in range(0, len(a), 1 << 16):
                     stop = min(len(a), k + (1 << 16))
-                    yield out(stop - k, slice=pa.array(np.full(stop - k, number)), k=pa.array(np.arange(k, stop)), word=words[k:stop], c=pa.array(counts[k:stop]))
+                    yield out(stop - k, place=pa.array((number << WORD_BITS) + np.arange(k, stop)), word=words[k:stop], c=pa.array(counts[k:stop]))
                 ids = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(which.astype(np.int32)))
                 yield out(part.num_rows, slice=pa.array(np.full(part.num_rows, number)), doc_id=part.column("doc_id"), held_out=part.column("held_out"), ids=ids)
 
     return rows.mapInArrow(run, schema)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Sums per document; of each slice the words' numbers come first, in order, and then its documents."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """``slice, numbers``: word numbers, counts and scores of ``place, c, logp`` rows, one row per slice and stretch."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        place = table.column("place").to_numpy()
+        order = np.argsort(place)
+        place = place[order]
+        count, logp = (table.column(c).to_numpy()[order] for c in ("c", "logp"))
+        slices = place >> WORD_BITS
+        cuts = np.append(np.flatnonzero(np.append(True, slices[1:] != slices[:-1])), len(place))
+        binary = [
+            (place[a:b] & ((1 << WORD_BITS) - 1)).astype("<u4").tobytes() + count[a:b].astype("<i8").tobytes() + logp[a:b].astype("<f8").tobytes()
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(slices[cuts[:-1]]), pa.array(binary, pa.binary())], ["slice", "numbers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= PACKED:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return rows.select("place", "c", "logp").mapInArrow(run, "slice long, numbers binary")
+
+
+def _summed(rows: DataFrame, bottom: float) -> DataFrame:
+    """Sums per document; of each slice the words' numbers come first, and then its documents."""
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, logp double"
 
+    def numbers(packed: list[bytes]) -> list[np.ndarray]:
+        size = [len(p) // 20 for p in packed]
+        at = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(packed, size, strict=True)])
+        count, logp = np.empty(len(at), np.int64), np.empty(len(at))
+        count[at] = np.concatenate([np.frombuffer(p, "<i8", n, 4 * n) for p, n in zip(packed, size, strict=True)])
+        logp[at] = np.concatenate([np.frombuffer(p, "<f8", n, 12 * n) for p, n in zip(packed, size, strict=True)])
+        return [(count > 0).astype(float), np.log10((count + 0.1) / bottom), logp]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, values = None, None
-        for table, starts in whole_groups(_filled(batches), ["slice", "text"]):
-            slices, kinds = table.column("slice").to_numpy(), table.column("text").to_numpy()
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                part = table.slice(a, b - a).combine_chunks()
-                if not kinds[a]:
-                    held = slices[a]
-                    values = [part.column(c).to_numpy() for c in ("known", "base", "logp")]
+        held, packed, values = None, [], None
+        for batch in batches:
+            slices = batch.column("slice").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, slices[1:] != slices[:-1])), len(slices)) if len(slices) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held != slices[a]:
+                    held, packed, values = slices[a], [], None
+                part = batch.slice(a, b - a)
+                packed += [p for p in part.column("numbers").to_pylist() if p is not None]
+                part = part.filter(part.column("ids").is_valid())
+                if part.num_rows == 0:
                     continue
-                if held != slices[a]:  # a slice without any word
-                    held, values = slices[a], [np.zeros(0)] * 3
-                ids = part.column("ids").combine_chunks()
-                sizes = np.diff(ids.offsets.to_numpy())
-                flat, doc = ids.flatten().to_numpy(), np.repeat(np.arange(b - a), sizes)
-                sums = [np.bincount(doc, v[flat], b - a).astype(float) for v in values]
+                if values is None:
+                    values, packed = numbers(packed) if packed else [np.zeros(0)] * 3, []
+                sizes = np.diff(part.column("ids").offsets.to_numpy())
+                flat, doc = part.column("ids").flatten().to_numpy(), np.repeat(np.arange(part.num_rows), sizes)
+                sums = [np.bincount(doc, v[flat], part.num_rows).astype(float) for v in values]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "logp"],
+                    [part.column("doc_id"), part.column("held_out"), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                    [f.split()[0] for f in schema.split(", ")],
                 )
 
     return rows.mapInArrow(run, schema)
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in fewer, larger batches, so that a group's rows are not joined again and again."""
-    rows: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        rows.append(batch)
-        size += batch.nbytes
-        if size >= TEXT_SLICE:
-            yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
-            rows, size = [], 0
-    if rows:
-        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
-
-
 def scores(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = VOCABULARY, text_slice: int = TEXT_SLICE) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document."""
     rows = stage(encoded(docs, text_slice), "encoded-texts")
-    placed = rows.where("word IS NOT NULL").select("slice", "k", "word", "c")
+    placed = rows.where("word IS NOT NULL").select("place", "word", "c")
     texts = rows.where("word IS NULL").select("slice", "doc_id", "held_out", "ids")
     words = stage(placed.groupBy("word").agg(F.sum("c").alias("c")), "words")
     taught = words.where("c > 0")
@@ -341,23 +377,17 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = VOCABULARY,
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     weights = fit(taught, ends, rounds, vocabulary)
     known = stage(word_scores(words, weights, vocabulary), "word-scores")
-
-    def base(count):
-        return F.log10((count + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-
-    joined = placed.select("slice", "k", "word").join(known, "word")
-    numbers = joined.select(
-        "slice", F.lit(0).alias("text"), "k", (F.col("c") > 0).cast("int").alias("known"), base(F.col("c")).alias("base"), "logp"
-    )
-    both = numbers.unionByName(texts.withColumn("text", F.lit(1)), allowMissingColumns=True)
-    found = _summed(sorted_tiles(both, "slice", then=("text", "k")))
-    end_base, end_score = base(F.lit(ends)), float(weights[-1] / math.log(10))
+    bottom = total + 0.1 * (distinct + 1)
+    numbers = _packed(placed.select("place", "word").join(known, "word"))
+    both = numbers.unionByName(texts, allowMissingColumns=True)
+    found = _summed(sorted_tiles(both.withColumn("text", F.col("numbers").isNull()), "slice", then=("text",)), bottom)
+    end_base, end_score = math.log10((ends + 0.1) / bottom), float(weights[-1] / math.log(10))
     return found.select(
         "doc_id",
         "held_out",
         (F.col("n_tokens") + 1).alias("n_tokens"),
         (F.col("n_known") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + end_base).alias("base_score"),
+        (F.col("base") + F.lit(end_base)).alias("base_score"),
         (F.col("logp") + F.lit(end_score)).alias("score"),
     )
