@@ -13,12 +13,14 @@ from checks.site_queries import FOUND_SITES, _sitemap_sql
 from sitemill import constants as C
 from sitemill import models, schemas
 from sitemill.functions import text as X
-from sitemill.functions import urls
+from sitemill.functions import markup, urls
 from sitemill.functions.vectors import DIM
 from sitemill.operators import keywords, records, sites
+from sitemill.operators import site_keywords as per_site
+from sitemill.operators.ranking import rank_within
 from sitemill.plans import jobs
 from sitemill.sources import inputs, jsonl
-from sitemill.workspace import new_path
+from sitemill.workspace import new_path, stage
 
 ECOSYSTEM = "test-job"
 
@@ -495,6 +497,21 @@ SELECT s.homepage, subdomains, coalesce(array_to_string(yake_tags, '|'), '') AS
 FROM site s LEFT JOIN yake y ON y.homepage = s.homepage"""
 
 
+def site_keywords(spark, sf_dir):
+    """Keywords of whole sites, each page a part of its own."""
+    p = T.pages(spark, sf_dir).select(urls.origin(F.col("url")).alias("unit"), "url", "page_id", markup.page_text(F.col("html")).alias("text"))
+    parts = rank_within(p, ["unit"], ["url", "page_id"], "part").select("unit", "part", F.coalesce("text", F.lit("")).alias("text"))
+    found = per_site.keywords(stage(parts, "page-parts"))
+    return found.select(F.col("unit").alias("homepage"), F.array_join("yake_tags", "|").alias("yake_tags"))
+
+
+def site_keywords_sql():
+    return f"""WITH RECURSIVE site AS (SELECT {S.origin('url')} AS homepage,
+  coalesce(string_agg({S.page_text('html')}, chr(10) ORDER BY url, page_id), '') AS raw_text FROM pages GROUP BY 1),
+yake AS ({yake_sql('site', 'homepage', 'raw_text')})
+SELECT s.homepage, coalesce(array_to_string(yake_tags, '|'), '') AS yake_tags FROM site s LEFT JOIN yake y ON y.homepage = s.homepage"""
+
+
 def _single(spark, sf_dir, vocabulary):
     p = T.pages(spark, sf_dir)
     first = p.where(urls.is_good(F.col("url"))).agg(F.array(F.min("url")).alias("links"))
@@ -536,6 +553,7 @@ QUERIES = {
         lambda: record_sql(f"(SELECT unit, text FROM {job_texts()} WHERE NOT domain)", HOUSE),
     ),
     "domain_records": (domain_records, lambda: record_sql(f"(SELECT unit, text FROM {job_texts()} WHERE domain)", HOUSE)),
+    "site_keywords": (site_keywords, lambda: site_keywords_sql()),
     "site_reports": (site_reports, lambda: site_reports_sql()),
     "job_bulk": (job_bulk, lambda: job_sql(HOUSE)),
     "job_bulk_paradigm": (job_bulk_paradigm, lambda: job_sql(PARADIGM)),

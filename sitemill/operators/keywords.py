@@ -7,11 +7,11 @@ low scores are good.  See Campos et al., Information Sciences 509 (2020).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemill.functions import text as X
-from sitemill.operators.tokens import by_unit, is_weak, listed_sentences, word_rows
+from sitemill.operators.tokens import by_unit, topic_rows
 
 TOP = 20
 BITS = 21  # of a place in its chunk and of a chunk in its sentence
@@ -20,28 +20,35 @@ SIMILAR = 0.9
 SCORE_DIGITS = 6  # phrases whose scores agree to so many digits are ordered as text
 
 
+def neighbour_share(distinct: Column, present: Column) -> Column:
+    """Distinct neighbours on one side, as a share of all on that side."""
+    return F.when(present > 0, distinct / present).otherwise(F.lit(0.0))
+
+
+def term_score() -> Column:
+    """The published score of a term, from columns of its counts and those of its unit."""
+    tf = F.col("tf").cast("double")
+    case = F.col("cased") / (1 + F.log(tf))
+    position = F.log(F.log(3 + F.col("middle")))
+    frequency = tf / (F.col("mean_tf") + F.col("std_tf"))
+    related = 1 + (F.col("left") + F.col("right")) * tf / F.col("max_tf")
+    spread = F.col("in_sentences") / F.col("n_sentences")
+    return related * position / (case + frequency / related + spread / related)
+
+
 def scored_terms(texts: DataFrame) -> DataFrame:
     """Topic words of each text, one row per term: its counts, its score and all its mentions.
 
     Everything is grouped where the text's words were made, so there is no further exchange.
     """
-    words = word_rows(by_unit(texts)).where(~is_weak("term"))
-    starts = (F.col("chunk") == 0) & (F.col("place") == 0)
-    shouted = (F.col("word") == F.upper("word")) & (F.length("word") > 1)
-    capital = F.col("word").rlike(r"^\p{Lu}") & ~starts
-
-    def neighbours(side):
-        distinct, present = F.size(F.collect_set(side)), F.count(side)
-        return F.when(present > 0, distinct / present).otherwise(F.lit(0.0))
-
     mention = F.struct("sentence", "chunk", "place", "word2", "word3")
-    terms = words.groupBy("unit", "term").agg(
+    terms = topic_rows(by_unit(texts)).groupBy("unit", "term").agg(
         F.count("*").alias("tf"),
-        F.greatest(F.count_if(shouted), F.count_if(capital)).alias("cased"),
+        F.greatest(F.count_if("shouted"), F.count_if("capital")).alias("cased"),
         F.size(F.collect_set("sentence")).alias("in_sentences"),
         F.percentile("sentence", 0.5).alias("middle"),
-        neighbours("before").alias("left"),
-        neighbours("after").alias("right"),
+        neighbour_share(F.size(F.collect_set("before")), F.count("before")).alias("left"),
+        neighbour_share(F.size(F.collect_set("after")), F.count("after")).alias("right"),
         F.max("n_sentences").alias("n_sentences"),
         F.collect_list(mention).alias("mentions"),
     )
@@ -54,14 +61,7 @@ def scored_terms(texts: DataFrame) -> DataFrame:
         mean.alias("mean_tf"),
         F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0))).alias("std_tf"),
     )
-    tf = F.col("tf").cast("double")
-    case = F.col("cased") / (1 + F.log(tf))
-    position = F.log(F.log(3 + F.col("middle")))
-    frequency = tf / (F.col("mean_tf") + F.col("std_tf"))
-    related = 1 + (F.col("left") + F.col("right")) * tf / F.col("max_tf")
-    spread = F.col("in_sentences") / F.col("n_sentences")
-    score = related * position / (case + frequency / related + spread / related)
-    return terms.select("unit", "term", "tf", "cased", "in_sentences", "middle", score.alias("score"), "mentions")
+    return terms.select("unit", "term", "tf", "cased", "in_sentences", "middle", term_score().alias("score"), "mentions")
 
 
 def term_statistics(texts: DataFrame) -> DataFrame:
@@ -126,60 +126,53 @@ def candidates(texts: DataFrame) -> DataFrame:
     return grouped.select("unit", "phrase", "tf", score.alias("score"), "at", "size")
 
 
+def _similar(a: Column, b: Column) -> Column:
+    """Whether two phrases nearly agree.
+
+    They differ by one letter at least, and by no fewer than their lengths do, so the cheap tests in front
+    rule out most pairs before any edit distance is computed.
+    """
+    longest = F.greatest(F.length(a["phrase"]), F.length(b["phrase"]))
+    most = F.lit(1 - SIMILAR) * longest + 1e-9
+    near = (most >= 1) & (F.abs(F.length(a["phrase"]) - F.length(b["phrase"])) <= most)
+    return near & (1 - F.levenshtein(a["phrase"], b["phrase"]) / longest > SIMILAR)
+
+
+def walk(ranked: Column, kept: Column, top: int) -> Column:
+    """``kept`` and the phrases of ``ranked`` that are near none kept before, ``top`` at most."""
+    return F.aggregate(
+        ranked,
+        kept,
+        lambda acc, x: F.when(
+            (F.size(acc) < top) & ~F.exists(acc, lambda k: _similar(k, x)), F.concat(acc, F.array(x))
+        ).otherwise(acc),
+    )
+
+
+def as_written(k: Column, sentence: Column) -> Column:
+    """A kept phrase as it stands at its first place; ``body`` has the sentences."""
+    chunk = F.shiftright(k["at"], BITS).bitwiseAND(PLACES - 1).cast("int")
+    first = k["at"].bitwiseAND(PLACES - 1).cast("int") + 1
+    words = X.chunk_words(F.get(X.chunks(F.get("body", sentence)), chunk))
+    return F.array_join(F.slice(words, first, k["size"]), " ")
+
+
 def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
     """``(unit, yake_tags)``: the best phrases, near copies of better ones left out, sorted as text.
 
-    A text's own phrases are the largest group here; they are walked in score order until ``top``
-    are kept, which is exact however many near copies come first.  Kept phrases are shown as written
-    at their first place.  Units may come in several rows, numbered by ``part``.
+    A unit is one text, so its phrases are no larger than the row it came from; units of many parts are the
+    matter of ``site_keywords``.  They are walked in score order until ``top`` are kept, which is exact however
+    many near copies come first.  Kept phrases are shown as written at their first place.
     """
     entry = F.struct("score", "phrase", "at", "size")
     listed = candidates(texts).groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
     none = F.array().cast("array<struct<score:double,phrase:string,at:bigint,size:int>>")
-
-    def similar(a, b):
-        # Two phrases differ by one letter at least, and by no fewer than their lengths do, so the cheap
-        # tests in front rule out most pairs before any edit distance is computed.
-        longest = F.greatest(F.length(a["phrase"]), F.length(b["phrase"]))
-        most = F.lit(1 - SIMILAR) * longest + 1e-9
-        near = (most >= 1) & (F.abs(F.length(a["phrase"]) - F.length(b["phrase"])) <= most)
-        return near & (1 - F.levenshtein(a["phrase"], b["phrase"]) / longest > SIMILAR)
-
-    def walk(ranked):
-        return F.aggregate(
-            ranked,
-            none,
-            lambda acc, x: F.when(
-                (F.size(acc) < top) & ~F.exists(acc, lambda k: similar(k, x)), F.concat(acc, F.array(x))
-            ).otherwise(acc),
-        )
-
     # The first phrases nearly always suffice; the whole list is walked only for texts still short.
-    head = listed.withColumn("kept", walk(F.slice("ranked", 1, 10 * top)))
+    head = listed.withColumn("kept", walk(F.slice("ranked", 1, 10 * top), none, top))
     short = (F.size("kept") < top) & (F.size("ranked") > 10 * top)
-    listed = head.select("unit", F.when(short, walk(F.col("ranked"))).otherwise(F.col("kept")).alias("kept"))
-    kept = F.col("kept")
-    kept = listed.select("unit", F.explode(F.array(kept)).alias("kept"))
-    bodies = listed_sentences(by_unit(texts)).select("unit", F.col("all").alias("body"), "n_before")
-
-    def as_written(k):
-        sentence = F.shiftright(k["at"], 2 * BITS).cast("int") - F.col("n_before")
-        chunk = F.shiftright(k["at"], BITS).bitwiseAND(PLACES - 1).cast("int")
-        first = k["at"].bitwiseAND(PLACES - 1).cast("int") + 1
-        words = X.chunk_words(F.get(X.chunks(F.get("body", sentence)), chunk))
-        return F.array_join(F.slice(words, first, k["size"]), " ")
-
-    empty = F.array().cast("array<string>")
+    listed = head.select("unit", F.when(short, walk(F.col("ranked"), none, top)).otherwise(F.col("kept")).alias("kept"))
+    kept = listed.select("unit", F.explode(F.array("kept")).alias("kept"))
+    bodies = by_unit(texts).select("unit", X.sentences(F.col("text")).alias("body"))
+    shown = F.transform("kept", lambda k: as_written(k, F.shiftright(k["at"], 2 * BITS).cast("int")))
     joined = bodies.join(kept, "unit", "left")
-    if "part" not in texts.columns:
-        shown = F.array_sort(F.array_distinct(F.transform("kept", as_written)))
-        return joined.select("unit", F.coalesce(shown, empty).alias("yake_tags"))
-
-    def in_row(k):
-        place = F.shiftright(k["at"], 2 * BITS)
-        return (place >= F.col("n_before")) & (place < F.col("n_before") + F.size("body"))
-
-    shown = F.transform(F.filter("kept", in_row), as_written)
-    rows = joined.select("unit", F.coalesce(shown, empty).alias("shown"))
-    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_list("shown"))))
-    return rows.groupBy("unit").agg(tags.alias("yake_tags"))
+    return joined.select("unit", F.coalesce(F.array_sort(F.array_distinct(shown)), F.array().cast("array<string>")).alias("yake_tags"))

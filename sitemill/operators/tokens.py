@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions import text as X
@@ -38,26 +38,14 @@ def is_weak(term: str) -> Column:
 
 
 def by_unit(texts: DataFrame) -> DataFrame:
-    """Texts on one partition per unit; a ``part`` column says that units come in several rows."""
-    return spread(texts.select("unit", *(c for c in ("part",) if c in texts.columns), "text"), "unit")
-
-
-def listed_sentences(texts: DataFrame) -> DataFrame:
-    """``(unit, all, n_before, n_sentences)``: the sentences of each row, and how many its unit has."""
-    listed = texts.select("*", X.sentences(F.col("text")).alias("all"))
-    size = F.size("all")
-    if "part" not in texts.columns:
-        return listed.select("unit", "all", F.lit(0).alias("n_before"), size.alias("n_sentences"))
-    whole = Window.partitionBy("unit")
-    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("int")
-    return listed.select("unit", "all", before.alias("n_before"), F.sum(size).over(whole).cast("int").alias("n_sentences"))
+    """Texts on one partition per unit."""
+    return spread(texts.select("unit", "text"), "unit")
 
 
 def sentence_rows(texts: DataFrame) -> DataFrame:
-    """``(unit, n_sentences, sentence, words_of)`` with sentences numbered from 0."""
-    listed = listed_sentences(texts).select("unit", "n_before", "n_sentences", F.posexplode("all").alias("nth", "body"))
-    return listed.select("unit", "n_sentences", (F.col("n_before") + F.col("nth")).alias("sentence"), "body")
+    """``(unit, n_sentences, sentence, body)`` with sentences numbered from 0."""
+    listed = texts.select("unit", X.sentences(F.col("text")).alias("all"))
+    return listed.select("unit", F.size("all").alias("n_sentences"), F.posexplode("all").alias("sentence", "body"))
 
 
 def word_rows(texts: DataFrame) -> DataFrame:
@@ -80,3 +68,11 @@ def word_rows(texts: DataFrame) -> DataFrame:
         F.get("near", F.col("place") + 1).alias("word2"),
         F.get("near", F.col("place") + 2).alias("word3"),
     )
+
+
+def topic_rows(texts: DataFrame) -> DataFrame:
+    """The rows of ``word_rows`` that carry a topic, with ``shouted`` and ``capital``."""
+    words = word_rows(texts).where(~is_weak("term"))
+    starts = (F.col("chunk") == 0) & (F.col("place") == 0)
+    shouted = (F.col("word") == F.upper("word")) & (F.length("word") > 1)
+    return words.withColumn("shouted", shouted).withColumn("capital", F.col("word").rlike(r"^\p{Lu}") & ~starts)

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from sitemill import constants as C
 from sitemill.functions import urls
-from sitemill.operators import discovery, records, routing, sites
+from sitemill.operators import discovery, records, routing, site_keywords, sites
 from sitemill.operators.facts import complete_addresses
-from sitemill.operators.keywords import keywords
 from sitemill.operators.records import References
 from sitemill.sources import inputs, jsonl
 from sitemill.workspace import stage
@@ -59,7 +58,7 @@ class JobResult:
 
 def site_reports(pages: DataFrame, site_texts: DataFrame, refs: References) -> DataFrame:
     """Full reports, one per site, with keywords and completed addresses."""
-    words = keywords(site_texts.select(F.col("homepage").alias("unit"), "part", F.col("raw_text").alias("text")))
+    words = site_keywords.keywords(site_texts.select(F.col("homepage").alias("unit"), "part", F.col("raw_text").alias("text")))
     found = sites.site_contacts(pages).where(F.size("address") > 0)
     addresses = complete_addresses(found.select(F.col("homepage").alias("unit"), "address"), refs.places)
     return sites.site_report(

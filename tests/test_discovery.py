@@ -2,8 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sitemill.operators import discovery, sites
-from sitemill.operators.keywords import keywords
+from sitemill.operators import discovery, site_keywords, sites
 from sitemill.operators.ranking import rank_within, top_k
 from sitemill.sources import inputs
 
@@ -199,7 +198,7 @@ def test_reports_of_small_and_large_sites_have_one_shape(spark):
     def report(n):
         texts = [f"Bread mill number {i}. Mail a{i % 7}@b.org or call 212-555-{1000 + i}." for i in range(n)]
         rows = sites.page_rows(*_site(spark, texts))
-        words = keywords(sites.site_texts(rows).select(F.col("homepage").alias("unit"), "part", F.col("raw_text").alias("text")))
+        words = site_keywords.keywords(sites.site_texts(rows).select(F.col("homepage").alias("unit"), "part", F.col("raw_text").alias("text")))
         found = sites.site_report(rows, words.withColumnRenamed("unit", "homepage")).collect()
         assert len(found) == 1
         return found[0].subdomain_reports
@@ -210,14 +209,6 @@ def test_reports_of_small_and_large_sites_have_one_shape(spark):
     assert set(small.asDict()) == set(large.asDict()) and "Bread" in " ".join(small.yake_tags) and "Bread" in " ".join(large.yake_tags)
 
 
-def test_keywords_do_not_depend_on_the_parts(spark):
-    texts = [f"Corn bread from mill {i % 3}. Fresh rolls, fresh bread." for i in range(9)]
-    rows = [("u", i, t) for i, t in enumerate(texts)]
-    parts = keywords(spark.createDataFrame(rows, "unit string, part int, text string")).first().yake_tags
-    whole = keywords(spark.createDataFrame([("u", " ".join(texts))], "unit string, text string")).first().yake_tags
-    assert parts == whole
-
-
 def test_record_texts_equal_the_cut_of_the_joined_text(spark):
     rng = random.Random(5)
     texts = [None if rng.random() < 0.2 else "w" * rng.randrange(0, 900) + "  " for _ in range(60)]
