@@ -42,7 +42,7 @@ ROUNDS = 3
 #: Rank that is added before the first weights are taken as its inverse, and the count every piece starts from.
 RANK_SHIFT, LEAST = 50.0, 0.01
 #: Bytes of text whose distinct words make up a slice, and word bytes that one lattice batch holds.
-TEXT_SLICE, BATCH_BYTES = 1 << 23, 1 << 19
+TEXT_SLICE, BATCH_BYTES = 1 << 24, 1 << 19
 #: Rows of word numbers that are packed at once.
 PACKED = 1 << 20
 #: Words of more bytes go through the recursion one by one.
@@ -255,14 +255,15 @@ def word_scores(words: DataFrame, weights: np.ndarray, vocabulary: str = VOCABUL
 
 
 def encoded(docs: DataFrame, text_slice: int = TEXT_SLICE) -> DataFrame:
-    """Rows of two kinds: ``place, word, c`` (its uses in training texts) and ``slice, doc_id, held_out, ids``.
+    """Rows of two kinds: ``place, word, c`` (its uses in training texts) and ``slice, doc_id, held_out, n, ids``.
 
-    A place is the slice and, in the low ``WORD_BITS``, the word's number in it.
+    A place is the slice and, in the low ``WORD_BITS``, the word's number in it.  ``ids`` has the numbers of a
+    document's ``n`` words as little-endian integers, of three bytes unless the slice needs four.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    schema = "place long, word string, c long, slice long, doc_id long, held_out boolean, ids array<int>"
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+    schema = "place long, word string, c long, slice long, doc_id long, held_out boolean, n int, ids binary"
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def out(size: int, **given) -> pa.RecordBatch:
@@ -288,8 +289,10 @@ def encoded(docs: DataFrame, text_slice: int = TEXT_SLICE) -> DataFrame:
                 for k in range(0, len(a), 1 << 16):
                     stop = min(len(a), k + (1 << 16))
                     yield out(stop - k, place=pa.array((number << WORD_BITS) + np.arange(k, stop)), word=words[k:stop], c=pa.array(counts[k:stop]))
-                ids = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(which.astype(np.int32)))
-                yield out(part.num_rows, slice=pa.array(np.full(part.num_rows, number)), doc_id=part.column("doc_id"), held_out=part.column("held_out"), ids=ids)
+                width = 3 if len(a) <= 1 << 24 else 4
+                cells = np.ascontiguousarray(which.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width])
+                ids = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begin * width).astype(np.int32)), pa.py_buffer(cells)])
+                yield out(part.num_rows, slice=pa.array(np.full(part.num_rows, number)), doc_id=part.column("doc_id"), held_out=part.column("held_out"), n=pa.array(np.diff(begin)), ids=ids)
 
     return rows.mapInArrow(run, schema)
 
@@ -354,8 +357,11 @@ def _summed(rows: DataFrame, bottom: float) -> DataFrame:
                     continue
                 if values is None:
                     values, packed = numbers(packed) if packed else [np.zeros(0)] * 3, []
-                sizes = np.diff(part.column("ids").offsets.to_numpy())
-                flat, doc = part.column("ids").flatten().to_numpy(), np.repeat(np.arange(part.num_rows), sizes)
+                sizes = part.column("n").to_numpy()
+                cells = np.frombuffer(b"".join(part.column("ids").to_pylist()), np.uint8)
+                cells = cells.reshape(-1, len(cells) // max(1, int(sizes.sum())) or 4)
+                flat = np.pad(cells, ((0, 0), (0, 4 - cells.shape[1]))).view("<u4").ravel()
+                doc = np.repeat(np.arange(part.num_rows), sizes)
                 sums = [np.bincount(doc, v[flat], part.num_rows).astype(float) for v in values]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
@@ -369,7 +375,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = VOCABULARY,
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document."""
     rows = stage(encoded(docs, text_slice), "encoded-texts")
     placed = rows.where("word IS NOT NULL").select("place", "word", "c")
-    texts = rows.where("word IS NULL").select("slice", "doc_id", "held_out", "ids")
+    texts = rows.where("word IS NULL").select("slice", "doc_id", "held_out", "n", "ids")
     words = stage(placed.groupBy("word").agg(F.sum("c").alias("c")), "words")
     taught = words.where("c > 0")
     sums = taught.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
