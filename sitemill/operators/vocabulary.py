@@ -1,105 +1,147 @@
 """Scores of keyword vectors against a vocabulary, and the threshold join built on them.
 
-The vocabulary is cut into blocks of a bounded number of cells.  One block at a time goes to the
-executors as a matrix, and every batch of keywords is multiplied with it in tiles of a bounded number
-of cells, so neither the driver nor a task holds more, whatever the two sides' sizes.  There is no
-shuffle; with several blocks a keyword comes in one row per block.
+Both sides stay tables.  The vocabulary is range-sorted by the length of its vectors and packed into blocks, one
+row each; the queries are dealt evenly to tiles by a number of their own.  A tile and a block meet as one group
+of a join on their two numbers, so a task holds one tile and one block whatever the two sides' sizes, and no
+vector passes the driver.  For a threshold, pairs of a tile and a block whose longest vectors cannot reach it
+never meet; inside a pair the strongest dimensions are multiplied first, and only rows and terms whose bound
+(that product plus the lengths of what is left) reaches the threshold are multiplied in full.
+
+A query has one row in the result, however many blocks there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemill.workspace import stage
 
-#: Numbers in one block of the vocabulary, and scores that one tile of the product holds.
-BLOCK_CELLS, TILE_CELLS = 4_000_000, 2_000_000
-
-
-def _blocks(vocabulary: DataFrame, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Terms in order and their vectors as columns, one bounded block after another."""
-    known = stage(vocabulary.select("term", "vector").where("term IS NOT NULL AND vector IS NOT NULL"), "vocabulary")
-    size = known.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    blocks = max(1, -(-size["n"] * (size["dim"] or 1) // cells))
-    for b in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()
-        rows.sort(key=lambda r: r["term"])
-        matrix = np.array([r["vector"] for r in rows], dtype="float64").reshape(len(rows), size["dim"] or 0)
-        yield np.array([r["term"] for r in rows], dtype=object), np.ascontiguousarray(matrix.T)
-
-
-def _tiles(batch: pa.RecordBatch, columns: np.ndarray, cells: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Slices of the rows that have a vector, with their scores against all columns."""
-    vectors = batch.column("vector")
-    rows = batch.take(pa.array(np.flatnonzero(np.asarray(vectors.is_valid()))))
-    step = max(1, cells // max(1, columns.shape[1]))
-    for i in range(0, rows.num_rows, step):
-        part = rows.slice(i, step)
-        given = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-        yield part, given @ columns if columns.size else np.zeros((part.num_rows, 0))
-
-
-def dot_scores(
-    queries: DataFrame, vocabulary: DataFrame, block_cells: int = BLOCK_CELLS, tile_cells: int = TILE_CELLS
-) -> DataFrame:
+#: Queries of a tile and terms of a block when hits are sought, and when every score is a row of the result.
+MATCH_ROWS, SCORE_ROWS = 8192, 1024
+#: Scores computed at once.
+CELLS = 2_000_000
+#: Share of the dimensions that are multiplied first, and what rounding may add to a score.
+FIRST, SLACK = 0.25, 1e-4
+
+_BLOCK = "block long, top double, terms array<string>, cells binary"
+
+
+def vocabulary_blocks(vocabulary: DataFrame, rows: int = MATCH_ROWS) -> DataFrame:
+    """``block, top, terms, cells``: terms with vectors, longest vectors first, ``rows`` to a block."""
+    known = vocabulary.where("term IS NOT NULL AND vector IS NOT NULL").select("term", F.col("vector").cast("array<double>").alias("vector"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
+    known = stage(known.withColumn("length", length), "vocabulary")
+    parts = max(1, -(-known.count() // rows))
+    ordered = known.repartitionByRange(parts, F.desc("length"), "term").sortWithinPartitions(F.desc("length"), "term")
+
+    def pack(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part, number = batch.slice(i, rows), number + 1
+                cells = part.column("vector").flatten().to_numpy(zero_copy_only=False)
+                columns = [[number], [part.column("length")[0].as_py()], [part.column("term").to_pylist()], [cells.tobytes()]]
+                types = [pa.int64(), pa.float64(), pa.list_(pa.string()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
+
+    return stage(ordered.mapInArrow(pack, _BLOCK), "vocabulary-blocks")
+
+
+def _tiles(queries: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The queries with a number ``_q`` of their own and their ``_tile``, and how many tiles there are."""
+    numbered = stage(queries.withColumn("_q", F.monotonically_increasing_id()), "queries")
+    tiles = max(1, -(-numbered.count() // rows))
+    return numbered.withColumn("_tile", F.pmod(F.xxhash64("_q"), F.lit(tiles)).cast("int")), tiles
+
+
+def _meetings(queries: DataFrame, tiles: int, blocks: DataFrame, threshold: float | None):
+    """Groups of one tile and one block each; with a threshold those only that can reach it."""
+    known = queries.where("vector IS NOT NULL").select("_tile", "_q", F.col("vector").cast("array<double>").alias("vector"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
+    longest = known.groupBy("_tile").agg(F.max(length).alias("longest"))
+    pairs = blocks.select("block", "top", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile")).join(longest, "_tile")
+    if threshold is not None:
+        pairs = pairs.where(F.col("longest") * F.col("top") + SLACK > threshold)
+    pairs = pairs.select("_tile", "block")
+    left = known.join(pairs, "_tile")
+    right = blocks.select("block", "terms", "cells").join(pairs, "block")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, for the two sides to be told apart
+    return left.groupBy("_tile", "block").cogroup(right.groupBy("_tile", "block"))
+
+
+def _matrices(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    terms = right.column("terms").combine_chunks().flatten()
+    columns = np.frombuffer(right.column("cells")[0].as_py()).reshape(len(terms), -1)
+    return left.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1), columns
+
+
+def reaching(given: np.ndarray, terms: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and term of every pair whose score, rounded to four digits, is above the threshold."""
+    order = np.argsort(-(terms * terms).sum(axis=0))
+    first, rest = np.split(order, [max(1, int(len(order) * FIRST))])
+    bound = given[:, first] @ terms[:, first].T
+    lengths = np.sqrt((given[:, rest] ** 2).sum(axis=1)), np.sqrt((terms[:, rest] ** 2).sum(axis=1))
+    hopeful = bound + lengths[0][:, None] * lengths[1][None, :] + SLACK > threshold
+    rows, columns = np.flatnonzero(hopeful.any(axis=1)), np.flatnonzero(hopeful.any(axis=0))
+    i, j = np.nonzero(np.round(given[rows] @ terms[columns].T, 4) > threshold)
+    return rows[i], columns[j]
+
+
+def dot_scores(queries: DataFrame, vocabulary: DataFrame, rows: int = SCORE_ROWS) -> DataFrame:
     """``queries`` with ``(term, score)`` for every vocabulary term, one row each; none for a null vector."""
-    held = [f for f in queries.schema.fields if f.name != "vector"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held] + ["term string", "score double"])
-    names = [*(f.name for f in held), "term", "score"]
-
-    def scored(terms: np.ndarray, columns: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, scores in _tiles(batch, columns, tile_cells):
-                    rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), len(terms))))
-                    named = pa.array(np.tile(terms, part.num_rows), pa.string())
-                    yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in held), named, pa.array(scores.ravel())], names)
+    numbered, tiles = _tiles(queries, rows)
 
-        return queries.mapInArrow(run, schema)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64())], ["_q", "term", "score"])
+        given, columns = _matrices(left, right)
+        terms = right.column("terms").combine_chunks().flatten()
+        each = left.column("_q").combine_chunks().take(pa.array(np.repeat(np.arange(len(given)), len(columns))))
+        return pa.table([each, terms.take(pa.array(np.tile(np.arange(len(columns)), len(given)))), pa.array((given @ columns.T).ravel())], ["_q", "term", "score"])
 
-    return reduce(DataFrame.unionByName, [scored(*block) for block in _blocks(vocabulary, block_cells)])
+    found = _meetings(numbered, tiles, vocabulary_blocks(vocabulary, rows), None).applyInArrow(score, "_q long, term string, score double")
+    held = [c for c in queries.columns if c != "vector"]
+    return numbered.select("_q", *held).join(found, "_q").select(*held, "term", "score")
 
 
-def ranked_scores(queries: DataFrame, key: str, vocabulary: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def ranked_scores(queries: DataFrame, key: str, vocabulary: DataFrame, rows: int = SCORE_ROWS) -> DataFrame:
     """Scores of each query from best to worst; ties in term order.  A group is one vocabulary."""
     best_first = Window.partitionBy(key).orderBy(F.desc(F.round("score", 6)), "term")
-    return dot_scores(queries, vocabulary, block_cells).withColumn(
-        "position", F.row_number().over(best_first).cast("bigint")
-    )
+    return dot_scores(queries, vocabulary, rows).withColumn("position", F.row_number().over(best_first).cast("bigint"))
 
 
-def vocabulary_matches(
-    queries: DataFrame, vocabulary: DataFrame, threshold: float, block_cells: int = BLOCK_CELLS, tile_cells: int = TILE_CELLS
-) -> DataFrame:
-    """``queries`` (with ``vector``) and the vocabulary ``terms`` that score above the threshold.
+def vocabulary_matches(queries: DataFrame, vocabulary: DataFrame, threshold: float, rows: int = MATCH_ROWS) -> DataFrame:
+    """``queries`` without ``vector``, and the distinct vocabulary ``terms`` that score above the threshold, sorted.
 
-    A query comes once per block of the vocabulary, with an empty list where it reaches no term; a
-    query with a null vector reaches none.
+    A query has one row; its list is empty where it reaches no term, as for a null vector.
     """
-    held = [f for f in queries.schema.fields if f.name != "vector"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held] + ["terms array<string>"])
-    names = [*(f.name for f in held), "terms"]
-
-    def matched(terms: np.ndarray, columns: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                blank = batch.take(pa.array(np.flatnonzero(~np.asarray(batch.column("vector").is_valid()))))
-                tiles = [(blank, np.zeros((blank.num_rows, 0)))] if blank.num_rows else []
-                for part, scores in [*tiles, *_tiles(batch, columns, tile_cells)]:
-                    row, term = np.nonzero(np.round(scores, 4) > threshold)
-                    places = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(places), pa.array(terms[term], pa.string()))
-                    yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in held), lists], names)
-
-        return queries.mapInArrow(run, schema)
-
-    return reduce(DataFrame.unionByName, [matched(*block) for block in _blocks(vocabulary, block_cells)])
+    numbered, tiles = _tiles(queries, rows)
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            given, columns = _matrices(left, right)
+            step = max(1, CELLS // len(columns))
+            for i in range(0, len(given), step):
+                row, term = reaching(given[i : i + step], columns, threshold)
+                out.append((row + i, term))
+        row, term = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
+        hit = np.unique(row)
+        places = np.searchsorted(row, np.append(hit, left.num_rows)).astype(np.int32)
+        terms = right.column("terms").combine_chunks().flatten() if len(row) else pa.array([], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(places), terms.take(pa.array(term)))
+        ids = left.column("_q").combine_chunks().take(pa.array(hit)) if left.num_rows else pa.array([], pa.int64())
+        return pa.table([ids, lists], ["_q", "terms"])
+
+    found = _meetings(numbered, tiles, vocabulary_blocks(vocabulary, rows), threshold).applyInArrow(match, "_q long, terms array<string>")
+    folded = found.groupBy("_q").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+    held = [c for c in queries.columns if c != "vector"]
+    joined = numbered.select("_q", *held).join(folded, "_q", "left")
+    return joined.select(*held, F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
 
 
 def fold_terms(hits: DataFrame) -> DataFrame:
@@ -109,14 +151,12 @@ def fold_terms(hits: DataFrame) -> DataFrame:
     )
 
 
-def keywords_to_vocabulary(
-    keywords: DataFrame, vocabulary: DataFrame, threshold: float, block_cells: int = BLOCK_CELLS
-) -> DataFrame:
+def keywords_to_vocabulary(keywords: DataFrame, vocabulary: DataFrame, threshold: float, rows: int = MATCH_ROWS) -> DataFrame:
     """``(unit, terms)``: the distinct vocabulary terms that any keyword of the unit reaches, sorted.
 
     ``keywords`` is ``(unit, vector)``; a unit that reaches no term has an empty list.
     """
-    return fold_terms(vocabulary_matches(keywords.select("unit", "vector"), vocabulary, threshold, block_cells))
+    return fold_terms(vocabulary_matches(keywords.select("unit", "vector"), vocabulary, threshold, rows))
 
 
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:

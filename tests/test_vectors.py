@@ -33,26 +33,54 @@ def test_null_vectors_reach_nothing(spark):
 def test_blocks_and_tiles_change_nothing(spark):
     rng = np.random.default_rng(1)
     terms = _vectors(spark, [(f"t{i:03d}", rng.normal(size=8).tolist()) for i in range(53)], "term")
-    keys = _vectors(spark, [(f"u{i % 30}", rng.normal(size=8).tolist()) for i in range(90)], "unit")
+    keys = _vectors(spark, [(f"u{i % 30}", rng.normal(size=8).tolist()) for i in range(90)] + [("none", None)], "unit")
 
-    def joined(cells):
-        return {r.unit: r.terms for r in vocabulary.keywords_to_vocabulary(keys, terms, 2.5, cells).collect()}
+    def joined(rows):
+        return {r.unit: r.terms for r in vocabulary.keywords_to_vocabulary(keys, terms, 2.5, rows).collect()}
 
-    assert joined(80) == joined(10**6) and any(joined(80).values())
+    assert joined(7) == joined(10**6) and any(joined(7).values()) and joined(7)["none"] == []
 
-    def scores(cells, tile):
-        rows = vocabulary.dot_scores(keys, terms, cells, tile).select("unit", "term", F.round("score", 9)).collect()
-        return sorted(map(tuple, rows))
+    def scores(rows):
+        found = vocabulary.dot_scores(keys, terms, rows).select("unit", "term", F.round("score", 9)).collect()
+        return sorted(map(tuple, found))
 
-    assert scores(80, 20) == scores(10**6, 10**6) and len(scores(80, 20)) == 90 * 53
-    plan = vocabulary.dot_scores(keys, terms)._jdf.queryExecution().optimizedPlan().toString()
-    assert "t007" not in plan
+    assert scores(7) == scores(10**6) and len(scores(7)) == 90 * 53
 
 
-def test_tiles_are_bounded():
-    batch = pa.RecordBatch.from_arrays([pa.array([[1.0, 2.0]] * 50 + [None])], ["vector"])
-    tiles = list(vocabulary._tiles(batch, np.ones((2, 30)), 100))
-    assert max(scores.size for _, scores in tiles) <= 100 and sum(len(s) for _, s in tiles) == 50
+def test_a_query_has_one_row_however_many_blocks(spark):
+    terms = _vectors(spark, [(f"t{i}", [1.0, i / 100]) for i in range(40)], "term")
+    keys = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 1, [1.0, 0.0]), ("b", None, [-1.0, 0.0]), (None, 2, None)], "k string, extra int, vector array<float>")
+    for rows in (1, 3, 100):
+        found = vocabulary.vocabulary_matches(keys, terms, 0.5, rows).collect()
+        every = sorted(f"t{i}" for i in range(40))
+        assert sorted((str(r.k), r.extra, r.terms) for r in found) == sorted([("a", 1, every), ("a", 1, every), ("b", None, []), ("None", 2, [])], key=lambda x: x[:1])
+
+
+def test_no_vector_passes_the_driver(spark):
+    terms = _vectors(spark, [(f"t{i:03d}", [1.0, 0.0]) for i in range(9)], "term")
+    blocks = vocabulary.vocabulary_blocks(terms, 4)
+    assert sorted(len(r.terms) for r in blocks.collect())[-1] <= 4 and blocks.agg(F.sum(F.size("terms"))).first()[0] == 9
+    keys = _vectors(spark, [("u", [1.0, 0.0])], "unit")
+    plan = vocabulary.vocabulary_matches(keys, terms, 0.5, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "t007" not in plan and "LocalRelation" not in plan
+
+
+def test_blocks_out_of_reach_never_meet(spark):
+    terms = _vectors(spark, [(f"t{i:02d}", [10.0 / (i + 1), 0.0]) for i in range(32)], "term")
+    blocks = vocabulary.vocabulary_blocks(terms, 4)
+    tops = sorted((r.top for r in blocks.collect()), reverse=True)
+    keys, tiles = vocabulary._tiles(_vectors(spark, [("u", [1.0, 0.0])], "unit"), 10)
+    met = vocabulary._meetings(keys, tiles, blocks, 2.0).applyInArrow(lambda a, b: pa.table([pa.array([b.num_rows], pa.int64())], ["n"]), "n long")
+    assert tops[0] == 10.0 and met.count() == sum(t + 1e-4 > 2 for t in tops) < len(tops)
+
+
+def test_pruned_search_equals_the_full_product():
+    rng = np.random.default_rng(3)
+    for scale in (0.1, 0.5, 2.0):
+        given, terms = rng.normal(size=(50, 24)) * rng.random(50)[:, None] * scale, rng.normal(size=(70, 24)) * rng.random(24)
+        for threshold in (-1.0, 0.0, 0.5, 3.0):
+            i, j = vocabulary.reaching(given, terms, threshold)
+            assert set(zip(i, j, strict=True)) == set(zip(*np.nonzero(np.round(given @ terms.T, 4) > threshold), strict=True))
 
 
 def test_ranked_scores(spark):
