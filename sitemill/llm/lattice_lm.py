@@ -42,7 +42,7 @@ ROUNDS = 3
 #: Rank that is added before the first weights are taken as its inverse, and the count every piece starts from.
 RANK_SHIFT, LEAST = 50.0, 0.01
 #: Bytes of text whose distinct words make up a slice, and word bytes that one lattice batch holds.
-TEXT_SLICE, BATCH_BYTES = 1 << 24, 1 << 19
+TEXT_SLICE, BATCH_BYTES = 12 << 20, 1 << 19
 #: Rows of word numbers that are packed at once.
 PACKED = 1 << 20
 #: Words of more bytes go through the recursion one by one.
