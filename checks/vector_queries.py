@@ -10,7 +10,8 @@ from sitemill import constants as C
 from sitemill.functions import text
 from sitemill.functions import vectors as V
 from sitemill.models import Models
-from sitemill.operators import classify, embedding, vocabulary
+from sitemill.operators import classify, embedding, term_vectors, vocabulary
+from sitemill.workspace import stage
 
 MICRO = 1_000_000
 
@@ -169,9 +170,46 @@ def classify_dim768(spark, sf_dir):
     wide = embedding.embed_texts(_doc_texts(spark, sf_dir), 768).withColumnRenamed("unit", "doc_id")
     return classify.classify(wide, classify.anchor_vectors(spark, Models(dim=768)))
 
+
+
+def term_pmi(spark, sf_dir):
+    """Positive pointwise mutual information of all words of the documents that are frequent enough."""
+    texts = _doc_texts(spark, sf_dir)
+    words = stage(term_vectors.word_counts(texts), "words")
+    cells = term_vectors.positive_pmi(stage(term_vectors.cooccurrences(texts, words), "word-pairs"))
+    named = cells.join(words.select(F.col("id").alias("a"), F.col("term").alias("term")), "a")
+    named = named.join(words.select(F.col("id").alias("b"), F.col("term").alias("near")), "b")
+    return named.select("term", "near", "n", F.round("x", 6).alias("pmi"))
+
+
+TERM_PMI = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split({S.sanitize_text('text')}, ' '), lambda x: x <> '') AS words FROM documents),
+spots AS (SELECT doc_id, unnest(range(0, len(words))) AS place, unnest(words) AS term FROM w),
+known AS (SELECT term FROM spots GROUP BY 1 HAVING count(*) >= {term_vectors.LEAST}),
+kept AS (SELECT * FROM spots SEMI JOIN known USING (term)),
+pairs AS (SELECT a.term, b.term AS near, count(*) AS n FROM kept a JOIN kept b ON a.doc_id = b.doc_id
+  AND b.place BETWEEN a.place - {term_vectors.WINDOW} AND a.place + {term_vectors.WINDOW} AND a.place <> b.place GROUP BY 1, 2),
+sums AS (SELECT term, sum(n) AS of_term FROM pairs GROUP BY 1),
+cells AS (SELECT p.*, ln(n * (SELECT sum(n) FROM pairs)::DOUBLE / (a.of_term::DOUBLE * b.of_term)) AS x
+  FROM pairs p JOIN sums a ON a.term = p.term JOIN sums b ON b.term = p.near)
+SELECT term, near, n, round(x, 6) AS pmi FROM cells WHERE x > 0
+"""
+
+
+def trained_vectors(spark, sf_dir):
+    """Words of the documents, and how near their contexts are to those of the most frequent word."""
+    found = term_vectors.train(_doc_texts(spark, sf_dir))
+    first = found.agg(F.max_by("vector", F.struct("n", "term")).alias("top"))
+    cells = F.zip_with("vector", "top", lambda a, b: a * b)
+    score = F.round(F.aggregate(cells, F.lit(0.0), lambda s, x: s + x), 3)
+    return found.join(F.broadcast(first)).select("term", "n", score.alias("score"))
+
+
 QUERIES = {
     "text_embedding": (text_embedding, TEXT_EMBEDDING),
     "term_embedding": (term_embedding, TERM_EMBEDDING),
+    "term_pmi": (term_pmi, TERM_PMI),
+    "trained_vectors": (trained_vectors, None),
     "dot_scores": (dot_scores, DOT_SCORES),
     "ranked_scores": (ranked_scores, RANKED_SCORES),
     "vocab_join": (vocab_join, VOCAB_JOIN),

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions.vectors import DIM, term_vector
+from sitemill.operators import term_vectors
+from sitemill.operators.embedding import embed_texts
 from sitemill.schemas import TAGS
 from sitemill.workspace import stage
 
@@ -22,7 +24,11 @@ Model = Callable[[pd.Series], pd.Series]
 
 @dataclass(frozen=True)
 class Models:
-    """Optional replacements; ``None`` keeps the built-in job.  ``dim`` is the width of built-in vectors."""
+    """Optional replacements; ``None`` keeps the built-in job.  ``dim`` is the width of built-in vectors.
+
+    ``vectors`` is a table of trained ``(term, vector)`` of that width (``term_vectors.train``); the built-in
+    vectors of texts and keywords are then sums of these, instead of hashed word counts.
+    """
 
     entities: Model | None = None
     name: Model | None = None
@@ -32,6 +38,7 @@ class Models:
     embedding: Model | None = None
     key_vector: Model | None = None
     dim: int = DIM
+    vectors: DataFrame | None = None
 
     RESULT_TYPES = {
         "entities": TAGS,
@@ -93,12 +100,22 @@ def apply_model(texts: DataFrame, models: Models, slot: str) -> DataFrame:
     return stage(answers.withColumn("error", named), f"model-{slot}")
 
 
+def text_vectors(texts: DataFrame, models: Models) -> DataFrame:
+    """``(unit, vector)``: the built-in vectors of ``(unit, text)``."""
+    if models.vectors is not None:
+        return term_vectors.embed(texts, "unit", "text", models.vectors, models.dim)
+    return embed_texts(texts, models.dim)
+
+
 def with_key_vectors(df: DataFrame, column: str, models: Models) -> DataFrame:
     """Add ``vector`` and ``error`` for a short text column; a failed item has a null vector.
 
-    The built-in vector is computed in place.  A plug-in model is costly, so it sees each distinct
+    The built-in vector is computed in place, or from trained vectors.  A plug-in model is costly, so it sees each distinct
     text once; its answers are staged, and joined back.
     """
+    if models.key_vector is None and models.vectors is not None:
+        made = stage(term_vectors.embed(df.select(column).distinct(), column, column, models.vectors, models.dim), "key-vectors")
+        return df.join(made, column).withColumn("error", F.lit(None).cast("string"))
     if models.key_vector is None:
         made = df.withColumn("vector", F.explode(F.array(term_vector(F.col(column), models.dim))))
         return made.withColumn("error", F.lit(None).cast("string"))

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from sitemill import constants as C
 from sitemill.functions import text as X
 from sitemill.functions import urls
-from sitemill.models import Models, apply_model, with_key_vectors
+from sitemill.models import Models, apply_model, text_vectors, with_key_vectors
 from sitemill.operators.classify import anchor_vectors, classify
-from sitemill.operators.embedding import embed_texts
 from sitemill.operators.entities import entity_names, entity_tags, location_tags, record_name
 from sitemill.operators.facts import complete_addresses
 from sitemill.operators.keywords import keywords
@@ -115,7 +114,7 @@ def _reached(pairs: DataFrame, vocabulary: DataFrame, threshold: float, models:
 
 def _key_texts(texts: DataFrame, models: Models) -> tuple[DataFrame, DataFrame | None]:
     if models.key_vector is None:
-        return embed_texts(texts, models.dim), None
+        return text_vectors(texts, models), None
     done = apply_model(texts, models, "key_vector")
     return done.select("unit", F.col("value").alias("vector")), done.select("unit", "error")
 
@@ -138,7 +137,7 @@ def _common(texts: DataFrame, refs: References, keyword_texts) -> DataFrame:
     named_from = described.select("unit", F.concat("short_description", "long_description").alias("text"))
     name, no_name = _or_model(named_from, models, "name", "name", lambda: record_name(named_from))
     tags, no_tags = _or_model(texts, models, "entities", "ner_tags", lambda: entity_tags(texts, refs.gazetteer))
-    own_vectors = lambda: embed_texts(texts, models.dim).withColumnRenamed("vector", "embedding")
+    own_vectors = lambda: text_vectors(texts, models).withColumnRenamed("vector", "embedding")
     vector, no_vector = _or_model(texts, models, "embedding", "embedding", own_vectors)
     found = texts.select("unit", X.addresses(F.col("text")).alias("address"))
     address = complete_addresses(found.where(F.size("address") > 0), refs.places)
