@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(bias + sum of term weights + sum over term pairs of <v_i, v_j>), terms being the distinct
-words of a text and their beginnings of a few bytes, which cover inflected forms.  The pair part lets two terms together weigh more than their sum, an insult with the
-mention of a group for instance, which no additive model can.  Terms are hashes into ``1 << TERM_BITS``
-slots; the model keeps the slots that the labelled sample ties to the label most.
+words of a text and their beginnings of a few bytes, which cover inflected forms.  The pair part lets two
+terms together weigh more than their sum, an insult with the mention of a group for instance, which no additive
+model can.  Every term that is in ``LEAST`` documents of the labelled sample takes part, also one that says
+nothing alone: those that the sample ties to the label most have parameters of their own, all others share
+``SLOTS`` hashed ones.  So the number of parameters is fixed and no frequent term is left out.
 
 Defined results: a null or empty text, or one of unknown terms only, gets the bias alone; equal texts get
 equal scores; without labels of both kinds the score is 0 everywhere.  Repeated rows repeat their result.
@@ -29,15 +31,20 @@ TERM_BITS = 40
 THRESHOLD = 0.3
 #: Beginnings of words that are terms besides the words, in bytes.
 STEMS = (4, 5, 6)
-#: Log likelihood by which a term's tie to the label must exceed chance (that of about 10^7 terms is 16); so
-#: many of the strongest get parameters.
-MIN_GAIN, MAX_TERMS = 18.0, 1 << 13
+#: Documents of the sample a term is in, at least; hashed parameters that terms share.
+LEAST, SLOTS = 20, 1 << 11
+#: Log likelihood by which a term's tie to the label must exceed chance (that of about 10^7 terms is 16) for
+#: parameters of its own; so many of the strongest get them.
+MIN_GAIN, OWN_TERMS = 18.0, 1 << 13
 FACTORS, STEPS, BATCH, RATE, DECAY, SEED = 8, 800, 256, 0.03, 2e-4, 20240613
 
 
 @dataclass
 class Machine:
+    """``terms`` ascend; ``index`` says which parameters each of them has."""
+
     terms: np.ndarray
+    index: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
@@ -54,7 +61,7 @@ class Machine:
         return out
 
     def entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (document, index of known term) pairs of a batch."""
+        """Distinct (document, index of parameters) pairs of a batch."""
         if len(self.terms) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         words = W.words_of(texts)
@@ -63,9 +70,9 @@ class Machine:
             at = np.minimum(np.searchsorted(self.terms, slots), len(self.terms) - 1)
             known = np.flatnonzero(self.terms[at] == slots)
             doc = np.searchsorted(words.first, known, side="right") - 1
-            pairs.append(doc * len(self.terms) + at[known])
+            pairs.append(doc << 32 | self.index[at[known]])
         pair = W.distinct(np.concatenate(pairs))
-        return pair // len(self.terms), pair % len(self.terms)
+        return pair >> 32, pair & 0xFFFFFFFF
 
 
 def slot_rows(words: W.Words) -> Iterator[np.ndarray]:
@@ -96,22 +103,26 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return partial.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def telling_terms(sample: DataFrame, share: float) -> np.ndarray:
-    """The slots whose share of toxic documents differs from the overall share by more than chance."""
+def known_terms(sample: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The frequent terms of the sample in ascending order, the parameters each has, and how many there are."""
 
     def part(seen: F.Column, chance: float) -> F.Column:
         return F.when(seen > 0, seen * F.log(seen / (F.col("n") * chance))).otherwise(0.0)
 
     gain = part(F.col("toxic"), share) + part(F.col("n") - F.col("toxic"), 1 - share)
-    best = term_counts(sample).select("slot", gain.alias("gain")).where(F.col("gain") > MIN_GAIN)
-    rows = best.orderBy(F.desc("gain"), "slot").limit(MAX_TERMS).collect()
-    return np.array(sorted(r["slot"] for r in rows), np.uint64)
-
-
-def fit(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray) -> Machine:
-    """Adam on the logistic loss, in small batches; entries (document, index of term), documents ascending."""
+    rows = term_counts(sample).where(F.col("n") >= LEAST).select("slot", gain.alias("gain")).toPandas()  # bounded as the sample is
+    rows = rows.sort_values(["gain", "slot"], ascending=[False, True], kind="stable")
+    own = min(OWN_TERMS, int((rows["gain"] > MIN_GAIN).sum()))
+    terms = rows["slot"].to_numpy(np.uint64)
+    index = (W.mix(terms) % np.uint64(SLOTS)).astype(np.int64) + own
+    index[:own] = np.arange(own)
+    order = np.argsort(terms)
+    return terms[order], index[order], own + SLOTS
+
+
+def fit(doc: np.ndarray, at: np.ndarray, y: np.ndarray, n_terms: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the logistic loss, in small batches; entries (document, index), documents ascending."""
     rng = np.random.default_rng(SEED)
-    n_terms = len(terms)
     theta = np.concatenate([[np.log(y.mean() / (1 - y.mean()))], np.zeros(n_terms), rng.normal(0, 0.02, n_terms * FACTORS)])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     places = np.searchsorted(doc, np.arange(len(y) + 1))
@@ -127,7 +138,7 @@ def fit(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray) -> Ma
             source = np.repeat(places[lot] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
             term = at[source]
             v = theta[1 + n_terms :].reshape(n_terms, FACTORS)
-            model = Machine(terms, theta[0], theta[1 : 1 + n_terms], v)
+            model = Machine(at, at, theta[0], theta[1 : 1 + n_terms], v)
             error = (model.score(row, term, n) - y[lot]) / n
             gradient = np.zeros_like(theta)
             gradient[0] = error.sum()
@@ -141,17 +152,17 @@ def fit(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray) -> Ma
             first += 0.1 * (gradient - first)
             second += 0.001 * (gradient**2 - second)
             theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Machine(terms, float(theta[0]), theta[1 : 1 + n_terms].copy(), theta[1 + n_terms :].reshape(n_terms, FACTORS).copy())
+    return float(theta[0]), theta[1 : 1 + n_terms].copy(), theta[1 + n_terms :].reshape(n_terms, FACTORS).copy()
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Machine:
     """Fit on a bounded sample of labelled rows outside the held-out quarter."""
     sample = stage(training_texts(docs, labels, "toxic", bound), "toxic-sample")
     total = sample.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
-    blank = Machine(np.zeros(0, np.uint64), -40.0, np.zeros(0), np.zeros((0, FACTORS)))
+    blank = Machine(np.zeros(0, np.uint64), np.zeros(0, np.int64), -40.0, np.zeros(0), np.zeros((0, FACTORS)))
     if not total["n"] or total["toxic"] in (0, total["n"]):
         return blank
-    blank.terms = telling_terms(sample, total["toxic"] / total["n"])
+    blank.terms, blank.index, size = known_terms(sample, total["toxic"] / total["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,12 +177,13 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Machi
     found = keyed.mapInArrow(run, "tk long, y int, terms binary").toPandas().sort_values(["tk", "y"], kind="stable")
     lists = [np.frombuffer(b, "<i4") for b in found["terms"]]
     doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return fit(doc, np.concatenate(lists).astype(np.int64), found["y"].to_numpy(np.float64), blank.terms)
+    fitted = fit(doc, np.concatenate(lists).astype(np.int64), found["y"].to_numpy(np.float64), size)
+    return Machine(blank.terms, blank.index, *fitted)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """``row, toxicity`` for every document; whole texts, no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of parameters, and the frequent terms of a bounded sample
 
     def compute(texts: pa.Array) -> list:
         doc, term = held.value.entries(texts)

@@ -1,13 +1,15 @@
+import math
 import random
 import zlib
 
-import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitemill.llm import factor_toxicity as X
 from sitemill.llm import labelled
 from sitemill.llm import pairwise_quality as Q
-from tests.llm.conftest import ODD_TEXTS, frame
+from sitemill.llm import words as W
+from tests.llm.conftest import ODD_TEXTS, frame, words
 
 GROUPS, INSULTS = ["norlings", "sarvians", "teluks"], ["awful", "rotten", "vile"]
 
@@ -53,14 +55,34 @@ def test_toxicity_learns_pairs(made):
     assert len(same) == 1
 
 
-def test_pairs_that_no_sum_explains():
-    """One of two terms is toxic, both or none are not."""
-    kinds = np.arange(400) % 4
-    doc = np.concatenate([[d] * len(t) for d, t in ((d, [[], [0], [1], [0, 1]][k]) for d, k in enumerate(kinds))]).astype(int)
-    term = np.concatenate([[[], [0], [1], [0, 1]][k] for k in kinds]).astype(int)
-    y = np.isin(kinds, [1, 2]).astype(float)
-    model = X.fit(doc, term, y, np.array([5, 9], np.uint64))
-    assert ((model.score(doc, term, 400) >= 0.5) == (y == 1)).all()
+def test_pairs_that_no_sum_explains(spark):
+    """One of two words is toxic, both or none are not; neither tells anything alone."""
+    rng, rows = random.Random(1), []
+    for i in range(3200):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(15, 40))]
+        if i % 4 in (0, 1):
+            w[3] = "plonk"
+        if i % 4 in (0, 2):
+            w[9] = "norling"
+        rows.append((i, " ".join(w), int(i % 4 in (1, 2))))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4, "doc_id")
+    model = X.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert len(model.terms) >= 400 and len(model.weights) >= X.SLOTS
+    _, share = accuracy(X.report(table.select("doc_id", "text"), table.select("doc_id", "toxic")), {r[0]: r[2] for r in rows}, 0.3)
+    assert share > 0.85
+
+
+def test_scores_equal_plain_python(made):
+    _, docs, labels = made
+    model = X.learn(docs, labels)
+    found = X.score(docs.select("doc_id", "text"), model).select("row.text", "toxicity").collect()
+    known = dict(zip(model.terms.tolist(), model.index.tolist(), strict=True))
+    for row in found[::40] + found[-15:]:
+        slots = {s for w in set(words(row["text"])) for r in X.slot_rows(W.words_of(pa.array([w]))) for s in r.tolist()}
+        used = sorted({known[s] for s in slots if s in known})
+        margin = model.bias + sum(model.weights[i] for i in used)
+        margin += sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(used) for j in used[:n])
+        assert row["toxicity"] == pytest.approx(1 / (1 + math.exp(-min(40, max(-40, margin)))), abs=1e-9)
 
 
 def test_quality_ranks_pairs(made):
@@ -69,6 +91,30 @@ def test_quality_ranks_pairs(made):
     assert len(found) == docs.count() and share > 0.97
 
 
+def plain_measures(text):
+    data, found = list(text.encode()), words(text)
+    per_word = max(1, len(found))
+    classes = {
+        "capitals": range(65, 91), "small": range(97, 123), "digits": range(48, 58), "beyond": range(128, 256), "spaces": b" \t\r",
+        "lines": b"\n", "stops": b".,;:", "cries": b"!?", "bars": b"|", "signs": b"#$%&*@^~<>=+_/\\", "quotes": b"\"'()[]{}-`",
+    }
+    count = {name: sum(b in member for b in data) for name, member in classes.items()}
+    again = sum(a == b for a, b in zip(found, found[1:], strict=False))
+    out = [math.log1p(len(data)), math.log1p(len(found)), sum(len(w.encode()) for w in found) / per_word, again / per_word]
+    out.append(count["capitals"] / max(1, count["capitals"] + count["small"]))
+    return out + [n / (max(1, len(data)) if name in ("beyond", "small") else per_word) for name, n in count.items()]
+
+
+def test_quality_scores_equal_plain_python(made):
+    _, docs, labels = made
+    model = Q.learn(docs, labels)
+    found = Q.score(docs.select("doc_id", "text"), model).select("row.text", "quality").collect()
+    for row in found[::40] + found[-15:]:
+        raw = sum(model.weights[k][sum(edge < x for edge in model.edges[k])] for k, x in enumerate(plain_measures(row["text"] or "")))
+        margin = min(40, max(-40, raw - model.cut + math.log(Q.THRESHOLD / (1 - Q.THRESHOLD))))
+        assert row["quality"] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+
+
 def test_filters_keep_rows_as_they_were(made):
     rows, docs, labels = made
     for kept in (X.clean_documents(docs, docs, labels), Q.good_documents(docs, labels)):
