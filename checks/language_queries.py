@@ -8,7 +8,7 @@ from checks import sqlparts as S
 from checks import tables as T
 from sitemill import constants as C
 from sitemill.functions import text as X
-from sitemill.operators import entities, keywords, summaries, tokens
+from sitemill.operators import entities, keywords, names, summaries, tokens
 
 
 def _stop_list() -> str:
@@ -54,6 +54,34 @@ def entity_last_tag(spark, sf_dir):
     return found.select(F.col("unit").alias("doc_id"), F.array_join(shown, "|").alias("ner_tags"))
 
 
+def name_mentions(spark, sf_dir):
+    """Names of one to six words, the first ones of each document, sought in all documents."""
+    d = T.documents(spark, sf_dir)
+    words = F.regexp_extract_all("text", F.lit(names.WORD), 0)
+    first = d.select(F.array_join(F.slice(words, 1, (1 + F.col("doc_id") % 6).cast("int")), " ").alias("name")).distinct()
+    first = first.withColumn("tag", F.when(F.substring(F.md5("name"), 1, 1) < "8", "LOC").otherwise("ORG"))
+    found = names.name_mentions(_texts(spark, sf_dir), first)
+    return found.select(F.col("unit").alias("doc_id"), *(F.col(c).cast("bigint").alias(c) for c in ("sentence", "place")), "named_entity", "tag")
+
+
+def name_mentions_sql():
+    return f"""
+WITH RECURSIVE gaz AS (SELECT DISTINCT regexp_extract_all(text, '{names.WORD}', 0)[1:1 + doc_id % 6] AS words FROM documents),
+known AS (SELECT array_to_string(words, ' ') AS name, len(words) AS size FROM gaz WHERE len(words) > 0),
+s AS (SELECT doc_id, sentence, regexp_extract_all(body, '{names.WORD}', 0) AS words FROM ({sentence_sql('documents', 'doc_id', 'text')})),
+spots AS (SELECT doc_id, sentence, words, unnest(range(0, len(words))) AS place FROM s),
+tried AS (SELECT doc_id, sentence, place, n.size, array_to_string(words[place + 1:place + n.size], ' ') AS name
+  FROM spots, (SELECT DISTINCT size FROM known) n WHERE place + n.size <= len(words)),
+hits AS (SELECT t.*, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY t.size DESC, place) AS nth FROM tried t SEMI JOIN known USING (name)),
+walk AS (SELECT DISTINCT doc_id, sentence, 0::BIGINT AS nth, []::BIGINT[] AS taken, false AS kept FROM hits
+  UNION ALL SELECT w.doc_id, w.sentence, h.nth, CASE WHEN list_has_any(w.taken, range(h.place, h.place + h.size)) THEN w.taken
+      ELSE list_concat(w.taken, range(h.place, h.place + h.size)) END, NOT list_has_any(w.taken, range(h.place, h.place + h.size))
+  FROM walk w JOIN hits h ON h.doc_id = w.doc_id AND h.sentence = w.sentence AND h.nth = w.nth + 1)
+SELECT h.doc_id, h.sentence, h.place, h.name AS named_entity, CASE WHEN md5(h.name)[1] < '8' THEN 'LOC' ELSE 'ORG' END AS tag
+FROM hits h JOIN walk w ON w.doc_id = h.doc_id AND w.sentence = h.sentence AND w.nth = h.nth AND w.kept
+"""
+
+
 CUE = "the"
 
 
@@ -240,6 +268,7 @@ def candidates_sql():
 QUERIES = {
     "entity_tags": (entity_tags, ENTITY_TAGS),
     "entity_last_tag": (entity_last_tag, lambda: last_tag_sql()),
+    "name_mentions": (name_mentions, lambda: name_mentions_sql()),
     "location_tags": (location_tags, LOCATION_TAGS),
     "short_description": (short_description, lambda: short_sql()),
     "long_description": (long_description, lambda: long_sql()),

@@ -21,6 +21,7 @@ from sitemill.operators.classify import anchor_vectors, classify
 from sitemill.operators.entities import entity_names, entity_tags, location_tags, record_name
 from sitemill.operators.facts import complete_addresses
 from sitemill.operators.keywords import keywords
+from sitemill.operators.names import named_entities
 from sitemill.operators.summaries import descriptions
 from sitemill.operators.vocabulary import fold_terms, vocabulary_matches
 from sitemill.schemas import TAGS
@@ -33,11 +34,16 @@ SHORT_TEXT = "short_text"
 
 @dataclass(frozen=True)
 class References:
-    """Tables that records are resolved against: entity tags by name, and known places."""
+    """Tables that records are resolved against: entity tags by name, and known places.
+
+    With ``full_names`` the gazetteer's names are sought word by word, whatever their length and place in a
+    sentence; else only capitalised spans within sentences are looked up.
+    """
 
     gazetteer: DataFrame
     places: DataFrame
     models: Models = field(default_factory=Models)
+    full_names: bool = False
 
 
 def text_failure(text: Column) -> Column:
@@ -136,7 +142,8 @@ def _common(texts: DataFrame, refs: References, keyword_texts) -> DataFrame:
     described = stage(_descriptions(texts, models), "descriptions")
     named_from = described.select("unit", F.concat("short_description", "long_description").alias("text"))
     name, no_name = _or_model(named_from, models, "name", "name", lambda: record_name(named_from))
-    tags, no_tags = _or_model(texts, models, "entities", "ner_tags", lambda: entity_tags(texts, refs.gazetteer))
+    tagged = named_entities if refs.full_names else entity_tags
+    tags, no_tags = _or_model(texts, models, "entities", "ner_tags", lambda: tagged(texts, refs.gazetteer))
     own_vectors = lambda: text_vectors(texts, models).withColumnRenamed("vector", "embedding")
     vector, no_vector = _or_model(texts, models, "embedding", "embedding", own_vectors)
     found = texts.select("unit", X.addresses(F.col("text")).alias("address"))
