@@ -9,7 +9,8 @@ from checks import tables as T
 from sitemill.constants import DENY_HOSTS
 from sitemill.functions import markup, urls
 from sitemill.operators import routing
-from sitemill.sources import inputs
+from sitemill.sources import inputs, page_store
+from sitemill.workspace import new_path
 
 # The given pages hold none of the fixed deny hosts, so one host of the data joins them.
 DENIED = (*DENY_HOSTS, "spam-farm.example.org")
@@ -45,6 +46,12 @@ def page_fetch(spark, sf_dir):
     return inputs.fetch(T.links(spark, sf_dir), inputs.PageStore(T.pages(spark, sf_dir)))
 
 
+def indexed_fetch(spark, sf_dir):
+    """The same look-up in a store that is written first."""
+    path = page_store.write_pages(T.pages(spark, sf_dir), new_path(spark, "page-store"))
+    return inputs.fetch(T.links(spark, sf_dir), page_store.IndexedPages(spark, path))
+
+
 PAGE_TEXTS = f"""facts AS (SELECT url, min(text) AS text FROM (
   SELECT {S.page_key('url')} AS url, {S.page_text('html')} AS text FROM pages) GROUP BY 1)"""
 
@@ -157,6 +164,7 @@ QUERIES = {
     "link_source": (link_source, LINK_SOURCE),
     "vocab_source": (vocab_source, VOCAB_SOURCE),
     "page_fetch": (page_fetch, PAGE_FETCH),
+    "indexed_fetch": (indexed_fetch, PAGE_FETCH),
     "url_split": (url_split, URL_SPLIT),
     "url_origin": (url_origin, URL_ORIGIN),
     "route_links": (route_links, ROUTE_LINKS),

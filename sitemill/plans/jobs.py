@@ -69,7 +69,7 @@ def site_reports(pages: DataFrame, site_texts: DataFrame, refs: References) -> D
 def run_job(
     spark: SparkSession,
     links: str | Sequence[str] | DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | inputs.PageStore,
     job: str | None,
     house: DataFrame,
     refs: References,
@@ -90,7 +90,8 @@ def run_job(
     the paradigm and sub-page records to the house vocabulary; ``dual`` mode routes without a deny
     list and maps every record to both.  Each homepage and each sub-page gives one record however
     often it was listed; ``keep_duplicates`` gives one per listing.  ``unique_pages`` states that the
-    pages hold each clean address once, which saves a shuffle of the page texts.
+    pages hold each clean address once, which saves a shuffle of the page texts.  A ``PageStore`` given
+    as the pages, an indexed one for instance, has these settings of its own.
     """
     routed = routing.route_links(inputs.links(spark, links), () if mode == DUAL else deny_hosts)
     routed = stage(routed, "routed")
@@ -100,7 +101,7 @@ def run_job(
     subs = routing.subdomains(routed, honour_deny_list)
     once_homes, once_subs = homes.distinct(), stage(subs.distinct(), "subdomains")
 
-    store = inputs.PageStore(pages, unique_pages, extra_edges, sitemap)
+    store = pages if isinstance(pages, inputs.PageStore) else inputs.PageStore(pages, unique_pages, extra_edges, sitemap)
     found, lost = discovery.discover_sites(once_homes, store)
     valid_subs = once_subs.where(urls.is_good(F.col("link")))
     asked = found.select("link").unionByName(valid_subs).where(urls.is_good(F.col("link")))
@@ -148,7 +149,7 @@ def run_job(
 
 
 def run_single(
-    links: DataFrame, pages: DataFrame, ecosystem: str, vocabulary: DataFrame, refs: References
+    links: DataFrame, pages: DataFrame | inputs.PageStore, ecosystem: str, vocabulary: DataFrame, refs: References
 ) -> DataFrame:
     """One record from the link list of each ``(links ARRAY)`` row; failed ones carry a message.
 
@@ -157,7 +158,8 @@ def run_single(
     """
     # The row key is staged with the lists: it is made up, and must not change between its two uses.
     lists = stage(links.select(F.expr("uuid()").alias("unit"), "links"), "lists")
-    texts = stage(records.texts_from_links(lists, inputs.PageStore(pages)), "single")
+    store = pages if isinstance(pages, inputs.PageStore) else inputs.PageStore(pages)
+    texts = stage(records.texts_from_links(lists, store), "single")
     made = records.records(texts, [(F.lit(True), vocabulary)], ecosystem, refs, keep_failed=True)
     first = F.get(F.col("links"), F.lit(0))
     asked = lists.select("unit", first.alias("first")).join(texts, "unit").withColumnRenamed("text", "_text")

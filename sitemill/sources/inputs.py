@@ -76,19 +76,26 @@ class PageStore:
         self.rows = pages.select(urls.page_key(address).alias("url"), address.alias("address"), "html")
         self.unique, self.extra_edges, self.sitemap = unique, extra_edges, sitemap
 
+    def page_rows(self, keys: DataFrame) -> DataFrame:
+        """The stored rows of the pages with the given keys ``(url)``."""
+        return self.rows.join(keys.select("url"), "url", "left_semi")
+
+    def site_rows(self, sites: DataFrame) -> DataFrame:
+        """The stored rows of all pages of the given sites ``(site)``."""
+        return self.rows.withColumn("site", urls.site_key(F.col("url"))).join(sites.select("site"), "site", "left_semi")
+
     def texts(self, keys: DataFrame) -> DataFrame:
         """``(url, text)`` of the stored pages among the keys ``(url)``."""
-        return _parsed_texts(self.rows.join(keys.select("url"), "url", "left_semi"), self.unique)
+        return _parsed_texts(self.page_rows(keys), self.unique)
 
     def edges(self, keys: DataFrame) -> DataFrame:
         """Links ``(src, position, dst)`` of the pages with the given keys."""
-        found = _parsed_edges(self.rows.join(keys.select("url"), "url", "left_semi"), self.unique)
+        found = _parsed_edges(self.page_rows(keys), self.unique)
         return self._with_extra(found, keys.select(F.col("url").alias("src")), "src")
 
     def site_edges(self, sites: DataFrame) -> DataFrame:
         """Links of all pages of the given sites ``(site)``."""
-        of_sites = self.rows.withColumn("site", urls.site_key(F.col("url"))).join(sites.select("site"), "site", "left_semi")
-        return self._with_extra(_parsed_edges(of_sites, self.unique), sites.select("site"), "site")
+        return self._with_extra(_parsed_edges(self.site_rows(sites), self.unique), sites.select("site"), "site")
 
     def published(self, homepages: DataFrame) -> DataFrame:
         """``(homepage, url)``: the pages each homepage's site is known to have."""
