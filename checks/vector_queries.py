@@ -197,19 +197,24 @@ SELECT term, near, n, round(x, 6) AS pmi FROM cells WHERE x > 0
 
 
 def trained_vectors(spark, sf_dir):
-    """Words of the documents, and how near their contexts are to those of the most frequent word."""
+    """Words of the documents that get a vector, and its length; tests compare the vectors themselves."""
     found = term_vectors.train(_doc_texts(spark, sf_dir))
-    first = found.agg(F.max_by("vector", F.struct("n", "term")).alias("top"))
-    cells = F.zip_with("vector", "top", lambda a, b: a * b)
-    score = F.round(F.aggregate(cells, F.lit(0.0), lambda s, x: s + x), 3)
-    return found.join(F.broadcast(first)).select("term", "n", score.alias("score"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    return found.select("term", "n", F.size("vector").cast("bigint").alias("dim"), F.round(length, 6).alias("length"))
+
+
+TRAINED_VECTORS = f"""
+WITH cells AS ({TERM_PMI}),
+w AS (SELECT unnest(list_filter(string_split({S.sanitize_text('text')}, ' '), lambda x: x <> '')) AS term FROM documents)
+SELECT term, count(*) AS n, {V.DIM}::BIGINT AS dim, 1::DOUBLE AS length FROM w SEMI JOIN cells USING (term) GROUP BY 1
+"""
 
 
 QUERIES = {
     "text_embedding": (text_embedding, TEXT_EMBEDDING),
     "term_embedding": (term_embedding, TERM_EMBEDDING),
     "term_pmi": (term_pmi, TERM_PMI),
-    "trained_vectors": (trained_vectors, None),
+    "trained_vectors": (trained_vectors, TRAINED_VECTORS),
     "dot_scores": (dot_scores, DOT_SCORES),
     "ranked_scores": (ranked_scores, RANKED_SCORES),
     "vocab_join": (vocab_join, VOCAB_JOIN),
