@@ -485,6 +485,7 @@ def site_reports(spark, sf_dir):
         "homepage",
         F.array_join(r["subdomains"], "|").alias("subdomains"),
         F.array_join(r["yake_tags"], "|").alias("yake_tags"),
+        r["raw_text"].alias("raw_text"),
     )
 
 
@@ -493,7 +494,7 @@ def site_reports_sql():
 site AS (SELECT homepage, string_agg(link, '|' ORDER BY position) AS subdomains,
   coalesce(string_agg(text, ' ' ORDER BY position), '') AS raw_text FROM job_pages GROUP BY 1),
 yake AS ({yake_sql('site', 'homepage', 'raw_text')})
-SELECT s.homepage, subdomains, coalesce(array_to_string(yake_tags, '|'), '') AS yake_tags
+SELECT s.homepage, subdomains, coalesce(array_to_string(yake_tags, '|'), '') AS yake_tags, {S.gated('raw_text')} AS raw_text
 FROM site s LEFT JOIN yake y ON y.homepage = s.homepage"""
 
 

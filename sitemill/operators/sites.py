@@ -63,11 +63,14 @@ def site_contacts(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_report(pages: DataFrame, keywords: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
+def site_report(
+    pages: DataFrame, keywords: DataFrame | None = None, addresses: DataFrame | None = None, texts: DataFrame | None = None
+) -> DataFrame:
     """One nested report row per site.
 
     ``keywords`` is ``(homepage, yake_tags)``; ``addresses`` is ``(homepage, address)`` and replaces the
-    addresses as found.  The text of the site is in the parts table.
+    addresses as found.  ``texts`` is ``(homepage, txt)``: the ``raw_text`` of a report is the text its record is
+    made of, null for a site too short for one; the whole text of the site is in the parts table.
     """
     none = F.array().cast("array<string>")
     listed = F.array_sort(F.collect_list(F.struct("position", "link")))
@@ -77,6 +80,7 @@ def site_report(pages: DataFrame, keywords: DataFrame | None = None, addresses:
         contacts = contacts.drop("address").join(addresses, "homepage", "left")
     report = report.join(contacts, "homepage", "left")
     report = report.join(keywords, "homepage", "left") if keywords is not None else report.withColumn("yake_tags", none)
+    report = report.join(texts, "homepage", "left") if texts is not None else report.withColumn("txt", F.lit(None).cast("string"))
     return report.select(
         "homepage",
         F.struct(
@@ -85,6 +89,7 @@ def site_report(pages: DataFrame, keywords: DataFrame | None = None, addresses:
             F.coalesce("phones", none).alias("phoneNumbers"),
             F.coalesce("emails", none).alias("emails"),
             F.coalesce("yake_tags", none).alias("yake_tags"),
+            F.col("txt").alias("raw_text"),
         ).alias("subdomain_reports"),
     )
 

@@ -56,13 +56,13 @@ class JobResult:
         }
 
 
-def site_reports(pages: DataFrame, site_texts: DataFrame, refs: References) -> DataFrame:
-    """Full reports, one per site, with keywords and completed addresses."""
+def site_reports(pages: DataFrame, site_texts: DataFrame, texts: DataFrame, refs: References) -> DataFrame:
+    """Full reports, one per site, with keywords, completed addresses and the text of its record ``(homepage, txt)``."""
     words = site_keywords.keywords(site_texts.select(F.col("homepage").alias("unit"), "part", F.col("raw_text").alias("text")))
     found = sites.site_contacts(pages).where(F.size("address") > 0)
     addresses = complete_addresses(found.select(F.col("homepage").alias("unit"), "address"), refs.places)
     return sites.site_report(
-        pages, words.withColumnRenamed("unit", "homepage"), addresses.withColumnRenamed("unit", "homepage")
+        pages, words.withColumnRenamed("unit", "homepage"), addresses.withColumnRenamed("unit", "homepage"), texts
     )
 
 
@@ -145,7 +145,9 @@ def run_job(
     if keep_duplicates:
         of_domain = homes.select(F.col("homepage").alias("mainURL")).join(of_domain, "mainURL").select(*made.columns)
         of_pages = subs.select(F.col("link").alias("mainURL")).join(of_pages, "mainURL").select(*made.columns)
-    return JobResult(of_domain, of_pages, site_reports(site_pages, site_texts, refs), site_texts, failures, counts)
+    own = texts.where(domain).select(F.col("unit").alias("homepage"), F.col("text").alias("txt"))
+    reports = site_reports(site_pages, site_texts, own, refs)
+    return JobResult(of_domain, of_pages, reports, site_texts, failures, counts)
 
 
 def run_single(

@@ -18,7 +18,8 @@ DUAL_RECORD = f"""
 
 SITE_REPORT = """
     homepage STRING, subdomain_reports STRUCT<subdomains: ARRAY<STRING>, addresses: ARRAY<STRING>,
-    phoneNumbers: ARRAY<STRING>, emails: ARRAY<STRING>, yake_tags: ARRAY<STRING>>
+    phoneNumbers: ARRAY<STRING>, emails: ARRAY<STRING>, yake_tags: ARRAY<STRING>,
+    raw_text: STRING>
 """
 
 SITE_TEXT = "homepage STRING, part BIGINT, n_pages BIGINT, raw_text STRING"

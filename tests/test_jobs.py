@@ -61,6 +61,7 @@ def test_bulk_job(bulk):
     reports = {r.homepage: r.subdomain_reports for r in bulk.site_reports.collect()}
     assert reports["https://acme.org"].subdomains == ["https://acme.org", "https://acme.org/about", "https://acme.org/shop"]
     assert reports["https://acme.org"].emails == ["info@acme.org"] and "bread" in reports["https://acme.org"].yake_tags
+    assert len(reports["https://acme.org"].raw_text) > 20
     assert set(reports) == {"https://acme.org", "https://tiny.org"}
 
 
