@@ -3,16 +3,18 @@
 Documents are sets of word shingles.  Equal word sequences are one class, and classes are compared:
 
 1. Every class gets ``TREES * LEVELS`` min-hashes; each run of ``LEVELS`` of them is its path in one prefix
-   trie.  Classes meet in a tree if they share a prefix.  Prefixes start at full depth and are shortened
-   until the expected share of pairs at the similarity threshold that meet in some tree reaches the target
-   recall (``depth``); only nodes of that depth with two classes or more go on.
+   trie.  ``depth`` is the shortest prefix worth searching: at it, pairs at the similarity threshold meet in
+   some tree with the target recall.  Prefixes that at most ``NODE_BLOCK`` classes share are searched there.
+   Where more share it, every class starts from its whole path in that tree and shortens its matched
+   prefixes one level at a time, the one that adds fewest classes first, until the target recall is reached
+   (``shortened``); classes that share the prefix it stops at are compared with it.
 2. Within a node, rows sorted along the trie are compared by their whole signatures; pairs whose estimate
    lies clearly below the threshold are dropped, the others are only used to connect classes.
 3. Connected classes form clusters, and within a cluster the true similarity of every pair is computed from
    the shingle sets.  A pair missed by the forest is still found if a chain of others connects it.
 
-Large nodes and clusters are cut into tiles of bounded size, so that two members meet in exactly one tile.
-No pair is written out: tiles give link counts per class and spanning edges.
+Large nodes and clusters are cut into tiles of bounded size; in a large node only tiles with a class that
+stopped there are made.  No pair is written out: tiles give link counts per class and spanning edges.
 
 Defined results: a text of fewer words than ``WIDTH`` but some is one shingle of all its words; a text
 without words (null, empty, signs only) links with nothing and is a class of its own.  Rows with equal
@@ -58,6 +60,35 @@ def depth(threshold: float, trees: int = TREES, levels: int = LEVELS, recall: fl
     return d
 
 
+def shortened(sizes: np.ndarray, shortest: int, block: int, threshold: float, recall: float = TARGET_RECALL) -> np.ndarray:
+    """The depth per class and tree at which the class is searched.
+
+    ``sizes[c, t, k]`` classes share the first ``shortest + k`` levels of class c in tree t.  Two chances to
+    miss a partner must fall to ``1 - recall``: that of a partner anywhere, and that of one which lies in
+    the large nodes themselves, and so shares ``shortest`` levels there already and meets nowhere else.  The
+    second keeps the order by size from favouring trees in which such a partner is not met at all.
+    """
+    levels = np.arange(shortest, sizes.shape[2] + shortest)
+    large = sizes[:, :, 0] > block
+    at = np.where(large, len(levels) - 1, 0)
+    anywhere = np.log1p(-(threshold**levels))
+    with np.errstate(divide="ignore"):
+        within = np.log1p(-(threshold ** (levels - shortest)))
+    left = 1 - recall
+    never = (1 - threshold**shortest) ** sizes.shape[1]
+    goals = np.log(left), np.log(left - never) if left > never else -np.inf
+    while True:
+        short = anywhere[at].sum(axis=1) > goals[0]
+        short |= large.any(axis=1) & (np.where(large, within[at], 0).sum(axis=1) > goals[1])
+        rows = np.flatnonzero(short & (at > 0).any(axis=1))
+        if len(rows) == 0:
+            return at + shortest
+        now = np.take_along_axis(sizes[rows], at[rows][:, :, None], axis=2)[:, :, 0]
+        then = np.take_along_axis(sizes[rows], np.maximum(at[rows] - 1, 0)[:, :, None], axis=2)[:, :, 0]
+        added = np.where(at[rows] > 0, then - now, np.iinfo(np.int64).max)
+        at[rows, added.argmin(axis=1)] -= 1
+
+
 def shingle_sets(texts: pa.Array) -> tuple[W.Words, np.ndarray, np.ndarray]:
     """Words of a batch, the shingle hashes of all texts, and where each text's shingles begin."""
     words = W.words_of(texts)
@@ -159,9 +190,77 @@ def _connect(nodes: np.ndarray, sigs: np.ndarray, starts: np.ndarray, least: int
                 yield np.full(len(near), nodes[rows[i]]), nodes[rows[near]]
 
 
+def prefix_keys(sigs: np.ndarray, shortest: int) -> np.ndarray:
+    """``keys[row, tree, k]``: a hash of the tree and of its first ``shortest + k`` levels."""
+    paths = sigs.reshape(-1, TREES, LEVELS).astype(np.uint64)
+    chain = np.zeros(paths.shape[:2], np.uint64)
+    keys = np.empty((*paths.shape[:2], LEVELS - shortest + 1), np.int64)
+    for k in range(LEVELS):
+        chain = W.mix(chain ^ (paths[:, :, k] + np.uint64(k << 20)))
+        if k + 1 >= shortest:
+            keys[:, :, k + 1 - shortest] = W.mix(chain + np.arange(TREES, dtype=np.uint64)).astype(np.int64)
+    return keys
+
+
+def searched(large: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``key, node, n, asks, asked`` for classes in large nodes: the prefixes they are searched at, or found at.
+
+    ``large`` has ``node, tree, sig``.  A class is found at every prefix up to the one it stops at
+    (``asks``); beyond that it meets its partners at its own prefix already.
+    """
+    d = depth(threshold)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if rows.num_rows == 0:
+                continue
+            trees = rows.column("tree").to_numpy()
+            keys = prefix_keys(_signed(rows), d)[np.arange(len(trees)), trees]
+            steps = keys.shape[1]
+            columns = [rows.column("node").to_numpy().repeat(steps), trees.repeat(steps), np.tile(np.arange(steps, dtype=np.int32), len(trees)), keys.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "tree", "step", "key"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefixes")
+            row = pc.list_parent_indices(lists).to_numpy()
+            tree, step, key, n = (x.to_numpy() for x in lists.flatten().flatten())
+            sizes = np.ones((batch.num_rows, TREES, LEVELS - d + 1), np.int64)
+            sizes[row, tree, step] = n
+            stop = shortened(sizes, d, block, threshold)[row, tree] - d
+            kept = (n > 1) & (step <= stop)
+            columns = [key[kept], batch.column("node").to_numpy()[row[kept]], (step == stop)[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "asks"])
+
+    paths = stage(large.mapInArrow(prefixes, "node long, tree int, step int, key long"), "trie-prefixes")
+    sized = paths.join(paths.groupBy("key").agg(F.count("*").alias("n")), "key")
+    per_class = sized.groupBy("node").agg(F.collect_list(F.struct("tree", "step", "key", "n")).alias("prefixes"))
+    placed = stage(per_class.mapInArrow(choose, "key long, node long, asks boolean"), "forest-places")
+    nodes = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked"))
+    return placed.join(nodes.where("n > 1 AND asked > 0"), "key").select("key", "node", "n", "asks", "asked")
+
+
+def asked_tiles(rows: DataFrame, block: int) -> DataFrame:
+    """Add ``ti, tj``: tiles in which every class that asks meets all classes of its node.
+
+    A node of up to ``block`` classes is one tile.  Else the classes that ask and the others are hashed into
+    blocks of their own, and two blocks make a tile if one of them asks.
+    """
+    one = F.col("n") <= block
+    asking = F.when(one, 1).otherwise(F.ceil(F.col("asked") / block)).cast("int")
+    others = F.when(one, 0).otherwise(F.ceil((F.col("n") - F.col("asked")) / block)).cast("int")
+    spot = F.xxhash64("node")
+    own = F.when(one, 0).when(F.col("asks"), F.pmod(spot, F.col("_a"))).otherwise(F.col("_a") + F.pmod(spot, F.greatest("_o", F.lit(1))))
+    last = F.when(one | F.col("asks"), F.col("_a") + F.col("_o")).otherwise(F.col("_a")) - 1
+    placed = rows.withColumns({"_a": asking, "_o": others}).withColumn("_i", own.cast("int"))
+    exploded = placed.withColumn("_j", F.explode(F.sequence(F.lit(0), last)))
+    return exploded.select(*rows.columns, F.least("_i", "_j").alias("ti"), F.greatest("_i", "_j").alias("tj"))
+
+
 def candidate_edges(classes: DataFrame, threshold: float = NUMERATOR / DENOMINATOR) -> DataFrame:
     """``a, b``: edges that connect all classes which meet in a tree and look similar enough."""
-    d = depth(threshold)
+    d, block = depth(threshold), NODE_BLOCK
     hashes = TREES * LEVELS
     least = int(np.floor(hashes * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / hashes))))
 
@@ -170,18 +269,19 @@ def candidate_edges(classes: DataFrame, threshold: float = NUMERATOR / DENOMINAT
             rows = pa.Table.from_batches([batch])
             if rows.num_rows == 0:
                 continue
-            prefix = _signed(rows).reshape(-1, TREES, LEVELS)[:, :, :d].astype(np.uint64)
-            key = np.zeros(prefix.shape[:2], np.uint64)
-            for k in range(d):
-                key = W.mix(key ^ (prefix[:, :, k] + np.uint64(k << 20)))
-            key = W.mix(key + np.arange(TREES, dtype=np.uint64))  # the tree is part of the key
+            keys = prefix_keys(_signed(rows), d)[:, :, 0]
             nodes = np.repeat(rows.column("node").to_numpy(), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(nodes)], ["key", "node"])
+            trees = np.tile(np.arange(TREES, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes), pa.array(trees)], ["key", "node", "tree"])
 
-    places = stage(classes.select("node", "sig").mapInArrow(paths, "key long, node long"), "trie-nodes")
+    sigs = classes.select("node", "sig")
+    places = stage(sigs.mapInArrow(paths, "key long, node long, tree int"), "trie-nodes")
     shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = places.join(shared, "key").join(classes.select("node", "sig"), "node")
-    placed = spread_pairs(met, "n", NODE_BLOCK, "node").select("key", "ti", "tj", "node", "sig")
+    met = places.join(shared, "key")
+    small = met.where(F.col("n") <= block).select("key", "node", "n", F.lit(True).alias("asks"), F.col("n").alias("asked"))
+    large = met.where(F.col("n") > block).select("node", "tree").join(sigs, "node")
+    found = small.unionByName(searched(large, threshold, block)).join(sigs, "node")
+    placed = asked_tiles(found, block).select("key", "ti", "tj", "node", "sig")
     tiles = sorted_tiles(placed, "key", "ti", "tj", then=("sig",))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,3 +111,51 @@ def test_tiles_let_any_two_rows_meet_once(spark):
 def test_exact_links_count_whole_numbers():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3], [9])]
     assert J.exact_links(sets).tolist() == [[False, True, False, False], [True, False, False, False], [False] * 4, [False] * 4]
+
+
+def test_prefixes_are_shortened_until_the_target_recall():
+    rng = np.random.default_rng(3)
+    d, block = J.depth(0.8), 10
+    steps = J.LEVELS - d + 1
+    sizes = np.sort(rng.integers(1, 200, (500, J.TREES, steps)), axis=2)[:, :, ::-1].copy()
+    sizes[:100] = 1
+    sizes[100:200, 3:] = 1
+    sizes[200:300] = 5000
+    found = J.shortened(sizes, d, block, 0.8)
+    large = sizes[:, :, 0] > block
+    assert (found[~large] == d).all() and found.min() >= d and (found[large] > d).any()
+    assert (np.prod(1 - 0.8**found, axis=1) <= 1 - J.TARGET_RECALL + 1e-12).all()
+    inside = np.prod(np.where(large, 1 - 0.8 ** (found - d), 1), axis=1) + (1 - 0.8**d) ** J.TREES
+    assert (inside[large.any(axis=1)] <= 1 - J.TARGET_RECALL + 1e-12).all()
+    for c in (250, 400):  # one step less in the tree shortened last would miss the target
+        deeper = found[c] + np.eye(J.TREES, dtype=int)
+        deeper = deeper[(deeper <= J.LEVELS).all(axis=1)]
+        assert (np.prod(1 - 0.8**deeper, axis=1) > 1 - J.TARGET_RECALL).any() or (found[c] == d).any()
+
+
+def test_asked_tiles_let_every_asking_class_meet_its_node(spark):
+    rows = [(1, i, 23, i % 4 == 0, 6) for i in range(23)] + [(2, i, 4, i == 0, 1) for i in range(4)]
+    tiles = J.asked_tiles(spark.createDataFrame(rows, "key long, node long, n long, asks boolean, asked long"), 5).collect()
+    by_tile = {}
+    for r in tiles:
+        by_tile.setdefault((r.key, r.ti, r.tj), set()).add(r.node)
+    met = {(k, a, b) for (k, _, _), members in by_tile.items() for a in members for b in members}
+    assert all((k, a, b) in met for k, a, _, asks, _ in rows if asks for k2, b, *_ in rows if k2 == k)
+    assert max(sum(r.node == i and r.key == 1 for r in tiles) for i in range(23) if i % 4) <= 2
+
+
+def test_lone_partners_in_crowded_nodes_are_found(spark, monkeypatch):
+    monkeypatch.setattr(J, "NODE_BLOCK", 6)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(200)]
+    docs = []
+    for g in range(250):
+        first = common + [f"g{g}w{rng.randrange(10**6)}" for _ in range(150)]
+        docs += [(2 * g, " ".join(first)), (2 * g + 1, " ".join(first + [f"g{g}v{rng.randrange(10**6)}" for _ in range(86)]))]
+    kept = {}
+    searched = J.searched
+    monkeypatch.setattr(J, "searched", lambda *x: kept.setdefault("rows", searched(*x)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.report(frame(spark, docs)).collect()}
+    assert kept["rows"].count() > 500  # the crowd does make large nodes
+    pairs = sum(got[2 * g + 1] == (2 * g, 1) for g in range(250))
+    assert pairs >= 0.99 * 250 and all(got[d][0] in (d, d - d % 2) for d in got)
