@@ -13,14 +13,16 @@ last segment states, and decodes the chunked framing.  Only segments go through
 Defined results: a null html is an empty payload; payloads under ``MIN_REVISIT`` bytes are always responses.
 Of rows with equal payloads the one with the smallest page_id is the response (repeated page_ids: all of
 them); a null page_id is never smallest, and is a revisit if any page with an id has the payload.  A null
-url gives a record without target.  A damaged record keeps its row, with the reason in ``error`` and a null
-payload.
+url gives a record without target.  A damaged record keeps its row, with the reason in ``error``, a null
+payload and what its headers still say; reading goes on at the next place that looks like a record.  A
+damaged segment has such a row too, and its record one that says what is missing.  Of a compressed archive
+that is cut off or broken, the records before that place are read.
 """
 
 from __future__ import annotations
 
-import gzip
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from sitemill.workspace import stage
 
 MIN_REVISIT, CHUNK_BYTES, SEGMENT_BYTES = 100, 8192, 16384
-#: Bounds the size of an archive.
-RECORDS_PER_FILE = 10_000
+#: Bounds the size of an archive before compression: no record's block is longer than a segment.
+ARCHIVE_BYTES, HEADER_BYTES = 128 << 20, 1024
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,19 +99,70 @@ def response_records(identifier: str, common: list, payload: bytes, segment: int
     return out
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (names in lower case), block and damage of each record of an archive."""
     at = 0
     while at < len(data):
-        head_end = data.index(END, at)
-        lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {n.strip().lower(): v.strip() for n, _, v in (line.partition(":") for line in lines[1:])}
-        start = head_end + len(END)
-        stop = start + int(headers["content-length"])
-        yield headers, data[start:stop]
-        at = stop + len(END)
+        headers, block, damage, after = {}, b"", None, 0
+        head_end = data.find(END, at)
+        if not data.startswith(b"WARC/", at):
+            damage = "no record"
+        elif head_end < 0:
+            damage = "headers cut off"
+        else:
+            lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
+            headers = {n.strip().lower(): v.strip() for n, _, v in (line.partition(":") for line in lines[1:])}
+            length = whole_number(headers.get("content-length"))
+            start = head_end + len(END)
+            if length is None or length < 0:
+                damage = "no content length"
+            elif start + length > len(data):
+                damage = "block cut off"
+            elif data[start + length : start + length + len(END)] != END:
+                damage = "block has another length than stated"
+            else:
+                block, after = data[start : start + length], start + length + len(END)
+        if damage:
+            following = data.find(END + b"WARC/", at)
+            after = following + len(END) if following >= 0 else len(data)
+        yield headers, block, f"{damage} at byte {at}" if damage else None
+        at = after
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an archive without damage."""
+    for headers, block, damage in records(data):
+        if damage:
+            raise ValueError(damage)
+        yield headers, block
+
+
+def whole_number(text: str | None, bits: int = 64) -> int | None:
+    try:
+        number = int(text)
+    except (TypeError, ValueError):
+        return None
+    return number if -(1 << (bits - 1)) <= number < 1 << (bits - 1) else None
+
+
+def unzipped(data: bytes) -> bytes:
+    """The content of all gzip members, up to the first damage; data that is not compressed as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            for i in range(0, len(data), 1 << 20):  # in steps, so that what stands before damage is kept
+                parts.append(member.decompress(data[i : i + (1 << 20)]))
+                if member.eof:
+                    data = member.unused_data + data[i + (1 << 20) :]
+                    break
+            else:
+                break
+        except zlib.error:
+            break
+    return b"".join(parts)
 
 
 # --- writing --------------------------------------------------------------------------------------
@@ -151,7 +204,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
     rows = classified(pages).select("page_id", "url", "html", "digest", "refers_to")
     lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     writer = lines.write.option("lineSep", END.decode()).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (segment_bytes + HEADER_BYTES))).text(path)
 
 
 # --- reading --------------------------------------------------------------------------------------
@@ -167,20 +220,24 @@ def _parsed(archives: DataFrame, schema: str, segmented: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                data = batch.column(0)[k].as_py()
                 rows = []
-                for headers, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    if ("warc-segment-number" in headers) != segmented:
-                        continue
+                for headers, block, damage in records(unzipped(batch.column(0)[k].as_py())):
                     get = headers.get
-                    page = int(get("page-id")) if get("page-id") else None
+                    number = whole_number(get("warc-segment-number"), 32)
+                    if "warc-segment-number" in headers and number is None:
+                        damage = damage or "segment number is not a number"
+                    if (number is not None and damage is None) != segmented:
+                        continue
+                    page = whole_number(get("page-id"))
                     about = (get("warc-type"), page, get("warc-target-uri"), (get("warc-payload-digest") or "").removeprefix("sha256:") or None)
                     if segmented:
-                        total = get("warc-segment-total-length")
                         origin = get("warc-segment-origin-id") or get("warc-record-id")
-                        rows.append((origin, int(get("warc-segment-number")), int(total) if total else None, *about, block))
+                        rows.append((origin, number, whole_number(get("warc-segment-total-length")), *about, block))
                     else:
-                        payload, error = _decoded(block) if about[0] == "response" else (None, None)
+                        plain = damage is None and about[0] == "response"
+                        payload, error = _decoded(block) if plain else (None, damage)
+                        if page is None and "page-id" in headers:
+                            error = error or "page id is not a number"
                         rows.append((get("warc-record-id"), *about, payload, error))
                 for i in range(0, len(rows), 1000):
                     columns = zip(*rows[i : i + 1000], strict=True)
