@@ -57,5 +57,5 @@ def test_run(spark):
 
 def test_registered():
     names = [n for n in driver.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in driver.queries()
-    assert {"op1_warc_segments", "op3_line_windows", "op5_decontaminate", "op9_rotation_codes"} <= set(driver.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in driver.queries()
+    assert {"op1_warc_segments", "op3_line_windows", "op5_decontaminate", "op9_rotation_codes", "op12_turn_trees", "op13_hilbert_negatives"} <= set(driver.oracle_sql())
