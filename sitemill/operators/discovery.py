@@ -74,37 +74,67 @@ def one_hop(homepages: DataFrame, edges: DataFrame) -> DataFrame:
     return top_k(known, ["homepage"], ["seen", "link"], C.KNOWN_URL_CAP, "known").select("homepage", "link")
 
 
+def _stretches(key: Column) -> Column:
+    """All beginnings of a key that it may extend, and the key itself.  Scheme and bare host are no pages."""
+    pieces = F.split(key, r"(?<=/)|(?=[/?#])")
+    first = F.when(key.rlike("^[^/?#]+://"), 5).otherwise(1)
+    return F.transform(F.sequence(F.least(first, F.size(pieces)), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), ""))
+
+
+def _shortest(chain: Column, start: Column) -> Column:
+    """The end of the chain as ``struct<size, depth, url>``: its distance from the page of length ``start``.
+
+    The chain is in order of length and links lead to longer pages only, so one pass settles every page.
+    """
+    begin = F.struct(start.alias("size"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("url"))
+
+    def step(settled: Column, page: Column) -> Column:
+        def ways(before: Column) -> Column:
+            used = F.filter(page["edges"], lambda e: e["source"] == before["size"])
+            return F.transform(used, lambda e: F.struct((before["depth"] + 1).alias("depth"), e["url"].alias("url")))
+
+        best = F.slice(F.array_sort(F.flatten(F.transform(settled, ways))), 1, 1)
+        here = F.transform(best, lambda w: F.struct(page["size"].alias("size"), w["depth"].alias("depth"), w["url"].alias("url")))
+        return F.concat(settled, here)
+
+    later = F.filter(chain, lambda page: page["size"] > start)
+    return F.aggregate(later, F.array(begin), step, lambda settled: F.element_at(settled, -1))
+
+
 def prefix_crawl(homepages: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """All pages reachable from a homepage through links that lie below the page they are found on.
 
-    Returns ``(homepage, url, depth)`` with the homepage at depth 0.  Such a link is longer than its
-    source, so the graph has no cycles and the frontier empties by itself; ``max_rounds`` is for
-    callers who want a shallower crawl.  Each round expands only the last frontier and is staged, so
-    lineage stays one round deep and a lost executor costs at most that round.
+    Returns ``(homepage, url, depth)`` with the homepage at depth 0; ``max_rounds`` is for callers who
+    want a shallower crawl.  Such a link is longer than its source and begins with it, so everything on
+    a way to a page is a beginning of that page's key.  Each page therefore gathers the links between its
+    own beginnings, a chain no longer than its key, and finds its distance from the homepages among them:
+    one join and one grouping for a crawl of any depth, with no rounds and nothing carried between them.
+    The beginnings of a large site are hot in that join and the homepage in the next one; both have few
+    rows on the other side and are followed by an exchange on another key or by none, so Spark may split them.
     """
-    linked = inputs.keyed_edges(edges).withColumn("key", urls.rooted(F.col("dst")))
-    below = linked.where(urls.extends(F.col("key"), F.col("src"))).groupBy("src", "key").agg(F.min("dst").alias("url"))
-    below = stage(below, "below")
-    home = F.col("homepage")
+    home, key = F.col("homepage"), F.col("key")
     start = homepages.distinct().select(home, urls.clean_url(home).alias("url"), urls.page_key(home).alias("key"))
-    frontier = stage(start.withColumn("depth", F.lit(0).cast("bigint")), "frontier")
-    seen = frontier
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        children = (
-            frontier.select("homepage", F.col("key").alias("src"))
-            .join(below, "src")
-            .groupBy("homepage", "key")
-            .agg(F.min("url").alias("url"))
-            .join(seen, ["homepage", "key"], "left_anti")
-        )
-        children = children.select("homepage", "url", "key", F.lit(rounds).cast("bigint").alias("depth"))
-        frontier = stage(children, "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.drop("key")
+    start = stage(start, "starts")
+    linked = inputs.keyed_edges(edges).withColumn("key", urls.rooted(F.col("dst")))
+    below = linked.where(urls.extends(key, F.col("src"))).groupBy("key", F.length("src").alias("source")).agg(F.min("dst").alias("url"))
+    rows = below.select("key", F.struct("source", "url").alias("edge"), F.lit(False).alias("home"))
+    rows = rows.unionByName(start.select("key", F.lit(None).cast(rows.schema["edge"].dataType).alias("edge"), F.lit(True).alias("home")))
+    # At most one link per separator of the key, so the list is no longer than the key.
+    pages = stage(rows.groupBy("key").agg(F.collect_list("edge").alias("edges"), F.max("home").alias("home")), "crawl-pages")
+
+    linked_to = pages.where(F.size("edges") > 0).select("key", F.explode(_stretches(key)).alias("stretch"))
+    steps = linked_to.join(pages.withColumnRenamed("key", "stretch"), "stretch")
+    bare = F.transform("edges", lambda e: F.struct(e["source"].alias("source"), F.when(F.col("stretch") == key, e["url"]).alias("url")))
+    page = F.struct(F.length("stretch").alias("size"), bare.alias("edges"), "home")
+    chains = steps.groupBy("key").agg(F.array_sort(F.collect_list(page)).alias("chain"))
+    homes = F.filter("chain", lambda p: p["home"] & (p["size"] < F.length(key)))
+    asked = chains.select("key", "chain", F.explode(F.transform(homes, lambda p: p["size"])).alias("start"))
+    found = asked.select("key", "start", _shortest(F.col("chain"), F.col("start")).alias("end")).where(F.col("end.size") == F.length(key))
+    reached = found.select(F.expr("substr(key, 1, start)").alias("key"), "end.url", "end.depth")
+    if max_rounds is not None:
+        reached = reached.where(F.col("depth") <= max_rounds)
+    below_homes = reached.join(start.select("homepage", "key"), "key").select("homepage", "url", "depth")
+    return start.select("homepage", "url", F.lit(0).cast("bigint").alias("depth")).unionByName(below_homes)
 
 
 def sitemap_top(sitemap: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 from sitemill.operators import discovery, site_keywords, sites
 from sitemill.operators.ranking import rank_within, top_k
 from sitemill.sources import inputs
+from sitemill.workspace import staging_root
 
 HOME = "https://a.org"
 
@@ -108,6 +110,51 @@ def test_crawl_matches_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == seen
 
 
+def test_crawl_depths_match_brute_force(spark):
+    """Nested homepages, queries and fragments as separators, both forms of the root: shortest ways and smallest addresses."""
+    rng = random.Random(11)
+    homes = [HOME, HOME + "/", HOME + "/a", HOME + "/a/", HOME + "/b?x"]
+    tails = ["".join(rng.choice(("/", "/", "?", "#")) + rng.choice(("a", "b", "")) for _ in range(rng.randrange(1, 7))) for _ in range(90)]
+    nodes = homes + [HOME + t for t in tails]
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(1500)]
+
+    def rooted(u):
+        rest = u[len(HOME) :]
+        return u if rest.startswith("/") else HOME + "/" + rest
+
+    def below(k, s):
+        return k.startswith(s) and k != s and (s.endswith("/") or k[len(s)] in "/?#")
+
+    want = set()
+    for home in homes:
+        seen, last, depth = {rooted(home)}, {rooted(home)}, 0
+        want.add((home, home, 0))
+        while last:
+            depth += 1
+            found = {}
+            for s, d in pairs:
+                if rooted(s) in last and below(rooted(d), rooted(s)) and rooted(d) not in seen:
+                    found[rooted(d)] = min(d, found.get(rooted(d), d))
+            want |= {(home, d, depth) for d in found.values()}
+            seen |= set(found)
+            last = set(found)
+    got = discovery.prefix_crawl(spark.createDataFrame([(h,) for h in homes], "homepage string"), _edges(spark, pairs)).collect()
+    assert len(got) == len(want) and {(r.homepage, r.url, r.depth) for r in got} == want
+
+
+def test_crawl_of_any_depth_is_one_plan(spark):
+    """A chain of sixty pages stages as many tables as a chain of two, and no table holds a round."""
+    staged = []
+    for n in (2, 60):
+        chain = [HOME + "/x" * i for i in range(n + 1)]
+        folder = staging_root(spark) + "/sitemill"
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        got = discovery.prefix_crawl(spark.createDataFrame([(HOME,)], "homepage string"), _edges(spark, list(zip(chain, chain[1:], strict=False))))
+        assert {(r.url, r.depth) for r in got.collect()} == {(u, i) for i, u in enumerate(chain)}
+        staged.append(sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before))
+    assert staged[0] == staged[1] == ["crawl-pages", "starts"]
+
+
 def test_one_hop_keeps_the_first_hundred(spark):
     pairs = [(HOME, f"{HOME}/{i:03d}") for i in range(130)]
     homes = spark.createDataFrame([(HOME,)], "homepage string")
