@@ -8,7 +8,7 @@ from checks import language_queries as L
 from checks import sqlparts as S
 from checks import tables as T
 from checks import text_queries, vector_queries
-from checks.link_queries import DENIED, PAGE_TEXTS
+from checks.link_queries import DENIED, PAGE_TEXTS, ROUTE_LINKS
 from checks.site_queries import FOUND_SITES, _sitemap_sql
 from sitemill import constants as C
 from sitemill import models, schemas
@@ -18,7 +18,7 @@ from sitemill.functions.vectors import DIM
 from sitemill.operators import keywords, records, sites
 from sitemill.operators import site_keywords as per_site
 from sitemill.operators.ranking import rank_within
-from sitemill.plans import jobs
+from sitemill.plans import drops, jobs
 from sitemill.sources import inputs, jsonl
 from sitemill.workspace import new_path, stage
 
@@ -465,6 +465,42 @@ def job_outputs(spark, sf_dir):
     return lines.groupBy("kind", "job").agg(F.count("*").alias("n_lines"))
 
 
+def job_drops(spark, sf_dir):
+    """Lines per kind after two link drops: the links of half the sites, then all links, the former among them."""
+    source, root = new_path(spark, "drops"), new_path(spark, "drop-outputs")
+    links = T.links(spark, sf_dir)
+    early = links.where(F.pmod(F.xxhash64(urls.site_key(F.col("link"))), F.lit(2)) == 0)
+    job = T.pages(spark, sf_dir), ECOSYSTEM, _house(spark, sf_dir), _refs(spark, sf_dir)
+    for number, drop in enumerate((early, links)):
+        drop.write.text(f"{source}/{number}")
+        drops.run_drops(
+            spark, f"{source}/*", root, *job, files_per_run=100_000, deny_hosts=DENIED, extra_edges=T.page_tree(spark, sf_dir)
+        )
+    return spark.read.text(root).groupBy("kind", "job").agg(F.count("*").alias("n_lines"))
+
+
+def job_manifest(spark, sf_dir):
+    """The manifest of a written run: rows per kind, failures by reason, roles of the links."""
+    root = new_path(spark, "outputs")
+    _job(spark, sf_dir, jobs.HOUSE).write(root, ECOSYSTEM, 1)
+    found = jobs.read_manifest(spark, root, ECOSYSTEM, 1)
+    counted = F.explode(F.map_concat(F.create_map(F.lit("rows"), "n_rows"), F.coalesce("counts", F.create_map().cast("map<string,bigint>"))))
+    return found.select("kind", counted.alias("counter", "n")).where("n > 0")
+
+
+def job_manifest_sql():
+    links = f"FROM ({ROUTE_LINKS})"
+    reason = f"""CASE WHEN domain AND text IS NULL THEN '{jobs.SHORT_SITE}' WHEN text IS NULL THEN '{records.NO_TEXT}'
+  ELSE '{records.SHORT_TEXT}' END"""
+    return f"""
+SELECT kind, 'rows' AS counter, n_lines AS n FROM ({job_outputs_sql()})
+UNION ALL SELECT '{jsonl.FAILURES}', {reason}, count(*) FROM {job_texts()} WHERE NOT coalesce(length(text) > {C.RECORD_TEXT_MIN}, false) GROUP BY 2
+UNION ALL SELECT 'links', 'rows', count(*) {links}
+UNION ALL SELECT 'links', c, n FROM (SELECT unnest(['n_homepages', 'n_subdomains', 'n_dont_scrape', 'n_invalid']) AS c,
+  unnest([count(homepage), count(*) FILTER (is_subdomain), count(*) FILTER (dont_scrape), count(failure_reason)]) AS n {links}) WHERE n > 0
+"""
+
+
 def job_outputs_sql():
     made = f"length(text) > {C.RECORD_TEXT_MIN}"
     return f"""
@@ -560,4 +596,6 @@ QUERIES = {
     "job_bulk_paradigm": (job_bulk_paradigm, lambda: job_sql(PARADIGM)),
     "job_dual": (job_dual, lambda: job_sql(None, dual=True)),
     "job_outputs": (job_outputs, lambda: job_outputs_sql()),
+    "job_drops": (job_drops, lambda: job_outputs_sql()),
+    "job_manifest": (job_manifest, lambda: job_manifest_sql()),
 }

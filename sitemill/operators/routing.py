@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.constants import DENY_HOSTS
@@ -45,13 +45,18 @@ def dont_scrape(routed: DataFrame) -> DataFrame:
     return routed.where("dont_scrape").select("link")
 
 
-def link_counts(routed: DataFrame) -> DataFrame:
-    return routed.agg(
+def counters() -> list[Column]:
+    """What is counted of routed links, in a query or while they are written."""
+    return [
         F.count("homepage").alias("n_homepages"),
         F.count_if("is_subdomain").alias("n_subdomains"),
         F.count_if("dont_scrape").alias("n_dont_scrape"),
         F.count("failure_reason").alias("n_invalid"),
-    )
+    ]
+
+
+def link_counts(routed: DataFrame) -> DataFrame:
+    return routed.agg(*counters())
 
 
 def good_links(links: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitemill import constants as C
@@ -28,6 +28,8 @@ HOUSE, PARADIGM, DUAL = "house", "paradigm", "dual"
 NO_PAGES = "no_pages"
 SHORT_SITE = "short_site_text"
 LONG_LINK = "long_link"
+LINKS, MODEL_MESSAGES = "links", "model"
+REASONS = (NO_PAGES, SHORT_SITE, LONG_LINK, routing.INVALID_LINK, records.NO_TEXT, records.SHORT_TEXT, C.NO_PARAMETERS)
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,7 @@ class JobResult:
     site_texts: DataFrame
     failures: DataFrame
     counts: DataFrame
+    link_counts: dict[str, int] = field(default_factory=dict)
 
     def outputs(self) -> dict[str, DataFrame]:
         return {
@@ -48,12 +51,36 @@ class JobResult:
             jsonl.FAILURES: self.failures,
         }
 
-    def write(self, root: str, job: str, run: int | None = None) -> dict[str, str]:
-        """Write all outputs as JSON lines; the run is the epoch second unless given."""
+    def write(self, root: str, job: str, run: int | None = None, mode: str = "errorifexists") -> dict[str, str]:
+        """Write all outputs as JSON lines; the run is the epoch second unless given.
+
+        Last comes the manifest of the run (``read_manifest``), so a run that has one is complete.
+        """
         run = int(time.time()) if run is None else run
-        return {
-            kind: jsonl.write_jsonl(df, jsonl.output_path(root, kind, job, run)) for kind, df in self.outputs().items()
-        }
+        paths, rows = {}, [(LINKS, self.link_counts.get("n_links"), None, {k: n for k, n in self.link_counts.items() if k != "n_links"})]
+        for kind, df in self.outputs().items():
+            paths[kind] = jsonl.output_path(root, kind, job, run)
+            found = jsonl.write_counted(df, paths[kind], _failure_counters() if kind == jsonl.FAILURES else (), mode)
+            rows.append((kind, found.pop("n_rows", 0), found.pop("n_bytes"), found))
+        manifest = self.failures.sparkSession.createDataFrame(rows, jsonl.MANIFEST_FIELDS).coalesce(1)
+        jsonl.write_jsonl(manifest, jsonl.manifest_path(root, job, run), mode)
+        return paths
+
+
+def _failure_counters() -> list[Column]:
+    """Failures by reason; messages of models are counted together."""
+    reason = F.col("failure_reason")
+    named = [F.count_if(reason == r).alias(r) for r in REASONS]
+    return [*named, F.count_if(~reason.isin(*REASONS)).alias(MODEL_MESSAGES)]
+
+
+def read_manifest(spark: SparkSession, root: str, job: str, run: int) -> DataFrame:
+    """``kind, n_rows, n_bytes, counts`` of a written run.
+
+    ``counts`` holds failures by reason for the failures, and the roles of the links for the kind
+    ``links``, whose rows are the links given; all were counted by the tasks that wrote the tables.
+    """
+    return jsonl.read_jsonl(spark, jsonl.manifest_path(root, job, run), jsonl.MANIFEST_FIELDS)
 
 
 def site_reports(pages: DataFrame, site_texts: DataFrame, texts: DataFrame, refs: References) -> DataFrame:
@@ -94,8 +121,10 @@ def run_job(
     as the pages, an indexed one for instance, has these settings of its own.
     """
     routed = routing.route_links(inputs.links(spark, links), () if mode == DUAL else deny_hosts)
-    routed = stage(routed, "routed")
-    counts = routing.link_counts(routed)
+    seen = Observation()
+    routed = stage(routed.observe(seen, F.count("*").alias("n_links"), *routing.counters()), "routed")
+    link_counts = {name: int(n) for name, n in seen.get.items()}
+    counts = spark.createDataFrame([link_counts], ", ".join(f"{name} long" for name in link_counts)).drop("n_links")
     invalid = routed.where("failure_reason is not null").select(F.col("link").alias("mainURL"), "failure_reason").distinct()
     homes = routing.homepages(routed)
     subs = routing.subdomains(routed, honour_deny_list)
@@ -147,7 +176,7 @@ def run_job(
         of_pages = subs.select(F.col("link").alias("mainURL")).join(of_pages, "mainURL").select(*made.columns)
     own = texts.where(domain).select(F.col("unit").alias("homepage"), F.col("text").alias("txt"))
     reports = site_reports(site_pages, site_texts, own, refs)
-    return JobResult(of_domain, of_pages, reports, site_texts, failures, counts)
+    return JobResult(of_domain, of_pages, reports, site_texts, failures, counts, link_counts)
 
 
 def run_single(
