@@ -15,6 +15,12 @@ of 32 bits, one stream per lane.
 
 Block layout, little-endian: magic ``MIX1``, counts of documents, ids and lanes (u32 each), crc32 of the
 ids, document sizes (u32), words per lane (u32), the words of all lanes.  ``decode`` checks the crc.
+
+Defined results: a null or empty text is the end id alone.  A null doc_id sorts first and is read back as null.
+Rows that repeat a doc_id are documents of their own, in no stated order among each other.  Only ``doc_id`` and
+``text`` are read, so other columns may have any name.  A document is never divided, so a very long one makes a
+longer block.  An empty table gives files without rows and an empty result.  Ids from 65,536 on are refused with
+an error, as are blocks that are cut short or fail their checksum.
 """
 
 from __future__ import annotations

@@ -61,3 +61,16 @@ def test_files(spark, none, block_ids, monkeypatch):
     assert not any(ids_of.values())
     M.write(none, path := new_path(spark, "t"))
     assert M.read(spark, path).count() == 0
+
+
+def test_repeated_rows_other_columns_and_empty_table(spark, tmp_path):
+    rows = [(7, "same text", 1, 2)] * 3 + [(7, "other", 3, 4), (None, None, 5, 6), (1, "", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int, block int")
+    M.write(docs, str(tmp_path / "some"))
+    got = M.read(spark, str(tmp_path / "some"), with_ids=False).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 7, 7, 7, 7] and [r.n_tokens for r in got][:2] == [1, 1]
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(6)]
+    same = sorted(r.ids_crc32 for r in got[2:])
+    assert len(set(same)) == 2 and got[0].ids_crc32 == got[1].ids_crc32
+    M.write(docs.limit(0), str(tmp_path / "none"))
+    assert M.read(spark, str(tmp_path / "none")).collect() == []
