@@ -2,6 +2,10 @@
 
 toxic documents go, repeated stretches of lines are cut, one document of each group of near copies stays,
 documents with benchmark passages go, and what is left is packed into sequences of tokens.
+
+Defined results: nulls, empty texts, ties and repeated rows are handled as the module of each stage states.  A text
+that a stage empties stays a document and goes on; of equal texts without words the near-duplicate stage keeps one.
+All stages but the last return the columns of the documents, whatever these are.
 """
 
 from __future__ import annotations
