@@ -7,11 +7,17 @@ low scores are good.  See Campos et al., Information Sciences 509 (2020).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions import text as X
-from sitemill.operators.tokens import by_unit, topic_rows
+from sitemill.operators.word_counts import Terms, Words, grouped, over_units, term_counts
 
 TOP = 20
 BITS = 21  # of a place in its chunk and of a chunk in its sentence
@@ -25,105 +31,136 @@ def neighbour_share(distinct: Column, present: Column) -> Column:
     return F.when(present > 0, distinct / present).otherwise(F.lit(0.0))
 
 
-def term_score() -> Column:
-    """The published score of a term, from columns of its counts and those of its unit."""
-    tf = F.col("tf").cast("double")
-    case = F.col("cased") / (1 + F.log(tf))
-    position = F.log(F.log(3 + F.col("middle")))
-    frequency = tf / (F.col("mean_tf") + F.col("std_tf"))
-    related = 1 + (F.col("left") + F.col("right")) * tf / F.col("max_tf")
-    spread = F.col("in_sentences") / F.col("n_sentences")
+def _score(c: dict, log: Callable):
+    """The published score of a term, from its counts and those of its unit, as columns or as arrays."""
+    case = c["cased"] / (1 + log(c["tf"]))
+    position = log(log(3 + c["middle"]))
+    frequency = c["tf"] / (c["mean_tf"] + c["std_tf"])
+    related = 1 + (c["left"] + c["right"]) * c["tf"] / c["max_tf"]
+    spread = c["in_sentences"] / c["n_sentences"]
     return related * position / (case + frequency / related + spread / related)
 
 
-def scored_terms(texts: DataFrame) -> DataFrame:
-    """Topic words of each text, one row per term: its counts, its score and all its mentions.
-
-    Everything is grouped where the text's words were made, so there is no further exchange.
-    """
-    mention = F.struct("sentence", "chunk", "place", "word2", "word3")
-    terms = topic_rows(by_unit(texts)).groupBy("unit", "term").agg(
-        F.count("*").alias("tf"),
-        F.greatest(F.count_if("shouted"), F.count_if("capital")).alias("cased"),
-        F.size(F.collect_set("sentence")).alias("in_sentences"),
-        F.percentile("sentence", 0.5).alias("middle"),
-        neighbour_share(F.size(F.collect_set("before")), F.count("before")).alias("left"),
-        neighbour_share(F.size(F.collect_set("after")), F.count("after")).alias("right"),
-        F.max("n_sentences").alias("n_sentences"),
-        F.collect_list(mention).alias("mentions"),
-    )
-    whole = Window.partitionBy("unit")
-    mean = F.avg("tf").over(whole)
-    squares = F.avg(F.col("tf") * F.col("tf")).over(whole)
-    terms = terms.select(
-        "*",
-        F.max("tf").over(whole).alias("max_tf"),
-        mean.alias("mean_tf"),
-        F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0))).alias("std_tf"),
-    )
-    return terms.select("unit", "term", "tf", "cased", "in_sentences", "middle", term_score().alias("score"), "mentions")
+def term_score() -> Column:
+    names = "tf cased middle mean_tf std_tf left right max_tf in_sentences n_sentences".split()
+    return _score({c: F.col(c) for c in names} | {"tf": F.col("tf").cast("double")}, F.log)
+
+
+def _scored(words: Words) -> Terms:
+    """The terms of a slice with ``cased`` and ``score``."""
+    terms = term_counts(words)
+    c = terms.columns
+    c["cased"] = np.maximum(c["shouted"], c["capital"])
+    if not len(terms.unit):
+        c["score"] = np.zeros(0)
+        return terms
+    _, first = grouped(terms.unit)
+    n = np.diff(np.append(first, len(terms.unit)))
+    tf = c["tf"].astype(float)
+    mean, squares = np.add.reduceat(tf, first) / n, np.add.reduceat(tf * tf, first) / n
+    spread = np.sqrt(np.maximum(squares - mean * mean, 0))
+    of_unit = {"max_tf": np.maximum.reduceat(tf, first), "mean_tf": mean, "std_tf": spread}
+    shares = {}
+    for name, side, present in (("left", "before", c["n_left"]), ("right", "after", c["n_right"])):
+        distinct = np.bincount(terms.near(side)[0], minlength=len(tf))
+        shares[name] = np.where(present > 0, distinct / np.maximum(present, 1), 0.0)
+    c["score"] = _score(c | {"tf": tf} | shares | {k: np.repeat(v, n) for k, v in of_unit.items()}, np.log)
+    return terms
+
+
+def _units(units: pa.Array, words: Words, rows: np.ndarray) -> pa.Array:
+    """The units of this number."""
+    return units.take(pa.array(np.searchsorted(words.number, rows)))
 
 
 def term_statistics(texts: DataFrame) -> DataFrame:
     """One row per text and term: counts, sentences and score."""
-    return scored_terms(texts).drop("mentions")
+
+    def count(units: pa.Array, words: Words) -> list:
+        terms = _scored(words)
+        c = terms.columns
+        found = [c["tf"], c["cased"], pa.array(c["in_sentences"].astype(np.int32)), c["middle"], c["score"]]
+        return [_units(units, words, terms.unit), words.terms.take(pa.array(terms.term)), *map(pa.array, found)]
+
+    return over_units(texts, count, "term string, tf long, cased long, in_sentences int, middle double, score double")
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores to ``SCORE_DIGITS`` digits as Spark rounds them: halves of the shortest decimal form go up."""
+    whole = np.floor(scores * 10.0**SCORE_DIGITS + 0.5) / 10.0**SCORE_DIGITS
+    digit = Decimal(1).scaleb(-SCORE_DIGITS)
+    for i in np.flatnonzero(np.abs(scores * 10.0**SCORE_DIGITS % 1 - 0.5) < 1e-6):
+        whole[i] = float(Decimal(repr(float(scores[i]))).quantize(digit, ROUND_HALF_UP))
+    return whole
+
+
+def _phrases(words: Words) -> dict[str, np.ndarray]:
+    """Arrays over all runs of one to three words of each unit: ``unit, tf, at, size, score, ids``.
+
+    Scores of the next one or two words come from the following topic words of the same chunk; a weak word in
+    the middle of three adds nothing.
+    """
+    terms = _scored(words)
+    score = terms.columns["score"]
+    at = (words.sentence * PLACES + words.chunk) * PLACES + words.place
+    chunk, n = at >> BITS, len(at)
+    s0 = score[terms.of]
+
+    def later(values: np.ndarray, by: int) -> np.ndarray:
+        return np.append(values[by:], np.full(min(by, n), -1, values.dtype))
+
+    same = [(later(words.unit, k) == words.unit) & (later(chunk, k) == chunk) for k in (1, 2)]
+    scores, there = [], []
+    for step in (1, 2):
+        hits = [m & (later(words.place, k) == words.place + step) for k, m in zip((1, 2), same, strict=True)]
+        scores.append(np.where(hits[0], later(s0, 1), later(s0, 2)))
+        there.append(hits[0] | hits[1])
+    pairs = there[0] & (words.after >= 0)
+    threes = there[1] & (words.second >= 0)
+    middle = [np.where(there[0], scores[0], x) for x in (1.0, 0.0)]
+    two = np.zeros(n, np.int64)
+    near = pairs | threes
+    two[near] = np.unique((terms.of * words.n_terms + words.after)[near], return_inverse=True)[1]
+    runs = [
+        (1, np.ones(n, bool), terms.of, s0, s0),
+        (2, pairs, two, s0 * scores[0], s0 + scores[0]),
+        (3, threes, two * words.n_terms + words.second, s0 * middle[0] * scores[1], s0 + middle[1] + scores[1]),
+    ]
+    parts = []
+    for size, mask, keys, prod, total in runs:
+        spots = np.flatnonzero(mask)
+        if not len(spots):
+            continue
+        order, first = grouped(keys[spots])
+        spots = spots[order]
+        tf = np.diff(np.append(first, len(spots)))
+        best, sums = np.maximum.reduceat(prod[spots], first), np.maximum.reduceat(total[spots], first)
+        spot = spots[first]
+        ids = np.stack([words.term[spot], words.after[spot] if size > 1 else spot * 0 - 1, words.second[spot] if size > 2 else spot * 0 - 1])
+        parts.append((words.unit[spot], tf, at[spot], np.full(len(spot), size, np.int32), rounded(best / (tf * (1 + sums))), ids))
+    if not parts:
+        empty = np.zeros(0, np.int64)
+        parts = [(empty, empty, empty, empty.astype(np.int32), empty.astype(float), np.zeros((3, 0), np.int64))]
+    return {name: np.concatenate(x, axis=-1) for name, x in zip(("unit", "tf", "at", "size", "score", "ids"), zip(*parts, strict=True), strict=True)}
+
+
+def _joined(words: Words, ids: np.ndarray) -> pa.Array:
+    """Phrases of words by number; -1 is no word."""
+    each = [words.terms.take(pa.array(x, mask=x < 0)) for x in ids]
+    return pc.binary_join_element_wise(*each, " ", null_handling="skip")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
     """``(unit, phrase, tf, score, at, size)``: all runs of one to three words with their score.
 
-    ``at`` is the first place of the phrase and ``size`` its number of words.  Scores of the next one
-    or two words come from the following rows of the same chunk; a weak word in the middle of three
-    adds nothing.  The grouping keeps numbers only, so it runs as a hash aggregation.
+    ``at`` is the first place of the phrase and ``size`` its number of words.
     """
-    words = scored_terms(texts).select("unit", "term", "score", F.inline("mentions"))
-    along = Window.partitionBy("unit", "sentence", "chunk").orderBy("place")
-    here = F.struct("place", "score")
-    near = words.select(
-        "unit",
-        "sentence",
-        "chunk",
-        "place",
-        "term",
-        F.lower("word2").alias("term2"),
-        F.lower("word3").alias("term3"),
-        "score",
-        F.lead(here, 1).over(along).alias("n1"),
-        F.lead(here, 2).over(along).alias("n2"),
-    )
 
-    def score_at(step):
-        spot = F.col("place") + step
-        return F.when(F.col("n1.place") == spot, F.col("n1.score")).when(F.col("n2.place") == spot, F.col("n2.score"))
-
-    s0, s1, s2 = F.col("score"), score_at(1), score_at(2)
-
-    def run(size, phrase, prod, total, exists):
-        fields = (phrase.alias("phrase"), F.lit(size).alias("size"), prod.alias("prod"), total.alias("total"))
-        return F.when(exists, F.struct(*fields))
-
-    runs = F.array(
-        run(1, F.col("term"), s0, s0, F.lit(True)),
-        run(2, F.concat_ws(" ", "term", "term2"), s0 * s1, s0 + s1, s1.isNotNull()),
-        run(
-            3,
-            F.concat_ws(" ", "term", "term2", "term3"),
-            s0 * F.coalesce(s1, F.lit(1.0)) * s2,
-            s0 + F.coalesce(s1, F.lit(0.0)) + s2,
-            s2.isNotNull(),
-        ),
-    )
-    at = (F.col("sentence").cast("bigint") * PLACES + F.col("chunk")) * PLACES + F.col("place")
-    each = near.select("unit", at.alias("at"), F.explode(runs).alias("run")).where("run IS NOT NULL")
-    grouped = each.groupBy("unit", F.col("run.phrase").alias("phrase")).agg(
-        F.count("*").alias("tf"),
-        F.min("at").alias("at"),
-        F.max("run.size").alias("size"),
-        F.max("run.prod").alias("prod"),
-        F.max("run.total").alias("total"),
-    )
-    score = F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), SCORE_DIGITS)
-    return grouped.select("unit", "phrase", "tf", score.alias("score"), "at", "size")
+    def count(units: pa.Array, words: Words) -> list:
+        p = _phrases(words)
+        return [_units(units, words, p["unit"]), _joined(words, p["ids"]), *(pa.array(p[c]) for c in ("tf", "score", "at", "size"))]
+
+    return over_units(texts, count, "phrase string, tf long, score double, at long, size int")
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -157,6 +194,44 @@ def as_written(k: Column, sentence: Column) -> Column:
     return F.array_join(F.slice(words, first, k["size"]), " ")
 
 
+def _distance(a: str, b: str) -> int:
+    """Edit distance of two phrases."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _alike(a: str, b: str) -> bool:
+    """``_similar`` of two strings; of phrases few edits apart, one shares a piece of the other."""
+    longest = max(len(a), len(b))
+    most = (1 - SIMILAR) * longest + 1e-9
+    if most < 1 or abs(len(a) - len(b)) > most:
+        return False
+    pieces = int(most) + 1
+    cuts = [len(b) * i // pieces for i in range(pieces + 1)]
+    if not any(b[cuts[i] : cuts[i + 1]] in a for i in range(pieces)):
+        return False
+    return 1 - _distance(a, b) / longest > SIMILAR
+
+
+def _kept(words: Words, phrases: dict[str, np.ndarray], ranked: np.ndarray, top: int) -> list[tuple[int, int]]:
+    """Place and size of the phrases of one unit, by score and as text, that are near none kept before."""
+    score, kept, begin = phrases["score"][ranked], [], 0
+    while begin < len(ranked) and len(kept) < top:
+        end = min(len(ranked), begin + 2 * top)
+        end = int(np.searchsorted(score, score[end - 1], side="right"))
+        part = ranked[begin:end]
+        rows = zip(score[begin:end].tolist(), _joined(words, phrases["ids"][:, part]).to_pylist(), phrases["at"][part].tolist(), phrases["size"][part].tolist(), strict=True)
+        for _, phrase, at, size in sorted(rows):
+            if len(kept) < top and not any(_alike(k[0], phrase) for k in kept):
+                kept.append((phrase, at, size))
+        begin = end
+    return [(at, size) for _, at, size in kept]
+
+
 def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
     """``(unit, yake_tags)``: the best phrases, near copies of better ones left out, sorted as text.
 
@@ -164,15 +239,17 @@ def keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
     matter of ``site_keywords``.  They are walked in score order until ``top`` are kept, which is exact however
     many near copies come first.  Kept phrases are shown as written at their first place.
     """
-    entry = F.struct("score", "phrase", "at", "size")
-    listed = candidates(texts).groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
-    none = F.array().cast("array<struct<score:double,phrase:string,at:bigint,size:int>>")
-    # The first phrases nearly always suffice; the whole list is walked only for texts still short.
-    head = listed.withColumn("kept", walk(F.slice("ranked", 1, 10 * top), none, top))
-    short = (F.size("kept") < top) & (F.size("ranked") > 10 * top)
-    listed = head.select("unit", F.when(short, walk(F.col("ranked"), none, top)).otherwise(F.col("kept")).alias("kept"))
-    kept = listed.select("unit", F.explode(F.array("kept")).alias("kept"))
-    bodies = by_unit(texts).select("unit", X.sentences(F.col("text")).alias("body"))
-    shown = F.transform("kept", lambda k: as_written(k, F.shiftright(k["at"], 2 * BITS).cast("int")))
-    joined = bodies.join(kept, "unit", "left")
-    return joined.select("unit", F.coalesce(F.array_sort(F.array_distinct(shown)), F.array().cast("array<string>")).alias("yake_tags"))
+
+    def count(units: pa.Array, words: Words) -> list:
+        phrases = _phrases(words)
+        order = np.lexsort((phrases["score"], phrases["unit"]))
+        ends = np.searchsorted(phrases["unit"][order], np.arange(words.n_units + 1))
+        found = [_kept(words, phrases, order[ends[u] : ends[u + 1]], top) for u in range(words.n_units)]
+        tags = []
+        for row, unit in enumerate(words.number.tolist()):
+            places = [(at >> 2 * BITS, (at >> BITS) & (PLACES - 1), at & (PLACES - 1), size) for at, size in found[unit]]
+            shown = {words.as_written(row, *p) for p in places} if units[row].is_valid else set()
+            tags.append(sorted(shown - {None}) + [None] * (None in shown))
+        return [units, pa.array(tags, pa.list_(pa.string()))]
+
+    return over_units(texts, count, "yake_tags array<string>")

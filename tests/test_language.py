@@ -2,6 +2,7 @@ import math
 import re
 import statistics
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sitemill.operators import entities, keywords, summaries, tokens
@@ -128,3 +129,38 @@ def test_the_last_mention_of_an_entity_decides_its_tag(spark):
     texts = _texts(spark, "We saw Acme today. We live in Acme town. Then Bob left.", "The town is Acme too. Then Acme won. We met Bob.")
     got = {r.unit: [tuple(e) for e in r.ner_tags] for r in entities.entity_tags(texts, gaz).collect()}
     assert got == {"0": [("Acme", "LOC"), ("Bob", "MISC")], "1": [("Acme", "ORG"), ("Bob", "PER")]}
+
+
+def test_no_row_per_word_is_made(spark):
+    for made in (keywords.term_statistics, keywords.candidates, keywords.keywords):
+        plan = made(_texts(spark, "a b c"))._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan
+        assert not any(step in plan for step in ("Generate", "Window", "Aggregate"))
+
+
+def test_rows_of_a_unit_are_counted_together_across_batches(spark):
+    body = "Green Mill bakes corn bread. The Green Mill sells bread rolls; corn rolls too. "
+    rows = [("a", body), ("b", body * 3), ("b", body * 3), (None, body), ("c", None), ("d", "")]
+    texts = spark.createDataFrame(rows, "unit string, text string").coalesce(1)
+
+    def found():
+        terms = sorted(map(tuple, keywords.term_statistics(texts).select("unit", "term", "tf", "in_sentences").collect()), key=str)
+        return terms, sorted(map(tuple, keywords.keywords(texts).collect()), key=str)
+
+    whole = found()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert found() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts = {(u, t): (n, k) for u, t, n, k in whole[0]}
+    assert counts["a", "mill"] == (2, 2) and counts["b", "mill"] == (12, 6) and counts[None, "mill"] == (2, 2)
+    tags = [t for u, t in whole[1] if u == "b"]
+    assert len(tags) == 2 and tags[0] == tags[1] != []
+    assert [t for u, t in whole[1] if u in (None, "c", "d")] == [[], [], []]
+
+
+def test_scores_are_rounded_as_spark_rounds_them(spark):
+    values = [0.0000005, 1.0000015, 0.1234565, 2.5e-7, 0.30000049999, 7.0]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", keywords.SCORE_DIGITS).alias("x")).collect()
+    assert keywords.rounded(np.array(values)).tolist() == [r.x for r in rows]
