@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitemill.operators import names
@@ -81,3 +83,9 @@ def test_records_with_full_names(spark):
     for full, want in ((True, [("Rome", "LOC"), ("Guild of the Bakers of Old Rome", "ORG")]), (False, [("Guild", "MISC"), ("Bakers", "MISC"), ("Old Rome", "MISC")])):
         row = records(texts, [(names.F.lit(True), house)], "eco", References(gaz, places, full_names=full)).first()
         assert [tuple(e) for e in row.ner_tags] == want
+
+
+def test_names_that_begin_alike_are_found_by_one_automaton():
+    words = [["a", "b", "c"], ["a"], ["b", "c", "d", "e"], ["c", "d"], ["x", "a"]]
+    found = names.Automaton(pa.array(words)).matches(pa.array("a b c d y a x a b".split()), np.array([4, 3, 2, 1, 2, 1, 3, 2, 1]))
+    assert sorted(map(tuple, found.T.tolist())) == [(0, 1, 1), (0, 3, 0), (2, 2, 3), (5, 1, 1), (6, 2, 4), (7, 1, 1)]
