@@ -109,3 +109,19 @@ def test_nothing_to_learn_from(spark):
     for texts in ([], ["", "one two"], ["same"] * 9):
         trained = T.train(_texts(spark, texts))
         assert trained.columns == ["term", "n", "vector"] and trained.collect() == []
+
+
+def test_pairs_are_kept_once_and_words_are_not_shuffled(spark):
+    texts = spark.createDataFrame([("u", "a b a"), (None, "a c"), ("u", "a b")], "unit string, text string")
+    words = spark.createDataFrame([("a", 5, 0), ("b", 5, 1), ("c", 5, 2)], "term string, n long, id int")
+    pairs = T.cooccurrences(texts, words, 2)
+    got = {(r.a, r.b): r.n for r in pairs.collect()}
+    assert all(got[b, a] == n for (a, b), n in got.items()) and got[0, 2] == 1
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "pair#" in plan  # read from one staged row per unordered pair
+
+
+def test_a_product_moves_the_thin_matrix_few_times(spark):
+    cells = spark.range(4000).selectExpr("cast(id % 2000 AS int) AS a", "cast((id * 7) % 2000 AS int) AS b", "1.0D AS x")
+    found = T.Factors(cells, 2000, most=250)
+    assert found.blocks * found.pieces >= 16 and found.blocks + found.pieces <= 9
