@@ -23,7 +23,7 @@ from sitemill.operators.facts import complete_addresses
 from sitemill.operators.keywords import keywords
 from sitemill.operators.names import named_entities
 from sitemill.operators.summaries import descriptions
-from sitemill.operators.vocabulary import fold_terms, vocabulary_matches
+from sitemill.operators.vocabulary import reached_terms
 from sitemill.schemas import TAGS
 from sitemill.sources.inputs import PageStore
 from sitemill.workspace import spread, stage
@@ -99,7 +99,7 @@ def _descriptions(texts: DataFrame, models: Models) -> DataFrame:
 
 
 def _reached(pairs: DataFrame, vocabulary: DataFrame, threshold: float, models: Models) -> tuple[DataFrame, DataFrame | None]:
-    """``(unit, terms)`` of the vocabulary reached from ``(unit, keyword)`` rows, and ``(unit, error)``.
+    """``(unit, terms)`` of the vocabulary reached from ``(unit, keyword)`` rows, if any, and ``(unit, error)``.
 
     A term of the vocabulary that cannot be embedded fails the job, a keyword fails its units.
 
@@ -114,8 +114,7 @@ def _reached(pairs: DataFrame, vocabulary: DataFrame, threshold: float, models:
         if failed:
             raise ValueError(f"the vocabulary cannot be embedded: {failed['error']}")
         errors = pairs.join(each.where("error IS NOT NULL").select("keyword", "error"), "keyword").select("unit", "error")
-    hits = vocabulary_matches(each.select("keyword", "vector"), terms, threshold)
-    return fold_terms(pairs.join(hits, "keyword")), errors
+    return reached_terms(pairs, each.select("keyword", "vector"), terms, threshold), errors
 
 
 def _key_texts(texts: DataFrame, models: Models) -> tuple[DataFrame, DataFrame | None]:

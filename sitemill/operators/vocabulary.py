@@ -7,18 +7,21 @@ vector passes the driver.  For a threshold, pairs of a tile and a block whose lo
 never meet; inside a pair the strongest dimensions are multiplied first, and only rows and terms whose bound
 (that product plus the lengths of what is left) reaches the threshold are multiplied in full.
 
-A query has one row in the result, however many blocks there are.
+A query has one row in the result, however many blocks there are.  Until then its hits are bits: the terms of a
+block are numbered in their own order, and 64 of them are one number, so lists of terms are never shuffled.  They
+are made last, from the terms of the blocks, where all hits of a query or text are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitemill.workspace import stage
+from sitemill.workspace import spread, stage
 
 #: Queries of a tile and terms of a block when hits are sought, and when every score is a row of the result.
 MATCH_ROWS, SCORE_ROWS = 8192, 1024
@@ -26,12 +29,14 @@ MATCH_ROWS, SCORE_ROWS = 8192, 1024
 CELLS = 2_000_000
 #: Share of the dimensions that are multiplied first, and what rounding may add to a score.
 FIRST, SLACK = 0.25, 1e-4
+#: Terms whose hits are the bits of one number, and blocks whose terms (no vectors) are sent to all executors at most.
+WORD, SMALL_BLOCKS = 64, 64
 
 _BLOCK = "block long, top double, terms array<string>, cells binary"
 
 
 def vocabulary_blocks(vocabulary: DataFrame, rows: int = MATCH_ROWS) -> DataFrame:
-    """``block, top, terms, cells``: terms with vectors, longest vectors first, ``rows`` to a block."""
+    """``block, top, terms, cells``: terms with vectors, longest vectors first, ``rows`` to a block, which has them in term order."""
     known = vocabulary.where("term IS NOT NULL AND vector IS NOT NULL").select("term", F.col("vector").cast("array<double>").alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
     known = stage(known.withColumn("length", length), "vocabulary")
@@ -43,8 +48,10 @@ def vocabulary_blocks(vocabulary: DataFrame, rows: int = MATCH_ROWS) -> DataFram
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 part, number = batch.slice(i, rows), number + 1
+                top = part.column("length")[0].as_py()
+                part = part.take(pc.sort_indices(part.column("term")))
                 cells = part.column("vector").flatten().to_numpy(zero_copy_only=False)
-                columns = [[number], [part.column("length")[0].as_py()], [part.column("term").to_pylist()], [cells.tobytes()]]
+                columns = [[number], [top], [part.column("term").to_pylist()], [cells.tobytes()]]
                 types = [pa.int64(), pa.float64(), pa.list_(pa.string()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
 
@@ -114,41 +121,80 @@ def ranked_scores(queries: DataFrame, key: str, vocabulary: DataFrame, rows: int
     return dot_scores(queries, vocabulary, rows).withColumn("position", F.row_number().over(best_first).cast("bigint"))
 
 
-def vocabulary_matches(queries: DataFrame, vocabulary: DataFrame, threshold: float, rows: int = MATCH_ROWS) -> DataFrame:
-    """``queries`` without ``vector``, and the distinct vocabulary ``terms`` that score above the threshold, sorted.
+def hit_words(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the word and its bits for pairs of a row and a term, which ascend."""
+    word = term // WORD
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+    bits = np.left_shift(np.uint64(1), (term % WORD).astype(np.uint64))
+    return row[first], word[first], (np.bitwise_or.reduceat(bits, first) if len(first) else bits).view(np.int64)
 
-    A query has one row; its list is empty where it reaches no term, as for a null vector.
-    """
-    numbered, tiles = _tiles(queries, rows)
+
+def _hits(queries: DataFrame, tiles: int, blocks: DataFrame, threshold: float) -> DataFrame:
+    """``_q, block, at, bits``: the words with hits of each query and block, one row for both."""
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out = [(np.zeros(0, int),) * 3]
         if left.num_rows and right.num_rows:
             given, columns = _matrices(left, right)
             step = max(1, CELLS // len(columns))
             for i in range(0, len(given), step):
-                row, term = reaching(given[i : i + step], columns, threshold)
-                out.append((row + i, term))
-        row, term = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
+                row, word, bits = hit_words(*reaching(given[i : i + step], columns, threshold))
+                out.append((row + i, word, bits))
+        row, word, bits = (np.concatenate(x) for x in zip(*out, strict=True))
         hit = np.unique(row)
-        places = np.searchsorted(row, np.append(hit, left.num_rows)).astype(np.int32)
-        terms = right.column("terms").combine_chunks().flatten() if len(row) else pa.array([], pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(places), terms.take(pa.array(term)))
-        ids = left.column("_q").combine_chunks().take(pa.array(hit)) if left.num_rows else pa.array([], pa.int64())
-        return pa.table([ids, lists], ["_q", "terms"])
-
-    found = _meetings(numbered, tiles, vocabulary_blocks(vocabulary, rows), threshold).applyInArrow(match, "_q long, terms array<string>")
-    folded = found.groupBy("_q").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+        places = pa.array(np.searchsorted(row, np.append(hit, left.num_rows)).astype(np.int32))
+        ids = left.column("_q").combine_chunks().take(pa.array(hit)) if len(hit) else pa.array([], pa.int64())
+        block = pa.array(np.repeat(right.column("block")[0].as_py() if len(hit) else 0, len(hit)), pa.int64())
+        lists = [pa.ListArray.from_arrays(places, pa.array(x, t)) for x, t in ((word, pa.int32()), (bits, pa.int64()))]
+        return pa.table([ids, block, *lists], ["_q", "block", "at", "bits"])
+
+    return _meetings(queries, tiles, blocks, threshold).applyInArrow(match, "_q long, block long, at array<int>, bits array<long>")
+
+
+def _listed(hits: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """``key, terms``: the terms of all hits ``(key, block, at, bits)`` of each key, sorted; keys with hits only.
+
+    Rows of a key are brought together as bits, and stay there.
+    """
+    each = spread(hits, key).select(key, "block", F.explode(F.arrays_zip("at", "bits")).alias("w"))
+    words = each.groupBy(key, "block", F.col("w.at").alias("at")).agg(F.bit_or("w.bits").alias("bits"))
+    packed = words.groupBy(key, "block").agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words"))
+    known = stage(blocks.select("block", "terms"), "block-terms")
+    n_blocks = known.count()
+
+    def terms(word):
+        own = F.slice("terms", word["at"] * WORD + 1, WORD)
+        return F.filter(own, lambda _, i: F.getbit(word["bits"], i) == 1)
+
+    joined = packed.join(F.broadcast(known) if n_blocks <= SMALL_BLOCKS else known, "block")
+    found = joined.select(key, F.flatten(F.transform("words", terms)).alias("terms"))
+    if n_blocks <= 1:
+        return found
+    return found.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("terms"))).alias("terms"))
+
+
+def vocabulary_matches(queries: DataFrame, vocabulary: DataFrame, threshold: float, rows: int = MATCH_ROWS) -> DataFrame:
+    """``queries`` without ``vector``, and the distinct vocabulary ``terms`` that score above the threshold, sorted.
+
+    A query has one row; its list is empty where it reaches no term, as for a null vector.
+    """
+    numbered, tiles = _tiles(queries, rows)
+    blocks = vocabulary_blocks(vocabulary, rows)
+    found = _listed(_hits(numbered, tiles, blocks, threshold), "_q", blocks)
     held = [c for c in queries.columns if c != "vector"]
-    joined = numbered.select("_q", *held).join(folded, "_q", "left")
-    return joined.select(*held, F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    joined = numbered.select("_q", *held).join(found, "_q", "left")
+    return joined.select(*held, F.coalesce(F.array_distinct("terms"), F.array().cast("array<string>")).alias("terms"))
 
 
-def fold_terms(hits: DataFrame) -> DataFrame:
-    """``(unit, terms)``: sorted distinct terms of each unit's hits, which are those of one text's keywords."""
-    return hits.groupBy("unit").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms")
-    )
+def reached_terms(pairs: DataFrame, keys: DataFrame, vocabulary: DataFrame, threshold: float, rows: int = MATCH_ROWS) -> DataFrame:
+    """``(unit, terms)``: the vocabulary terms that any keyword of the unit reaches, sorted; units that reach one only.
+
+    ``pairs`` is ``(unit, keyword)``, ``keys`` the distinct ``(keyword, vector)``; the vocabulary's terms are distinct.
+    """
+    numbered, tiles = _tiles(keys, rows)
+    blocks = vocabulary_blocks(vocabulary, rows)
+    named = numbered.select("_q", "keyword").join(_hits(numbered, tiles, blocks, threshold), "_q")
+    return _listed(pairs.join(named, "keyword").select("unit", "block", "at", "bits"), "unit", blocks)
 
 
 def keywords_to_vocabulary(keywords: DataFrame, vocabulary: DataFrame, threshold: float, rows: int = MATCH_ROWS) -> DataFrame:
@@ -156,7 +202,14 @@ def keywords_to_vocabulary(keywords: DataFrame, vocabulary: DataFrame, threshold
 
     ``keywords`` is ``(unit, vector)``; a unit that reaches no term has an empty list.
     """
-    return fold_terms(vocabulary_matches(keywords.select("unit", "vector"), vocabulary, threshold, rows))
+    numbered, tiles = _tiles(keywords.select("unit", "vector"), rows)
+    blocks = vocabulary_blocks(vocabulary, rows)
+    units = numbered.select("_q", "unit")
+    hits = units.join(_hits(numbered, tiles, blocks, threshold), "_q").select(F.struct("unit").alias("key"), "block", "at", "bits")
+    found = _listed(hits, "key", blocks)
+    # The key is a struct, so that a null unit meets itself in the join.
+    joined = units.select(F.struct("unit").alias("key")).distinct().join(found, "key", "left")
+    return joined.select("key.unit", F.coalesce(F.array_distinct("terms"), F.array().cast("array<string>")).alias("terms"))
 
 
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:

@@ -122,3 +122,36 @@ def test_label_centroids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 3.0])], "label int, e array<float>")
     got = {r.term: r.vector for r in vocabulary.label_centroids(df, "label", "e").collect()}
     assert np.allclose(got["1"], [2**-0.5] * 2) and np.allclose(got["2"], [0, 1])
+
+
+def test_hits_are_shuffled_as_bits(spark):
+    """300 units that reach each of 1,000 long terms: what is shuffled is a small part of the lists."""
+    terms = _vectors(spark, [(f"{i:04d}" + str(i * 7919) * 20, [1.0, i / 5000]) for i in range(1000)], "term")
+    pairs = spark.createDataFrame([(f"u{i}", f"k{i % 5}") for i in range(300)] + [("none", "k5"), (None, "k0"), ("lost", None)], "unit string, keyword string")
+    keys = _vectors(spark, [(f"k{i}", [1.0 if i < 5 else -1.0, 0.0]) for i in range(6)], "keyword")
+    for rows in (300, 10**4):
+        numbered, tiles = vocabulary._tiles(keys, rows)
+        blocks = vocabulary.vocabulary_blocks(terms, rows)
+        hits = vocabulary._hits(numbered, tiles, blocks, 0.5)
+        assert {kind for _, kind in hits.dtypes} == {"bigint", "array<int>", "array<bigint>"}
+        assert sum(len(r.at) for r in hits.collect()) < 5 * (1000 // 64 + 8)
+        found = vocabulary.reached_terms(pairs, keys, terms, 0.5, rows).collect()
+        every = sorted(r.term for r in terms.collect())
+        assert sorted(str(r.unit) for r in found) == sorted(["None", *(f"u{i}" for i in range(300))])
+        assert all(r.terms == every for r in found)
+
+
+def test_null_units_share_one_list(spark):
+    terms = _vectors(spark, [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("b", [0.0, 1.0])], "term")
+    keys = _vectors(spark, [(None, [1.0, 0.0]), (None, [0.0, 1.0]), ("u", [0.0, 1.0])], "unit")
+    found = {r.unit: r.terms for r in vocabulary.keywords_to_vocabulary(keys, terms, 0.5, 1).collect()}
+    assert found == {None: ["a", "b"], "u": ["b"]}
+
+
+def test_hit_words():
+    rng = np.random.default_rng(5)
+    row, term = np.nonzero(rng.random((9, 300)) < 0.3)
+    each, word, bits = vocabulary.hit_words(row, term)
+    pairs = {(int(r), int(w) * 64 + i) for r, w, b in zip(each, word, bits, strict=True) for i in range(64) if int(b) >> i & 1}
+    assert pairs == set(zip(row.tolist(), term.tolist(), strict=True)) and len(set(zip(each, word, strict=True))) == len(each)
+    assert [len(x) for x in vocabulary.hit_words(np.zeros(0, int), np.zeros(0, int))] == [0, 0, 0]
