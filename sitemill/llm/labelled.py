@@ -14,14 +14,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y`` of all labelled documents that are not held out.
+
+    Contradicting labels of one document count as 1, null labels as none.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE_ROWS) -> DataFrame:
     """``text, y`` of about ``bound`` labelled documents at most, none of them held out; copies count once.
 
-    Contradicting labels of one document count as 1, null labels as none.  The sample is drawn by a seeded
-    hash of the identifier, so it does not depend on the order of rows or files.
+    The sample is drawn by a seeded hash of the identifier, so it does not depend on the order of rows or files.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = training_labels(labels, label)
     total = known.count()
     space = 1 << 30
     limit = space if total <= bound else int(space * (bound / total))

@@ -1,12 +1,16 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 Each text has a few measures of form (capitals, signs, repeated words, lengths).  A measure is a one-hot
-place among the quantiles of the fitting sample, so its effect may take any shape.  Preference pairs are
+place among the quantiles of the labelled rows, so its effect may take any shape.  Preference pairs are
 one document of label 1 and one of label 0; the score is learned by the logistic loss on the difference of
 their features, so that the score difference is the log odds of the preference.  The decision threshold is
-the quantile of the sample's scores that leaves the labelled share of bad documents below it; scores are
+the quantile of the labelled scores that leaves the labelled share of bad documents below it; scores are
 shifted so that this quantile becomes ``THRESHOLD`` and squeezed into 0 to 1.
 
+All labelled rows outside the held-out quarter are learned from.  Quantiles are read from counts of the values,
+which are rounded to about a thousandth.  The rows are dealt to shards, in each of which the loss, which is convex,
+is brought down; the weights are the mean of those of the shards.  A label with few rows has them in several shards.
+
 Defined results: a null text is an empty one, which is scored like any other by its (zero) measures; equal
 texts get equal scores; without labels of both kinds all scores are 1.  Repeated rows repeat their result.
 Other columns pass through untouched under any name.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,15 @@ from pyspark.sql import functions as F
 
 from sitemill.llm import words as W
 from sitemill.llm.frames import annotate, cut
-from sitemill.llm.labelled import SAMPLE_ROWS, held_out, training_texts
+from sitemill.llm.labelled import held_out, training_labels
 from sitemill.workspace import stage
 
 THRESHOLD = 0.7
 BINS, PAIRS, BATCH, STEPS, RATE, DECAY, SEED = 24, 200_000, 2048, 600, 0.05, 1e-4, 20240623
+#: Labelled rows of a shard, and those of each label that it has about at least, if need be together with others.
+SHARD_ROWS, LEAST = 16_000, 64
+#: Bits of a measure that its counts leave out, and steps of a score that are counted apart.
+LEFT_OUT, SCORE_STEPS = 42, 4096
 
 _codes = np.arange(256)
 
@@ -92,16 +101,59 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows) - self.cut + shift, -40, 40)))
 
 
-def fit(rows: np.ndarray, y: np.ndarray) -> Ranking | None:
-    """Weights from preference pairs; None without labels of both kinds."""
+def order_statistics(codes: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Quantiles of the values that ``codes``, which ascend, stand for, each as often as counted."""
+    values, upto = (codes << LEFT_OUT).view(np.float64), np.cumsum(counts)
+    place = shares * (upto[-1] - 1)
+    low = np.floor(place)
+    a, b = (values[np.searchsorted(upto, x, side="right")] for x in (low, np.ceil(place)))
+    return a + (b - a) * (place - low)
+
+
+def value_counts(sample: DataFrame) -> DataFrame:
+    """``k, y, code, n``: how often each rounded value of a measure occurs with each label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, y = _matrix(batch.column("rows")), batch.column("y").to_numpy()
+            found = []
+            for label in np.unique(y):
+                codes = np.ascontiguousarray(rows[y == label]).view(np.int64) >> LEFT_OUT
+                for k in range(MEASURES):
+                    code, n = np.unique(codes[:, k], return_counts=True)
+                    found.append(np.stack([np.full(len(code), k), np.full(len(code), label), code, n]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in np.concatenate(found, axis=1)], ["k", "y", "code", "n"])
+
+    partial = sample.mapInArrow(run, "k long, y long, code long, n long")
+    return partial.groupBy("k", "y", "code").agg(F.sum("n").alias("n"))
+
+
+def _matrix(rows: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.to_pylist()), np.float64).reshape(-1, MEASURES)
+
+
+def find_edges(counts) -> np.ndarray:
+    """Bounds of the bins from the counts of the values ``k, y, code, n``."""
+    edges = np.zeros((MEASURES, BINS - 1))
+    for k, of_measure in counts.groupby("k"):
+
+        def at(rows, shares):
+            rows = rows.groupby("code")["n"].sum().sort_index()
+            return order_statistics(rows.index.to_numpy(np.int64), rows.to_numpy(np.int64), np.asarray(shares))
+
+        edges[k] = at(of_measure, np.linspace(0, 1, BINS + 1)[1:-1])
+        # ends of the range are split once more at the middle of each label, where rare extremes lie
+        edges[k, -1] = max(edges[k, -1], *(at(of_measure[of_measure["y"] == label], [0.5])[0] for label in (0, 1)))
+        edges[k].sort()
+    return edges
+
+
+def fit(rows: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray | None:
+    """Weights from preference pairs of one shard; None without labels of both kinds."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if len(good) == 0 or len(bad) == 0:
         return None
-    edges = np.quantile(rows, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
-    # ends of the range are split once more at the middle of each label, where rare extremes lie
-    for k in range(MEASURES):
-        edges[k, -1] = max(edges[k, -1], np.median(rows[bad, k]), np.median(rows[good, k]))
-        edges[k].sort()
     place = np.stack([np.searchsorted(edges[k], rows[:, k]) + k * BINS for k in range(MEASURES)], axis=1)
     rng = np.random.default_rng(SEED)
     theta, first, second = np.zeros((3, MEASURES * BINS))
@@ -116,28 +168,68 @@ def fit(rows: np.ndarray, y: np.ndarray) -> Ranking | None:
         first += 0.1 * (gradient - first)
         second += 0.001 * (gradient**2 - second)
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    ranking = Ranking(edges, theta.reshape(MEASURES, BINS), 0.0)
-    raw = np.sort(ranking.raw(rows))
-    k = min(len(raw) - 1, max(1, round(len(bad) * len(raw) / len(y))))
-    ranking.cut = float((raw[k - 1] + raw[k]) / 2)
-    return ranking
+    return theta.reshape(MEASURES, BINS)
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Ranking | None:
-    """Fit on a bounded sample of labelled rows outside the held-out quarter."""
+def training_measures(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``tk, y, rows``: key, label and measures of every labelled text that is not held out; copies count once.
+
+    The measures are made before the join, so that no text is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in cut(batch.column("text")):
                 kept = batch.slice(i, j - i)
                 found = pa.array([r.tobytes() for r in measures(kept.column("text"))], pa.binary())
-                yield pa.RecordBatch.from_arrays([kept.column("tk"), kept.column("y"), found], ["tk", "y", "rows"])
+                yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("tk"), found], ["doc_id", "tk", "rows"])
+
+    known = docs.where(F.col("doc_id").isNotNull() & ~held_out())
+    keyed = known.select("doc_id", F.xxhash64("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    measured = keyed.mapInArrow(run, f"doc_id {kind}, tk long, rows binary")
+    return measured.join(training_labels(labels, "quality"), "doc_id").select("tk", "y", "rows").distinct()
+
+
+def in_shards(sample: DataFrame, total: dict[int, int], size: int) -> DataFrame:
+    """The rows with their ``shard``; rows of a label with few of them are in several."""
+    shards = max(1, -(-sum(total.values()) // size))
+    times = {y: min(shards, -(-shards * LEAST // n)) if shards > 1 else 1 for y, n in total.items()}
+    each = reduce(lambda c, y: c.when(F.col("y") == y, times[y]), list(times)[1:], F.when(F.col("y") == next(iter(times)), times[next(iter(times))]))
+    first = F.pmod(F.xxhash64(F.lit(17), "tk", "y"), F.lit(shards))
+    return sample.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), each - 1), lambda i: F.pmod(first + i, F.lit(shards)))))
+
+
+def learn(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> Ranking | None:
+    """Fit on all labelled rows outside the held-out quarter; None without labels of both kinds."""
+    sample = stage(training_measures(docs, labels), "quality-rows")
+    counts = value_counts(sample).toPandas()  # rounded values: as many as they have bits left, for any number of rows
+    total = {int(y): int(n) for y, n in counts[counts["k"] == 0].groupby("y")["n"].sum().items()}
+    if not total.get(0) or not total.get(1):
+        return None
+    edges = find_edges(counts)
+
+    def fit_shard(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("tk", "ascending"), ("y", "ascending")])
+        theta = fit(_matrix(rows.column("rows")), rows.column("y").to_numpy(), edges)
+        found = [] if theta is None else [theta.tobytes()]
+        return pa.table([pa.array([rows.column("shard")[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.binary())], ["shard", "theta"])
 
-    sample = stage(training_texts(docs, labels, "quality", bound), "quality-sample")
-    keyed = sample.select(F.xxhash64("text").alias("tk"), "y", F.coalesce("text", F.lit("")).alias("text"))
-    found = keyed.mapInArrow(run, "tk long, y int, rows binary").toPandas().sort_values(["tk", "y"], kind="stable")
-    rows = np.frombuffer(b"".join(found["rows"]), np.float64).reshape(-1, MEASURES)
-    return fit(rows, found["y"].to_numpy())
+    fitted = in_shards(sample, total, shard_rows).groupBy("shard").applyInArrow(fit_shard, "shard long, theta binary").toPandas()
+    thetas = [np.frombuffer(t, np.float64).reshape(MEASURES, BINS) for t in fitted.sort_values("shard")["theta"]]
+    ranking = Ranking(edges, np.mean(thetas, axis=0), 0.0)  # a few thousand bytes a shard
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n = np.unique(np.floor(ranking.raw(_matrix(batch.column("rows"))) * SCORE_STEPS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
+
+    steps = sample.mapInArrow(scored, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
+    upto, every = np.cumsum(steps["n"].to_numpy()), sum(total.values())
+    k = min(every - 1, max(1, total[0]))
+    low, high = (steps["at"].to_numpy()[np.searchsorted(upto, i, side="right")] for i in (k - 1, k))
+    ranking.cut = float(low + high + 1) / 2 / SCORE_STEPS
+    return ranking
 
 
 def score(docs: DataFrame, model: Ranking | None) -> DataFrame:

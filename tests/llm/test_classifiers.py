@@ -139,3 +139,38 @@ def test_labels_of_held_out_rows_do_not_matter(spark, made):
 def test_sample_is_bounded(made):
     _, docs, labels = made
     assert 150 < labelled.training_texts(docs, labels, "quality", 200).count() < 260
+
+
+def test_quality_learns_from_every_labelled_row(spark, made):
+    """More rows than the former sample of 16,000 had: all are learned from, in shards of a bounded size."""
+    rows, docs, labels = made
+    docs = docs.select("doc_id", "text")
+    few = spark.range(24_000).selectExpr("id + 5000000 AS doc_id", "concat('plain words number ', id) AS text")
+    marks = few.selectExpr("doc_id", "1 AS quality", "0 AS toxic", "'' AS text")
+    sample = Q.training_measures(docs.unionByName(few), labels.unionByName(marks))
+    expected = {t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    expected |= {f"plain words number {i}" for i in range(24_000) if zlib.crc32(str(i + 5000000).encode()) % 4 != 2}
+    assert sample.count() == len(expected) > 16_000
+    doubled = Q.training_measures(docs.unionByName(docs), labels.unionByName(labels))
+    assert doubled.count() == Q.training_measures(docs, labels).count()
+    truth = {r[0]: r[2] for r in rows}
+    scores = Q.score(docs, Q.learn(docs, labels, 200)).select("row.doc_id", "quality").collect()
+    held = [r for r in scores if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum((r.quality >= 0.7) == truth[r.doc_id] for r in held) / len(held) > 0.97
+
+
+def test_a_rare_label_is_in_every_shard(spark):
+    rows = [(i, int(i >= 3), b"") for i in range(4000)]
+    sample = spark.createDataFrame(rows, "tk long, y int, rows binary")
+    dealt = Q.in_shards(sample, {0: 3, 1: 3997}, 100).groupBy("shard", "y").count().collect()
+    assert {r.shard for r in dealt if r.y == 0} == set(range(40)) and {r["count"] for r in dealt if r.y == 0} == {3}
+    # 3,997 rows of the common label give each of 40 shards its least number without copies
+    assert sum(r["count"] for r in dealt if r.y == 1) == 3997
+
+
+def test_quantiles_from_counts():
+    rng = Q.np.random.default_rng(2)
+    values = Q.np.sort(Q.np.concatenate([rng.random(501), Q.np.zeros(200)]))
+    code, n = Q.np.unique(values.view(Q.np.int64) >> Q.LEFT_OUT, return_counts=True)
+    shares = Q.np.linspace(0, 1, 25)
+    assert Q.order_statistics(code, n, shares) == pytest.approx(Q.np.quantile(values, shares), rel=2e-3, abs=1e-9)
