@@ -22,24 +22,25 @@ def bucket(word: Column, dim: int = DIM) -> Column:
 def dense_unit_vector(sparse: Column, dim: int = DIM) -> Column:
     """Unit-length dense vector of sorted ``(b, w)`` entries; all zeros when there are none."""
     zero = F.lit(0.0)
-    start = F.struct(
-        F.lit(-1).alias("last"), F.array().cast("array<double>").alias("v"), zero.alias("ss")
-    )
 
-    def add(acc, e):
-        gap = F.array_repeat(zero, e["b"] - acc["last"] - 1)
-        return F.struct(
-            e["b"].alias("last"),
-            F.concat(acc["v"], gap, F.array(e["w"])).alias("v"),
-            (acc["ss"] + e["w"] * e["w"]).alias("ss"),
-        )
+    def once(value: Column, use) -> Column:
+        """``use`` of a value that is computed once, not anew for each entry."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def filled(entries, norm):
+        def place(i):
+            return F.coalesce(F.get(entries, i)["b"], F.lit(-1))
+
+        # Each entry brings the zeros before it, so every cell is written once, whatever the width.
+        def cells(e, i):
+            return F.concat(F.array_repeat(zero, e["b"] - place(i - 1) - 1), F.array(F.when(norm > 0, e["w"] / norm).otherwise(zero)))
+
+        return F.concat(F.flatten(F.transform(entries, cells)), F.array_repeat(zero, F.lit(dim - 1) - place(F.size(entries) - 1)))
 
-    def finish(acc):
-        full = F.concat(acc["v"], F.array_repeat(zero, F.lit(dim - 1) - acc["last"]))
-        norm = F.sqrt(acc["ss"])
-        return F.transform(full, lambda x: F.when(norm > 0, x / norm).otherwise(zero))
+    def length(entries):
+        return F.sqrt(F.aggregate(entries, zero, lambda acc, e: acc + e["w"] * e["w"]))
 
-    return F.aggregate(sparse, start, add, finish)
+    return once(sparse, lambda entries: once(length(entries), lambda norm: filled(entries, norm)))
 
 
 def term_vector(term: Column, dim: int = DIM) -> Column:

@@ -155,3 +155,17 @@ def test_hit_words():
     pairs = {(int(r), int(w) * 64 + i) for r, w, b in zip(each, word, bits, strict=True) for i in range(64) if int(b) >> i & 1}
     assert pairs == set(zip(row.tolist(), term.tolist(), strict=True)) and len(set(zip(each, word, strict=True))) == len(each)
     assert [len(x) for x in vocabulary.hit_words(np.zeros(0, int), np.zeros(0, int))] == [0, 0, 0]
+
+
+def test_dense_vectors_fill_the_gaps(spark):
+    """First and last slot, neighbours, gaps and no entry at all, at two widths."""
+    for dim in (5, 768):
+        given = [[(0, 3.0), (dim - 1, 4.0)], [(1, 2.0), (2, 2.0)], [], [(0, 0.0)]]
+        df = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, sparse array<struct<b: int, w: double>>")
+        found = {r.i: r.v for r in df.select("i", V.dense_unit_vector(F.col("sparse"), dim).alias("v")).collect()}
+        for i, g in enumerate(given):
+            norm = sum(w * w for _, w in g) ** 0.5
+            plain = [0.0] * dim
+            for b, w in g:
+                plain[b] = w / norm if norm else 0.0
+            assert found[i] == plain
