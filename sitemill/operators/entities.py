@@ -14,17 +14,13 @@ OTHER_TAG = "MISC"
 SPANS_PER_SENTENCE = 1_000_000
 
 
-def _mentions(texts: DataFrame) -> DataFrame:
+def entity_spans(texts: DataFrame) -> DataFrame:
+    """``(unit, named_entity, pos)`` for every capitalised span, in text order."""
     spans = sentence_rows(by_unit(texts)).select(
-        "unit", "sentence", "body", F.posexplode(X.proper_spans(F.col("body"))).alias("nth", "named_entity")
+        "unit", "sentence", F.posexplode(X.proper_spans(F.col("body"))).alias("nth", "named_entity")
     )
     pos = F.col("sentence").cast("bigint") * SPANS_PER_SENTENCE + F.col("nth")
-    return spans.select("unit", "named_entity", pos.alias("pos"), "body")
-
-
-def entity_spans(texts: DataFrame) -> DataFrame:
-    """``(unit, named_entity, pos)`` for every capitalised span, in text order."""
-    return _mentions(texts).drop("body")
+    return spans.select("unit", "named_entity", pos.alias("pos"))
 
 
 def distinct_entities(spans: DataFrame) -> DataFrame:
@@ -53,12 +49,22 @@ def entity_tags(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def _cued(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``(unit, named_entity, pos, tag)`` for each mention by the best row of the gazetteer that holds there."""
+    """``(unit, named_entity, pos, tag)``: first place of each name, and the tag of its last mention by the best row that holds there.
+
+    Mentions are folded before the look-up, and the sentence of the last one is fetched from its text after it, so a
+    name that is everywhere brings one short row per text to its look-up.  Of texts with the same unit, those count
+    that have the name at its last place.
+    """
     rows = gazetteer.select(F.col("name").alias("named_entity"), F.col("tag").alias("known"), "cue")
-    joined = _mentions(texts).join(rows, "named_entity", "left")
-    holds = F.col("known").isNotNull() & (F.col("cue").isNull() | F.contains(F.col("body"), F.col("cue")))
+    each = entity_spans(texts).groupBy("unit", "named_entity").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    joined = each.join(rows, "named_entity", "left")
+    bodies = by_unit(texts).select("unit", X.sentences(F.col("text")).alias("bodies"))
+    body = F.get("bodies", F.expr(f"int(last div {SPANS_PER_SENTENCE})"))
+    fetched = joined.join(bodies, "unit").withColumn("body", body).drop("bodies")
+    there = F.get(X.proper_spans(F.col("body")), F.expr(f"int(last % {SPANS_PER_SENTENCE})")) == F.col("named_entity")
+    holds = there & F.col("known").isNotNull() & (F.col("cue").isNull() | F.contains(F.col("body"), F.col("cue")))
     best = F.max(F.when(holds, F.struct(F.col("cue").isNotNull().alias("cued"), F.col("known").alias("tag"))))
-    tagged = joined.groupBy("unit", "named_entity", "pos").agg(best.alias("best"))
+    tagged = fetched.groupBy("unit", "named_entity", "pos").agg(best.alias("best"))
     return tagged.select("unit", "named_entity", "pos", F.coalesce("best.tag", F.lit(OTHER_TAG)).alias("tag"))
 
 

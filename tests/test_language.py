@@ -164,3 +164,13 @@ def test_scores_are_rounded_as_spark_rounds_them(spark):
     values = [0.0000005, 1.0000015, 0.1234565, 2.5e-7, 0.30000049999, 7.0]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", keywords.SCORE_DIGITS).alias("x")).collect()
     assert keywords.rounded(np.array(values)).tolist() == [r.x for r in rows]
+
+
+def test_mentions_are_folded_before_their_cues_are_looked_up(spark):
+    rows = [("u", "We met Ann Lee now. They saw Ann Lee here. See Ann Lee there."), ("u", "We met Bob. They left. See Ann Lee here."), ("v", "See Bob."), (None, "See Bob.")]
+    texts = spark.createDataFrame(rows, "unit string, text string")
+    known = [("Ann Lee", "ORG", None), ("Ann Lee", "LOC", "here"), ("Bob", "PER", "never")]
+    cued = entities._cued(texts, spark.createDataFrame(known, "name string, tag string, cue string"))
+    assert sorted(map(tuple, cued.collect())) == [
+        ("u", "Ann Lee", 0, "LOC"), ("u", "Bob", 0, "MISC"), ("v", "Bob", 0, "MISC"),
+    ]
