@@ -174,3 +174,14 @@ def test_mentions_are_folded_before_their_cues_are_looked_up(spark):
     assert sorted(map(tuple, cued.collect())) == [
         ("u", "Ann Lee", 0, "LOC"), ("u", "Bob", 0, "MISC"), ("v", "Bob", 0, "MISC"),
     ]
+
+
+def test_best_sentences_count_the_words_of_their_text(spark):
+    rows = [("u", "Red oak. Red. ... The. Oak oak mill!"), ("v", "the. of"), ("u", "Mill. Red mill."), ("w", None)]
+    texts = spark.createDataFrame(rows, "unit string, text string")
+    found = summaries.top_sentences(texts)
+    # Two texts of one unit are counted together, sentence by sentence.
+    assert sorted((r.unit, r.sentence, r.score, r.place) for r in found.collect()) == [
+        ("u", 0, 3.0, 1), ("u", 1, 3.0, 2), ("u", 3, 0.0, 4), ("u", 4, 3.0, 3), ("v", 0, 0.0, 1), ("v", 1, 0.0, 2),
+    ]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()

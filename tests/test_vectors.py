@@ -169,3 +169,27 @@ def test_dense_vectors_fill_the_gaps(spark):
             for b, w in g:
                 plain[b] = w / norm if norm else 0.0
             assert found[i] == plain
+
+
+def test_words_of_lists_are_counted_where_the_lists_are(spark):
+    lists = [("a", ["Mill Oak", "mill-oak 7", None]), ("b", []), ("c", None), ("d", ["ΟΔΟΣ İl ½x_y ²", "l'été 一二"]), ("a", ["oak"])]
+    df = spark.createDataFrame(lists, "unit string, texts array<string>")
+    assert "Exchange" not in embedding.slot_counts(df)._jdf.queryExecution().executedPlan().toString()
+    joined = df.select("unit", F.array_join("texts", ",").alias("text"))
+    for dim in (5, 64):
+        found = {r.unit: r.vector for r in embedding.embed_lists(df, dim).collect()}
+        assert found == {r.unit: r.vector for r in embedding.embed_texts(joined, dim).collect()} and len(found) == 4
+
+
+def test_hits_are_folded_over_batches(spark):
+    terms = _vectors(spark, [(f"t{i:03d}", [1.0, i / 1000]) for i in range(200)], "term")
+    keys = spark.createDataFrame([(f"u{i % 3}", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(60)] + [("u1", None)], "unit string, vector array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for rows in (70, 1000):
+            found = vocabulary.keywords_to_vocabulary(keys, terms, 0.5, rows)
+            assert {r.unit: r.terms for r in found.collect()} == {u: [f"t{i:03d}" for i in range(200)] for u in ("u0", "u1", "u2")}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString() and "bit_or" not in found._jdf.queryExecution().toString()
