@@ -75,3 +75,17 @@ def test_no_exchange_gathers_the_words_of_a_unit(spark):
 
 def test_no_parts_at_all(spark):
     assert site_keywords.keywords(_parts(spark, [])).collect() == []
+
+
+def test_parts_are_counted_without_a_row_per_word(spark):
+    rows = [("u", 1, "Red oak mill. Oak of mill red."), ("u", 2, None), (None, 1, "Red oak."), ("v", 1, "")]
+    parts = spark.createDataFrame(rows, "unit string, part int, text string")
+    terms, phrases = site_keywords.term_parts(parts), site_keywords.phrase_parts(parts)
+    for table in (terms, phrases):
+        assert "Generate" not in table._jdf.queryExecution().executedPlan().toString()
+    found = {(r.unit, r.part, r.term): (r.tf, r.sentences, sorted(r.before), sorted(r.after)) for r in terms.collect()}
+    assert found[("u", 1, "oak")] == (2, [0, 1], ["red"], ["mill", "of"]) and found[(None, 1, "red")] == (1, [0], [], ["oak"])
+    assert {(r.phrase, r.size, r.tf) for r in phrases.where("unit = 'u'").collect()} == {
+        ("red", 1, 2), ("oak", 1, 2), ("mill", 1, 2), ("red oak", 2, 1), ("oak mill", 2, 1), ("mill red", 2, 1),
+        ("red oak mill", 3, 1), ("oak of mill", 3, 1),
+    }
