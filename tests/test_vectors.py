@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sitemill import constants as C
 from sitemill.functions import vectors as V
-from sitemill.operators import classify, embedding, vocabulary
+from sitemill.operators import classify, embedding, records, vocabulary
 
 
 def _vectors(spark, rows, key):
@@ -193,3 +193,11 @@ def test_hits_are_folded_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString() and "bit_or" not in found._jdf.queryExecution().toString()
+
+
+def test_fields_of_records_are_not_sent_through_the_driver(spark):
+    small = spark.createDataFrame([("a", 1), (None, 2)], "unit string, x int")
+    joined = records._beside(small, small.select("unit", F.col("x").alias("y")))
+    assert sorted(map(tuple, joined.collect()), key=str) == [("a", 1, 1), (None, 2, None)]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
