@@ -363,7 +363,7 @@ def record_from_links(spark, sf_dir):
     each = p.select(urls.origin(F.col("url")).alias("homepage"), F.struct(F.length(page).alias("size"), page.alias("link")).alias("page"))
     lists = each.distinct().groupBy("homepage").agg(F.array_sort(F.collect_list("page")).alias("found"))
     lists = lists.select(F.col("found.link").alias("links")).withColumn("unit", F.col("links")[0])
-    texts = records.texts_from_links(lists, inputs.PageStore(p))
+    texts = records.texts_from_links(lists, inputs.PageStore(p), records.LINKS_PER_PART)
     return _flat(
         records.dual_records(texts, _house(spark, sf_dir), _paradigm(spark, sf_dir), ECOSYSTEM, _refs(spark, sf_dir))
     )

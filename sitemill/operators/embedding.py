@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from sitemill.functions import vectors as V
-from sitemill.operators.tokens import by_unit
+from sitemill.operators.tokens import by_unit, part_rows
 from sitemill.operators.word_counts import list_sizes, list_starts, owner
 from sitemill.workspace import spread
 
@@ -73,9 +73,10 @@ def embed_texts(texts: DataFrame, dim: int = V.DIM) -> DataFrame:
     """``(unit, vector)`` for ``(unit, text)``.
 
     Each text is brought to its partition once, in the same exchange as the other text operators
-    use, and its words are counted per slot there.
+    use, and its words are counted per slot there.  Parts ``(unit, part, text)`` of a text are counted where they are.
     """
-    slots = by_unit(texts).select("unit", F.explode_outer(V.words(F.col("text"))).alias("word"))
+    rows = part_rows(texts).select("unit.unit", "text") if "part" in texts.columns else by_unit(texts)
+    slots = rows.select("unit", F.explode_outer(V.words(F.col("text"))).alias("word"))
     return _dense(slots.groupBy("unit", V.bucket(F.col("word"), dim).alias("b")).agg(F.count("word").alias("n")), dim)
 
 

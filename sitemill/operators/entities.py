@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from sitemill import constants as C
 from sitemill.functions import text as X
-from sitemill.operators.tokens import by_unit, sentence_rows
+from sitemill.operators.tokens import by_unit, part_rows, sentence_rows
 from sitemill.schemas import TAGS
 
 OTHER_TAG = "MISC"
 SPANS_PER_SENTENCE = 1_000_000
+SPANS_PER_PART = 1 << 42
 
 
 def entity_spans(texts: DataFrame) -> DataFrame:
-    """``(unit, named_entity, pos)`` for every capitalised span, in text order."""
-    spans = sentence_rows(by_unit(texts)).select(
+    """``(unit, named_entity, pos)`` for every capitalised span, in text order; ``texts`` may have a ``part``."""
+    rows = part_rows(texts) if "part" in texts.columns else by_unit(texts)
+    spans = sentence_rows(rows).select(
         "unit", "sentence", F.posexplode(X.proper_spans(F.col("body"))).alias("nth", "named_entity")
     )
     pos = F.col("sentence").cast("bigint") * SPANS_PER_SENTENCE + F.col("nth")
+    if "part" in texts.columns:
+        return spans.select("unit.unit", "named_entity", (F.col("unit.part") * SPANS_PER_PART + pos).alias("pos"))
     return spans.select("unit", "named_entity", pos.alias("pos"))
 
 
@@ -32,20 +36,21 @@ def distinct_entities(spans: DataFrame) -> DataFrame:
     return each.groupBy("unit").agg(tags.alias("ner_tags"))
 
 
-def entity_tags(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def entity_tags(texts: DataFrame, gazetteer: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Distinct entities per text, tagged by the ``(name, tag)`` table; unknown names are MISC.
 
     Mentions are folded per text before the look-up, so a name that is everywhere costs one row per
     text, and the gazetteer is joined by whatever strategy its size allows.  A gazetteer with a ``cue``
     column tags each mention: a row with a cue holds in sentences that contain it, and goes before a row
-    without; an entity then has the tag of its last mention.
+    without; an entity then has the tag of its last mention.  ``texts`` without cues may come in parts
+    ``(unit, part, text)`` of the ``units``.
     """
     if "cue" in gazetteer.columns:
         return _listed(texts, _cued(texts, gazetteer))
     known = gazetteer.groupBy(F.col("name").alias("named_entity")).agg(F.max("tag").alias("known"))
     each = entity_spans(texts).groupBy("unit", "named_entity").agg(F.min("pos").alias("pos"))
     tagged = each.join(known, "named_entity", "left").withColumn("tag", F.coalesce("known", F.lit(OTHER_TAG)))
-    return _listed(texts, tagged.select("unit", "named_entity", "pos", "tag"))
+    return _listed(texts if units is None else units, tagged.select("unit", "named_entity", "pos", "tag"))
 
 
 def _cued(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ feed several others (descriptions, keywords, vocabulary terms) are staged once.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +17,13 @@ from sitemill import constants as C
 from sitemill.functions import text as X
 from sitemill.functions import urls
 from sitemill.models import Models, apply_model, text_vectors, with_key_vectors
+from sitemill.operators import site_keywords
 from sitemill.operators.classify import anchor_vectors, classify
 from sitemill.operators.embedding import embed_lists
 from sitemill.operators.entities import entity_names, entity_tags, location_tags, record_name
 from sitemill.operators.facts import complete_addresses
 from sitemill.operators.keywords import keywords
+from sitemill.operators.long_texts import LongTexts, from_blocks
 from sitemill.operators.names import named_entities
 from sitemill.operators.summaries import descriptions
 from sitemill.operators.vocabulary import reached_terms
@@ -29,6 +31,9 @@ from sitemill.schemas import TAGS
 from sitemill.sources.inputs import PageStore
 from sitemill.workspace import spread, stage
 
+#: Links of a list whose texts may be one row.
+LINKS_PER_PART = 200
+
 NO_TEXT = "no_text"
 SHORT_TEXT = "short_text"
 
@@ -66,12 +71,20 @@ def success_rows(records: DataFrame) -> DataFrame:
     return records.where(~F.col("failure"))
 
 
-def texts_from_links(lists: DataFrame, store: PageStore) -> DataFrame:
-    """``(unit, text)`` for ``(unit, links ARRAY)``: texts of the valid links, joined in link order."""
+def texts_from_links(lists: DataFrame, store: PageStore, links_per_part: int | None = None) -> DataFrame | LongTexts:
+    """``(unit, text)`` for ``(unit, links ARRAY)``: texts of the valid links, joined in link order.
+
+    With ``links_per_part`` no row holds the texts of more links than that, and some: lists of more links come in parts.
+    """
     asked = lists.select("unit", F.posexplode("links").alias("position", "link"))
     keyed = asked.where(urls.is_good(F.col("link"))).withColumn("url", urls.page_key(F.col("link")))
     found = keyed.join(store.texts(keyed.select("url").distinct()), "url").where(F.col("text").isNotNull())
-    joined = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("found"))
+    in_order = F.array_sort(F.collect_list(F.struct("position", "text"))).alias("found")
+    if links_per_part is not None:
+        block = F.floor(F.col("position") / links_per_part).alias("block")
+        blocks = found.groupBy("unit", block).agg(in_order).select("unit", "block", F.array_join("found.text", " ").alias("text"))
+        return from_blocks(lists, blocks)
+    joined = found.groupBy("unit").agg(in_order)
     whole = lists.select("unit").join(joined, "unit", "left")
     return whole.select("unit", F.coalesce(F.array_join("found.text", " "), F.lit("")).alias("text"))
 
@@ -147,27 +160,63 @@ def _beside(records: DataFrame, part: DataFrame) -> DataFrame:
     return records.join(part.hint("merge"), "unit", "left")
 
 
-def _common(texts: DataFrame, refs: References, keyword_texts) -> DataFrame:
-    """Fields that do not depend on a vocabulary, one staged row per unit."""
+def _reads_parts(refs: References) -> bool:
+    """Whether all that is sought in texts can be sought in their parts; models and cues look at whole texts."""
     models = refs.models
+    plugged = (models.entities, models.embedding, models.keywords, models.short_description, models.long_description, models.vectors)
+    return all(m is None for m in plugged) and not refs.full_names and "cue" not in refs.gazetteer.columns
+
+
+def _usable(texts: DataFrame | LongTexts, refs: References) -> DataFrame | LongTexts:
+    """The staged texts that give a record, long ones in parts if these will do."""
+    if isinstance(texts, LongTexts) and not _reads_parts(refs):
+        texts = texts.whole()
+    if not isinstance(texts, LongTexts):
+        return stage(texts.where(X.has_context(F.col("text"))), "texts")
+    heads = stage(usable(texts.heads), "heads")
+    return LongTexts(stage(usable(texts.short), "texts"), heads, texts.parts, texts.blocks)
+
+
+def _contacts(texts: DataFrame | LongTexts) -> DataFrame:
+    """``(unit, contactEmail, phoneNumber, address)`` as found; of parts, the values are folded as rows."""
+    kinds = {"contactEmail": X.emails, "phoneNumber": X.phones, "address": X.addresses}
+    if not isinstance(texts, LongTexts):
+        return texts.select("unit", *[find(F.col("text")).alias(kind) for kind, find in kinds.items()])
+
+    def tagged(kind, values):
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    hits = F.concat(*[tagged(kind, find(F.col("text"))) for kind, find in kinds.items()])
+    once = texts.parts.select("unit", F.explode(hits).alias("hit")).select("unit", "hit.kind", "hit.value").distinct()
+    values = [F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind) for kind in kinds]
+    found = _beside(texts.heads.select("unit"), once.groupBy("unit").agg(*values))
+    none = F.array().cast("array<string>")
+    return _contacts(texts.short).unionByName(found.select("unit", *[F.coalesce(kind, none).alias(kind) for kind in kinds]))
+
+
+def _keywords(source: DataFrame | LongTexts) -> DataFrame:
+    if not isinstance(source, LongTexts):
+        return keywords(source)
+    return keywords(source.short).unionByName(site_keywords.keywords(source.parts.select("unit", "part", "text")))
+
+
+def _common(texts: DataFrame | LongTexts, refs: References, keyword_texts) -> DataFrame:
+    """Fields that do not depend on a vocabulary, one staged row per unit."""
+    models, given = refs.models, texts
     none = F.array().cast("array<string>")
-    described = stage(_descriptions(texts, models), "descriptions")
+    starts, texts, units = (given, given, None) if isinstance(given, DataFrame) else (given.starts(), given.rows(), given.starts().select("unit"))
+    described = stage(_descriptions(starts, models), "descriptions")
     named_from = described.select("unit", F.concat("short_description", "long_description").alias("text"))
     name, no_name = _or_model(named_from, models, "name", "name", lambda: record_name(named_from))
-    tagged = named_entities if refs.full_names else entity_tags
-    tags, no_tags = _or_model(texts, models, "entities", "ner_tags", lambda: tagged(texts, refs.gazetteer))
+    own_tags = lambda: named_entities(texts, refs.gazetteer) if refs.full_names else entity_tags(texts, refs.gazetteer, units)
+    tags, no_tags = _or_model(texts, models, "entities", "ner_tags", own_tags)
     own_vectors = lambda: text_vectors(texts, models).withColumnRenamed("vector", "embedding")
     vector, no_vector = _or_model(texts, models, "embedding", "embedding", own_vectors)
-    found = texts.select("unit", X.addresses(F.col("text")).alias("address"))
-    address = complete_addresses(found.where(F.size("address") > 0), refs.places)
-    source = keyword_texts(texts, described)
-    words, no_words = _or_model(source, models, "keywords", "yake_tags", lambda: keywords(source))
-    facts = texts.select(
-        "unit",
-        X.emails(F.col("text")).alias("contactEmail"),
-        X.phones(F.col("text")).alias("phoneNumber"),
-        F.lit(None).cast("string").alias("failure_reason"),
-    )
+    found = _contacts(given)
+    address = complete_addresses(found.select("unit", "address").where(F.size("address") > 0), refs.places)
+    source = keyword_texts(given, described)
+    words, no_words = _or_model(source, models, "keywords", "yake_tags", lambda: _keywords(source))
+    facts = found.select("unit", "contactEmail", "phoneNumber", F.lit(None).cast("string").alias("failure_reason"))
     joined = _with_errors(facts, no_name, no_tags, no_vector, no_words)
     for part in (described, name, tags, vector, address, words):
         joined = _beside(joined, part)
@@ -215,7 +264,7 @@ def usable(texts: DataFrame) -> DataFrame:
 
 
 def records(
-    texts: DataFrame,
+    texts: DataFrame | LongTexts,
     vocabularies: Sequence[tuple[Column, DataFrame]],
     ecosystem: str,
     refs: References,
@@ -224,10 +273,13 @@ def records(
     """Records with one vocabulary each, from ``(unit, text)``; short texts give none.
 
     ``vocabularies`` pairs a condition on ``unit`` rows with the vocabulary those rows use, so two
-    kinds of texts share all other extraction.  ``texts`` may carry further columns for the conditions.
+    kinds of texts share all other extraction.  ``texts`` may carry further columns for the conditions, if none is long.
     """
-    plain = stage(texts.where(X.has_context(F.col("text"))), "texts")
-    common = _common(plain.select("unit", "text"), refs, lambda t, _: t)
+    plain = _usable(texts, refs)
+    if isinstance(plain, LongTexts):
+        common, plain = _common(plain, refs, lambda t, _: t), plain.starts()
+    else:
+        common = _common(plain.select("unit", "text"), refs, lambda t, _: t)
     keyword_rows = common.select("unit", F.explode("yake_tags").alias("keyword"))
     parts, errors = [], []
     for condition, vocabulary in vocabularies:
@@ -258,7 +310,7 @@ def records(
 
 
 def dual_records(
-    texts: DataFrame,
+    texts: DataFrame | LongTexts,
     house: DataFrame,
     paradigm: DataFrame,
     ecosystem: str,
@@ -270,11 +322,15 @@ def dual_records(
     Keywords come from the text and its long description; the paradigm is reached from keywords,
     house terms and entity names together.
     """
-    plain = stage(usable(texts), "texts")
+    plain = _usable(texts if isinstance(texts, LongTexts) else texts.select("unit", "text"), refs)
 
     def with_long(t, described):
+        if isinstance(t, LongTexts):
+            rest = t.parts.where("NOT last").select("unit", "part", "text")
+            parts = stage(rest.unionByName(with_long(t.parts.where("last"), described)), "long-parts")
+            return replace(t, short=with_long(t.short, described), parts=parts)
         return t.join(described.select("unit", "long_description").hint("merge"), "unit").select(
-            "unit", F.concat_ws(" ", "text", "long_description").alias("text")
+            "unit", *(["part"] if "part" in t.columns else []), F.concat_ws(" ", "text", "long_description").alias("text")
         )
 
     common = _common(plain, refs, with_long)

@@ -42,6 +42,11 @@ def by_unit(texts: DataFrame) -> DataFrame:
     return spread(texts.select("unit", "text"), "unit")
 
 
+def part_rows(texts: DataFrame) -> DataFrame:
+    """Parts of texts ``(unit, part, text)`` as texts of units of their own, (unit, part), dealt evenly."""
+    return spread(texts.select(F.struct("unit", "part").alias("unit"), "text"), "unit")
+
+
 def sentence_rows(texts: DataFrame) -> DataFrame:
     """``(unit, n_sentences, sentence, body)`` with sentences numbered from 0."""
     listed = texts.select("unit", X.sentences(F.col("text")).alias("all"))

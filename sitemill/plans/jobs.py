@@ -190,8 +190,10 @@ def run_single(
     # The row key is staged with the lists: it is made up, and must not change between its two uses.
     lists = stage(links.select(F.expr("uuid()").alias("unit"), "links"), "lists")
     store = pages if isinstance(pages, inputs.PageStore) else inputs.PageStore(pages)
-    texts = stage(records.texts_from_links(lists, store), "single")
-    made = records.records(texts, [(F.lit(True), vocabulary)], ecosystem, refs, keep_failed=True)
+    given = records.texts_from_links(lists, store, records.LINKS_PER_PART)
+    given = stage(given, "single") if isinstance(given, DataFrame) else given
+    texts = given if isinstance(given, DataFrame) else given.starts()
+    made = records.records(given, [(F.lit(True), vocabulary)], ecosystem, refs, keep_failed=True)
     first = F.get(F.col("links"), F.lit(0))
     asked = lists.select("unit", first.alias("first")).join(texts, "unit").withColumnRenamed("text", "_text")
     joined = asked.join(made.withColumnRenamed("mainURL", "unit"), "unit", "left")
