@@ -94,14 +94,16 @@ def rounded(scores: np.ndarray) -> np.ndarray:
     return whole
 
 
-def phrase_counts(words: Words) -> dict[str, np.ndarray]:
-    """Arrays over all runs of one to three words of each unit: ``unit, tf, at, size, score, ids``.
+def phrase_counts(words: Words, score_of: Callable[[Terms], np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Arrays over all runs of one to three words of each unit: ``unit, tf, at, size, score, ids, prod, total``.
+
+    The scores of the words are those of their unit, or given; ``prod`` and ``total`` are their product and sum.
 
     Scores of the next one or two words come from the following topic words of the same chunk; a weak word in
     the middle of three adds nothing.
     """
-    terms = _scored(words)
-    score = terms.columns["score"]
+    terms = _scored(words) if score_of is None else term_counts(words)
+    score = terms.columns["score"] if score_of is None else score_of(terms)
     at = (words.sentence * PLACES + words.chunk) * PLACES + words.place
     chunk, n = at >> BITS, len(at)
     s0 = score[terms.of]
@@ -137,11 +139,12 @@ def phrase_counts(words: Words) -> dict[str, np.ndarray]:
         best, sums = np.maximum.reduceat(prod[spots], first), np.maximum.reduceat(total[spots], first)
         spot = spots[first]
         ids = np.stack([words.term[spot], words.after[spot] if size > 1 else spot * 0 - 1, words.second[spot] if size > 2 else spot * 0 - 1])
-        parts.append((words.unit[spot], tf, at[spot], np.full(len(spot), size, np.int32), rounded(best / (tf * (1 + sums))), ids))
+        parts.append((words.unit[spot], tf, at[spot], np.full(len(spot), size, np.int32), rounded(best / (tf * (1 + sums))), ids, best, sums))
     if not parts:
         empty = np.zeros(0, np.int64)
-        parts = [(empty, empty, empty, empty.astype(np.int32), empty.astype(float), np.zeros((3, 0), np.int64))]
-    return {name: np.concatenate(x, axis=-1) for name, x in zip(("unit", "tf", "at", "size", "score", "ids"), zip(*parts, strict=True), strict=True)}
+        parts = [(empty, empty, empty, empty.astype(np.int32), empty.astype(float), np.zeros((3, 0), np.int64), empty.astype(float), empty.astype(float))]
+    names = "unit", "tf", "at", "size", "score", "ids", "prod", "total"
+    return {name: np.concatenate(x, axis=-1) for name, x in zip(names, zip(*parts, strict=True), strict=True)}
 
 
 def joined(words: Words, ids: np.ndarray) -> pa.Array:

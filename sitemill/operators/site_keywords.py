@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,7 @@ from sitemill.operators.keywords import (
     walk,
 )
 from sitemill.operators.ranking import top_k
-from sitemill.operators.tokens import is_weak
-from sitemill.operators.word_counts import Words, over_units, term_counts
+from sitemill.operators.word_counts import Terms, Words, list_sizes, over_units, owner, term_counts
 from sitemill.workspace import stage
 
 #: Phrases of a unit that one round walks, as a multiple of those wanted.
@@ -92,9 +92,9 @@ def _middle(counted: DataFrame, sentences: DataFrame) -> DataFrame:
     return each.groupBy("unit", "term").agg((F.sum("sentence") / F.count("*")).alias("middle"))
 
 
-def term_statistics(parts: DataFrame) -> DataFrame:
-    """``unit, term, tf, cased, in_sentences, middle, score`` over all parts of each unit."""
-    counted = stage(term_parts(parts), "term-parts")
+def term_statistics(parts: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``unit, term, tf, cased, in_sentences, middle, score`` over all parts of each unit, which ``counted`` may have."""
+    counted = stage(term_parts(parts), "term-parts") if counted is None else counted
     sentences = stage(sentence_counts(parts), "sentence-counts")
     sums = counted.groupBy("unit", "term").agg(
         F.sum("tf").alias("tf"),
@@ -125,34 +125,51 @@ def term_statistics(parts: DataFrame) -> DataFrame:
     return joined.select("unit", "term", "tf", "cased", "in_sentences", "middle", term_score().alias("score"))
 
 
-def phrase_parts(parts: DataFrame) -> DataFrame:
-    """One row per part and run of one to three words: its count and first place in that part."""
+def phrase_parts(parts: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """One row per part and run of one to three words: its count and first place in that part, and its words' scores.
 
-    def count(units: pa.Array, words: Words) -> list:
-        p = phrase_counts(words)
-        found = [joined(words, p["ids"]), *(pa.array(p[c]) for c in ("size", "tf", "at"))]
+    ``scores`` is ``(unit, part, scores)``, the score in the whole unit of each topic word of a part, so that phrases
+    need not be cut into words again to look these up; without it the scores are those in the part.
+    """
+
+    def count(units: pa.Array, words: Words, known: pa.Array | None = None) -> list:
+        def score_of(terms: Terms) -> np.ndarray:
+            row, _ = owner(list_sizes(known, 1))
+            entries = known.flatten()
+            term = pc.index_in(entries.field("term"), value_set=words.terms).to_numpy(zero_copy_only=False)
+            keys = words.number[row] * words.n_terms + term
+            keys, first = np.unique(keys, return_index=True)
+            values = entries.field("score").to_numpy(zero_copy_only=False)[first]
+            return values[np.searchsorted(keys, terms.unit * words.n_terms + terms.term)]
+
+        p = phrase_counts(words, None if known is None else score_of)
+        found = [joined(words, p["ids"]), *(pa.array(p[c]) for c in ("size", "tf", "at", "prod", "total"))]
         return [unit_rows(units, words, p["unit"]), *found]
 
-    counted = over_units(_rows(parts), count, "phrase string, size int, tf long, at long")
+    fields = "phrase string, size int, tf long, at long, prod double, total double"
+    if scores is None:
+        counted = over_units(_rows(parts), count, fields)
+    else:
+        known = parts.select("unit", "part", "text").join(scores, ["unit", "part"])
+        counted = over_units(known.select(F.struct("unit", "part").alias("unit"), "text", "scores"), count, fields, "scores")
     return counted.select("unit.unit", "unit.part", *counted.columns[1:])
 
 
 def candidates(parts: DataFrame) -> DataFrame:
     """``unit, phrase, tf, score, part, at, size``: all phrases of each unit, and where the first one is."""
-    scores = term_statistics(parts).select("unit", "term", "score")
-    merged = phrase_parts(parts).groupBy("unit", "phrase", "size").agg(
-        F.sum("tf").alias("tf"), F.min("part").alias("part"), F.min_by("at", "part").alias("at")
+    counted = stage(term_parts(parts), "term-parts")
+    scores = stage(term_statistics(parts, counted).select("unit", "term", "score"), "term-scores")
+    of_part = counted.select("unit", "part", "term").join(scores, ["unit", "term"])
+    of_part = of_part.groupBy("unit", "part").agg(F.collect_list(F.struct("term", "score")).alias("scores"))
+    merged = phrase_parts(parts, of_part).groupBy("unit", "phrase", "size").agg(
+        F.sum("tf").alias("tf"),
+        F.min("part").alias("part"),
+        F.min_by("at", "part").alias("at"),
+        F.max("prod").alias("prod"),
+        F.max("total").alias("total"),
     )
-    merged = stage(merged, "phrases")
-    words = merged.select("unit", "phrase", F.posexplode(F.split("phrase", " ")).alias("nth", "term"))
-    scored = words.where(~is_weak("term")).join(stage(scores, "term-scores"), ["unit", "term"])
-    nth = [F.max(F.when(F.col("nth") == i, F.col("score"))).alias(f"s{i}") for i in range(3)]
-    per_phrase = scored.groupBy("unit", "phrase").agg(*nth)
-    one, zero = F.lit(1.0), F.lit(0.0)
-    prod = F.col("s0") * F.coalesce("s1", one) * F.coalesce("s2", one)
-    total = F.col("s0") + F.coalesce("s1", zero) + F.coalesce("s2", zero)
-    score = F.round(prod / (F.col("tf") * (1 + total)), SCORE_DIGITS)
-    return merged.join(per_phrase, ["unit", "phrase"]).select("unit", "phrase", "tf", score.alias("score"), "part", "at", "size")
+    score = F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), SCORE_DIGITS)
+    return merged.select("unit", "phrase", "tf", score.alias("score"), "part", "at", "size")
 
 
 def best_phrases(phrases: DataFrame, top: int = TOP, head: int = HEAD) -> DataFrame:

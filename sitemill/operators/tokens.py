@@ -37,9 +37,9 @@ def is_weak(term: str) -> Column:
     return (F.length(column) < MIN_WORD) | ~column.rlike(r"\p{L}") | F.expr(f"{term} IN ({_stop_list()})")
 
 
-def by_unit(texts: DataFrame) -> DataFrame:
-    """Texts on one partition per unit."""
-    return spread(texts.select("unit", "text"), "unit")
+def by_unit(texts: DataFrame, *held: str) -> DataFrame:
+    """Texts on one partition per unit, with the columns ``held``."""
+    return spread(texts.select("unit", "text", *held), "unit")
 
 
 def part_rows(texts: DataFrame) -> DataFrame:

@@ -25,16 +25,20 @@ from sitemill.operators.tokens import MIN_WORD, by_unit, stop_words
 SLICE_WORDS = 1 << 19
 
 
-def over_units(texts: DataFrame, count: Callable[[pa.Array, Words], list], fields: str) -> DataFrame:
-    """``unit`` and the ``fields`` that ``count`` finds in slices of whole units of ``(unit, text)``."""
+def over_units(texts: DataFrame, count: Callable[..., list], fields: str, *held: str) -> DataFrame:
+    """``unit`` and the ``fields`` that ``count`` finds in slices of whole units of ``(unit, text)``.
+
+    ``count`` is given the units of the rows, their words, and the columns ``held``.
+    """
     listed = F.transform(X.sentences(F.col("text")), lambda s: F.transform(X.chunks(s), X.chunk_words))
-    cut = by_unit(texts).sortWithinPartitions("unit").select("unit", listed.alias("words"))
+    cut = by_unit(texts, *held).sortWithinPartitions("unit").select("unit", listed.alias("words"), *held)
     added = StructType.fromDDL(fields)
     names = ["unit", *added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, numbers in _slices(batches):
-            yield pa.RecordBatch.from_arrays(count(rows.column("unit"), Words(numbers, rows.column("words"))), names)
+            beside = [rows.column(c) for c in held]
+            yield pa.RecordBatch.from_arrays(count(rows.column("unit"), Words(numbers, rows.column("words")), *beside), names)
 
     return cut.mapInArrow(run, StructType([StructField("unit", cut.schema["unit"].dataType), *added.fields]))
 

@@ -89,3 +89,12 @@ def test_parts_are_counted_without_a_row_per_word(spark):
         ("red", 1, 2), ("oak", 1, 2), ("mill", 1, 2), ("red oak", 2, 1), ("oak mill", 2, 1), ("mill red", 2, 1),
         ("red oak mill", 3, 1), ("oak of mill", 3, 1),
     }
+
+
+def test_phrases_are_scored_in_their_parts(spark):
+    texts = ["Red oak mill. Oak of mill red.", "Corn bread for Red oak! Mill of bread.", "The oak mill of corn."]
+    found = site_keywords.candidates(_parts(spark, [("u", p, t) for p, t in enumerate(texts)]))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = keywords.candidates(spark.createDataFrame([("u", "\n".join(texts))], "unit string, text string"))
+    expected = {r.phrase: (r.tf, r.size, r.score) for r in whole.collect()}
+    assert {r.phrase: (r.tf, r.size, r.score) for r in found.collect()} == expected and len(expected) > 10
