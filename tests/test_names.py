@@ -89,3 +89,26 @@ def test_names_that_begin_alike_are_found_by_one_automaton():
     words = [["a", "b", "c"], ["a"], ["b", "c", "d", "e"], ["c", "d"], ["x", "a"]]
     found = names.Automaton(pa.array(words)).matches(pa.array("a b c d y a x a b".split()), np.array([4, 3, 2, 1, 2, 1, 3, 2, 1]))
     assert sorted(map(tuple, found.T.tolist())) == [(0, 1, 1), (0, 3, 0), (2, 2, 3), (5, 1, 1), (6, 2, 4), (7, 1, 1)]
+
+
+def test_words_go_on_only_where_a_name_may_start(spark):
+    gaz = _gazetteer(spark, [(f"Guild {i} of Rome", "ORG") for i in range(2000)] + [("Rome", "LOC")])
+    texts = _texts(spark, "Guild 7 of Rome is a guild. Guild of 7 is none.", *[f"plain words {i} and no name of any guild" for i in range(500)])
+    texts = texts.select(names.F.col("unit").alias("_u"), "text")
+    found = names.name_starts(texts, names.name_words(gaz)).collect()
+    starts = {(r["_u"], r["sentence"], r["place"], " ".join(r["words"])) for r in found}
+    assert {("0", 0, 0, "Guild 7 of Rome"), ("0", 0, 3, "Rome")} <= starts and len(found) < 100
+
+
+def test_a_full_filter_loses_no_name(spark, monkeypatch):
+    monkeypatch.setattr(names, "MOST_BITS", names._CHUNK)
+    gaz = [(f"a{i} b{i % 7} c", "LOC") for i in range(30000)] + [("b1 c", "ORG")]
+    texts = [f"x a{i} b{i % 7} c. a{i} b{(i + 1) % 7} c" for i in range(0, 30000, 1000)]
+    assert len(names.beginnings(names.name_words(_gazetteer(spark, gaz)))) * 8 == names._CHUNK
+    assert _found(spark, texts, gaz) == _plain(texts, gaz)
+
+
+def test_one_unit_of_several_texts(spark):
+    texts = spark.createDataFrame([("1", "Rome"), ("1", "Rome"), (None, "in Rome")], "unit string, text string")
+    found = names.name_mentions(texts, _gazetteer(spark, [("Rome", "LOC"), ("in Rome", "ORG")]))
+    assert sorted(((r.unit, r.place, r.named_entity) for r in found.collect()), key=str) == [("1", 0, "Rome"), ("1", 0, "Rome"), (None, 0, "in Rome")]
