@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from sitemill.workspace import stage
 
-SALTS = 64
-
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows of each group from 1 in the given column order, without a cap on group size.
@@ -35,13 +33,12 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows of each group, numbered.
 
-    Each group is first cut to ``k`` rows per salt, then to ``k`` overall.  Both cuts run as group
-    limits before their shuffles, so a task sees at most ``k`` rows per salt of a group.
+    Each group is first cut to ``k`` rows per slice of the rows, then to ``k`` overall.  Both cuts run as group
+    limits before their shuffles, so no more than ``k`` rows of a group leave a task.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(*order)
-    cut = df.withColumn("_salt", salt).withColumn(name, F.row_number().over(inner)).where(F.col(name) <= k)
+    cut = df.withColumn("_salt", F.spark_partition_id()).withColumn(name, F.row_number().over(inner)).where(F.col(name) <= k)
     return (
         cut.drop(name, "_salt")
         .withColumn(name, F.row_number().over(outer).cast("bigint"))

@@ -33,7 +33,7 @@ from sitemill.operators.keywords import (
 )
 from sitemill.operators.ranking import top_k
 from sitemill.operators.word_counts import Terms, Words, list_sizes, over_units, owner, term_counts
-from sitemill.workspace import stage
+from sitemill.workspace import stage, unstage
 
 #: Phrases of a unit that one round walks, as a multiple of those wanted.
 HEAD = 10
@@ -93,7 +93,10 @@ def _middle(counted: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def term_statistics(parts: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """``unit, term, tf, cased, in_sentences, middle, score`` over all parts of each unit, which ``counted`` may have."""
+    """``unit, term, tf, cased, in_sentences, middle, score`` over all parts of each unit, which ``counted`` may have.
+
+    What is shuffled for the neighbours and for the medians is off the disk before the next of them begins.
+    """
     counted = stage(term_parts(parts), "term-parts") if counted is None else counted
     sentences = stage(sentence_counts(parts), "sentence-counts")
     sums = counted.groupBy("unit", "term").agg(
@@ -110,11 +113,13 @@ def term_statistics(parts: DataFrame, counted: DataFrame | None = None) -> DataF
     near = counted.select("unit", "term", F.explode(F.concat(side("l", "before"), side("r", "after"))).alias("n"))
     near = near.select("unit", "term", "n.side", "n.word").distinct()
     near = near.groupBy("unit", "term").agg(F.count_if(F.col("side") == "l").alias("lefts"), F.count_if(F.col("side") == "r").alias("rights"))
+    near, middle = stage(near, "term-neighbours"), stage(_middle(counted, sentences), "term-middles")
+    sums = stage(sums, "term-sums")
     per_unit = sums.groupBy("unit").agg(
         F.max("tf").alias("max_tf"), F.avg("tf").alias("mean_tf"), F.avg(F.col("tf") * F.col("tf")).alias("squares")
     )
     per_unit = per_unit.join(sentences.groupBy("unit").agg(F.max("n_sentences").alias("n_sentences")), "unit")
-    joined = sums.join(_middle(counted, sentences), ["unit", "term"]).join(near, ["unit", "term"], "left").join(per_unit, "unit")
+    joined = sums.join(middle, ["unit", "term"]).join(near, ["unit", "term"], "left").join(per_unit, "unit")
     joined = joined.withColumns(
         {
             "left": neighbour_share(F.coalesce("lefts", F.lit(0)), F.col("n_left")),
@@ -157,10 +162,16 @@ def phrase_parts(parts: DataFrame, scores: DataFrame | None = None) -> DataFrame
 
 def candidates(parts: DataFrame) -> DataFrame:
     """``unit, phrase, tf, score, part, at, size``: all phrases of each unit, and where the first one is."""
+    return _candidates(parts)[0]
+
+
+def _candidates(parts: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """The candidates, and the staged tables that they are made from."""
     counted = stage(term_parts(parts), "term-parts")
     scores = stage(term_statistics(parts, counted).select("unit", "term", "score"), "term-scores")
     of_part = counted.select("unit", "part", "term").join(scores, ["unit", "term"])
-    of_part = of_part.groupBy("unit", "part").agg(F.collect_list(F.struct("term", "score")).alias("scores"))
+    of_part = stage(of_part.groupBy("unit", "part").agg(F.collect_list(F.struct("term", "score")).alias("scores")), "part-scores")
+    unstage(counted, scores)
     merged = phrase_parts(parts, of_part).groupBy("unit", "phrase", "size").agg(
         F.sum("tf").alias("tf"),
         F.min("part").alias("part"),
@@ -169,14 +180,18 @@ def candidates(parts: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
     )
     score = F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), SCORE_DIGITS)
-    return merged.select("unit", "phrase", "tf", score.alias("score"), "part", "at", "size")
+    return merged.select("unit", "phrase", "tf", score.alias("score"), "part", "at", "size"), (of_part,)
+
 
+def best_phrases(phrases: DataFrame, top: int = TOP, head: int = HEAD, used: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``unit, kept``: the first ``top`` phrases of each unit in score order, near copies of better ones left out.
 
-def best_phrases(phrases: DataFrame, top: int = TOP, head: int = HEAD) -> DataFrame:
-    """``unit, kept``: the first ``top`` phrases of each unit in score order, near copies of better ones left out."""
+    ``used`` are staged tables that only the phrases are made from; they go.
+    """
     entry = F.struct("score", "phrase", "part", "at", "size")
     step, state, done = head * top, None, None
     phrases = stage(phrases, "ranked-phrases")
+    unstage(*used)
     while True:
         rest = phrases
         if state is not None:
@@ -202,7 +217,8 @@ def best_phrases(phrases: DataFrame, top: int = TOP, head: int = HEAD) -> DataFr
 
 def keywords(parts: DataFrame, top: int = TOP, head: int = HEAD) -> DataFrame:
     """``(unit, yake_tags)`` of ``(unit, part, text)``, as sorted text, each shown as written at its first place."""
-    kept = best_phrases(candidates(parts), top, head).select("unit", F.explode("kept").alias("k"))
+    phrases, used = _candidates(parts)
+    kept = best_phrases(phrases, top, head, used).select("unit", F.explode("kept").alias("k"))
     bodies = parts.select("unit", "part", X.sentences(F.col("text")).alias("body"))
     joined = kept.withColumn("part", F.col("k.part")).join(bodies, ["unit", "part"])
     shown = joined.select("unit", as_written(F.col("k"), F.shiftright(F.col("k.at"), 2 * BITS).cast("int")).alias("shown"))

@@ -1,10 +1,13 @@
 import random
 import statistics
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from sitemill.operators import keywords, site_keywords
+from sitemill.operators.ranking import top_k
+from sitemill.workspace import staging_root
 from tests.test_language import _brute_keywords
 
 WORDS = "corn bread flour mill oven yeast rolls NASA Bern baker Internationalisation internationalisations dough salt".split()
@@ -98,3 +101,23 @@ def test_phrases_are_scored_in_their_parts(spark):
     whole = keywords.candidates(spark.createDataFrame([("u", "\n".join(texts))], "unit string, text string"))
     expected = {r.phrase: (r.tf, r.size, r.score) for r in whole.collect()}
     assert {r.phrase: (r.tf, r.size, r.score) for r in found.collect()} == expected and len(expected) > 10
+
+
+def _staged(spark):
+    return {p.name for p in Path(staging_root(spark).removeprefix("file://"), "sitemill").glob("*")}
+
+
+def test_tables_that_are_used_up_leave_the_disk(spark):
+    before = _staged(spark)
+    rows = [(f"s{i}", p, t) for i in range(3) for p, t in enumerate(_site(i, 4))]
+    assert site_keywords.keywords(_parts(spark, rows)).count() == 3
+    left = {name.rsplit("-", 1)[0] for name in _staged(spark) - before}
+    assert not left & {"term-parts", "term-scores", "part-scores"} and "ranked-phrases" in left
+
+
+def test_no_more_than_the_wanted_rows_of_a_group_leave_a_task(spark):
+    rows = spark.range(20000, numPartitions=4).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("x"))
+    found = top_k(rows, ["k"], ["x"], 5)
+    best = {k: sorted(r.x for r in rows.where(F.col("k") == k).collect())[:5] for k in (0, 1)}
+    assert {k: [r.x for r in found.where(F.col("k") == k).orderBy("position").collect()] for k in (0, 1)} == best
+    assert "SPARK_PARTITION_ID() AS _salt" in found._jdf.queryExecution().analyzed().toString()

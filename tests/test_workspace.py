@@ -1,6 +1,8 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-from sitemill.workspace import freed, stage
+from sitemill.workspace import freed, stage, unstage
 
 
 def _shuffle_files(spark):
@@ -22,3 +24,12 @@ def test_the_setting_of_the_session_is_left_as_it_was(spark):
     with freed(spark):
         assert spark.conf.get(key) == "true"
     assert spark.conf.get(key, None) == before
+
+
+def test_only_staged_tables_are_deleted(spark, tmp_path):
+    kept = str(tmp_path / "kept")
+    spark.range(5).write.parquet(kept)
+    one, other = stage(spark.range(3), "one"), stage(spark.range(4), "other")
+    unstage(one, spark.read.parquet(kept), spark.range(2).toDF("id"))
+    assert not any(Path(f.removeprefix("file:").replace("///", "/")).exists() for f in one.inputFiles())
+    assert other.count() == 4 and spark.read.parquet(kept).count() == 5
