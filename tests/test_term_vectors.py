@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from sitemill import constants as C
 from sitemill.models import Models, with_key_vectors
 from sitemill.operators import term_vectors as T
 from sitemill.operators.records import References, records
-from sitemill.workspace import stage
+from sitemill.workspace import stage, staging_root
 
 
 def _texts(spark, texts):
@@ -125,3 +126,14 @@ def test_a_product_moves_the_thin_matrix_few_times(spark):
     cells = spark.range(4000).selectExpr("cast(id % 2000 AS int) AS a", "cast((id * 7) % 2000 AS int) AS b", "1.0D AS x")
     found = T.Factors(cells, 2000, most=250)
     assert found.blocks * found.pieces >= 16 and found.blocks + found.pieces <= 9
+
+
+def test_tables_that_are_used_up_leave_the_disk(spark):
+    def staged():
+        return {p.name for p in Path(staging_root(spark).removeprefix("file://"), "sitemill").glob("*")}
+
+    before = staged()
+    texts = spark.createDataFrame([(str(i), "corn bread flour mill oven yeast " * 3) for i in range(5)], "unit string, text string")
+    assert T.train(texts, dim=3).count() == 6
+    left = [name.rsplit("-", 1)[0] for name in staged() - before]
+    assert not {"word-pairs", "pmi", "packed-cells"} & {*left} and left.count("thin-matrix") == 1
